@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
 from operator import and_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; read by Spark only, so any file system will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +50,17 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def publish(spark: SparkSession, name: str, data: bytes) -> None:
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever they are."""
+    top = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(top.parent))), f.read_bytes())
+    publish(spark, f"{top.name}-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip", data.getvalue(), code=True)
+
+
+def publish(spark: SparkSession, name: str, data: bytes, code: bool = False) -> None:
     """Give every executor a local copy of ``data`` as the Spark file ``name``; it starts in the shared folder."""
     if name in {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}:
         return
@@ -53,7 +68,7 @@ def publish(spark: SparkSession, name: str, data: bytes) -> None:
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(data))
     out.close()
-    spark.sparkContext.addFile(path.toString())
+    (spark.sparkContext.addPyFile if code else spark.sparkContext.addFile)(path.toString())
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,9 +4,10 @@ Features of a whole text: densities and counts of lexicon words and lexicon stem
 in for others are put back (0 for o, @ for a, ...), their nearness to words of the second person, capitals, words in capitals,
 punctuation, exclamation marks, words that mix letters with digits or symbols (obfuscation), and length.
 
-The lexicon is mined from labelled rows: words, and stems of 4 to 7 bytes, that toxic texts hold and others hardly do.
-Mining, the trees and the calibration use three disjoint parts of one bounded sample (``rows``, chosen by a hash of the id), so
-that the densities of words which are rare by chance don't mislead the trees. Only the text is an input of a score.
+The lexicon is mined from labelled rows: words, and stems of 4 to 6 bytes, that toxic texts hold and others hardly do.
+All is fitted on one bounded sample (``rows``, chosen by a hash of the id). A row's features for the trees come from a lexicon that
+the other folds gave, so that words which are toxic by chance don't mislead the trees; scores use the whole sample's lexicon. The
+calibration's rows are apart from the trees'. Only the text is an input of a score.
 
 Null text counts as empty; a text without words gets the score of an empty text. Without any labels every score is near 1/2
 and below it. Repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +28,8 @@ from .common import only
 from .labelled import sample
 from .trees import Boosted, Isotonic, boost, isotonic
 
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6)
+FOLDS = 3
 NEAR = 5
 #: Words of the second person in the corpus's four languages.
 SECOND = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer eure tú ti usted ustedes vosotros tus"
@@ -168,7 +170,7 @@ def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = []
             for x, y in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True):
                 own.append((np.unique(t.hashes[x:y]).tobytes(), np.unique(np.concatenate([s[x:y] for s in stems])).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([o[0] for o in own], pa.binary()), pa.array([o[1] for o in own], pa.binary())], ["doc_id", "label", "words", "stems"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("draw"), pa.array([o[0] for o in own], pa.binary()), pa.array([o[1] for o in own], pa.binary())], ["label", "draw", "words", "stems"])
 
 
 def mined(texts: list[bytes], label: np.ndarray, least: int, purity: float) -> np.ndarray:
@@ -187,26 +189,37 @@ def mined(texts: list[bytes], label: np.ndarray, least: int, purity: float) -> n
     return bad[keep]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 12000, where: Column | None = None, purity: float = 0.9) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8000, where: Column | None = None, purity: float = 0.9) -> Model:
     """Fit on at most ``rows`` labelled documents for which ``where`` (over the labels' doc_id) holds."""
     chosen = sample(docs, labels, label, rows, where)
-    part = chosen.where("draw < 0.5").drop("draw").mapInArrow(distinct, "doc_id long, label int, words binary, stems binary").toArrow()
-    y = np.asarray(part.column("label").to_pylist(), dtype=np.int64)
-    least = max(3, int(0.004 * (y == 1).sum()))
-    lexicon = Lexicon(mined(part.column("words").to_pylist(), y, least, purity), mined(part.column("stems").to_pylist(), y, 2 * least, purity))
+    part = chosen.mapInArrow(distinct, "label int, draw double, words binary, stems binary").toArrow()
+    y, fold_of = np.asarray(part.column("label").to_pylist(), dtype=np.int64), np.asarray([int(d * FOLDS) for d in part.column("draw").to_pylist()], dtype=np.int64)
+
+    def lexicon(rows: np.ndarray) -> Lexicon:
+        bad = int((y[rows] == 1).sum())
+        least = max(3 if bad < 100 else 4, int(0.002 * bad))
+        which = pa.array(np.flatnonzero(rows))
+        return Lexicon(*[mined(part.column(c).take(which).to_pylist(), y[rows], least, purity) for c in ("words", "stems")])
+
+    held_in = [lexicon(fold_of != k) for k in range(FOLDS)]
+    whole = lexicon(np.ones(len(y), dtype=bool))
+    del part
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.slices(batch, "text"):
-                x = lexicon.dense(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("draw"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "draw", "x"])
+                fold_of = (b.column("draw").to_numpy() * FOLDS).astype(int)
+                for k in np.unique(fold_of).tolist():
+                    own = b.filter(pa.array(fold_of == k))
+                    x = held_in[k].dense(own.column("text"))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("label"), own.column("draw"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "draw", "x"])
 
-    found = chosen.where("draw >= 0.5").mapInArrow(dense, "doc_id long, label int, draw double, x binary").toArrow().sort_by("doc_id")
+    found = chosen.mapInArrow(dense, "doc_id long, label int, draw double, x binary").toArrow().sort_by("doc_id")
     x = np.array([np.frombuffer(v, "<f8") for v in found.column("x").to_pylist()]).reshape(-1, len(NAMES))
-    y, draw = np.asarray(found.column("label").to_pylist(), dtype=np.float64), np.asarray(found.column("draw").to_pylist())
-    fitting = draw < 0.8
+    y, draw = np.asarray(found.column("label").to_pylist(), dtype=np.float64), np.asarray(found.column("draw").to_pylist(), dtype=np.float64)
+    fitting = (draw * FOLDS) % 1 < 0.75
     trees = boost(x[fitting], y[fitting])
-    return Model(lexicon, trees, isotonic(trees.raw(x[~fitting]), y[~fitting]))
+    return Model(whole, trees, isotonic(trees.raw(x[~fitting]), y[~fitting]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 U = np.uint64
@@ -137,7 +138,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.n
 def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text, or one row."""
     column = batch.column(text)
-    sizes = np.asarray(pa.compute.binary_length(column.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(column.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     upto = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
