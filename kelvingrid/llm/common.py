@@ -7,10 +7,12 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +101,36 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
     return inner.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__rn") - 1).alias(rank), total)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+EDGES = 1 << 20
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's edges (a, b) -> each of their ids but the smallest of its component, linked to that smallest."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = root.setdefault(up, up)
+            k = up
+        return k
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    rows = [(k, r) for k in root if (r := find(k)) != k]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, most: int = EDGES) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long ids): rows (id, comp) with the smallest id reachable.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until a round
-    changes nothing. The smallest neighbour is found by a combining aggregate and joined back, so a
-    hub with very many neighbours is neither gathered in one list nor bound to one task.
+    Each round contracts the edges of every task, ``most`` at the most, to a forest of stars by union-find; once one task holds
+    all edges that is the answer. While there are more, a large-star and a small-star round over the cluster follow, each round
+    written to the shared folder. The smallest neighbour is found by a combining aggregate and joined back, so a hub with very many
+    neighbours is neither gathered in one list nor bound to one task.
     """
-    spark = edges.sparkSession
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         both = e if small else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -119,18 +143,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = j.where(F.col("b") > F.col("a")).select(F.col("b").alias("u"), "m")
         return out.where(F.col("u") != F.col("m")).select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
 
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = mark(now)
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "components")
+    n, seen = now.count(), None
     for _ in range(max_rounds):
-        if not seen[0]:
+        parts = max(1, -(-n // most))
+        stars = now.coalesce(parts).mapInArrow(forest, "a long, b long")
+        if parts == 1:
+            nxt = cut(stars, "components")
+            drop(now)
+            now = nxt
             break
-        nxt = cut(star(star(now, small=False), small=True), "components")
+        nxt = cut(star(star(cut(stars.repartition(parts), "components"), small=False), small=True), "components")
         drop(now)
-        now, before, seen = nxt, seen, mark(nxt)
+        now, before = nxt, seen
+        n, *rest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = (n, *rest)
         if before == seen:
             break
     else:

@@ -8,12 +8,12 @@ compares. All shingles have one global order: rarest first, by the number of cla
 2. *Segments.* A class gathers its replies; shingles without a reply are its own. If these alone rule out the
    threshold, it has no partner; most classes end here. The others keep their shared shingles in the global order.
 3. *Candidates.* The order is cut into fragments again. Within a fragment, classes that hold a common shingle in
-   their prefixes (the first ``size - least overlap + 1`` shingles) are paired if length and position still allow
-   the threshold. Two rounds: first each class with its nearest neighbours in every list, which joins the bulk of
-   a group of near copies by a number of pairs in proportion to its rows; then every pair that is not yet in one component.
-   The second round drops no candidate, so no link between components is missed.
-4. *Overlaps.* For each candidate pair the overlap is counted in each vertical segment apart and summed per pair; an
-   exact test of the sums decides.
+   their prefixes (the first ``size - least overlap + 1`` shingles) are chained in the order of their sizes, as long as
+   neighbours' sizes allow the threshold. Any two classes that link are in one chain, so what the chains connect, a *cluster*,
+   holds all links of its classes.
+4. *Overlaps.* A cluster's classes come together in tiles of bounded size (pairs of its parts, if it is large). There the
+   overlaps of all pairs are counted for one fragment of the order after another, as products of 0/1 matrices, and summed per
+   pair; the exact test of the sums decides. A tile returns a spanning forest of its links, never pairs as rows.
 
 Two documents link when 100 * overlap >= threshold * union. Documents with fewer words than a shingle are one
 shingle of all their words; without words (null, empty or blank text) they have no shingle and link with
@@ -36,9 +36,10 @@ from .common import components, cut, drop, only, partitions
 
 LOW = (1 << 40) - 1
 BATCH = 1 << 21
-NEAR = 4
 NO_ID = -(1 << 63)
-SEGMENTS = 4
+FRAGMENT = 4096
+TILE = 1024
+TOKENS = 1 << 21
 
 
 def least_overlap(size, threshold: int):
@@ -201,59 +202,82 @@ def gather(threshold: int):
     return run
 
 
-def candidates(threshold: int, near: int):
-    """Prefix rows of one fragment -> distinct candidate pairs (a < b).
-
-    near > 0: each class with so many neighbours in the lists' order (size, class); 0: all pairs of different components.
-    """
+def chained(threshold: int):
+    """Prefix rows (t, c, size) of one fragment -> distinct pairs of neighbours in the lists' chains."""
 
     def run(table: pa.Table) -> pa.Table:
-        t, c, n, at, comp = (table.column(k).to_numpy().astype(np.int64) for k in ("t", "c", "size", "at", "comp"))
+        t, c, n = (table.column(k).to_numpy().astype(np.int64) for k in ("t", "c", "size"))
         order = np.lexsort((c, n, t))
-        t, c, n, at, comp = t[order], c[order], n[order], at[order], comp[order]
-        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        end = np.append(begin[1:], len(t))
-        if not near:  # lists of one component have nothing left to ask
-            mixed = np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin)
-            begin, end = begin[mixed], end[mixed]
-        last = np.zeros(len(t), dtype=np.int64)
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-            last[a:b] = b
-        found: list[np.ndarray] = []
-        held = 0
-        live = np.flatnonzero(last > 0)
-        step = 1
-        while len(live) and (not near or step <= near):
-            live = live[live + step < last[live]]
-            live = live[n[live] * 100 >= threshold * n[live + step]]  # sizes rise along a list, so farther ones fail too
-            if not len(live):
-                break
-            i, j = live, live + step
-            need = -(-threshold * (n[i] + n[j]) // (100 + threshold))
-            ok = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need
-            if not near:
-                ok &= comp[i] != comp[j]
-            i, j = i[ok], j[ok]
-            found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1))
-            held += len(i)
-            if held > 1 << 21:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-            step += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        t, c, n = t[order], c[order], n[order]
+        near = np.flatnonzero((t[1:] == t[:-1]) & (n[:-1] * 100 >= threshold * n[1:]))
+        pairs = np.unique(np.stack([np.minimum(c[near], c[near + 1]), np.maximum(c[near], c[near + 1])], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
 
-def linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that link: partial overlaps of the vertical segments, summed per pair."""
-    left = segments.select(F.col("c").alias("a"), "segment", F.col("tokens").alias("left"))
-    right = segments.select(F.col("c").alias("b"), "segment", F.col("tokens").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "segment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("part"))
-    sums = partial.groupBy("a", "b").agg(F.sum("part").alias("both"))
-    sums = sums.join(sizes.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
-    return sums.where(F.expr(f"100 * both >= {threshold} * (na + nb - both)")).select("a", "b")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each of some sorted lists shares with each of others: partial overlaps of fragments, summed."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    ids, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(s)), s) for s in sizes])
+    cut_ = int(sizes[0].sum())
+    both = np.isin(np.arange(len(ids)), at[:cut_]) & np.isin(np.arange(len(ids)), at[cut_:])
+    place = np.cumsum(both) - 1
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for a, b in ((0, cut_), (cut_, len(at))):
+        use = both[at[a:b]]
+        p, o = place[at[a:b][use]], owner[a:b][use]
+        by = np.argsort(p, kind="stable")
+        sides.append((p[by], o[by]))
+    for lo in range(0, int(both.sum()), FRAGMENT):
+        m = []
+        for (p, o), n in zip(sides, (len(left), len(right)), strict=True):
+            i, j = np.searchsorted(p, [lo, lo + FRAGMENT])
+            own = np.zeros((n, FRAGMENT), dtype=np.float32)
+            own[o[i:j], p[i:j] - lo] = 1
+            m.append(own)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def tiled(threshold: int):
+    """Tiles of clusters (k, c, size, part, left, right, shared) -> a spanning forest of each tile's links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        k, c, n, part, one, two = (table.column(x).to_numpy().astype(np.int64) for x in ("k", "c", "size", "part", "left", "right"))
+        shared = table.column("shared").chunk(0) if table.column("shared").num_chunks else pa.array([], pa.list_(pa.int64()))
+        starts, tokens = shared.offsets.to_numpy(), shared.values.to_numpy()
+        found: list[tuple[int, int]] = []
+        order = np.argsort(k, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = order[a:b]
+            x, y = own[part[own] == one[own]], own[part[own] == two[own]]
+            if not len(x) or not len(y):
+                continue
+            lists = lambda rows: [tokens[starts[r] : starts[r + 1]] for r in rows.tolist()]
+            both = overlaps(lists(x), lists(y))
+            union = n[x][:, None] + n[y][None, :] - both
+            p, q = np.nonzero((100 * both >= threshold * union) & (c[x][:, None] != c[y][None, :]))
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (up := root.setdefault(v, v)) != v:  # noqa: B023
+                    root[v] = root.setdefault(up, up)  # noqa: B023
+                    v = up
+                return v
+
+            for u, v in zip(c[x][p].tolist(), c[y][q].tolist(), strict=True):
+                i, j = find(u), find(v)
+                if i != j:
+                    root[max(i, j)] = min(i, j)
+                    found.append((u, v))
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
@@ -295,23 +319,17 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5) ->
     homebound = first.where("kind = 1").unionByName(sizes)
     kept = cut(homebound.groupBy("home").applyInArrow(gather(threshold), "c long, size int, prefix int, shared array<long>"), "kept")
     drop(first)
-    prefixes = kept.select("c", "size", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("k", "t"), (F.col("size") - F.size("shared")).alias("alone"))
-    prefixes = prefixes.select("t", "c", "size", (F.col("alone") + F.col("k")).alias("at"), F.pmod(F.xxhash64("t"), F.lit(parts)).alias("fragment"))
-    segments = kept.select("c", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment"), "shared")
-    inside = F.filter("shared", lambda t: F.floor(F.shiftrightunsigned(t, 40) * SEGMENTS / parts) == F.col("segment"))
-    segments = segments.select("c", "segment", inside.alias("tokens")).where(F.size("tokens") > 0)
-    sizes = kept.select("c", "size")
-
-    def round_(near: int, comp: DataFrame | None) -> DataFrame:
-        rows = prefixes.withColumn("comp", F.lit(0).cast("long")) if comp is None else prefixes.join(comp.select(F.col("id").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        pairs = rows.select("fragment", "t", "c", "size", "at", "comp").groupBy("fragment").applyInArrow(candidates(threshold, near), "a long, b long").distinct()
-        return cut(linked(pairs, segments, sizes, threshold), "links")
-
-    near = round_(NEAR, None)
-    comp = cut(components(near), "comp")
-    rest = round_(0, comp)
-    if not rest.isEmpty():
-        comp = cut(components(near.unionByName(rest)), "comp")
+    prefixes = kept.select("c", "size", F.explode(F.slice("shared", 1, F.col("prefix"))).alias("t")).withColumn("fragment", F.pmod(F.xxhash64("t"), F.lit(parts)))
+    chains = prefixes.groupBy("fragment").applyInArrow(chained(threshold), "a long, b long")
+    clusters = cut(components(chains).select(F.col("id").alias("c"), F.col("comp").alias("k")), "clusters")
+    members_ = kept.join(clusters, "c").select("k", "c", "size", "shared")
+    weight = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.size("shared")) / TOKENS)).cast("int")
+    rows = members_.join(members_.groupBy("k").agg(weight.alias("parts")), "k").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
+    # small clusters share a group; each tile of a large one is its own
+    rows = rows.withColumn("bin", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("k"), F.lit(4 * parts))).otherwise(F.col("k")))
+    links = rows.groupBy("bin", "left", "right").applyInArrow(tiled(threshold), "a long, b long")
+    comp = cut(components(links), "comp")
     named = classes.select("c", "low").join(comp.withColumnRenamed("id", "c"), "c", "left").select("c", "low", F.coalesce("comp", "c").alias("comp"))
     least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(least, "comp").select(F.col("c").alias("__c"), "component_id")
