@@ -86,25 +86,21 @@ class CumulativeLink:
         return (tails[:, self.level(cut)] >= 0.5) & (n > 0)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-6) -> CumulativeLink:
-    """``rows``: (the features' indices, family by family, of one text; its grade). Full-batch Adam on the likelihood."""
-    grades = sorted({g for _, g in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-6) -> CumulativeLink:
+    """``rows``: (the distinct features' indices of one text, their mean numbers per word; its grade). Full-batch Adam on the likelihood."""
+    grades = sorted({g for *_, g in rows})
     if len(grades) < 2:
         return CumulativeLink(np.zeros(1 << BITS, np.float32), np.full(1, -40.0), [0, 1])
     rows = [r for r in rows if len(r[0])]
-    owner, index, value = [], [], []
-    for k, (x, _) in enumerate(rows):
-        i, n = np.unique(x, return_counts=True)
-        owner.append(np.full(len(i), k, np.int32))
-        index.append(i.astype(np.int32))
-        value.append((n * 3 / len(x)).astype(np.float32))
-    owner, index, value = np.concatenate(owner), np.concatenate(index), np.concatenate(value)
-    level = np.array([grades.index(g) for _, g in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    level = np.array([grades.index(g) for *_, g in rows])
     used, index = np.unique(index, return_inverse=True)
+    index = index.astype(np.int32)
     k = len(grades) - 1
     target = level[:, None] >= np.arange(1, k + 1)[None, :]
     rare = np.maximum(target.mean(axis=0), 1e-3)
-    w = np.zeros(len(used))
+    w = np.zeros(len(used), dtype=np.float32)
     first, gaps = -np.log(rare[0] / (1 - min(rare[0], 0.999))), np.full(k - 1, 1.0)
     state = [np.zeros(len(used) + k) for _ in range(2)]
     for t in range(1, rounds + 1):
@@ -135,14 +131,18 @@ def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in words.slices(batch, "text"):
             index, first = features(b.column("text"))
-            blobs = [index[:, x:y].astype("<i4").tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            blobs = []
+            for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                i, n = np.unique(index[:, x:y], return_counts=True)
+                blobs.append(i.astype("<i4").tobytes() + (n / max(y - x, 1)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 8000) -> CumulativeLink:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 6000) -> CumulativeLink:
     """Fit on at most ``rows`` labelled documents of ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``."""
     found = sample(docs, labels, label, rows).mapInArrow(indices, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
-    return fit([(np.frombuffer(x, "<i4"), g) for x, g in zip(found.column("x").to_pylist(), found.column("label").to_pylist(), strict=True)])
+    halves = [(np.frombuffer(x, "<i4", len(x) // 8), np.frombuffer(x, "<f4", len(x) // 8, len(x) // 2)) for x in found.column("x").to_pylist()]
+    return fit([(*h, g) for h, g in zip(halves, found.column("label").to_pylist(), strict=True)])
 
 
 def score(docs: DataFrame, model: CumulativeLink, cut: int = 1) -> DataFrame:

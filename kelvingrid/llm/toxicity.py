@@ -189,7 +189,7 @@ def mined(texts: list[bytes], label: np.ndarray, least: int, purity: float) -> n
     return bad[keep]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8000, where: Column | None = None, purity: float = 0.9) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 6000, where: Column | None = None, purity: float = 0.9) -> Model:
     """Fit on at most ``rows`` labelled documents for which ``where`` (over the labels' doc_id) holds."""
     chosen = sample(docs, labels, label, rows, where)
     part = chosen.mapInArrow(distinct, "label int, draw double, words binary, stems binary").toArrow()

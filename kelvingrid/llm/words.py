@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash is a
 polynomial of its bytes modulo 2**64 (prefix sums give it for any slice), finished by a mixer.
-Texts of any length are taken whole: buffers are cut only between words, a few MB at a time.
+Texts of any length are taken whole: buffers are cut only between words, half a MB at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -135,7 +135,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text, or one row."""
     column = batch.column(text)
     sizes = np.asarray(pc.binary_length(column.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
