@@ -9,8 +9,8 @@ All is fitted on one bounded sample (``rows``, chosen by a hash of the id). A ro
 the other folds gave, so that words which are toxic by chance don't mislead the trees; scores use the whole sample's lexicon. The
 calibration's rows are apart from the trees'. Only the text is an input of a score.
 
-Null text counts as empty; a text without words gets the score of an empty text. Without any labels every score is near 1/2
-and below it. Repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
+Null text counts as empty; a text without words gets the score of an empty text. Without any labels every score is the same,
+below 1/2. Repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ class Boosted:
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> Boosted:
     """Newton boosting for the logistic loss, splits found on histograms of the columns' quantiles."""
     n, m = x.shape
-    rate_of_ones = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
+    rate_of_ones = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
     model = Boosted(start=float(np.log(rate_of_ones / (1 - rate_of_ones))))
     if not n or y.min() == y.max():
         return model
