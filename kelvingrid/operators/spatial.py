@@ -73,20 +73,23 @@ def within(points: DataFrame, others: DataFrame, radius: float, size: float | No
     return pairs.withColumn("distance", g.distance(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))).where(F.col("distance") <= radius)
 
 
-def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str, size: float, rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str, size: float | None = None, rounds: int = 24) -> DataFrame:
     """The k segments nearest to each point, ties by ``other``: (key, r_other, distance, rank), exact.
 
     Within a radius all segments are found by the cell join. A point is done once its k-th distance is within the radius;
-    the rest go on with a doubled radius, until it spans everything there is.
+    the rest go on with a doubled radius, until it spans everything there is. The first radius is ``size``, or what holds
+    about 2k segments at their mean density.
     """
     points = point_boxes(points.select(key, "x", "y"))
     segments = segment_boxes(segments.select(other, *SEGMENT))
-    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), segments.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
+    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), segments.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y"), F.count(F.lit(1)), F.avg(F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y"))).first()
     if span[0][0] is None or span[1][0] is None:
         return points.limit(0).select(key, F.lit(None).cast("long").alias(f"r_{other}"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     far = max(max(s[1] for s in span) - min(s[0] for s in span), max(s[3] for s in span) - min(s[2] for s in span)) * 1.5 + 1
     best = Window.partitionBy(key).orderBy("distance", f"r_{other}")
-    done, radius = None, size
+    box = span[1]
+    radius = size or max(1e-6, (2 * k * (box[1] - box[0] + 1) * (box[3] - box[2] + 1) / box[4] / 3.14) ** 0.5 + box[5] / 4)
+    done = None
     for _ in range(rounds):
         pairs = overlap_join(points, segments, radius, radius)
         pairs = pairs.withColumn("distance", g.point_segment(F.col("x"), F.col("y"), *_segment("r_")))

@@ -126,7 +126,7 @@ def clearance_join(spark, sf):
 @query(f"WITH {T}, {PIPES}, d AS (SELECT t.id, l.id AS pipe, {TDIST} AS d FROM t, l), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, pipe) AS rank FROM d) SELECT id, pipe, round(d, 6) AS distance, rank FROM k WHERE rank <= 3")
 def nearest_pipe_knn(spark, sf):
     """The three nearest pipes."""
-    return spatial.nearest(terminals(spark, sf), pipes(spark, sf), 3, "id", "id", 400.0).select("id", F.col("r_id").alias("pipe"), r6(F.col("distance")).alias("distance"), "rank")
+    return spatial.nearest(terminals(spark, sf), pipes(spark, sf), 3, "id", "id").select("id", F.col("r_id").alias("pipe"), r6(F.col("distance")).alias("distance"), "rank")
 
 
 @query(f"WITH {T}, c AS (SELECT id, ((id * 7919 + 3) % 10007)::DOUBLE AS x, ((id * 104729 + 4) % 10009)::DOUBLE AS y, id % 5 AS degree FROM t), p AS (SELECT t.id, c.id AS chamber, row_number() OVER (PARTITION BY t.id ORDER BY sqrt((t.x - c.x) ^ 2 + (t.y - c.y) ^ 2), c.id) AS k FROM t JOIN c ON degree <= 3 AND abs(t.x - c.x) <= 11 AND sqrt((t.x - c.x) ^ 2 + (t.y - c.y) ^ 2) <= 10.000001) SELECT t.id, p.chamber FROM t LEFT JOIN p ON p.id = t.id AND k = 1")
