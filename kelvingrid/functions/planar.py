@@ -40,9 +40,15 @@ def segment_distances(a: np.ndarray, b: np.ndarray, segments: np.ndarray) -> np.
     """Distances of a-b from segments."""
     if not len(segments):
         return np.zeros(0)
-    own = np.array([[*a, *b]])
     ends = np.minimum(point_segments(a, segments), point_segments(b, segments))
-    back = np.array([min(point_segments(s[:2], own)[0], point_segments(s[2:], own)[0]) for s in segments])
+    d = b - a
+    size = max(float((d * d).sum()), 1e-300)
+
+    def to_own(p: np.ndarray) -> np.ndarray:
+        t = np.clip((p - a) @ d / size, 0, 1)
+        return hypot(a + t[:, None] * d - p)
+
+    back = np.minimum(to_own(segments[:, :2]), to_own(segments[:, 2:]))
     return np.where(meets(a, b, segments), 0.0, np.minimum(ends, back))
 
 

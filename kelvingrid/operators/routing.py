@@ -89,8 +89,16 @@ class Router:
 
     def __init__(self, obstacles: list[Obstacle]):
         self.obstacles = obstacles
+        self.boxes = np.array([[*np.minimum(o.segments[:, :2], o.segments[:, 2:]).min(axis=0), *np.maximum(o.segments[:, :2], o.segments[:, 2:]).max(axis=0)] for o in obstacles if len(o.segments)]).reshape(-1, 4)
+        self.obstacles = [o for o in obstacles if len(o.segments)]
         self.graphs: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, float]]]]] = {}
 
+    def near(self, a: np.ndarray, b: np.ndarray, reach: float = 12.0) -> list[Obstacle]:
+        """Obstacles whose boxes are within ``reach`` of a segment's; no clearance is larger."""
+        low, high = np.minimum(a, b) - reach, np.maximum(a, b) + reach
+        v = self.boxes
+        return [self.obstacles[k] for k in np.flatnonzero((v[:, 2] >= low[0]) & (v[:, 0] <= high[0]) & (v[:, 3] >= low[1]) & (v[:, 1] <= high[1])).tolist()]
+
     def nodes(self, dn: int) -> np.ndarray:
         """Mitred corners around what must be gone round, sampled by angle and radius if there are too many."""
         found = []
@@ -118,7 +126,7 @@ class Router:
             if tries.get(s, 0) >= TRIES or kept.get(s, 0) >= LINKS:
                 continue
             tries[s] = tries.get(s, 0) + 1
-            ok, factor, _ = assess(p, others[k], dn, self.obstacles)
+            ok, factor, _ = assess(p, others[k], dn, self.near(p, others[k]))
             if ok:
                 kept[s] = kept.get(s, 0) + 1
                 out.append((k, float(gap[k] * factor)))
@@ -136,7 +144,7 @@ class Router:
 
     def route(self, start: np.ndarray, goal: np.ndarray, dn: int) -> tuple[np.ndarray, float] | None:
         """(path, cost in metres) or None: straight if legal, else by the graph."""
-        ok, factor, _ = assess(start, goal, dn, self.obstacles)
+        ok, factor, _ = assess(start, goal, dn, self.near(start, goal))
         if ok:
             return np.array([start, goal]), float(planar.hypot(goal - start) * factor)
         p, static = self.graph(max(200, dn))
@@ -210,7 +218,7 @@ class Router:
         while k < len(path) - 1:
             before = out[-1] - out[-2] if len(out) > 1 else None
             leg = path[k + 1] - out[-1]
-            if not (assess(out[-1], path[k + 1], dn, self.obstacles)[0] and (before is None or (before * leg).sum() >= -1e-7)):
+            if not (assess(out[-1], path[k + 1], dn, self.near(out[-1], path[k + 1]))[0] and (before is None or (before * leg).sum() >= -1e-7)):
                 out.append(path[k])
             k += 1
         return np.array([*out, path[-1]])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import candidates, costs, diversity, graph, intervals, spatial
+from kelvingrid.operators import candidates, costs, diversity, graph, intervals, spatial, treedp
 from kelvingrid.plans import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,11 +103,11 @@ def terminal_flow_join(spark, sf):
     return own.join(building, "oks_id", "left").select("id", "oks_id", F.coalesce("flow", "own", F.lit(0.0)).alias("flow"))
 
 
-@query(f"WITH {T}, {BOX}, w AS (SELECT min(x) - 500 AS x0, max(x) + 500 AS x1, min(y) - 500 AS y0, max(y) + 500 AS y1 FROM t WHERE id < 5) SELECT b.id FROM b, w WHERE max_x >= x0 AND min_x <= x1 AND max_y >= y0 AND min_y <= y1")
+@query(f"WITH {T}, {BOX}, w AS (SELECT min(x) + 3000 AS x0, max(x) - 3000 AS x1, min(y) + 3000 AS y0, max(y) - 3000 AS y1 FROM t) SELECT b.id FROM b, w WHERE max_x >= x0 AND min_x <= x1 AND max_y >= y0 AND min_y <= y1")
 def bbox_working_window(spark, sf):
-    """Restrictions in the window of the terminals, widened."""
-    w = terminals(spark, sf).where("id < 5").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    return spatial.window(boxes(spark, sf), w[0] - 500, w[1] - 500, w[2] + 500, w[3] + 500).select("id")
+    """Restrictions in a window about the terminals."""
+    w = terminals(spark, sf).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return spatial.window(boxes(spark, sf), w[0] + 3000, w[1] + 3000, w[2] - 3000, w[3] - 3000).select("id")
 
 
 @query(f"WITH {PIPES}, {BOX} SELECT l.id AS pipe, b.id AS box FROM l JOIN b ON least(ax, bx) <= max_x AND greatest(ax, bx) >= min_x AND least(ay, by) <= max_y AND greatest(ay, by) >= min_y")
@@ -344,3 +344,50 @@ def variant_rank(spark, sf):
     """Variants by score."""
     p = _t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("plan")).agg(F.round(F.sum("c_acctbal"), 2).alias("score")).withColumn("mode", F.when(F.col("plan") % 2 == 0, "DEPTH").otherwise("TWO_D"))
     return diversity.ranked_variants(p, "mode").select("plan", "mode", "rank", "variant_id")
+
+
+@query()
+def tree_dp_topk(spark, sf):
+    """The eight cheapest assignments of each tree."""
+    n = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("plan"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(7).cast("long"))).alias("child"))
+    picks = lambda: F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rows = n.withColumn("parent", F.expr("child div 2")).withColumn("i", picks()).withColumn("j", picks())
+    return treedp.top_assignments(rows.select("plan", "parent", "child", "i", "j", F.expr("double((plan * 31 + child * 17 + i * 7 + j * 13) % 97)").alias("cost")), 8)
+
+
+@query()
+def reconcile_depths(spark, sf):
+    """D3: conflicting depth demands of each path, settled."""
+    d = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("edge"), F.expr("2 * double(l_quantity)").alias("low"), F.expr("2 * double(l_quantity) + 4").alias("high"), F.expr("if(l_linenumber % 2 = 0, 4.0D, 2.0D)").alias("depth"), F.lit(4.0).alias("below"))
+    return intervals.reconciled(d)
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, o_custkey % 3 AS plan, o_totalprice AS cost, o_totalprice / 7 AS length FROM orders), s AS (SELECT plan, sum(cost) + CASE WHEN plan = 1 THEN 5 ELSE 0 END AS c FROM o GROUP BY 1) SELECT s.plan, round(s.c - t.c, 2) AS off FROM s JOIN (SELECT plan, sum(cost) AS c FROM o GROUP BY 1) t USING (plan) WHERE abs(s.c - t.c) > 0.1")
+def totals_mismatch(spark, sf):
+    """V5, V6: stated totals that differ from the sums of objects."""
+    o = _t(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("plan"), F.col("o_totalprice").alias("cost"))
+    sums = o.groupBy("plan").agg(F.sum("cost").alias("c"))
+    stated = sums.select("plan", (F.col("c") + F.when(F.col("plan") == 1, 5).otherwise(0)).alias("s"))
+    return stated.join(sums, "plan").where("abs(s - c) > 0.1").select("plan", F.round(F.col("s") - F.col("c"), 2).alias("off"))
+
+
+@query(f"WITH RECURSIVE {TREE}, c AS (SELECT id AS leaf, id AS edge, parent, 0 AS depth FROM n WHERE parent > 0 AND id NOT IN (SELECT parent FROM n) UNION ALL SELECT c.leaf, n.id, n.parent, c.depth + 1 FROM c JOIN n ON n.id = c.parent WHERE n.parent > 0) SELECT leaf, edge, depth FROM c")
+def leaf_root_paths(spark, sf):
+    """A2: each leaf's edges up to the root."""
+    return graph.root_paths(tree(spark, sf)[0]).select("leaf", "edge", F.col("at").alias("depth"))
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 10 >= 7 AND (s_suppkey // 10) * 10 + 9 <= (SELECT max(s_suppkey) FROM supplier)")
+def cycle_check(spark, sf):
+    """Ids on a cycle or below one: of each ten the last three form a ring."""
+    s = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("child"))
+    top = s.agg(F.max("child")).first()[0]
+    ring = F.expr("case when child % 10 < 7 then -1 - child when child % 10 = 7 then child + 2 else child - 1 end")
+    return graph.cyclic(s.where((F.expr("child div 10") * 10 + 9) <= top).select(ring.alias("parent"), "child"))
+
+
+@query(f"WITH RECURSIVE {PIPES}, e AS (SELECT id AS b, id // 2 AS a, 1 + (id % 7)::DOUBLE AS w FROM l WHERE id > 0), r AS (SELECT 0::BIGINT AS id, 0::DOUBLE AS d UNION ALL SELECT e.b, r.d + e.w FROM r JOIN e ON e.a = r.id AND e.b <> e.a) SELECT id, min(d) AS distance FROM r GROUP BY 1")
+def shortest_from_source(spark, sf):
+    """Least distances from the source over the network."""
+    e = pipes(spark, sf).where("id > 0").select(F.expr("id div 2").alias("a"), F.col("id").alias("b"), F.expr("1 + double(id % 7)").alias("length"))
+    return graph.shortest(e, spark.range(1).select("id")).select("id", "distance")
