@@ -77,7 +77,7 @@ def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str
     """The k segments nearest to each point, ties by ``other``: (key, r_other, distance, rank), exact.
 
     Within a radius all segments are found by the cell join. A point is done once its k-th distance is within the radius;
-    the rest go on with a doubled radius, until it spans everything there is. The first radius is ``size``, or what holds
+    the rest go on with a radius three times as large, until it spans everything there is. The first radius is ``size``, or what holds
     about 2k segments at their mean density.
     """
     points = point_boxes(points.select(key, "x", "y"))
@@ -104,7 +104,7 @@ def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str
         points = points.join(full.select(key).distinct(), key, "left_anti")
         if points.isEmpty():
             break
-        radius = min(radius * 2, far)
+        radius = min(radius * 3, far)
     return done
 
 
