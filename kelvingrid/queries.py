@@ -339,6 +339,18 @@ def degree_violations(spark, sf):
     return e.select(F.explode(F.array("parent", "child")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).where("degree > 4")
 
 
+@query("WITH n AS (SELECT count(*) AS n FROM supplier), k AS (SELECT p_partkey, unnest(range(0, p_size % 7)) AS k FROM part), e AS (SELECT s_suppkey AS parent, -1 - p_partkey AS child FROM k, n JOIN supplier ON s_suppkey % n.n = (p_partkey * 7 + k.k) % n.n), d AS (SELECT node, count(*) AS degree FROM (SELECT parent AS node FROM e UNION ALL SELECT child FROM e) GROUP BY 1) SELECT node, degree FROM d WHERE degree > 4")
+def degree_violations_all(spark, sf):
+    """V2, A10 over all of part and supplier: a part has p_size % 7 edges, to suppliers in a row, so edges grow with the parts."""
+    s = _t(spark, sf, "supplier")
+    n = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))
+    p = _t(spark, sf, "part").select("p_partkey", F.expr("p_size % 7").alias("many")).where("many > 0")
+    p = p.select("p_partkey", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)).alias("k"))
+    p = p.crossJoin(n).select("p_partkey", F.expr("(p_partkey * 7 + k) % n").alias("m"))
+    e = s.crossJoin(n).select("s_suppkey", F.expr("s_suppkey % n").alias("m")).join(p, "m").select(F.col("s_suppkey").alias("parent"), (-1 - F.col("p_partkey")).alias("child"))
+    return e.select(F.explode(F.array("parent", "child")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).where("degree > 4")
+
+
 @query("WITH p AS (SELECT c_nationkey AS plan, CASE WHEN c_nationkey % 2 = 0 THEN 'DEPTH' ELSE 'TWO_D' END AS mode, round(sum(c_acctbal), 2) AS score FROM customer GROUP BY 1) SELECT plan, mode, row_number() OVER w AS rank, CASE WHEN mode = 'DEPTH' THEN '3d_' ELSE '2d_' END || row_number() OVER w AS variant_id FROM p WINDOW w AS (PARTITION BY mode ORDER BY score, plan)")
 def variant_rank(spark, sf):
     """Variants by score."""
