@@ -108,6 +108,18 @@ def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str
     return done
 
 
+def neighbours(points: DataFrame, k: int = 64, key: str = "id") -> DataFrame:
+    """The k other points nearest to each of ``points(key, x, y)``, ties by ``key``: (key, r_key, distance, rank, dx, dy), exact."""
+    at = points.select(key, "x", "y")
+    same = at.select(key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    other = f"r_{key}"
+    found = nearest(at, same, k + 1, key, key).where(F.col(key) != F.col(other))  # of k + 1 with the point itself at least k are others
+    best = Window.partitionBy(key).orderBy("distance", other)
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    to = at.select(F.col(key).alias(other), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    return found.join(at, key).join(to, other).select(key, other, "distance", "rank", (F.col("__x") - F.col("x")).alias("dx"), (F.col("__y") - F.col("y")).alias("dy"))
+
+
 def sectors(pairs: DataFrame, key: str, per: int = 6, n: int = 16, legal: Column | None = None, keep: int | None = None) -> DataFrame:
     """Of each point's neighbours (dx, dy, distance, r_id) in each of n sectors the ``per`` nearest; of those that are ``legal`` the first ``keep``.
 

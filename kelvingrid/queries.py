@@ -158,6 +158,22 @@ def sector_topk(spark, sf):
     return spatial.sectors(d, "id", 6, 16, F.col("r_id") % 3 != 0, 2).select("id", F.col("r_id").alias("other"), "sector", F.col("try").alias("attempt"))
 
 
+NEAR = "p AS (SELECT a.id, unnest(min(struct_pack(q := (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2, other := b.id, dx := b.x - a.x, dy := b.y - a.y), 64), recursive := true) FROM t a JOIN t b ON a.id <> b.id GROUP BY a.id)"
+
+
+@query(f"WITH {T}, {NEAR} SELECT id, other, round(sqrt(q), 6) AS distance, row_number() OVER (PARTITION BY id ORDER BY q, other) AS rank FROM p")
+def nearest_node_knn(spark, sf):
+    """The 64 nearest nodes of each node."""
+    return spatial.neighbours(terminals(spark, sf), 64).select("id", F.col("r_id").alias("other"), r6(F.col("distance")).alias("distance"), "rank")
+
+
+@query(f"WITH {T}, {NEAR}, s AS (SELECT *, {SECTOR} AS sector, row_number() OVER (PARTITION BY id, {SECTOR} ORDER BY q, other) AS k FROM p), l AS (SELECT *, row_number() OVER (PARTITION BY id, sector ORDER BY k) AS j FROM s WHERE k <= 6 AND other % 3 <> 0) SELECT id, other, sector, k AS attempt FROM l WHERE j <= 2")
+def sector_knn_topk(spark, sf):
+    """W3, W4 over the 64 nearest nodes: of 16 sectors the first six tries, of them the first two legal ones."""
+    d = spatial.neighbours(terminals(spark, sf), 64)
+    return spatial.sectors(d, "id", 6, 16, F.col("r_id") % 3 != 0, 2).select("id", F.col("r_id").alias("other"), "sector", F.col("try").alias("attempt"))
+
+
 @query(f"WITH {T}, m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM t), a AS (SELECT id, n, row_number() OVER (ORDER BY round(atan2(y - my, x - mx), 9), round(sqrt((x - mx) ^ 2 + (y - my) ^ 2), 6), id) - 1 AS k FROM t, m) SELECT id FROM a WHERE n <= 64 OR floor(k * 64 / n) <> floor((k - 1) * 64 / n)")
 def radial_sample(spark, sf):
     """Evenly spaced nodes by angle and radius."""
