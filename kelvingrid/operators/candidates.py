@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
+from kelvingrid.plans.shared import materialise
 
 from .spatial import SEGMENT, overlap_join, point_boxes, segment_boxes, within
 
@@ -62,6 +63,63 @@ def ranked_ties(terminals: DataFrame, ties: DataFrame, limit: int, reach: float)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "r_id"))).where(F.col("rank") <= limit).drop("__k")
 
 
+def tie_points(chambers: DataFrame, pipes: DataFrame) -> DataFrame:
+    """Candidates that are the same for all terminals: (id, chamber, chainage, x, y, dn).
+
+    Every chamber; every pipe's far end; its samples, but where a free chamber is within 10 m that chamber stands for the sample.
+    """
+    s = samples(pipes.select("id", *SEGMENT, "dn"))
+    last = Window.partitionBy("id")
+    s = s.withColumn("last", F.col("chainage") == F.max("chainage").over(last)).withColumn("id", F.struct("id", "chainage"))
+    s = canonical(s, chambers).where(F.col("chamber").isNull() | F.col("last"))
+    s = s.select("id.id", F.lit(False).alias("chamber"), "id.chainage", "x", "y", "dn")
+    return chambers.select("id", F.lit(True).alias("chamber"), F.lit(-1.0).alias("chainage"), "x", "y", "dn").unionByName(s)
+
+
+def best_ties(terminals: DataFrame, chambers: DataFrame, pipes: DataFrame, limit: int = 8, rounds: int = 24) -> DataFrame:
+    """The ``limit`` candidates of least score of each terminal over the whole network, exact: (id, tie, chamber, chainage, x, y, score, rank).
+
+    ``terminals(id, x, y, flow)``, ``chambers(id, x, y, dn, degree)``, ``pipes(id, ax, ay, bx, by, dn)``. Candidates are the tie points and each
+    pipe's point nearest to the terminal; of those of one chamber or pipe in one decimetre the best stays. No candidate beyond a radius
+    scores less than the radius - 5, so a terminal whose last score is under that is done, and the rest go on with a radius three times as large.
+    """
+    points = materialise(tie_points(chambers, pipes))
+    left = terminals.select("id", "x", "y", "flow")
+    lines = segment_boxes(pipes.select("id", *SEGMENT, "dn"))
+    ends = F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))
+    span = left.agg(*ends).first(), points.agg(*ends).first()
+    if not span[0][4] or not span[1][4]:
+        return left.limit(0).select("id", F.lit(None).cast(points.schema["id"].dataType).alias("tie"), F.lit(False).alias("chamber"), *[F.lit(0.0).alias(c) for c in ("chainage", "x", "y", "score")], F.lit(0).alias("rank"))
+    wide = max(max(s[1] for s in span) - min(s[0] for s in span), max(s[3] for s in span) - min(s[2] for s in span))
+    far = wide * 1.5 + 1
+    radius = min(far, (6 * limit * (wide + 1) ** 2 / span[1][4] / 3.14) ** 0.5 + 10)
+    columns = ["id", "flow", "tie", "chamber", "chainage", "px", "py", "dn", "distance"]
+    best = Window.partitionBy("id").orderBy("score", "chamber", "tie", "chainage")
+    cell = [g.half_up(F.col("px") * 10), g.half_up(F.col("py") * 10)]
+    each = Window.partitionBy("id", "tie", "chamber", *cell).orderBy("score", "chainage")
+    done = None
+    for _ in range(rounds):
+        a = within(left, points, radius).select("id", "flow", F.col("r_id").alias("tie"), F.col("r_chamber").alias("chamber"), F.col("r_chainage").alias("chainage"), F.col("r_x").alias("px"), F.col("r_y").alias("py"), F.col("r_dn").alias("dn"), "distance")
+        b = overlap_join(point_boxes(left), lines, radius, radius)
+        seg = [F.col(f"r_{c}") for c in SEGMENT]
+        b = b.withColumn("t", g.along(F.col("x"), F.col("y"), *seg)).withColumns({"px": seg[0] + F.col("t") * (seg[2] - seg[0]), "py": seg[1] + F.col("t") * (seg[3] - seg[1])})
+        b = b.withColumns({"tie": F.col("r_id"), "chamber": F.lit(False), "chainage": F.col("t") * g.distance(*seg), "dn": F.col("r_dn"), "distance": g.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))}).where(F.col("distance") <= radius)
+        pairs = a.select(*columns).unionByName(b.select(*columns))
+        pairs = pairs.withColumn("score", tie_score(F.col("distance"), F.col("flow"), F.col("dn"), F.col("chamber"), jitter(F.col("id"), F.col("tie"))))
+        first = pairs.withColumn("__k", F.row_number().over(each)).where("__k = 1")
+        ranked = materialise(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("id", "tie", "chamber", "chainage", F.col("px").alias("x"), F.col("py").alias("y"), "score", "rank"))
+        last = radius >= far
+        full = ranked if last else ranked.join(ranked.where((F.col("rank") == limit) & (F.col("score") < radius - 5)).select("id"), "id", "left_semi")
+        done = full if done is None else done.unionByName(full)
+        if last:
+            break
+        left = left.join(full.select("id").distinct(), "id", "left_anti")
+        if left.isEmpty():
+            break
+        radius = min(radius * 3, far)
+    return done
+
+
 def attachments(terminal: DataFrame, ties: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Everything that a terminal can be attached to: ties, plan nodes with fewer than 4 edges, and points of plan edges.
 

@@ -147,6 +147,23 @@ def tie_candidates_topk(spark, sf):
     return candidates.ranked_ties(terminals(spark, sf), s, 8, 1500.0).select("id", F.col("r_id").alias("tie"), r6(F.col("score")).alias("score"), "rank")
 
 
+@query(f"""WITH {T}, {DN}, {PIPES}, s AS (SELECT l.*, (SELECT min(dn) FROM dn WHERE cap + 1e-9 >= (id * 37) % 400 + 0.5) AS dn, sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) AS length FROM l),
+h AS (SELECT id, ax + 4 AS x, ay + 3 AS y, dn, id % 5 AS degree FROM s WHERE id % 2 = 0), v AS (SELECT *, unnest(list_distinct(list_append([g * 24.0::DOUBLE for g in range(0, floor(length / 24)::BIGINT + 1)], length))) AS chainage FROM s),
+u AS (SELECT *, ax + chainage / length * (bx - ax) AS x, ay + chainage / length * (by - ay) AS y FROM v),
+q AS (SELECT id AS tie, true AS chamber, -1::DOUBLE AS chainage, x, y, dn FROM h UNION ALL SELECT id, false, chainage, x, y, dn FROM u WHERE chainage = length OR NOT EXISTS (SELECT 1 FROM h WHERE degree <= 3 AND abs(h.x - u.x) <= 11 AND sqrt((h.x - u.x) ^ 2 + (h.y - u.y) ^ 2) <= 10.000001)),
+j AS (SELECT t.id, t.x AS tx, t.y AS ty, flow, l.id AS tie, l.dn, {TPOS} AS pos, l.ax, l.ay, l.bx, l.by, l.length FROM t, s l),
+c AS (SELECT t.id, t.flow, q.tie, q.chamber, q.chainage, q.x, q.y, q.dn, sqrt((t.x - q.x) ^ 2 + (t.y - q.y) ^ 2) AS distance FROM t, q UNION ALL SELECT id, flow, tie, false, pos * length, ax + pos * (bx - ax), ay + pos * (by - ay), dn, sqrt((tx - ax - pos * (bx - ax)) ^ 2 + (ty - ay - pos * (by - ay)) ^ 2) FROM j),
+p AS (SELECT id, tie, chamber, chainage, x, y, distance + greatest(0, flow - cap) * (25000 / 107142.86::DOUBLE) - CASE WHEN chamber THEN 5 ELSE 0 END + ((id * 7919 + tie * 104729 + 17) % 10007) * 2.0::DOUBLE / 10007 AS score FROM c JOIN dn USING (dn)),
+m AS (SELECT id, unnest(min(struct_pack(score := score, chamber := chamber, tie := tie, chainage := chainage, x := x, y := y), 32), recursive := true) FROM p GROUP BY id),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, tie, chamber, floor(x * 10 + 0.5), floor(y * 10 + 0.5) ORDER BY score, chainage) AS j FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, chamber, tie, chainage) AS rank FROM f WHERE j = 1)
+SELECT id, tie, chamber, round(chainage, 3) AS chainage, round(score, 6) AS score, rank FROM k WHERE rank <= 8""")
+def tie_candidates_all(spark, sf):
+    """J11, W1, W2 over the whole network, without a radius: chambers, projections, far ends and samples of every pipe."""
+    p = pipes(spark, sf)
+    h = p.where("id % 2 = 0").select("id", (F.col("ax") + 4).alias("x"), (F.col("ay") + 3).alias("y"), "dn", (F.col("id") % 5).alias("degree"))
+    return candidates.best_ties(terminals(spark, sf), h, p, 8).select("id", "tie", "chamber", F.round("chainage", 3).alias("chainage"), r6(F.col("score")).alias("score"), "rank")
+
+
 SECTOR = "least(15, floor((atan2(dy, dx) + pi()) / (2 * pi()) * 16)::INT)"
 
 
