@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,11 @@ class Engine:
         plans = rows.groupBy("plan").agg(F.first("score").alias("score"), F.first("cost").alias("cost"), F.first("length").alias("length"), F.first("unconnected").alias("unconnected"), F.first("policy").alias("policy"))
         nodes = rows.select("plan", "node", "kind", "x", "y", "oks_id", "existing_id", "existing_type")
         edges = rows.where("parent is not null").select("plan", "parent", F.col("node").alias("child"), "path", "metres", "flow", "dn")
-        broken = materialise(validation.geometry(nodes, edges).unionByName(validation.topology(nodes, edges, s["terminals"], s["chambers"])))
+        size = g.path_length(F.col("path"))
+        sized = edges.select("plan", "parent", "child", "dn", size.alias("length"), F.coalesce(F.col("metres") / F.nullif(size, F.lit(0.0)), F.lit(1.0)).alias("special"))
+        demand = nodes.join(s["terminals"].select("oks_id", "flow"), "oks_id", "left").select("plan", F.col("node").alias("id"), F.coalesce("flow", F.lit(0.0)).alias("demand"))
+        checks = [validation.geometry(nodes, edges), validation.topology(nodes, edges, s["terminals"], s["chambers"]), validation.sizes(sized, demand), validation.scores(plans, plans, nodes, sized, s["terminals"])]
+        broken = materialise(reduce(DataFrame.unionByName, checks))
         valid = diversity.best_coverage(plans.join(broken.select("plan"), "plan", "left_anti").withColumn("all", F.lit(0)), ["all"]).drop("all")
         segments = edges.select("plan", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("p"), F.slice("path", F.lit(2), F.size("path") - 1).alias("q"))).alias("k", "s")).select("plan", F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"))
         parts = {
