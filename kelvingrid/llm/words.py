@@ -1,24 +1,22 @@
 """Vectorised word and shingle hashes of whole texts, by numpy over Arrow buffers.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash is a
-polynomial of its bytes modulo 2**64 (prefix sums give it for any slice), finished by a mixer.
-Texts of any length are taken whole: buffers are cut only between words, half a MB at a time.
+Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash is a chain of a mixer over its bytes,
+eight at a time, so that no sum of bytes or of their places decides it. A hash is a name, not a proof: who hands one word's
+result to another compares their bytes with ``same_bytes``. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-PIECE = 1 << 19
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-STEPS = tuple(U(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+SHORT = 64
+LANES = (0x2545F4914F6CDD1D, 0x8BB84B93962EACC9)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,20 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _grown(n: int) -> int:
-    return 1 << max(20, (n - 1).bit_length())
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(base: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return series(BASE), series(INVERSE)
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and where each row starts and the last ends."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,33 +54,46 @@ def lower(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)) * np.uint8(32))
 
 
-class Prefixes:
-    """Hashes of any slices of some bytes, from the prefix sums of their polynomial."""
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number; zeros follow its end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(_grown(len(data) + 1))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + U(1)) * power[: len(data)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of words whose bytes are about PIECE long together."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; ``data`` is lower-cased already where case is not to count.
+
+    Words of up to ``SHORT`` bytes go through the mixer eight bytes at a time; longer ones get their xxh3. Lanes are independent.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + U(LANES[lane]))
+    eight = loads(data)
+    own = np.flatnonzero((size > 0) & (size <= SHORT))
     at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
-        yield at, to
-        at = to
+    while len(own):
+        left = np.minimum(size[own] - at, 8)
+        out[own] = mix((out[own] ^ (eight[starts[own] + at] & MASKS[left])) * U(0x9E3779B97F4A7C15) + U(LANES[lane]))
+        at += 8
+        own = own[size[own] > at]
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), LANES[lane])
+    return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; ``data`` is lower-cased already where case is not to count."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    for a, b in pieces(data, starts, ends):
-        lo = starts[a]
-        out[a:b] = Prefixes(data[lo : ends[b - 1]]).of(starts[a:b] - lo, ends[a:b] - lo)
+def same_bytes(one: np.ndarray, at: np.ndarray, two: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``one`` from ``at`` on equal those of ``two`` from ``to`` on, pair by pair."""
+    a, b = loads(one), loads(two)
+    out = np.ones(len(at), dtype=bool)
+    own, k = np.flatnonzero(size > 0), 0
+    while len(own):
+        mask = MASKS[np.minimum(size[own] - k, 8)]
+        out[own] = (a[at[own] + k] & mask) == (b[to[own] + k] & mask)
+        k += 8
+        own = own[out[own] & (size[own] > k)]
     return out
 
 
@@ -111,13 +108,14 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its runs of ``width`` words; shorter rows are one run."""
     n = len(hashes)
-    out = []
     full = np.zeros(0, np.uint64)
     if n >= width:
         full = np.zeros(n - width + 1, dtype=np.uint64)
         for k in range(width):
-            full += hashes[k : n - width + 1 + k] * (STEPS[k % 5] + U(2 * (k // 5)))
+            full = full * U(0x9FB21C651E98DF25) + hashes[k : n - width + 1 + k]
+            full ^= full >> U(29)
         full = mix(full)
+    out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
             own = np.sort(full[a : b - width + 1])
@@ -125,11 +123,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.n
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             out.append(own[keep])
         elif b > a:
-            own = U(b - a) * U(0x165667B19E3779F9)
-            with np.errstate(over="ignore"):
-                for k in range(a, b):
-                    own = own + hashes[k] * (STEPS[(k - a) % 5] + U(7))
-            out.append(mix(np.array([own], dtype=np.uint64)))
+            own = np.full(1, (b - a) * 0x165667B19E3779F9 & (1 << 64) - 1, dtype=np.uint64)
+            for k in range(a, b):
+                own = mix((own ^ hashes[k : k + 1]) * U(0x9FB21C651E98DF25))
+            out.append(own)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -94,12 +94,13 @@ def brute_links(rows, cosine):
                     root = [new if r == old else r for r in root]
     low = {}
     for r, row in zip(root, rows):
-        low[r] = min(low.get(r, row[0]), row[0])
-    return {row[0]: (k, low[r]) for row, k, r in zip(rows, n, root)}
+        if row[0] is not None:
+            low[r] = min(low.get(r, row[0]), row[0])
+    return Counter((row[0], k, low.get(r)) for row, k, r in zip(rows, n, root))
 
 
-@pytest.mark.parametrize("tile", [2048, 7])
-def test_op2_links_equal_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "whole"), [(2048, 1 << 15), (7, 1 << 15), (2048, 4), (7, 60)])
+def test_op2_links_equal_brute_force(spark, tile, whole):
     r = np.random.default_rng(3)
     rows = []
     for k in range(40):
@@ -109,13 +110,40 @@ def test_op2_links_equal_brute_force(spark, tile):
     hub = r.normal(size=16).astype(np.float32)
     rows += [(1000 + k, (hub * (k % 5 + 1)).tolist(), 1) for k in range(25)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [None] * 16, 1), (2004, [], 1), (2005, [1.0, 2.0], 1), (2006, [2.0, 4.0], 1), (2007, [float("inf")] * 16, 1)]
+    rows += [(1003, (hub * 2).tolist(), 1), (1003, r.normal(size=16).astype(np.float32).tolist(), 1), (None, hub.tolist(), 1), (None, r.normal(size=16).astype(np.float32).tolist(), 2)]  # repeated and null ids
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("key", F.lit("clash")).repartition(3)
-    got = embedding_dedup.near_duplicates(df, tile=tile).collect()
-    assert {x.vec_id: (x.n_links, x.component_id) for x in got} == brute_links(rows, 0.98)
-    assert len(got) == len(rows) and all(x.kept == (x.vec_id == x.component_id) for x in got)
+    got = embedding_dedup.near_duplicates(df, tile=tile, whole=whole).collect()
+    assert Counter((x.vec_id, x.n_links, x.component_id) for x in got) == brute_links(rows, 0.98)
+    assert all(x.kept == (x.vec_id == x.component_id) for x in got)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op2_compares_few_pairs_and_loses_none():
+    r = np.random.default_rng(1)
+    x = embedding_dedup.normalised(np.concatenate([r.normal(size=(600, 64)), np.repeat(r.normal(size=(20, 64)), 6, axis=0) + r.normal(size=(120, 64)) * 0.08]))
+    y = x @ embedding_dedup.rotation(64, 7)
+    met = set()
+    for (lo, hi), share in zip(embedding_dedup.bounds(64, 8), embedding_dedup.shares(64, 0.04, 8)):
+        for a, b in embedding_dedup.meetings(y[:, lo:hi], y[:, lo:hi], share):
+            met |= set(zip(a.tolist(), b.tolist()))
+    linked = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.98))}
+    assert linked <= met and len(linked) > 720 and len(met) < 0.08 * len(x) ** 2
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s[:n], s[:n].translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_words_that_a_polynomial_confuses_stay_apart(n):
+    for lane in (0, 1):
+        data, offsets = words.buffers(pa.array(list(thue_morse(n))))
+        assert len(set(words.word_hashes(data, *words.spans(data, offsets), lane).tolist())) == 2
+
+
 def test_op3_round_trip_and_library_ids(spark, docs, empty):
     from sentencepiece import SentencePieceProcessor
 
