@@ -166,12 +166,11 @@ def norm(t):
 @pytest.mark.parametrize("weak", [False, True])
 def test_op4_groups_equal_brute_force(docs, empty, weak):
     options = {"digest": lambda t: F.unhex(F.substring(F.sha2(t.cast("binary"), 256), 1, 2))} if weak else {}  # one byte: many collisions
-    unique = docs.dropDuplicates(["doc_id"]) if weak else docs
-    rows = list(dict(fixture_rows()).items()) if weak else fixture_rows()
+    rows = fixture_rows()
     groups = defaultdict(list)
     for i, t in rows:
         groups[norm(t)].append(i)
-    got = exact_dedup.exact_dedup(unique, chunk=3, **options).collect()
+    got = exact_dedup.exact_dedup(docs, chunk=3, fan_in=2, **options).collect()
     want = Counter((i, min(groups[norm(t)]), len(groups[norm(t)]), i == min(groups[norm(t)])) for i, t in rows)
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
     if not weak:
@@ -179,6 +178,23 @@ def test_op4_groups_equal_brute_force(docs, empty, weak):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_op4_collisions_of_repeated_rows(spark):
+    one = {"digest": lambda t: F.lit(b"x")}
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, "x"), (None, "y"), (None, "z")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows, **one).collect())
+    assert got == Counter([(1, 1, 2, True), (3, 1, 2, False), (2, 2, 3, True), (2, 2, 3, True), (None, 2, 3, False), (None, None, 1, True)])
+    for options in ({}, one):
+        assert sorted((r.text, r.doc_id) for r in exact_dedup.distinct_rows(rows, **options).collect()) == [("x", 1), ("y", 2), ("z", None)]
+
+
+def test_op4_filter_passes_all_copies(docs):
+    index = exact_dedup.MergeIndex(docs, bits=64)
+    many = {bytes(r.digest) for r in index.level.where("n > 1").collect()}
+    assert many and many <= {bytes(r.digest) for r in index.probed(index.runs).where("hit").collect()}
+    wide = exact_dedup.MergeIndex(docs)
+    assert {bytes(r.digest) for r in wide.probed(wide.runs).where("hit").collect()} == many
+
+
 def test_op4_index_lookup(docs):
     index = exact_dedup.MergeIndex(docs)
     row = index.lookup([hashlib.sha256(norm(text_of(7, 40)).encode()).digest()]).first()
