@@ -1,24 +1,26 @@
 """Token counts of whole texts, as the tokenizer's own library gives them, by overlap resynchronisation.
 
-A huge text is cut into chunks that overlap; each chunk is encoded with offsets, and two neighbours are spliced
-at a *stable common boundary* of the overlap: a place behind white space where both encodings have a token
-boundary and agree on every token around it. No token of this tokenizer can hold white space (its pattern never
-matches any, and neither do its special strings), its normaliser works on runs without white space one by one, and
-so what stands on one side of such a place has no influence on the other. If the overlap has no such place,
-because a word is longer than the overlap or the two encodings differ, the overlap is doubled until it has one or
-the chunk reaches the text's end.
-
-Shorter texts are spliced at every white space, by the same proof: their distinct words, set apart by blanks, are
-laid out one after another and encoded in chunks with offsets; each token counts to the word that it lies in, and
-a text's count is the sum over its words. Every word of every text is counted, whole.
-
-Null text counts as empty: 0 bytes and 0 tokens. Repeated rows are counted one by one. An empty table gives an
+Every text is cut into chunks that overlap, and all chunks are encoded with offsets; a text no longer than a chunk is one chunk. Two
+neighbours are spliced at a *stable common boundary* of their overlap: a place between two pre-tokens of any text, at which
+both encodings have a token boundary and agree on the tokens around it. If the overlap has no such place, because a run of letters is
+longer than the overlap or the two encodings differ, the overlap is doubled until it has one or the chunk reaches the text's end.
+
+Why such a place is stable: the normaliser works on single characters and their combining marks; the pattern finds runs of
+letters, runs of other signs, single digits and contractions, never white space. So between white space and what follows, and
+between a letter and a following punctuation mark, the pattern always starts anew, and neither mark composes with the letter. Special strings
+are up to ``SPECIAL`` characters long and found before all else, so a place counts only if both encodings see that far to either side. The proof
+is about this kind of tokenizer alone: ``tokenizer`` raises if a file has another normaliser, pattern or longer special strings.
+A run without any such place (one word of many MB) has no boundary that could be proven, and is encoded whole.
+
+Null text counts as empty: 0 bytes and 0 tokens. A null id stays null. Repeated rows are counted one by one. An empty table gives an
 empty result. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +32,16 @@ from pyspark.sql import DataFrame
 from . import words
 from .common import only
 
-HUGE = 1 << 15
 CHUNK = 1 << 14
 OVERLAP = 1 << 8
 BLANK = frozenset(" \t\n\v\f\r")
+#: ASCII and ideographic punctuation that composes with nothing.
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~、。，．：；？！")
 AGREE = 2
+SPECIAL = 24
+#: The normaliser and the pattern that the proof is about.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=4)
@@ -42,15 +49,26 @@ def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    known = json.loads(tok.to_str())
+    steps = [n["type"] for n in (known["normalizer"] or {}).get("normalizers", [])]
+    split = [p.get("pattern", {}).get("Regex") for p in (known["pre_tokenizer"] or {}).get("pretokenizers", [])][:1]
+    if steps != NORMALISER or split != [PATTERN] or any(len(t["content"]) > SPECIAL or t["lstrip"] or t["rstrip"] or t["single_word"] for t in known["added_tokens"]):
+        raise ValueError(f"{path}: its texts can't be proven to splice")
+    return tok
+
+
+def letter(c: str) -> bool:
+    """A letter in every version of the character tables, and one letter still in lower case."""
+    return len(c.lower()) == 1 and unicodedata.ucd_3_2_0.category(c)[0] == "L"
 
 
 class Part:
     """An encoding of text[start:end], asked by positions in ``text``."""
 
-    def __init__(self, tok, text: str, start: int, end: int):
+    def __init__(self, tok, text: str, start: int, end: int, encoding=None):
         self.start, self.end = start, end
-        self.encoding = tok.encode(text[start:end], add_special_tokens=False)
+        self.encoding = encoding or tok.encode(text[start:end], add_special_tokens=False)
 
     def begins(self, at: int) -> int | None:
         """The token that begins at a position; None if none does."""
@@ -64,26 +82,33 @@ class Part:
 
 def boundary(text: str, lo: int, hi: int, left: Part, right: Part) -> tuple[int, int, int] | None:
     """A stable common boundary in text[lo:hi], with the token of either part that begins there; None if there is none."""
-    for at in range((lo + hi) // 2, hi):
-        if text[at - 1] in BLANK and text[at] not in BLANK:
+    middle = (lo + hi) // 2
+    for at in (*range(middle, hi), *range(lo, middle)):
+        before, after = text[at - 1], text[at]
+        if (before in BLANK and after not in BLANK) or (after in MARKS and letter(before)):
             a, b = left.begins(at), right.begins(at)
             if a is not None and b is not None:
-                after = min(len(left.encoding) - a, len(right.encoding) - b, AGREE)
-                before = min(a, b, AGREE)
-                if left.around(a, before, after) == right.around(b, before, after):
+                n, m = min(len(left.encoding) - a, len(right.encoding) - b, AGREE), min(a, b, AGREE)
+                if left.around(a, m, n) == right.around(b, m, n):
                     return at, a, b
     return None
 
 
-def spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[Part, int, int]]:
+def cuts(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
+    """The chunks of a text."""
+    return [(a, min(length, a + chunk)) for a in range(0, max(length - overlap, 1), max(chunk - overlap, 1))]
+
+
+def spliced(tok, text: str, parts: list[Part], chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[Part, int, int]]:
     """Parts of ``text``, each with the range of its tokens that counts; together they are the tokens of the whole text."""
-    now, first, from_ = Part(tok, text, 0, min(len(text), chunk)), 0, 0
+    now, first, from_ = parts[0], 0, 0
+    ready = {p.start: p for p in parts[1:]}
     while now.end < len(text):
         wide, found = overlap, None
         while found is None and now.end < len(text):
             lo = max(from_, now.end - wide)
-            after = Part(tok, text, lo, min(len(text), lo + max(chunk, 2 * wide)))
-            found = boundary(text, lo + 1, now.end, now, after)
+            after = ready.get(lo) or Part(tok, text, lo, min(len(text), lo + max(chunk, 2 * wide)))
+            found = boundary(text, lo + SPECIAL, now.end - SPECIAL, now, after)
             if found is None:
                 if lo == from_:  # not even the whole part has one: make the part longer
                     now = Part(tok, text, now.start, min(len(text), now.end + max(wide, chunk)))
@@ -94,78 +119,24 @@ def spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Itera
     yield now, first, len(now.encoding)
 
 
-def count_spliced(tok, text: str) -> int:
-    return sum(b - a for _, a, b in spliced(tok, text))
+def encoded(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[tuple[Part, int, int]]]:
+    """The spliced parts of each text; the chunks of all texts are encoded together."""
+    where = [cuts(len(t), chunk, overlap) for t in texts]
+    done = iter(tok.encode_batch([t[a:b] for t, own in zip(texts, where, strict=True) for a, b in own], add_special_tokens=False))
+    for t, own in zip(texts, where, strict=True):
+        yield list(spliced(tok, t, [Part(tok, t, a, b, next(done)) for a, b in own], chunk, overlap))
 
 
-def count_words(tok, found: list[str], chunk: int = CHUNK) -> np.ndarray:
-    """Tokens of each of some distinct words, encoded side by side in chunks that end between words."""
-    counts = np.zeros(len(found), dtype=np.int64)
-    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) if found else np.zeros(0, np.int64)
-    cuts, at = [0], 0
-    while at < len(found):
-        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
-        cuts.append(at)
-    for k in range(0, len(cuts) - 1, 64):
-        ranges = list(zip(cuts[k : k + 64], cuts[k + 1 : k + 65], strict=False))
-        for (a, b), e in zip(ranges, tok.encode_batch([" ".join(found[a:b]) for a, b in ranges], add_special_tokens=False), strict=True):
-            base = ends[a - 1] if a else 0
-            begins = np.array([x[0] for x in e.offsets], dtype=np.int64)
-            counts[a:b] = np.bincount(np.searchsorted(ends[a:b] - base, begins, "right"), minlength=b - a)
-    return counts
-
-
-def token_counts(docs: DataFrame, path: str, limit: int = 2048, huge: int = HUGE) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs(doc_id, text)``; ``path`` names the tokenizer's file."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        memo = memory(path)
         for batch in batches:
-            for b in words.slices(batch, "text", 16 << 20):
+            for b in words.slices(batch, "text"):
                 text = pc.fill_null(b.column("text"), "")
                 sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-                long = sizes > huge
-                n = memo.counts(pc.if_else(pa.array(long), "", text))
-                for k in np.flatnonzero(long).tolist():
-                    n[k] = count_spliced(tok, text[k].as_py())
+                n = np.array([sum(z - a for _, a, z in own) for own in encoded(tok, text.to_pylist(), chunk, overlap)], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return only(docs, "doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
-
-@lru_cache(maxsize=2)
-def memory(path: str) -> Memo:
-    """One for each worker process and tokenizer; a new worker just starts with none."""
-    return Memo(tokenizer(path))
-
-
-class Memo:
-    """Counts of words met before: two arrays sorted by hash, started anew when they hold ``most`` words."""
-
-    def __init__(self, tok, most: int = 1 << 21):
-        self.tok, self.most = tok, most
-        self.hashes, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """Tokens of each text of a column: the sum over its words."""
-        data, offsets = words.buffers(column)
-        starts, ends = words.spans(data, offsets)
-        first = np.searchsorted(starts, offsets)
-        hashes = words.word_hashes(data, starts, ends)
-        own, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.hashes, own)
-        known = np.zeros(len(own), dtype=bool)
-        inside = where < len(self.hashes)
-        known[inside] = self.hashes[where[inside]] == own[inside]
-        n = np.zeros(len(own), dtype=np.int64)
-        n[known] = self.n[where[known]]
-        new = np.flatnonzero(~known)
-        raw = data.tobytes()
-        n[new] = count_words(self.tok, [raw[starts[k] : ends[k]].decode() for k in at[new].tolist()])
-        if len(self.hashes) + len(new) > self.most:
-            self.hashes, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        into = np.searchsorted(self.hashes, own[new])
-        self.hashes, self.n = np.insert(self.hashes, into, own[new]), np.insert(self.n, into, n[new])
-        upto = np.concatenate([[0], np.cumsum(n[back])])
-        return upto[first[1:]] - upto[first[:-1]]

@@ -21,6 +21,13 @@ def text_of(seed, n):
     return " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n))
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s[:n], s[:n].translate({97: 98, 98: 97})
+
+
 def fixture_rows():
     base = text_of(1, 120).split(" ")
     rows = [(0, None), (1, ""), (2, "  \n\t "), (3, "one two"), (4, "ONE  two"), (5, "one two three four"), (6, "\x00 \x0b odd\x1ccontrol \u3000wide")]
@@ -62,21 +69,39 @@ def test_word_hashes_follow_the_words():
 def test_op1_counts_equal_the_library(spark, docs, empty):
     path = queries.tokenizer_path("word_bpe_49k.json")
     tok = token_count.tokenizer(path)
-    got = token_count.token_counts(docs, path, huge=2000).collect()
     want = Counter((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False))) for i, t in fixture_rows())
-    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
-    assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
+    for chunk, overlap in ((token_count.CHUNK, token_count.OVERLAP), (300, 64)):
+        got = token_count.token_counts(docs, path, chunk=chunk, overlap=overlap).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+        assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
     assert token_count.token_counts(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a" * 5000, "ab " * 999, "é<|endoftext|>x " * 500, "don't " * 900, "x" * 700 + " y" * 900, "Σ ΑΣ " * 300, " " * 3000 + "q", "…\u0301 e\u0301 " * 400])
-def test_op1_splices_at_stable_boundaries(text):
+CONFUSED = " ".join(thue_morse(2048))
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "ab " * 999, "é<|endoftext|>x " * 500, "x<|endoftext|>" * 400, "don't " * 900, "'s's'tx'll" * 300, "x" * 700 + " y" * 900, "Σ ΑΣ " * 300, " " * 3000 + "q", "…\u0301 e\u0301 " * 400, "日本語、文章。" * 400, "漢字" * 900 + "，" + "e\u0301.e\u0301-" * 300, "1!2a'3" * 500, "İ!İ." * 300, CONFUSED])
+@pytest.mark.parametrize("overlap", [1, 64])
+def test_op1_splices_at_stable_boundaries(text, overlap):
     tok = token_count.tokenizer(queries.tokenizer_path("word_bpe_49k.json"))
     want = tok.encode(text, add_special_tokens=False).ids
-    got = [i for p, a, b in token_count.spliced(tok, text, 64, 8) for i in p.encoding.ids[a:b]]
+    got = [i for p, a, b in next(token_count.encoded(tok, [text], 200, overlap)) for i in p.encoding.ids[a:b]]
     assert got == want
 
 
+def test_op1_cuts_long_texts_without_blanks():
+    tok = token_count.tokenizer(queries.tokenizer_path("word_bpe_49k.json"))
+    text = "日本語、文章。" * 30000
+    parts = next(token_count.encoded(tok, [text]))
+    assert max(p.end - p.start for p, _, _ in parts) <= token_count.CHUNK
+    assert sum(b - a for _, a, b in parts) == len(tok.encode(text, add_special_tokens=False))
+
+
+def test_op1_refuses_a_tokenizer_without_the_proof():
+    with pytest.raises(ValueError):
+        token_count.tokenizer(queries.tokenizer_path("byte_bpe_50k.json"))
+
+
 def brute_links(rows, cosine):
     ok = []
     for i, v, label in rows:
@@ -130,13 +155,6 @@ def test_op2_compares_few_pairs_and_loses_none():
     assert linked <= met and len(linked) > 720 and len(met) < 0.08 * len(x) ** 2
 
 
-def thue_morse(n):
-    s = "a"
-    while len(s) < n:
-        s += s.translate({97: 98, 98: 97})
-    return s[:n], s[:n].translate({97: 98, 98: 97})
-
-
 @pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
 def test_words_that_a_polynomial_confuses_stay_apart(n):
     for lane in (0, 1):
