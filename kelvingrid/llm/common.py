@@ -83,6 +83,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def leading(key: Column, rows: int) -> Column:
+    """The first hexadecimal digits of a key as a number: a bucket for ``ranked`` for every 16,384 rows or so, 4,096 at least."""
+    digits = 3
+    while 16**digits << 14 < rows and digits < 7:
+        digits += 1
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], bucket: Column, rank: str, total: str) -> DataFrame:
     """Exact 0-based ``rank`` of each row within ``group`` by ``order``, and the group's ``total``, without one task per group.
 

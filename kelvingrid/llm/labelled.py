@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only
 
+#: What a sample's texts may hold together: it bounds the features that come to the driver.
+MOST_BYTES = 32 << 20
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> DataFrame:
-    """(doc_id, text, label, draw) of at most ``rows`` labelled documents, those with the smallest hash of their id.
 
-    ``draw`` in [0, 1) splits the sample. Labels that are null don't count; of several labels of one id the largest does.
-    The ids, a bounded number, are sent to every executor, so the documents are scanned in place.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, label, draw) of at most ``rows`` labelled documents, those with the smallest hash of their id, up to ``most_bytes`` of text.
+
+    ``draw`` in [0, 1) splits the sample. Labels that are null don't count; of several labels of one id the largest does, and of
+    several rows of one id those that fit. The ids, a bounded number, are sent to every executor, so the documents are scanned in place.
     """
     ids = only(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if where is not None:
         ids = ids.where(where)
-    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)
-    ids = ids.select(F.col("doc_id").alias("__id"), "label")
+    rank = F.xxhash64(F.lit(11), "doc_id")
+    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(rank, "doc_id").limit(rows)
+    ids = ids.select(F.col("doc_id").alias("__id"), "label", rank.alias("__rank"))
     draw = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1000)) / 1000
-    return only(docs, "doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label", draw.alias("draw"))
+    texts = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # of the chosen ids' texts only the sizes are put in order
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("__id", "label", "__rank").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.orderBy("__rank", "__id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("__id", "label")
+    return texts.join(F.broadcast(fits), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label", draw.alias("draw"))

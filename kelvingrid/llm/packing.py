@@ -1,15 +1,14 @@
 """Optimal length buckets: boundaries by dynamic programming over the global histogram of lengths.
 
-Lengths are counted over all rows into bins of bounded number (exact up to 64, then 64 bins for each doubling,
-so about 64 * log2(longest / 64) of them); only the histogram comes to the driver. With the rows and the
-lengths' sum of each bin, the dynamic program chooses at most ``buckets`` upper edges so that padding every row
-to its bucket's edge costs least. Within a bucket rows are shuffled by a seeded hash, ranked by bucketed
+Rows are counted for each length over all rows; only that histogram, at most as long as the longest length, comes to the driver, as
+Arrow. The dynamic program chooses at most ``buckets`` of the lengths themselves as upper edges so that padding every row to its
+bucket's edge costs least: the optimum over the exact lengths. Within a bucket rows are shuffled by a seeded hash, ranked by bucketed
 prefix sums, and cut into batches of ``budget // edge`` rows (one row at least, so that texts longer than the
 budget are batches of their own, whole). All batches of a bucket but its last have the same number of rows.
 
-Length is the UTF-8 bytes of the text: a byte-level token each. Null counts as empty, and an empty text has
-length 0 and goes to the lowest bucket, whose edge is 1 at least. Repeated rows are separate rows. An empty table gives an empty
-result. Columns other than the id and the text are ignored.
+``length`` is the column of token counts; by default a token is a byte of the text's UTF-8, and any tokenizer's counts (``token_counts``)
+can stand in. Null counts as 0. An empty text has length 0; a bucket of such alone has edge 0 and takes ``budget`` rows a batch. Null ids
+and repeated rows are rows like others. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,58 +17,63 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ranked
+from .common import leading, ranked
 
 
-def edge_of(length: Column, fine: int = 64) -> Column:
-    """The upper edge of a length's bin: the length up to ``fine``, then ``fine`` bins for each doubling."""
-    doublings = F.greatest(F.lit(0).cast("long"), F.floor(F.log2(F.greatest(length, F.lit(1)) / fine) + 1e-12))
-    step = F.pow(F.lit(2.0), doublings).cast("long")
-    return F.when(length <= fine, F.greatest(length, F.lit(1).cast("long"))).otherwise(F.ceil(length / step) * step).cast("long")
+def boundaries(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
+    """At most ``buckets`` of the sorted distinct ``lengths``, the last included, that minimise the padding of all rows.
 
-
-def boundaries(edges: np.ndarray, rows: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """At most ``buckets`` of the sorted ``edges``, the last included, that minimise the padding.
-
-    best[k][j]: the least padding of the first j bins with k buckets; each new bucket of bins i..j-1 pads its
-    rows to edges[j-1].
+    best[j]: the least padding of the first j lengths with k buckets. One more bucket of lengths i..j-1 pads its rows to
+    lengths[j-1]. The best i never falls as j rises (the cost has the Monge property), so each round halves the j and looks
+    only between the best i of its neighbours: all distinct lengths are candidates, in O(buckets * n log n).
     """
-    n = len(edges)
+    n = len(lengths)
     if not n:
         return []
-    r, t = np.concatenate([[0], np.cumsum(rows)]).astype(np.float64), np.concatenate([[0], np.cumsum(total)]).astype(np.float64)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    e, upto = lengths.astype(np.float64), np.concatenate([[0.0], np.cumsum(rows, dtype=np.float64)])
+    best = np.concatenate([[0.0], np.full(n, np.inf)])
     back = []
     for _ in range(min(buckets, n)):
-        new, come = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        new[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] + edges[j - 1] * (r[j] - r[:j]) - (t[j] - t[:j])
-            come[j] = int(np.argmin(cost))
-            new[j] = cost[come[j]]
+        come = np.zeros(n + 2, dtype=np.int64)
+        come[n + 1] = n
+        new = np.concatenate([[0.0], np.full(n, np.inf)])
+        step = 1 << max(n.bit_length() - 1, 0)
+        while step:
+            j = np.arange(step, n + 1, 2 * step)  # their neighbours, multiples of twice the step, are done
+            lo, hi = come[j - step], np.minimum(np.where(j + step <= n, come[np.minimum(j + step, n + 1)], n), j - 1)
+            count = np.maximum(hi - lo + 1, 1)
+            at = np.cumsum(count) - count
+            i = np.arange(count.sum()) - np.repeat(at - lo, count)
+            jj = np.repeat(j, count)
+            cost = best[i] + e[jj - 1] * (upto[jj] - upto[i])
+            least = np.minimum.reduceat(cost, at)
+            hit = np.flatnonzero(cost == np.repeat(least, count))
+            first = hit[np.searchsorted(hit, at)]
+            come[j], new[j] = i[first], least
+            step //= 2
         back.append(come)
         best = new
     out, j = [], n
     for come in reversed(back):
         if j == 0:
             break
-        out.append(int(edges[j - 1]))
+        out.append(int(lengths[j - 1]))
         j = int(come[j])
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str = "0") -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str = "0", length: Column | None = None) -> DataFrame:
     """doc_id, length, bucket (0 is the shortest), edge, batch (in its bucket), slot (in its batch) and padding of every row."""
-    rows = only(docs, "doc_id", "text").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
-    hist = rows.groupBy(edge_of(F.col("length")).alias("edge")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).orderBy("edge").collect()
-    cuts = boundaries(np.array([h.edge for h in hist], dtype=np.float64), np.array([h.n for h in hist]), np.array([h.total for h in hist]), buckets) or [1]
+    size = F.octet_length(docs["text"]) if length is None else length
+    rows = docs.select(docs["doc_id"], F.coalesce(size, F.lit(0)).cast("long").alias("length"))
+    hist = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")
+    cuts = boundaries(hist.column("length").to_numpy(), hist.column("n").to_numpy(), buckets) or [1]
     bucket, edge = F.lit(len(cuts) - 1), F.lit(cuts[-1])
     for k in range(len(cuts) - 2, -1, -1):
         bucket = F.when(F.col("length") <= cuts[k], k).otherwise(bucket)
         edge = F.when(F.col("length") <= cuts[k], cuts[k]).otherwise(edge)
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("length").cast("string")))
     rows = rows.select("doc_id", "length", bucket.cast("int").alias("bucket"), edge.cast("long").alias("edge"), key.alias("key"))
-    rows = ranked(rows, ["bucket"], [F.col(c) for c in ("key", "doc_id", "length")], F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), "at", "of")
-    per = F.expr(f"greatest(1L, {budget}L div edge)")
+    rows = ranked(rows, ["bucket"], [F.col(c) for c in ("key", "doc_id", "length")], leading(F.col("key"), sum(hist.column("n").to_pylist())), "at", "of")
+    per = F.expr(f"greatest(1L, {budget}L div greatest(edge, 1L))")
     return rows.withColumn("per", per).select("doc_id", "length", "bucket", "edge", F.expr("at div per").alias("batch"), F.expr("at % per").alias("slot"), (F.col("edge") - F.col("length")).alias("padding"))

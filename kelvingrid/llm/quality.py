@@ -6,10 +6,10 @@ digits, symbols, last byte) and a word's relation to those before it (the same a
 is averaged over all words of the whole text, so length doesn't count by itself. The result holds the expected grade and the
 tail probability P(grade >= cut), by which documents are selected.
 
-The model is fitted on a bounded sample of labelled rows (``rows``, chosen by a hash of the id); scoring reads
-every text whole. Null text counts as empty; a text without words has no features and gets the scores of x = 0, and is
-rejected: there is nothing to keep. With no labels at all, or one grade only, nothing is known and every text that has words is kept.
-Repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
+The model is fitted on a bounded sample of labelled rows (at most ``rows`` of them with at most ``most_bytes`` of text together, chosen by a hash
+of the id; ``where`` sets rows aside); scoring reads every text whole. Labelled rows without words tell nothing and aren't fitted on. Null text counts as empty; a text without words has no features and gets the scores of x = 0, and is
+rejected: there is nothing to keep. With no labels at all, or one grade only among texts with words, nothing is known and every text that has words is kept.
+Null ids stay null; repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from . import words
 from .common import only
-from .labelled import sample
+from .labelled import MOST_BYTES, sample
 
 BITS = 18
 
@@ -88,10 +88,10 @@ class CumulativeLink:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-6) -> CumulativeLink:
     """``rows``: (the distinct features' indices of one text, their mean numbers per word; its grade). Full-batch Adam on the likelihood."""
+    rows = [r for r in rows if len(r[0])]
     grades = sorted({g for *_, g in rows})
     if len(grades) < 2:
         return CumulativeLink(np.zeros(1 << BITS, np.float32), np.full(1, -40.0), [0, 1])
-    rows = [r for r in rows if len(r[0])]
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     level = np.array([grades.index(g) for *_, g in rows])
@@ -138,9 +138,9 @@ def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 6000) -> CumulativeLink:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 6000, where: Column | None = None, most_bytes: int = MOST_BYTES) -> CumulativeLink:
     """Fit on at most ``rows`` labelled documents of ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``."""
-    found = sample(docs, labels, label, rows).mapInArrow(indices, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    found = sample(docs, labels, label, rows, where, most_bytes).mapInArrow(indices, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     halves = [(np.frombuffer(x, "<i4", len(x) // 8), np.frombuffer(x, "<f4", len(x) // 8, len(x) // 2)) for x in found.column("x").to_pylist()]
     return fit([(*h, g) for h, g in zip(halves, found.column("label").to_pylist(), strict=True)])
 

@@ -6,8 +6,9 @@ rows are ordered by place and the order is cut in equal parts: every shard has e
 and the shards' row counts differ by one at most (law ``rows``). Both rankings are bucketed prefix sums
 (``common.ranked``), so neither a hot source nor the whole table goes to one task.
 
-A null source is a source of its own. Null text has size 1 (0 bytes plus 1) and the checksum of no bytes.
-Repeated ids are separate rows. An empty table gives an empty result; other columns are ignored.
+The buckets grow in number with the rows. A null source is a source of its own. Null text has size 1 (0 bytes plus 1) and the checksum
+of no bytes; null ids are ordered by text. Repeated ids are separate rows; rows that repeat an id and a text share a bucket.
+An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ranked
-
-BUCKETS = 4096
+from .common import leading, only, ranked
 
 
 def _hex(text: Column, digits: int) -> Column:
@@ -29,13 +28,15 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "0") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = only(docs, "doc_id", "source", "text").select(
         "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(text).cast("string"))).alias("key"),
     )
     order = [F.col(c) for c in ("key", "doc_id", "text_crc32", "size")]
-    rows = ranked(rows, ["source"], order, F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), "rank", "of")
+    n = docs.count()
+    rows = ranked(rows, ["source"], order, leading(F.col("key"), n), "rank", "of")
     offset = _hex(F.concat_ws("|", F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))), 8) / F.lit(float(1 << 32))
     rows = rows.withColumn("place", (F.col("rank") + offset) / F.col("of"))
-    bucket = F.least(F.floor(F.col("place") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    buckets = max(4096, n >> 14)
+    bucket = F.least(F.floor(F.col("place") * buckets), F.lit(buckets - 1)).cast("int")
     rows = ranked(rows, [], [F.col("place"), *order], bucket, "at", "all")
     shard = F.expr(f"int(at * {shards} div all)")
     first = F.expr(f"(shard * all + {shards - 1}) div {shards}")

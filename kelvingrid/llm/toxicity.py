@@ -5,12 +5,12 @@ in for others are put back (0 for o, @ for a, ...), their nearness to words of t
 punctuation, exclamation marks, words that mix letters with digits or symbols (obfuscation), and length.
 
 The lexicon is mined from labelled rows: words, and stems of 4 to 6 bytes, that toxic texts hold and others hardly do.
-All is fitted on one bounded sample (``rows``, chosen by a hash of the id). A row's features for the trees come from a lexicon that
+All is fitted on one bounded sample (``rows`` and ``most_bytes``, chosen by a hash of the id). A row's features for the trees come from a lexicon that
 the other folds gave, so that words which are toxic by chance don't mislead the trees; scores use the whole sample's lexicon. The
 calibration's rows are apart from the trees'. Only the text is an input of a score.
 
 Null text counts as empty; a text without words gets the score of an empty text. Without any labels every score is the same,
-below 1/2. Repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
+below 1/2. Null ids stay null and are not held out. Repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import only
-from .labelled import sample
+from .labelled import MOST_BYTES, sample
 from .trees import Boosted, Isotonic, boost, isotonic
 
 STEMS = (4, 5, 6)
@@ -189,9 +189,9 @@ def mined(texts: list[bytes], label: np.ndarray, least: int, purity: float) -> n
     return bad[keep]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 6000, where: Column | None = None, purity: float = 0.9) -> Model:
-    """Fit on at most ``rows`` labelled documents for which ``where`` (over the labels' doc_id) holds."""
-    chosen = sample(docs, labels, label, rows, where)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 6000, where: Column | None = None, purity: float = 0.9, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled documents, of ``most_bytes`` of text together, for which ``where`` (over the labels' doc_id) holds."""
+    chosen = sample(docs, labels, label, rows, where, most_bytes)
     part = chosen.mapInArrow(distinct, "label int, draw double, words binary, stems binary").toArrow()
     y, fold_of = np.asarray(part.column("label").to_pylist(), dtype=np.int64), np.asarray([int(d * FOLDS) for d in part.column("draw").to_pylist()], dtype=np.int64)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kelvingrid.llm import common, embedding_dedup, exact_dedup, jaccard_join, packing, quality, queries, sentence_pieces, sharding, token_count, toxicity, trees, url_filter, words
+from kelvingrid.llm import common, embedding_dedup, exact_dedup, jaccard_join, labelled, packing, quality, queries, sentence_pieces, sharding, token_count, toxicity, trees, url_filter, words
 
 WORDS = ["alpha", "Beta", "gamma,", "déjà", "vu", "x", "don't", "!!!", "Zürich", "日本", "a1b2", "end."]
 
@@ -241,6 +241,17 @@ def test_op5_ordinal_grades(spark, empty):
     assert all(x.kept == (x.doc_id < 900) for x in quality.score(docs, none).collect())
 
 
+def test_op5_without_words_or_within_bytes(spark):
+    docs = spark.createDataFrame([(1, None), (2, " "), (3, ""), (4, "a b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert [r.kept for r in quality.score(docs, model).orderBy("doc_id").collect()] == [False, False, False, True]
+    more = spark.createDataFrame([(k, "word " * 100) for k in range(50)], "doc_id long, text string")
+    own = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    assert labelled.sample(more, own, "quality", 40).count() == 40
+    assert labelled.sample(more, own, "quality", 40, most_bytes=5000).count() == 10
+
+
 def test_op6_rows_law_and_mixture(docs, empty):
     got = sharding.interleave(docs, shards=4).collect()
     rows = fixture_rows()
@@ -259,6 +270,28 @@ def test_op6_rows_law_and_mixture(docs, empty):
     assert sharding.interleave(empty).count() == 0
 
 
+def test_op6_places_equal_brute_force(spark, docs):
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None) for i, t in fixture_rows()] + [(None, "x", "s1"), (None, None, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    md5 = lambda *x: hashlib.md5("|".join(["0", *x]).encode()).hexdigest()
+    facts = []
+    for i, t, s in rows:
+        crc, size = zlib.crc32((t or "").encode()), len((t or "").encode()) + 1
+        facts.append((md5("null" if i is None else str(i), str(crc)), -1 if i is None else i, crc, size, s))
+    of = Counter(f[4] for f in facts)
+    placed, seen = [], Counter()
+    for f in sorted(facts, key=lambda f: f[:4]):
+        offset = int(md5("" if f[4] is None else "s" + f[4])[:8], 16) / 2**32
+        placed.append(((seen[f[4]] + offset) / of[f[4]], *f[:4]))
+        seen[f[4]] += 1
+    placed.sort()
+    n, want = len(placed), []
+    for at, (_, _, i, crc, size) in enumerate(placed):
+        shard = at * 5 // n
+        want.append((None if i < 0 else i, size, crc, shard, at - -(-shard * n // 5)))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.interleave(df, shards=5).collect()) == Counter(want)
+
+
 def judged(url):
     host, path = "", ""
     if url and "://" in url:
@@ -354,26 +387,49 @@ def test_isotonic_rises_and_trees_learn():
 def test_op10_boundaries_are_optimal():
     from itertools import combinations
 
-    edges, rows, total = np.array([1.0, 3, 7, 8, 20, 50]), np.array([5, 2, 9, 4, 1, 2]), np.array([4, 6, 60, 32, 19, 95])
-
-    def padding(cuts):
-        return sum(n * min(c for c in cuts if c >= e) - t for e, n, t in zip(edges, rows, total))
-
-    for k in (1, 2, 3, 6):
-        best = min(padding((*c, 50.0)) for j in range(k) for c in combinations(edges[:-1], j))
-        assert padding(packing.boundaries(edges, rows, total, k)) == best
-    assert packing.boundaries(edges[:0], rows[:0], total[:0], 4) == []
+    r = np.random.default_rng(4)
+    for n in (1, 2, 3, 6, 9):
+        for _ in range(8):
+            lengths = np.sort(r.choice(200, n, replace=False))
+            rows = r.integers(1, 20, n)
+
+            def padding(cuts):
+                return sum(m * (min(c for c in cuts if c >= e) - e) for e, m in zip(lengths.tolist(), rows.tolist()))
+
+            for k in (1, 2, 3, 6):
+                best = min(padding((*c, int(lengths[-1]))) for j in range(min(k, n)) for c in combinations(lengths[:-1].tolist(), j))
+                got = packing.boundaries(lengths, rows, k)
+                assert padding(got) == best and len(got) <= k and got[-1] == lengths[-1]
+    assert packing.boundaries(lengths[:0], rows[:0], 4) == []
+    many = np.sort(r.choice(100000, 3000, replace=False))
+    count = r.integers(1, 9, 3000)
+    slow, best = np.concatenate([[0.0], np.full(3000, np.inf)]), None
+    upto = np.concatenate([[0], np.cumsum(count)]).astype(float)
+    for _ in range(5):
+        slow = np.array([0.0, *[np.min(slow[:j] + many[j - 1] * (upto[j] - upto[:j])) for j in range(1, 3001)]])
+    cuts = np.array(packing.boundaries(many, count, 5))
+    assert (cuts[np.searchsorted(cuts, many)] * count).sum() == slow[-1]
+
+
+def test_op10_takes_the_counts_of_a_tokenizer(docs):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    counted = docs.dropDuplicates(["doc_id"]).join(token_count.token_counts(docs.dropDuplicates(["doc_id"]), path), "doc_id").select("doc_id", "text", "n_tokens")
+    want = {r.doc_id: r.n_tokens for r in counted.collect()}
+    got = packing.pack(counted, buckets=4, budget=2048, length=F.col("n_tokens")).collect()
+    assert {r.doc_id: r.length for r in got} == want
+    per = Counter((r.bucket, r.batch, r.edge) for r in got)
+    assert all(n == 1 or n * edge <= 2048 for (_, _, edge), n in per.items()) and {r.edge for r in got} <= set(want.values())
 
 
 def test_op10_batches_hold_all_rows_in_budget(docs, empty):
     got = packing.pack(docs, buckets=4, budget=6000).collect()
     assert Counter((r.doc_id, r.length) for r in got) == Counter((i, len((t or "").encode())) for i, t in fixture_rows())
-    batches = defaultdict(list)
+    batches, lengths = defaultdict(list), {r.length for r in got}
     for r in got:
         assert 0 <= r.length <= r.edge and r.padding == r.edge - r.length
         batches[(r.bucket, r.batch)].append(r)
     for own in batches.values():
-        assert sorted(r.slot for r in own) == list(range(len(own))) and (len(own) == 1 or len(own) * own[0].edge <= 6000)
+        assert sorted(r.slot for r in own) == list(range(len(own))) and (len(own) == 1 or len(own) * own[0].edge <= 6000) and own[0].edge in lengths
     for k in {b for b, _ in batches}:
         sizes = [len(batches[(k, j)]) for j in range(sum(b == k for b, _ in batches))]
         assert len(set(sizes[:-1])) <= 1
