@@ -1,91 +1,171 @@
-"""URL rules in a sorted digest array: 64-bit xxhash keys, memory-mapped, probed by binary search.
+"""URL rules in sorted digest arrays: 64-bit xxhash keys, memory-mapped, probed by vectorised binary search.
 
-A rule names a host and a path prefix, with ``block`` or ``allow``. Its key is the xxhash of host and path;
-the array of sorted keys is written once, shipped to every executor as a Spark file and memory-mapped there.
-For a batch of urls the suffixes of the host and the prefixes of the path that are as long as some rule's
-are joined and hashed; one ``searchsorted`` finds the keys that are in the array. A found key is confirmed by
-the stored string, so a collision never decides; where keys are equal, all their strings are looked at.
-The longest rule wins.
+A rule names a host and a path prefix, with ``block`` or ``allow``. Two arrays of sorted keys are written to one file: the rules' hosts, with the
+path lengths that rules of each host have, and the rules (host and path), with their verdicts. The stored strings lie beside the keys, so
+the file, of any size, is shipped to every executor as a Spark file and memory-mapped there; tasks carry only its name.
+
+For a batch of urls host and path are cut out by Arrow's string kernels. The suffixes of the hosts that begin a label are hashed and searched in the first
+array; for those that are found the prefixes of the path of the lengths stored with them are appended and searched in the second. A
+found key is confirmed by the stored string, byte by byte; among equal keys all strings are looked at, so a collision never decides. The
+longest rule wins, of equally long ones the one with the longer host; of one rule with both verdicts ``allow`` wins.
 
 A url that is null or has no ``://`` has empty host and path and fits no rule. A url that fits no rule is
-allowed: the array is a list of rules, and what isn't in it passes. Repeated urls and rows are judged one by one;
-an empty table gives an empty result; other columns are ignored.
+allowed: the array is a list of rules, and what isn't in it passes. Urls of any length are taken whole. Repeated urls and rows are judged one by one, null
+ids stay null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from . import words
 from .common import only, publish
 
 #: The rules of the query.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-PARTS = re.compile(r"://([^/?#]*)([^?#]*)")
-UPPER = {c: c + 32 for c in range(65, 91)}
-
-
-def split(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path of a url."""
-    m = PARTS.search(url or "")
-    return (m[1].translate(UPPER), m[2]) if m else ("", "")
-
-
-def build(rules: list[tuple[str, str, str]]) -> tuple[bytes, list[tuple[str, str]], list[tuple[int, int]]]:
-    """The sorted array's bytes, (rule, verdict) in its order, and the dots in the host and the path lengths that rules have."""
-    found = sorted((xxhash.xxh64_intdigest(h + p), h + p, v) for v, h, p in rules)
-    return np.array([x[0] for x in found], dtype="<u8").tobytes(), [x[1:] for x in found], sorted({(h.count("."), len(p)) for _, h, p in rules})
+PARTS = "://(?P<host>[^/?#]*)(?P<path>[^?#]*)"
+NAMES = ("host_keys", "host_ends", "host_text", "length_ends", "lengths", "rule_keys", "rule_ends", "rule_text", "allow")
+TYPES = ("<u8", "<i8", "u1", "<i8", "<i8", "<u8", "<i8", "u1", "u1")
+
+
+def digest(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text)
+
+
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text ends (and 0 first), and all of them end to end."""
+    return np.cumsum([0, *map(len, texts)]).astype("<i8"), np.frombuffer(b"".join(texts), np.uint8)
+
+
+def build(rules: list[tuple[str, str, str]]) -> bytes:
+    """The file: the sizes of the arrays named in ``NAMES``, then the arrays."""
+    found: dict[tuple[bytes, bytes], bool] = {}
+    for verdict, host, path in rules:
+        key = host.encode(), path.encode()
+        found[key] = found.get(key, False) or verdict == "allow"
+    hosts: dict[bytes, set[int]] = {}
+    for host, path in found:
+        hosts.setdefault(host, set()).add(len(path))
+    by_host = sorted(hosts, key=lambda h: (digest(h), h))
+    by_rule = sorted(((h + p, a) for (h, p), a in found.items()), key=lambda r: (digest(r[0]), r[0]))
+    lengths = [sorted(hosts[h]) for h in by_host]
+    arrays = [
+        np.array([digest(h) for h in by_host], "<u8"), *laid_out(by_host), np.cumsum([0, *map(len, lengths)]).astype("<i8"), np.array([n for own in lengths for n in own], "<i8"),
+        np.array([digest(r) for r, _ in by_rule], "<u8"), *laid_out([r for r, _ in by_rule]), np.array([a for _, a in by_rule], "u1"),
+    ]
+    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def read(where) -> dict[str, np.ndarray]:
+    """The arrays of a file (mapped) or of its bytes."""
+    whole = np.frombuffer(where, np.uint8) if isinstance(where, bytes) else np.memmap(where, np.uint8, mode="r")
+    sizes = whole[: 8 * len(NAMES)].view("<i8").tolist()
+    out, at = {}, 8 * len(NAMES)
+    for name, kind, n in zip(NAMES, TYPES, sizes, strict=True):
+        to = at + n * np.dtype(kind).itemsize
+        out[name] = np.frombuffer(whole[at:to].data, kind) if n else np.zeros(0, kind)
+        at = to
+    return out
 
 
 @lru_cache(maxsize=8)
-def mapped(name: str) -> np.ndarray:
-    path = SparkFiles.get(name)
-    return np.memmap(path, dtype="<u8", mode="r") if os.path.getsize(path) else np.zeros(0, "<u8")
-
-
-def probe(keys: np.ndarray, strings: list[tuple[str, str]], shapes: list[tuple[int, int]], urls: list[str | None]) -> list[tuple[str, str, str | None, str]]:
+def mapped(name: str) -> dict[str, np.ndarray]:
+    return read(SparkFiles.get(name))
+
+
+def search(keys: np.ndarray, ends: np.ndarray, text: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+    """The place of each wanted string, -1 if it isn't stored."""
+    out = np.full(len(wanted), -1)
+    if not wanted or not len(keys):
+        return out
+    hashes = np.fromiter(map(digest, wanted), dtype=np.uint64, count=len(wanted))
+    offsets, own = laid_out(wanted)
+    size = np.diff(offsets)
+    at = np.searchsorted(keys, hashes, "left")
+    live = np.arange(len(wanted))
+    while len(live):
+        live = live[(at[live] < len(keys))]
+        live = live[keys[at[live]] == hashes[live]]
+        k = at[live]
+        same = (ends[k + 1] - ends[k] == size[live])
+        pair = np.flatnonzero(same)
+        first, last = (int(ends[k[pair]].min()), int(ends[k[pair] + 1].max())) if len(pair) else (0, 0)
+        same[pair] = words.same_bytes(text[first:last], ends[k[pair]] - first, own, offsets[live[pair]], size[live[pair]])
+        out[live[same]] = k[same]
+        live = live[~same]
+        at[live] += 1
+    return out
+
+
+def split(urls: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Host (A-Z lower-cased) and path of each url."""
+    parts = pc.extract_regex(pc.fill_null(urls.cast(pa.string()), ""), PARTS)
+    host, path = (pc.fill_null(pc.struct_field(parts, k), "") for k in (0, 1))
+    return pc.ascii_lower(host), path
+
+
+def probe(index: dict[str, np.ndarray], host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that some rule fits, and that rule's place."""
+    data, offsets = words.buffers(host)
+    tail, tail_offsets = words.buffers(path)
+    dots = np.flatnonzero(data == 46) + 1
+    starts = np.concatenate([offsets[:-1], dots])
+    row = np.concatenate([np.arange(len(host)), np.searchsorted(offsets, dots - 1, "right") - 1])
+    stops = offsets[row + 1]
+    fits = np.isin(stops - starts, np.unique(np.diff(index["host_ends"])))  # as long as some rule's host
+    starts, stops, row = starts[fits], stops[fits], row[fits]
+    raw, raw_tail = data.tobytes(), tail.tobytes()
+    found = search(index["host_keys"], index["host_ends"], index["host_text"], [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    hit = np.flatnonzero(found >= 0)
+    begin, count = index["length_ends"][found[hit]], np.diff(index["length_ends"])[found[hit]]
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    hit, n = np.repeat(hit, count), index["lengths"][inner]
+    row, a = row[hit], tail_offsets[row[hit]]
+    fits = n <= tail_offsets[row + 1] - a
+    hit, row, a, n = hit[fits], row[fits], a[fits], n[fits]
+    wanted = [raw[s:e] + raw_tail[p : p + k] for s, e, p, k in zip(starts[hit].tolist(), stops[hit].tolist(), a.tolist(), n.tolist(), strict=True)]
+    rule = search(index["rule_keys"], index["rule_ends"], index["rule_text"], wanted)
+    ok = rule >= 0
+    hit, row, n, rule = hit[ok], row[ok], n[ok], rule[ok]
+    size = stops[hit] - starts[hit]
+    order = np.lexsort((size, size + n, row))
+    last = order[np.append(row[order][1:] != row[order][:-1], True)] if len(order) else order
+    return row[last], rule[last]
+
+
+def judged(index: dict[str, np.ndarray], urls: pa.Array) -> list[pa.Array]:
     """host, path, rule and verdict of each url."""
-    parts = [split(u) for u in urls]
-    owner, tried = [], []
-    for i, (host, path) in enumerate(parts):
-        if host:
-            labels = host.split(".")
-            for dots, n in shapes:
-                if len(labels) > dots and len(path) >= n:
-                    tried.append(".".join(labels[-dots - 1 :]) + path[:n])
-                    owner.append(i)
-    best: dict[int, tuple[str, str]] = {}
-    if tried and len(keys):
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, tried), dtype=np.uint64, count=len(tried))
-        left, right = np.searchsorted(keys, digests, "left"), np.searchsorted(keys, digests, "right")
-        for k in np.flatnonzero(right > left).tolist():
-            for rule, verdict in strings[left[k] : right[k]]:
-                if rule == tried[k] and len(rule) > len(best.get(owner[k], ("", ""))[0]):
-                    best[owner[k]] = (rule, verdict)
-    return [(*parts[i], *best.get(i, (None, "allow"))) for i in range(len(urls))]
+    host, path = split(urls)
+    row, rule = probe(index, host, path)
+    which, back = np.unique(rule, return_inverse=True)
+    ends = index["rule_ends"]
+    names = pa.array([index["rule_text"][ends[k] : ends[k + 1]].tobytes().decode() for k in which.tolist()], pa.string())
+    at = np.full(len(host), -1)
+    at[row] = back
+    allow = np.ones(len(host), bool)
+    allow[row] = index["allow"][rule] != 0
+    return [host, path, names.take(pa.array(at, mask=at < 0)), pc.if_else(pa.array(allow), "allow", "block")]
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages(page_id, url)``."""
-    spark = pages.sparkSession
-    data, strings, shapes = build(rules)
-    name = f"url-rules-{xxhash.xxh64_hexdigest(data)}.u64"
-    publish(spark, name, data)
+    data = build(rules)
+    name = f"url-rules-{xxhash.xxh3_128_hexdigest(data)}.bin"
+    publish(pages.sparkSession, name, data)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = mapped(name)
-        for b in batches:
-            rows = probe(keys, strings, shapes, b.column("url").to_pylist())
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), *[pa.array(c, pa.string()) for c in columns]], ["page_id", "host", "path", "rule", "verdict"])
+        index = mapped(name)
+        for batch in batches:
+            for b in words.slices(batch, "url"):
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), *judged(index, b.column("url"))], ["page_id", "host", "path", "rule", "verdict"])
 
     return only(pages, "page_id", "url").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
 
