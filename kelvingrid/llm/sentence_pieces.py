@@ -10,9 +10,13 @@ the order of their scores instead of by shortest path: in each round every unit
 its best edge, the leftmost of equals, until no edge spans two neighbours. Characters without a piece become their bytes. This gives the
 library's ids exactly. Decoding maps ids back to text.
 
+Where no edge of a unit crosses a place between two characters, no merge ever does: units are cut there before they are relaxed, and a
+long unit (text without blanks) is encoded window by window, each up to the last such place. Only a run that edges cover without a gap, such as many equal signs,
+is held whole, with some hundred bytes a byte. The ids of units met before are remembered by hash, and taken only if the unit's bytes are the same.
+
 Blanks are U+0020 and U+2581, which the model doesn't tell apart; a text with U+2581 decodes to one with U+0020 in its
 place, and the round trip is judged with that in mind. Null text counts as empty, which has no pieces and decodes to the empty
-text. Texts of any length are taken whole. Repeated rows are encoded one by one. An empty table gives an empty result. Other columns are ignored.
+text. Texts of any length are taken whole. Null ids stay null; repeated rows are encoded one by one. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,18 +183,28 @@ def relax_long(vocab: Vocabulary, key: np.ndarray, piece: np.ndarray, starts: li
     return [s for s, a in zip(starts, alive, strict=True) if a]
 
 
+def free(key: np.ndarray, n: int) -> np.ndarray:
+    """For each place of ``n`` bytes and their end, whether no edge crosses it."""
+    start = key >> 6
+    stop = start + (key & 63)
+    return np.cumsum(np.bincount(start + 1, minlength=n + 2) - np.bincount(stop, minlength=n + 2))[: n + 1] <= 0
+
+
 def encode_units(vocab: Vocabulary, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some units laid end to end (``ends``: where each ends), and how many each has."""
     sizes = np.diff(np.concatenate([[0], ends]))
     unit_of = np.repeat(np.arange(len(ends)), sizes)
     key, piece = edges(vocab, data, ends[unit_of])
     starts = np.flatnonzero((data & 0xC0) != 0x80)
-    unit = unit_of[starts]
     stops = np.append(starts[1:], len(data))
-    long = (sizes > LONG)[unit]
+    fresh = free(key, len(data))[starts]
+    unit = np.cumsum(fresh) - 1
+    begin = starts[fresh]
+    long = (np.diff(np.append(begin, len(data))) > LONG)[unit]
     s = relax(vocab, key, piece, starts[~long], stops[~long], unit[~long])
     if long.any():
-        more = [np.array(relax_long(vocab, key, piece, starts[unit == k].tolist(), int(ends[k]))) for k in np.flatnonzero(sizes > LONG).tolist()]
+        finish = np.append(begin[1:], len(data))
+        more = [np.array(relax_long(vocab, key, piece, starts[unit == k].tolist(), int(finish[k]))) for k in np.unique(unit[long]).tolist()]
         s = np.sort(np.concatenate([s, *more]))
     e = np.append(s[1:], len(data))
     want = s * 64 + np.minimum(e - s, 63)
@@ -205,41 +219,68 @@ def encode_units(vocab: Vocabulary, data: np.ndarray, ends: np.ndarray) -> tuple
     return ids, np.bincount(unit_of[s], weights=count, minlength=len(ends)).astype(np.int64)
 
 
+def encode_long(vocab: Vocabulary, unit: np.ndarray, part: int) -> np.ndarray:
+    """Ids of one long unit, window by window; all edges that cross a place of a window lie in it and the ``DEPTH`` bytes behind it."""
+    out, a, width = [], 0, part
+    while a < len(unit):
+        b = min(len(unit), a + width)
+        if b < len(unit):
+            window = unit[a : b + DEPTH]
+            key, _ = edges(vocab, window, np.full(len(window), len(window)))
+            cut = np.flatnonzero(free(key, len(window))[: b - a + 1] & np.append((window & 0xC0) != 0x80, True)[: b - a + 1])
+            if cut[-1] == 0:
+                width *= 2
+                continue
+            b = a + int(cut[-1])
+        out.append(encode_units(vocab, unit[a:b], np.array([b - a]))[0])
+        a, width = b, part
+    return np.concatenate(out)
+
+
+def encode_all(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the units data[starts:ends], and how many each has; about ``part`` bytes are looked at together."""
+    size = ends - starts
+    upto = np.cumsum(size)
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + part, "right")))
+        if size[at] > part:
+            ids.append(encode_long(vocab, data[starts[at] : ends[at]], part))
+            counts.append(np.array([len(ids[-1])]))
+        else:
+            offset = np.cumsum(size[at:to]) - size[at:to]
+            take = np.arange(int(size[at:to].sum())) - np.repeat(offset, size[at:to]) + np.repeat(starts[at:to], size[at:to])
+            for x, into in zip(encode_units(vocab, data[take], offset + size[at:to]), (ids, counts), strict=True):
+                into.append(x)
+        at = to
+    return np.concatenate(ids), np.concatenate(counts)
+
+
 class Encoder:
-    """Encodes columns of texts; remembers the units it has met, and starts anew after ``MOST`` of them."""
+    """Encodes columns of texts; remembers the units it has met, with their bytes, and starts anew after ``MOST`` of them."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.where, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = [np.zeros(0, np.int32)]
-        self.held = 0
+        self.hashes = np.zeros(0, np.uint64)
+        self.where, self.count, self.at, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     def learn(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> None:
-        size = ends - starts
-        upto = np.cumsum(size)
-        at = 0
-        ids, counts = [], []
-        while at < len(size):
-            base = upto[at] - size[at]
-            to = max(at + 1, int(np.searchsorted(upto, base + PART, "right")))
-            own = size[at:to]
-            offset = np.cumsum(own) - own
-            take = np.arange(int(own.sum())) - np.repeat(offset, own) + np.repeat(starts[at:to], own)
-            i, c = encode_units(self.vocab, data[take], offset + own)
-            ids.append(i)
-            counts.append(c)
-            at = to
-        if not ids:
+        if not len(hashes):
             return
-        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        ids, counts = encode_all(self.vocab, data, starts, ends)
+        size = ends - starts
+        offset = np.cumsum(size) - size
         into = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.count = np.insert(self.hashes, into, hashes), np.insert(self.count, into, counts)
-        self.where = np.insert(self.where, into, self.held + np.cumsum(counts) - counts)
-        self.pool.append(ids)
-        self.held += len(ids)
+        put = lambda old, new: np.insert(old, into, new)
+        self.hashes, self.count, self.size = put(self.hashes, hashes), put(self.count, counts), put(self.size, size)
+        self.where, self.at = put(self.where, len(self.pool) + np.cumsum(counts) - counts), put(self.at, len(self.text) + offset)
+        self.pool = np.concatenate([self.pool, ids])
+        self.text = np.concatenate([self.text, data[np.arange(int(size.sum())) - np.repeat(offset, size) + np.repeat(starts, size)]])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin and the last end."""
@@ -254,18 +295,32 @@ class Encoder:
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
+        size = ends - starts
         hashes = words.word_hashes(data, starts, ends)
-        own, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(own) > MOST:
+        own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(own) > MOST or len(self.text) > 32 * MOST:
             self.clear()
-        new = np.flatnonzero(~np.isin(own, self.hashes, assume_unique=True))
-        self.learn(own[new], starts[at[new]], ends[at[new]], data)
-        if len(self.pool) > 1:
-            self.pool = [np.concatenate(self.pool)]
+        # a hash stands for the first unit that had it; whoever has other bytes is encoded by itself
+        model = first[back]
+        plain = size == size[model]
+        plain[plain] = words.same_bytes(data, starts[plain], data, starts[model[plain]], size[plain])
+        slot = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
+        known = self.hashes[slot] == own if len(self.hashes) else np.zeros(len(own), bool)
+        met = np.flatnonzero(known)
+        same = self.size[slot[met]] == size[first[met]]
+        same[same] = words.same_bytes(self.text, self.at[slot[met[same]]], data, starts[first[met[same]]], size[first[met[same]]])
+        plain &= ~np.isin(back, met[~same])
+        new = np.flatnonzero(~known)
+        self.learn(own[new], starts[first[new]], ends[first[new]], data)
         found = np.searchsorted(self.hashes, own)[back]
-        count, where = self.count[found], self.where[found]
+        count, where, pool = self.count[found], self.where[found], self.pool
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            ids, count[odd] = encode_all(self.vocab, data, starts[odd], ends[odd])
+            where[odd] = len(pool) + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate([pool, ids])
         upto = np.cumsum(count)
-        ids = self.pool[0][np.arange(upto[-1]) - np.repeat(upto - count, count) + np.repeat(where, count)]
+        ids = pool[np.arange(upto[-1]) - np.repeat(upto - count, count) + np.repeat(where, count)]
         return ids, np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
 
 
@@ -286,7 +341,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for b in words.slices(batch, "text", 8 << 20):
+            for b in words.slices(batch, "text", 4 << 20):
                 text = pc.fill_null(b.column("text"), "")
                 ids, cuts = enc.encode(text)
                 same = []

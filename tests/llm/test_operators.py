@@ -177,6 +177,39 @@ def test_op3_round_trip_and_library_ids(spark, docs, empty):
     assert sentence_pieces.pieces(empty, path).count() == 0
 
 
+def library(texts):
+    from sentencepiece import SentencePieceProcessor
+
+    p = SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    return [p.encode(t) for t in texts]
+
+
+def ids_of(enc, texts):
+    ids, cuts = enc.encode(pa.array(texts))
+    return [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def test_op3_units_with_one_hash_keep_their_own_ids(monkeypatch):
+    texts = [*thue_morse(1024), *thue_morse(2048), *thue_morse(4096)]
+    enc = sentence_pieces.Encoder(queries.tokenizer_path("piece_bpe_32k.model"))
+    assert [i for t in texts for i in ids_of(enc, [t])] == ids_of(enc, texts) == library(texts)
+    monkeypatch.setattr(words, "word_hashes", lambda data, starts, ends, lane=0: (ends - starts).astype(np.uint64))  # every length one hash
+    weak = sentence_pieces.Encoder(queries.tokenizer_path("piece_bpe_32k.model"))
+    some = ["one two six", "ten cat dog sun", "two one", "", "sun fun run"]
+    assert ids_of(weak, some) == library(some)
+    assert ids_of(weak, some[::-1]) == library(some[::-1])
+
+
+def test_op3_long_texts_without_blanks():
+    r = random.Random(1)
+    texts = ["".join(r.choice("日本語漢字文章国際会議、。ab") for _ in range(40000)), "=" * 3000, "x" * 900 + "日" * 900, "".join(r.choice("abcdefgh") for _ in range(6000)) + "😀" * 400]
+    vocab = sentence_pieces.vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    for t, want in zip(texts, library(texts)):
+        unit = np.frombuffer((" " + t).encode(), np.uint8)
+        for part in (512, 1 << 18):
+            assert sentence_pieces.encode_all(vocab, unit, np.array([0]), np.array([len(unit)]), part)[0].tolist() == want
+
+
 def norm(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
