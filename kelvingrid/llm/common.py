@@ -112,8 +112,8 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
 EDGES = 1 << 20
 
 
-def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's edges (a, b) -> each of their ids but the smallest of its component, linked to that smallest."""
+def forest_of(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A forest of stars of some edges: each id but the smallest of its component, linked to that smallest."""
     root: dict[int, int] = {}
 
     def find(k: int) -> int:
@@ -122,13 +122,30 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = up
         return k
 
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(k, r) for k in root if (r := find(k)) != k]
+
+
+def forest(batches: Iterator[pa.RecordBatch], most: int = EDGES) -> Iterator[pa.RecordBatch]:
+    """One task's edges (a, b) as forests of stars, each of ``most`` edges or so, so that a task's memory is bounded."""
+    a: list[int] = []
+    b: list[int] = []
+
+    def stars() -> pa.RecordBatch:
+        rows = forest_of(a, b)
+        a.clear()
+        b.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+
     for batch in batches:
-        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    rows = [(k, r) for k in root if (r := find(k)) != k]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+        a += batch.column("a").to_pylist()
+        b += batch.column("b").to_pylist()
+        if len(a) >= 2 * most:
+            yield stars()
+    yield stars()
 
 
 def components(edges: DataFrame, max_rounds: int = 60, most: int = EDGES) -> DataFrame:
@@ -151,23 +168,24 @@ def components(edges: DataFrame, max_rounds: int = 60, most: int = EDGES) -> Dat
             out = j.where(F.col("b") > F.col("a")).select(F.col("b").alias("u"), "m")
         return out.where(F.col("u") != F.col("m")).select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
 
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "components")
-    n, seen = now.count(), None
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long"), "components")
+    seen = None
     for _ in range(max_rounds):
+        n, *rest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         parts = max(1, -(-n // most))
-        stars = now.coalesce(parts).mapInArrow(forest, "a long, b long")
         if parts == 1:
-            nxt = cut(stars, "components")
+            nxt = cut(now.coalesce(1).mapInArrow(forest, "a long, b long"), "components")
             drop(now)
             now = nxt
             break
-        nxt = cut(star(star(cut(stars.repartition(parts), "components"), small=False), small=True), "components")
-        drop(now)
-        now, before = nxt, seen
-        n, *rest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        seen = (n, *rest)
+        before, seen = seen, (n, *rest)
         if before == seen:
             break
+        stars = cut(now.repartition(parts).mapInArrow(forest, "a long, b long"), "components")
+        nxt = cut(star(star(stars, small=False), small=True), "components")
+        for done in (now, stars):
+            drop(done)
+        now = nxt
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()

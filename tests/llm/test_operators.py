@@ -374,10 +374,7 @@ def shingle_set(t):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("tile", [1024, 3])
-def test_op8_components_equal_brute_force(docs, empty, monkeypatch, tile):
-    monkeypatch.setattr(jaccard_join, "TILE", tile)
-    rows = fixture_rows()
+def brute_components(rows):
     sets = [(i, shingle_set(t)) for i, t in rows]
     root = list(range(len(sets)))
     for a in range(len(sets)):
@@ -388,10 +385,43 @@ def test_op8_components_equal_brute_force(docs, empty, monkeypatch, tile):
                 root = [new if r == old else r for r in root]
     low = {}
     for r, (i, _) in zip(root, sets):
-        low[r] = min(low.get(r, i), i)
-    got = jaccard_join.jaccard_components(docs).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), low[r]) for r, (i, s) in zip(root, sets))
-    assert jaccard_join.jaccard_components(empty).count() == 0
+        if i is not None:
+            low[r] = min(low.get(r, i), i)
+    return Counter((i, len(s), low.get(r)) for r, (i, s) in zip(root, sets))
+
+
+def collected(df):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+
+
+@pytest.mark.parametrize(("tile", "segment", "options"), [(1024, 1 << 19, {}), (3, 1 << 19, {"hot_least": 5}), (2, 40, {"hot_least": 8, "entries": 300}), (1024, 1 << 19, {"hot_least": 4, "entries": 1000})])
+def test_op8_components_equal_brute_force(docs, empty, monkeypatch, tile, segment, options):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SEGMENT", segment)
+    assert collected(jaccard_join.jaccard_components(docs, **options)) == brute_components(fixture_rows())
+    assert jaccard_join.jaccard_components(empty, **options).count() == 0
+
+
+def test_op8_sizes_at_the_threshold_and_one_common_passage(spark):
+    r = random.Random(8)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base, passage = own(129), own(60)
+    rows = [(k, " ".join(base[: 104 + k])) for k in range(26)]  # sets of 100 to 125: the first and the last link by a hair
+    rows += [(100 + k, " ".join(own(4) + passage + own(k % 3))) for k in range(40)]  # mostly one passage
+    rows += [(200 + k, " ".join(own(60) + passage)) for k in range(30)]  # half a passage
+    rows += [(300, " ".join([*"abcd", thue_morse(1024)[0]])), (301, " ".join([*"abcd", thue_morse(1024)[1]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(rows)
+    assert (300, 1, 300) in want and (301, 1, 301) in want and sum(n for (_, _, c), n in want.items() if c == 0) == 26
+    for least in (4, 1000):
+        assert collected(jaccard_join.jaccard_components(df, hot_least=least)) == want
+
+
+def test_op8_first_rows_go_by_row_not_by_id(spark):
+    text = text_of(3, 60)
+    rows = [(1, text), (2, text + " more"), (2, text_of(4, 60)), (3, None), (None, text + " and more"), (None, text_of(5, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in jaccard_join.first_rows(df).collect()))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5]]))
 
 
 def test_components_over_several_tasks(spark):
@@ -403,6 +433,7 @@ def test_components_over_several_tasks(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert common.components(df.limit(0)).count() == 0
     for most in (1 << 20, 40):
         assert {x.id: x.comp for x in common.components(df, most=most).collect()} == {k: v for k, v in root.items() if k in linked}
 
