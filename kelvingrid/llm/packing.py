@@ -62,10 +62,11 @@ def boundaries(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str = "0", length: Column | None = None) -> DataFrame:
-    """doc_id, length, bucket (0 is the shortest), edge, batch (in its bucket), slot (in its batch) and padding of every row."""
+def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str = "0", length: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, length, bucket (0 is the shortest), edge, batch (in its bucket), slot (in its batch) and padding of every row, and the columns of ``carry``."""
     size = F.octet_length(docs["text"]) if length is None else length
-    rows = docs.select(docs["doc_id"], F.coalesce(size, F.lit(0)).cast("long").alias("length"))
+    rows = docs.select(docs["doc_id"], F.coalesce(size, F.lit(0)).cast("long").alias("length"), *[docs[f"`{c}`"].alias(f"__{c}") for c in carry])
+    also = [f"__{c}" for c in carry]
     hist = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")
     cuts = boundaries(hist.column("length").to_numpy(), hist.column("n").to_numpy(), buckets) or [1]
     bucket, edge = F.lit(len(cuts) - 1), F.lit(cuts[-1])
@@ -73,7 +74,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str =
         bucket = F.when(F.col("length") <= cuts[k], k).otherwise(bucket)
         edge = F.when(F.col("length") <= cuts[k], cuts[k]).otherwise(edge)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("length").cast("string")))
-    rows = rows.select("doc_id", "length", bucket.cast("int").alias("bucket"), edge.cast("long").alias("edge"), key.alias("key"))
+    rows = rows.select("doc_id", "length", bucket.cast("int").alias("bucket"), edge.cast("long").alias("edge"), key.alias("key"), *also)
     rows = ranked(rows, ["bucket"], [F.col(c) for c in ("key", "doc_id", "length")], leading(F.col("key"), sum(hist.column("n").to_pylist())), "at", "of")
     per = F.expr(f"greatest(1L, {budget}L div greatest(edge, 1L))")
-    return rows.withColumn("per", per).select("doc_id", "length", "bucket", "edge", F.expr("at div per").alias("batch"), F.expr("at % per").alias("slot"), (F.col("edge") - F.col("length")).alias("padding"))
+    return rows.withColumn("per", per).select("doc_id", "length", "bucket", "edge", F.expr("at div per").alias("batch"), F.expr("at % per").alias("slot"), (F.col("edge") - F.col("length")).alias("padding"), *[F.col(f"__{c}").alias(c) for c in carry])

@@ -20,9 +20,3 @@ def keep(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
                 yield b.filter(pa.array(judge(b.column("text")), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``dropped(doc_id)``; rows without an id stay."""
-    gone = dropped.select(dropped["doc_id"].alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
