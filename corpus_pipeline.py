@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage works on all rows that the one before has kept. The models of the first two stages are fitted on bounded
-samples of the labelled documents of ``sf_dir``. A stage's rows are judged by their text alone, and rows without an id are kept
-by the deduplicating stages, since nothing can name them.
+samples of the labelled documents of ``sf_dir``. A stage judges each row by its text; an id that several rows share, or that is
+null, doesn't tie them together: of a group of copies one row stays, whichever id the others have. Of rows that are equal in id and text one stays.
 """
 
 from __future__ import annotations
@@ -29,17 +29,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id."""
-    return rowfilter.without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    return exact_dedup.distinct_rows(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8 or more the document with the smallest id."""
-    return rowfilter.without(docs, jaccard_join.jaccard_components(docs).where("component_id <> doc_id"))
+    return jaccard_join.first_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of all documents that remain."""
-    return packing.pack(docs)
+    """Length buckets and batches of all documents that remain, with their texts."""
+    return packing.pack(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
