@@ -58,6 +58,17 @@ def crossing_at(a: tuple, b: tuple) -> Column:
     return ((b[0] - a[0]) * ey - (b[1] - a[1]) * ex) / F.nullif(dx * ey - dy * ex, F.lit(0.0))
 
 
+def overlap_length(a: tuple, b: tuple) -> Column:
+    """Metres over which two segments lie on each other; 0 if they are not on one line."""
+    dx, dy = a[2] - a[0], a[3] - a[1]
+    size = F.sqrt(dx * dx + dy * dy)
+    off = lambda x, y: F.abs(dx * (y - a[1]) - dy * (x - a[0])) / F.nullif(size, F.lit(0.0))
+    at = lambda x, y: (dx * (x - a[0]) + dy * (y - a[1])) / F.nullif(size, F.lit(0.0))
+    p, q = at(b[0], b[1]), at(b[2], b[3])
+    shared = F.greatest(F.lit(0.0), F.least(size, F.greatest(p, q)) - F.greatest(F.lit(0.0), F.least(p, q)))
+    return F.coalesce(F.when((off(b[0], b[1]) < 1e-9) & (off(b[2], b[3]) < 1e-9), shared), F.lit(0.0))
+
+
 def acute_angle(dx, dy, ex, ey) -> Column:
     """Degrees between two directions, 0 to 90; 90 if one has no length."""
     size = F.sqrt(dx * dx + dy * dy) * F.sqrt(ex * ex + ey * ey)

@@ -51,18 +51,6 @@ def connections(chambers: DataFrame, pipes: DataFrame, reach: float = 2.0) -> Da
     return chambers.select("id").join(found, "id", "left").fillna(0, ["degree"])
 
 
-def ranked_ties(terminals: DataFrame, ties: DataFrame, limit: int, reach: float) -> DataFrame:
-    """The best ``limit`` candidates of each terminal within ``reach``: deduplicated by decimetre, then ranked by score.
-
-    ``terminals(id, x, y, flow)``; ``ties(id, x, y, dn, chamber)``. The cell join bounds the pairs by the area that ``reach`` covers.
-    """
-    pairs = within(terminals.select("id", "x", "y", "flow"), ties.select("id", "x", "y", "dn", "chamber"), reach)
-    pairs = pairs.withColumn("score", tie_score(F.col("distance"), F.col("flow"), F.col("r_dn"), F.col("r_chamber"), jitter(F.col("id"), F.col("r_id"))))
-    key = [g.half_up(F.col("r_x") * 10), g.half_up(F.col("r_y") * 10)]
-    first = pairs.withColumn("__k", F.row_number().over(Window.partitionBy("id", *key).orderBy("score", "r_id"))).where("__k = 1")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "r_id"))).where(F.col("rank") <= limit).drop("__k")
-
-
 def tie_points(chambers: DataFrame, pipes: DataFrame) -> DataFrame:
     """Candidates that are the same for all terminals: (id, chamber, chainage, x, y, dn).
 

@@ -15,9 +15,9 @@ def node_diameters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def chamber_costs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan, cost): new chambers (kind CHAMBER, or TIE_IN on a pipe), priced by the largest diameter at them."""
+    """(plan, cost): new chambers (kind CHAMBER, or TIE_IN on a pipe), priced by the largest diameter at them; 0 for one without an edge."""
     new = nodes.where("kind = 'CHAMBER' or (kind = 'TIE_IN' and existing_type <> 'heat_chamber')")
-    return node_diameters(new, edges).groupBy("plan").agg(F.sum(rules.chamber_cost(F.coalesce("dn", F.lit(50)))).alias("cost"))
+    return node_diameters(new, edges).groupBy("plan").agg(F.sum(F.when(F.col("dn").isNull(), 0.0).otherwise(rules.chamber_cost(F.col("dn")))).alias("cost"))
 
 
 def tie_costs(nodes: DataFrame, edges: DataFrame) -> DataFrame:

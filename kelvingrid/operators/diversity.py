@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 
+from .graph import ancestors
+
 CELL = 12.0
 
 
@@ -19,10 +21,27 @@ def corridor_cells(segments: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.floor((F.col("ax") + t * (F.col("bx") - F.col("ax"))) / CELL).alias("cell_x"), F.floor((F.col("ay") + t * (F.col("by") - F.col("ay"))) / CELL).alias("cell_y")).distinct()
 
 
-def jaccard_distance(a: Column, b: Column) -> Column:
-    """1 - shared / all of two sets as arrays; 0 if both are empty."""
-    every = F.size(F.array_union(a, b))
-    return F.when(every == 0, 0.0).otherwise(1 - F.size(F.array_intersect(a, b)) / F.nullif(every, F.lit(0)))
+def tie_items(nodes: DataFrame) -> DataFrame:
+    """(plan, item): each tie's existing object, by type and id."""
+    return nodes.where("kind = 'TIE_IN'").select("plan", F.concat_ws(":", "existing_type", "existing_id").alias("item")).distinct()
+
+
+def topology_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(plan, item): for each root its existing object and all terminals below it; for each branch the groups of terminals below its children.
+
+    ``nodes(plan, node, kind, oks_id, existing_type, existing_id)``, ``edges(plan, parent, child)``. A list holds the terminals of one root, not of a plan table.
+    """
+    key = lambda c: F.struct("plan", F.col(c).cast("string").alias("node"))
+    closure = ancestors(edges.select(key("parent").alias("parent"), key("child").alias("child")))
+    ends = nodes.where("kind = 'TERMINAL'").select(key("node").alias("id"), F.col("oks_id").cast("string").alias("oks_id"))
+    alone = nodes.select(key("node").alias("id"))
+    closure = closure.select("id", "anc").unionByName(alone.select("id", F.col("id").alias("anc"))).distinct()
+    below = closure.join(ends, "id").groupBy("anc").agg(F.concat_ws(",", F.sort_array(F.collect_set("oks_id"))).alias("below"))
+    roots = nodes.where("kind = 'TIE_IN'").select(key("node").alias("anc"), F.concat_ws(":", "existing_type", "existing_id").alias("tie")).join(below, "anc", "left")
+    items = roots.select(F.col("anc.plan").alias("plan"), F.concat(F.col("tie"), F.lit("=>"), F.coalesce("below", F.lit(""))).alias("item"))
+    groups = edges.select("plan", F.col("parent").cast("string").alias("parent"), key("child").alias("anc")).join(below, "anc", "left")
+    branches = groups.groupBy("plan", "parent").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("/", F.sort_array(F.collect_list(F.coalesce("below", F.lit(""))))).alias("groups")).where("n > 1")
+    return items.unionByName(branches.select("plan", F.concat(F.lit("branch:"), F.col("groups")).alias("item"))).distinct()
 
 
 def set_distances(members: DataFrame, plan: str, item: str) -> DataFrame:

@@ -49,8 +49,8 @@ def slope_violations(points: DataFrame, key: str = "edge") -> DataFrame:
     w = Window.partitionBy(key).orderBy("x")
     rows = points.withColumns({"px": F.lag("x").over(w), "pd": F.lag("depth").over(w), "first": F.row_number().over(w) == 1, "last": F.lead("x").over(w).isNull()})
     steep = F.col("px").isNotNull() & (F.abs(F.col("depth") - F.col("pd")) > 0.100001 * (F.col("x") - F.col("px")))
-    ends = (F.col("first") | F.col("last")) & (F.abs(F.col("depth") - rules.DEPTH) > 1e-9)
-    rule = F.when(ends, "end").when(F.col("depth") < 0.7, "shallow").when(steep, "slope")
+    ends = (F.col("first") | F.col("last")) & (F.abs(F.col("depth") - rules.DEPTH) > 1e-6)
+    rule = F.when(ends, "end").when(F.col("depth") < 0.7 - 1e-8, "shallow").when(steep, "slope")
     return rows.withColumn("rule", rule).where("rule is not null").select(key, "x", "depth", "rule")
 
 
@@ -58,28 +58,3 @@ def piece_cost(parts: DataFrame, price: Column, from_depth: Column | None = None
     """Adds ``cost`` to costed pieces: price, factor, and the mean of the depth factors at both ends."""
     deep = F.lit(1.0) if from_depth is None else (rules.depth_factor(from_depth) + rules.depth_factor(to_depth)) / 2
     return parts.withColumn("cost", (F.col("to") - F.col("at")) * price * F.col("factor") * deep)
-
-
-def reconciled(demands: DataFrame, key: str = "edge", rounds: int = 200) -> DataFrame:
-    """Settle conflicting demands of each path: (edge, low, high, depth, above) in, the same with ``depth`` out.
-
-    Demands above the normal depth and below it can't both hold where their ramps meet: the shallow one is dropped to its
-    ``below`` depth. Repeated until no pair conflicts; a path's demands are few, and many paths share a group.
-    """
-    import pandas as pd
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        own = rows.assign(i=rows.index)
-        pairs = own.merge(own, on=key, suffixes=("", "_"))
-        reach = rules.SLOPE * (pairs.low_ - pairs.high).clip(lower=0).combine((pairs.low - pairs.high_).clip(lower=0), max) + 1e-9
-        i, j, depth, below = pairs.i.to_numpy(), pairs.i_.to_numpy(), rows.depth.to_numpy(dtype=float).copy(), rows.below.to_numpy(dtype=float)
-        for _ in range(rounds):
-            clash = (depth[i] < rules.DEPTH) & (depth[j] > rules.DEPTH) & (depth[j] - depth[i] > reach.to_numpy()) & (depth[i] != below[i])
-            if not clash.any():
-                return rows.assign(depth=depth)
-            depth[i[clash]] = below[i[clash]]
-        raise RuntimeError("depths did not settle")
-
-    parts = max(1, int(demands.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
-    return demands.groupBy(F.pmod(F.xxhash64(key), F.lit(parts))).applyInPandas(settle, demands.schema)

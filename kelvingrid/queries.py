@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import candidates, costs, diversity, graph, intervals, spatial, treedp
+from kelvingrid.operators import candidates, costs, depth, diversity, graph, intervals, spatial, treedp
 from kelvingrid.plans import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,13 +138,13 @@ def canonical_tie(spark, sf):
 
 
 @query(f"""WITH {T}, {DN}, s AS (SELECT s_suppkey AS id, ((s_suppkey * 6151) % 10007)::DOUBLE AS x, ((s_suppkey * 3571) % 10009)::DOUBLE AS y, (SELECT min(dn) FROM dn WHERE cap + 1e-9 >= (s_suppkey * 37) % 400 + 0.5) AS dn, s_suppkey % 2 = 0 AS chamber FROM supplier),
-p AS (SELECT t.id, s.id AS tie, s.x, s.y, sqrt((t.x - s.x) ^ 2 + (t.y - s.y) ^ 2) + greatest(0, flow - cap) * (25000 / 107142.86::DOUBLE) - CASE WHEN chamber THEN 5 ELSE 0 END + ((t.id * 7919 + s.id * 104729 + 17) % 10007) * 2.0::DOUBLE / 10007 AS score FROM t, s JOIN dn ON dn.dn = s.dn WHERE sqrt((t.x - s.x) ^ 2 + (t.y - s.y) ^ 2) <= 1500),
-f AS (SELECT *, row_number() OVER (PARTITION BY id, floor(x * 10 + 0.5), floor(y * 10 + 0.5) ORDER BY score, tie) AS j FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, tie) AS rank FROM f WHERE j = 1)
-SELECT id, tie, round(score, 6) AS score, rank FROM k WHERE rank <= 8""")
+p AS (SELECT t.id, s.id AS tie, chamber, sqrt((t.x - s.x) ^ 2 + (t.y - s.y) ^ 2) + greatest(0, flow - cap) * (25000 / 107142.86::DOUBLE) - CASE WHEN chamber THEN 5 ELSE 0 END + ((t.id * 7919 + s.id * 104729 + 17) % 10007) * 2.0::DOUBLE / 10007 AS score FROM t, s JOIN dn ON dn.dn = s.dn),
+m AS (SELECT id, unnest(min(struct_pack(score := score, chamber := chamber, tie := tie), 8), recursive := true) FROM p GROUP BY id) SELECT id, tie, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score, chamber, tie) AS rank FROM m""")
 def tie_candidates_topk(spark, sf):
-    """Candidates of each terminal, deduplicated by decimetre and ranked."""
-    s = pipes(spark, sf).select("id", F.col("ax").alias("x"), F.col("ay").alias("y"), "dn", (F.col("id") % 2 == 0).alias("chamber"))
-    return candidates.ranked_ties(terminals(spark, sf), s, 8, 1500.0).select("id", F.col("r_id").alias("tie"), r6(F.col("score")).alias("score"), "rank")
+    """The best eight of all chambers and pipe ends for each terminal."""
+    s = pipes(spark, sf).select("id", "ax", "ay", F.col("ax").alias("bx"), F.col("ay").alias("by"), "dn")
+    h = s.where("id % 2 = 0").select("id", F.col("ax").alias("x"), F.col("ay").alias("y"), "dn", F.lit(0).alias("degree"))
+    return candidates.best_ties(terminals(spark, sf), h, s.where("id % 2 = 1"), 8).select("id", "tie", r6(F.col("score")).alias("score"), "rank")
 
 
 @query(f"""WITH {T}, {DN}, {PIPES}, s AS (SELECT l.*, (SELECT min(dn) FROM dn WHERE cap + 1e-9 >= (id * 37) % 400 + 0.5) AS dn, sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) AS length FROM l),
@@ -167,11 +167,10 @@ def tie_candidates_all(spark, sf):
 SECTOR = "least(15, floor((atan2(dy, dx) + pi()) / (2 * pi()) * 16)::INT)"
 
 
-@query(f"WITH {T}, d AS (SELECT a.id, b.id AS other, b.x - a.x AS dx, b.y - a.y AS dy FROM t a JOIN t b ON a.id <> b.id AND abs(a.x - b.x) <= 700 AND abs(a.y - b.y) <= 700 AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 700), s AS (SELECT *, {SECTOR} AS sector, row_number() OVER (PARTITION BY id, {SECTOR} ORDER BY sqrt(dx * dx + dy * dy), other) AS k FROM d), l AS (SELECT *, row_number() OVER (PARTITION BY id, sector ORDER BY k) AS j FROM s WHERE k <= 6 AND other % 3 <> 0) SELECT id, other, sector, k AS attempt FROM l WHERE j <= 2")
+@query(f"WITH {PIPES}, p AS (SELECT a.id, unnest(min(struct_pack(q := (a.ax - b.ax) ^ 2 + (a.ay - b.ay) ^ 2, other := b.id, dx := b.ax - a.ax, dy := b.ay - a.ay), 64), recursive := true) FROM l a JOIN l b ON a.id <> b.id GROUP BY a.id), s AS (SELECT *, {SECTOR} AS sector, row_number() OVER (PARTITION BY id, {SECTOR} ORDER BY q, other) AS k FROM p), l2 AS (SELECT *, row_number() OVER (PARTITION BY id, sector ORDER BY k) AS j FROM s WHERE k <= 6 AND other % 3 <> 0) SELECT id, other, sector, k AS attempt FROM l2 WHERE j <= 2")
 def sector_topk(spark, sf):
-    """Of 16 sectors the first six tries, of them the first two legal ones."""
-    t = terminals(spark, sf).select("id", "x", "y")
-    d = spatial.within(t, t, 700.0).where("id <> r_id").withColumn("dx", F.col("r_x") - F.col("x")).withColumn("dy", F.col("r_y") - F.col("y"))
+    """W3, W4 over pipe ends: of the 64 nearest in 16 sectors the first six tries, of them the first two legal ones."""
+    d = spatial.neighbours(pipes(spark, sf).select("id", F.col("ax").alias("x"), F.col("ay").alias("y")), 64)
     return spatial.sectors(d, "id", 6, 16, F.col("r_id") % 3 != 0, 2).select("id", F.col("r_id").alias("other"), "sector", F.col("try").alias("attempt"))
 
 
@@ -236,8 +235,8 @@ def plan_rows(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return nodes.select("plan").distinct(), nodes, edges, terminals(spark, sf).select(F.col("id").alias("oks_id"), "flow")
 
 
-CHAMBER = "CASE WHEN d <= 200 THEN 3e6 WHEN d <= 500 THEN 5e6 WHEN d <= 1000 THEN 8e6 ELSE 12e6 END"
-NODE_DN = "nd AS (SELECT pn.plan, pn.node, pn.kind, pn.existing, coalesce(max(e.dn), 50) AS d FROM pn LEFT JOIN (SELECT plan, parent AS node, dn FROM pe UNION ALL SELECT plan, child, dn FROM pe) e USING (plan, node) GROUP BY ALL)"
+CHAMBER = "CASE WHEN d IS NULL THEN 0 WHEN d <= 200 THEN 3e6 WHEN d <= 500 THEN 5e6 WHEN d <= 1000 THEN 8e6 ELSE 12e6 END"
+NODE_DN = "nd AS (SELECT pn.plan, pn.node, pn.kind, pn.existing, max(e.dn) AS d FROM pn LEFT JOIN (SELECT plan, parent AS node, dn FROM pe UNION ALL SELECT plan, child, dn FROM pe) e USING (plan, node) GROUP BY ALL)"
 
 
 @query(f"WITH {DN}, {PLANS}, {NODE_DN} SELECT plan, sum({CHAMBER}) AS cost FROM nd WHERE kind = 'CHAMBER' OR (kind = 'TIE_IN' AND existing <> 'heat_chamber') GROUP BY 1")
@@ -292,7 +291,7 @@ def depth_ramp(spark, sf):
     return depths(spark, sf)
 
 
-@query(f"WITH {DEMAND}, z AS (SELECT *, lag(depth) OVER w AS pd, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM y WINDOW w AS (PARTITION BY edge ORDER BY x)) SELECT edge, x, depth, CASE WHEN (px IS NULL OR nx IS NULL) AND abs(depth - 3) > 1e-9 THEN 'end' WHEN depth < 0.7 THEN 'shallow' ELSE 'slope' END AS rule FROM z WHERE ((px IS NULL OR nx IS NULL) AND abs(depth - 3) > 1e-9) OR depth < 0.7 OR abs(depth - pd) > 0.100001 * (x - px)")
+@query(f"WITH {DEMAND}, z AS (SELECT *, lag(depth) OVER w AS pd, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM y WINDOW w AS (PARTITION BY edge ORDER BY x)) SELECT edge, x, depth, CASE WHEN (px IS NULL OR nx IS NULL) AND abs(depth - 3) > 1e-6 THEN 'end' WHEN depth < 0.7 - 1e-8 THEN 'shallow' ELSE 'slope' END AS rule FROM z WHERE ((px IS NULL OR nx IS NULL) AND abs(depth - 3) > 1e-6) OR depth < 0.7 - 1e-8 OR abs(depth - pd) > 0.100001 * (x - px)")
 def slope_check(spark, sf):
     """Breaches of the depth rules."""
     return intervals.slope_violations(depths(spark, sf))
@@ -364,10 +363,10 @@ def summary_vs_objects(spark, sf):
     return o.rollup("plan", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
 
 
-@query("WITH e AS (SELECT s_suppkey AS parent, p_partkey AS child FROM supplier JOIN part ON p_partkey % 23 = s_suppkey % 23 AND p_size < 6), d AS (SELECT node, count(*) AS degree FROM (SELECT parent AS node FROM e UNION ALL SELECT child + 1000000 FROM e) GROUP BY 1) SELECT node, degree FROM d WHERE degree > 4")
+@query("WITH e AS (SELECT s_suppkey AS parent, p_partkey AS child FROM supplier JOIN part ON p_partkey % 23 = s_suppkey % 23), d AS (SELECT node, count(*) AS degree FROM (SELECT parent AS node FROM e UNION ALL SELECT child + 1000000 FROM e) GROUP BY 1) SELECT node, degree FROM d WHERE degree > 4")
 def degree_violations(spark, sf):
     """V2, A10: nodes with more than four connections."""
-    s, p = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 23).alias("m")), _t(spark, sf, "part").where("p_size < 6").select("p_partkey", (F.col("p_partkey") % 23).alias("m"))
+    s, p = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 23).alias("m")), _t(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 23).alias("m"))
     e = s.join(p, "m").select(F.col("s_suppkey").alias("parent"), (F.col("p_partkey") + 1000000).alias("child"))
     return e.select(F.explode(F.array("parent", "child")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).where("degree > 4")
 
@@ -403,8 +402,8 @@ def tree_dp_topk(spark, sf):
 @query()
 def reconcile_depths(spark, sf):
     """D3: conflicting depth demands of each path, settled."""
-    d = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("edge"), F.expr("2 * double(l_quantity)").alias("low"), F.expr("2 * double(l_quantity) + 4").alias("high"), F.expr("if(l_linenumber % 2 = 0, 4.0D, 2.0D)").alias("depth"), F.lit(4.0).alias("below"))
-    return intervals.reconciled(d)
+    d = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("edge"), F.expr("2 * double(l_quantity)").alias("low"), F.expr("2 * double(l_quantity) + 4").alias("high"), F.lit(1.15).alias("factor"), F.expr("case l_linenumber % 3 when 0 then 4.0D when 1 then 2.0D else 3.0D end").alias("depth"), F.expr("if(l_linenumber % 3 = 2, null, 4.0D)").alias("below"), F.expr("if(l_linenumber % 3 = 2, 1.2D, 0.7D)").alias("minimum"))
+    return depth.reconciled(d)
 
 
 @query("WITH o AS (SELECT o_orderkey AS id, o_custkey % 3 AS plan, o_totalprice AS cost, o_totalprice / 7 AS length FROM orders), s AS (SELECT plan, sum(cost) + CASE WHEN plan = 1 THEN 5 ELSE 0 END AS c FROM o GROUP BY 1) SELECT s.plan, round(s.c - t.c, 2) AS off FROM s JOIN (SELECT plan, sum(cost) AS c FROM o GROUP BY 1) t USING (plan) WHERE abs(s.c - t.c) > 0.1")

@@ -100,8 +100,6 @@ def test_profile_over_a_cable(spark):
     got = {r.x: round(r.depth, 6) for r in intervals.profile(points, demands).collect()}
     assert got[50] == 4 and got[40] == 3.2 and got[0] == got[100] == 3
     assert intervals.slope_violations(intervals.profile(points, demands)).count() == 0
-    clash = spark.createDataFrame([(1, 10.0, 14.0, 4.0, 4.0), (1, 15.0, 19.0, 2.0, 4.5), (2, 15.0, 19.0, 2.0, 4.5)], "edge long, low double, high double, depth double, below double")
-    assert {(r.edge, r.low): r.depth for r in intervals.reconciled(clash).collect()} == {(1, 10): 4, (1, 15): 4.5, (2, 15): 2}
 
 
 def test_portfolio_and_distances(spark):
