@@ -44,7 +44,7 @@ from .common import components, cut, drop, forest_of, only, publish
 BATCH = 1 << 21
 HOT_SHARE = 2048
 HOT_LEAST = 64
-ENTRIES = 1 << 23
+ENTRIES = 1 << 22
 FRAGMENT = 4096
 TILE = 1024
 TOKENS = 1 << 20
@@ -137,7 +137,7 @@ def heads(ids: np.ndarray, *columns: np.ndarray) -> bytes:
     return np.array([len(at)], "<i8").tobytes() + ids[at].astype("<i8").tobytes() + np.diff(np.append(at, len(ids))).astype("<u4").tobytes() + b"".join(c.tobytes() for c in columns)
 
 
-def unheaded(blob: bytes, *kinds: str) -> list[np.ndarray]:
+def unheaded(blob, *kinds: str) -> list[np.ndarray]:
     """The class of each row, and the columns."""
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     counts = np.frombuffer(blob, "<u4", n, 8 + 8 * n)
@@ -199,19 +199,23 @@ def counted(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        blobs = table.column("blob").to_pylist()
+        blobs = [x for chunk in table.column("blob").chunks for x in chunk]  # views of the group's buffers
         if part < 0:
-            rows = [(-1 - part, 2, b) for b in blobs]
+            rows = [(-1 - part, 2, b.as_py()) for b in blobs]
         else:
-            ids, low = (np.concatenate(c) for c in zip(*(unheaded(b, "<u8") for b in blobs), strict=True))
-            del blobs
             rows, step = [], -(-(1 << 32) // (8 * parts))
-            top = (low >> words.U(32)).astype(np.int64)
-            first = -(-part << 32) // parts
-            for lo in range(first - step, first + (1 << 32) // parts + step, step):  # an eighth of the fragment after another
-                own = (top >= lo) & (top < lo + step)
-                if own.any():
-                    rows += replies(ids[own], low[own], parts)
+            first = (part << 32) // parts
+            for lo in range(first - step, first + (1 << 32) // parts + step, step):  # about an eighth of the fragment after another
+                ids, low = [], []
+                for b in blobs:
+                    i, t = unheaded(b.as_buffer(), "<u8")
+                    top = (t >> words.U(32)).astype(np.int64)
+                    own = (top >= lo) & (top < lo + step)
+                    ids.append(i[own])
+                    low.append(t[own])
+                ids, low = np.concatenate(ids), np.concatenate(low)
+                if len(ids):
+                    rows += replies(ids, low, parts)
         return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
