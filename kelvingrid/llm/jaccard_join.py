@@ -49,6 +49,7 @@ FRAGMENT = 4096
 TILE = 1024
 TOKENS = 1 << 20
 SEGMENT = 1 << 19
+SALTS = 32
 
 
 def least_overlap(size, threshold: int):
@@ -391,20 +392,26 @@ def candidates(kept: DataFrame, threshold: int) -> DataFrame:
     return star.unionByName(least.join(above, ["hot", "t", "range"]).select(F.col("m").alias("a"), "b").where("a <> b"))
 
 
+def spread(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins the one row that ``facts`` has for each key to many ``rows``; a key's rows are dealt over ``SALTS`` tasks by their class."""
+    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
+
+
 def tiles(kept: DataFrame, clusters: DataFrame, threshold: int, bins: int) -> DataFrame:
     """Rows of ``partial``'s groups: each class of a cluster, in each tile and fragment that it takes part in."""
     width = math.log(100 / threshold) * (1 + 1e-9) if threshold < 100 else 1e-9
     rows = kept.join(clusters, "c").select("k", "c", "size", "shared", "hot", (F.size("shared") + F.size("hot")).alias("tokens"))
     whole = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("sum")).select("k", ((F.col("n") <= TILE) & (F.col("sum") <= TOKENS)).alias("small"))
     range_ = F.floor(F.log("size") / width).cast("int")
-    rows = rows.join(whole, "k").withColumn("b", F.when(F.col("small"), 0).otherwise(range_))
+    rows = spread(rows, whole, ["k"]).withColumn("b", F.when(F.col("small"), 0).otherwise(range_))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("tokens") / TOKENS)).cast("int")
     sizes = rows.groupBy("k", "small", "b").agg(parts.alias("parts"), F.sum("tokens").alias("sum"))
     along = Window.partitionBy("k").orderBy("b")  # as many rows as a cluster has size ranges
     near = lambda f: F.when((F.abs(f("b").over(along) - F.col("b")) == 1) & ~F.col("small"), f("parts").over(along)).otherwise(0)
     pieces = F.ceil(F.max(F.col("sum") / F.col("parts")).over(Window.partitionBy("k")) / SEGMENT).cast("int")
     sizes = sizes.select("k", "b", "parts", near(F.lead).alias("above"), near(F.lag).alias("below"), F.greatest(pieces, F.lit(1)).alias("pieces"))
-    rows = rows.join(sizes, ["k", "b"]).withColumn("s", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    rows = spread(rows, sizes, ["k", "b"]).withColumn("s", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
 
     def to(n: str, make):
         return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), make)).otherwise(F.array().cast("array<struct<b1:int,s1:int,b2:int,s2:int>>"))
