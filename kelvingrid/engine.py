@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import candidates, diversity, planner, validation
+from kelvingrid.operators import candidates, costs, depth, diversity, planner, spatial, validation
 from kelvingrid.plans import rules
 from kelvingrid.plans.shared import materialise
 from kelvingrid.sources import export, geojson
@@ -34,8 +34,8 @@ class Engine:
             raise NotFound(scenario)
         return rows[0].asDict()
 
-    def scenes(self, scenario: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-        """A scenario's working window as one row of arrays, for the planner."""
+    def scenes(self, scenario: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+        """A scenario's working window as one row of arrays, for the planner; its tables; the legs of its pipes."""
         s = geojson.snapshot(self.spark, self.store, scenario)
         legs = s["pipes"].select("id", F.col("diameter").alias("dn"), F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("p"), F.slice("path", F.lit(2), F.size("path") - 1).alias("q"))).alias("k", "s"))
         legs = legs.select(F.concat_ws("@", "id", "k").alias("id"), "dn", F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"))
@@ -46,17 +46,19 @@ class Engine:
         key = F.lit(scenario).alias("scenario")
         t = s["terminals"].agg(F.sort_array(F.collect_list(F.struct("oks_id", "x", "y", "flow"))).alias("terminals")).select(key, "terminals")
         c = ties.agg(F.sort_array(F.collect_list(F.struct("id", "type", "x", "y", "free"))).alias("ties")).select(key, "ties")
-        own = s["terminals"].select(F.col("oks_id").alias("id"))
-        around = s["restrictions"].join(own, "id", "left_anti")  # a terminal's own building is entered
+        around = s["restrictions"]
+        leg = F.collect_list(F.struct("ax", "ay", "bx", "by"))
+        lines = legs.withColumn("pipe", F.substring_index("id", "@", 1)).groupBy("pipe", "dn").agg(leg.alias("legs"))
+        lines = lines.agg(F.collect_list(F.struct("dn", "legs")).alias("pipes")).select(key, "pipes")
         ring = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))))
         r = around.agg(F.collect_list(F.struct("type", F.col("kind").isin("Polygon", "MultiPolygon").alias("closed"), ring.alias("rings"))).alias("restrictions")).select(key, "restrictions")
-        return t.join(c, "scenario").join(r, "scenario"), s
+        return t.join(c, "scenario").join(r, "scenario").join(lines, "scenario"), s, legs
 
     def run(self, scenario: str, mode: str = "2d") -> str:
         """Plan a scenario; the run's id. ``mode``: 3d or depth, else 2D. Up to three materially different plans are kept."""
         self.scenario(scenario)
-        depth = mode.lower() in ("3d", "depth")
-        scenes, s = self.scenes(scenario)
+        deep = mode.lower() in ("3d", "depth")
+        scenes, s, legs = self.scenes(scenario)
         starts = self.spark.range(self.starts).select(F.lit(scenario).alias("scenario"), F.col("id").cast("int").alias("start"))
         rows = materialise(planner.optimise(starts, scenes).withColumn("plan", (F.col("start") * 2 + F.when(F.col("stage") == "refined", 1).otherwise(0)).cast("long")))
         plans = rows.groupBy("plan").agg(F.first("score").alias("score"), F.first("cost").alias("cost"), F.first("length").alias("length"), F.first("unconnected").alias("unconnected"), F.first("policy").alias("policy"))
@@ -65,35 +67,54 @@ class Engine:
         size = g.path_length(F.col("path"))
         sized = edges.select("plan", "parent", "child", "dn", size.alias("length"), F.coalesce(F.col("metres") / F.nullif(size, F.lit(0.0)), F.lit(1.0)).alias("special"))
         demand = nodes.join(s["terminals"].select("oks_id", "flow"), "oks_id", "left").select("plan", F.col("node").alias("id"), F.coalesce("flow", F.lit(0.0)).alias("demand"))
-        checks = [validation.geometry(nodes, edges), validation.topology(nodes, edges, s["terminals"], s["chambers"]), validation.sizes(sized, demand), validation.scores(plans, plans, nodes, sized, s["terminals"])]
+        walls = materialise(spatial.explode_segments(s["restrictions"].select(F.col("id").alias("owner"), "type", F.col("kind").isin("Polygon", "MultiPolygon").alias("closed"), F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))).alias("rings"))))
+        pipes = materialise(legs.select(F.substring_index("id", "@", 1).alias("id"), "dn", *spatial.SEGMENT))
+        # the exact price: edges cut at every crossing, in the depth mode along their depth profiles
+        named = edges.select(F.struct("plan", "child").alias("edge"), "dn", "path", size.alias("length"))
+        crossings = materialise(depth.crossings_of(named, walls, pipes))
+        found = depth.crossing_intervals(crossings, deep)
+        parts = materialise(depth.pieces(named.select("edge", "length", "dn"), depth.reconciled(found) if deep else found, deep))
+        checks = [
+            validation.geometry(nodes, edges), validation.topology(nodes, edges, s["terminals"], s["chambers"]), validation.sizes(sized, demand),
+            validation.scores(plans, plans, nodes, sized, s["terminals"]), validation.routes(nodes, edges, walls, pipes, deep), *([validation.depths(named, parts, crossings)] if deep else []),
+        ]
         broken = materialise(reduce(DataFrame.unionByName, checks))
+        special = parts.groupBy("edge").agg(F.sum("cost").alias("cost")).select("edge.*", "cost")
+        exact = sized.drop("special").join(special, ["plan", "child"], "left").withColumn("special", F.coalesce(F.col("cost") / F.nullif(F.col("length") * rules.by_dn(F.col("dn"), "new_cost"), F.lit(0.0)), F.lit(1.0))).drop("cost")
+        again = costs.totals(plans, nodes, exact, s["terminals"]).select("plan", "cost", "length", "score")
+        plans = materialise(plans.select("plan", "unconnected", "policy").join(again, "plan"))
         valid = diversity.best_coverage(plans.join(broken.select("plan"), "plan", "left_anti").withColumn("all", F.lit(0)), ["all"]).drop("all")
         segments = edges.select("plan", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("p"), F.slice("path", F.lit(2), F.size("path") - 1).alias("q"))).alias("k", "s")).select("plan", F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"))
-        parts = {
+        sets = {
             "corridor": diversity.corridor_cells(segments, ["plan"]).select("plan", F.concat_ws("/", "cell_x", "cell_y").alias("item")),
-            "ties": nodes.where("kind = 'TIE_IN'").select("plan", F.col("existing_id").alias("item")),
-            "topology": edges.select("plan", F.concat_ws("/", F.round("flow", 3), F.round(g.path_length(F.col("path")), 0)).alias("item")),
+            "ties": diversity.tie_items(nodes),
+            "topology": diversity.topology_items(nodes, edges),
         }
         pairs = valid.select(F.col("plan").alias("a")).join(valid.select(F.col("plan").alias("b")), F.col("a") < F.col("b"))
-        for name, items in parts.items():
-            pairs = pairs.join(diversity.set_distances(items, "plan", "item").withColumnRenamed("distance", name), ["a", "b"], "left").fillna(0.0, [name])
+        for measure, items in sets.items():
+            pairs = pairs.join(diversity.set_distances(items, "plan", "item").withColumnRenamed("distance", measure), ["a", "b"], "left").fillna(0.0, [measure])
         different = pairs.where(diversity.materially_different(F.col("ties"), F.col("topology"), F.col("corridor")))
         best = diversity.portfolio(valid, different).select(F.explode(F.array("p1", "p2", "p3")).alias("plan")).where("plan is not null")
-        kept = diversity.ranked_variants(valid.join(best, "plan").withColumn("mode", F.lit("DEPTH" if depth else "TWO_D")), "mode")
+        kept = diversity.ranked_variants(valid.join(best, "plan").withColumn("mode", F.lit("DEPTH" if deep else "TWO_D")), "mode")
         run = uuid.uuid4().hex
         name = kept.select("plan", "variant_id")
         dn = edges.select("plan", F.explode(F.array("parent", "child")).alias("node"), "dn").groupBy("plan", "node").agg(F.max("dn").alias("d"))
-        out_edges = edges.join(name, "plan").select("variant_id", "parent", "child", "path", "dn", "flow", g.path_length(F.col("path")).alias("length"), (F.col("metres") * rules.by_dn(F.col("dn"), "new_cost")).alias("cost"))
+        one = Window.partitionBy("edge").orderBy("at")
+        cut = parts.withColumn("seq", F.row_number().over(one) - 1).withColumn("last", F.lead("at").over(one).isNull()).join(named.select("edge", "path"), "edge")
+        level = lambda p: F.col("from_depth") + (F.col("to_depth") - F.col("from_depth")) * (p.at - F.col("at")) / (F.col("to") - F.col("at"))
+        points = F.transform(g.part_of(F.col("path"), F.col("at"), F.col("to")), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), level(p).alias("depth")))
+        cut = cut.select("edge.*", "seq", "last", points.alias("points"), (F.col("to") - F.col("at")).alias("length"), "cost", "factor", "from_depth", "to_depth")
+        out_edges = edges.select("plan", "parent", "child", "dn", "flow").join(cut, ["plan", "child"]).join(name, "plan")
         tie = edges.groupBy("plan", F.col("parent").alias("node")).agg((F.count(F.lit(1)) * rules.CHAMBER_TIE).alias("tie"))
-        price = F.when((F.col("kind") == "TIE_IN") & (F.col("existing_type") == "heat_chamber"), F.coalesce("tie", F.lit(0.0))).when(F.col("kind").isin("CHAMBER", "TIE_IN"), rules.chamber_cost(F.coalesce("d", F.lit(50)))).otherwise(0.0)
+        price = F.when((F.col("kind") == "TIE_IN") & (F.col("existing_type") == "heat_chamber"), F.coalesce("tie", F.lit(0.0))).when(F.col("kind").isin("CHAMBER", "TIE_IN"), F.when(F.col("d").isNull(), 0.0).otherwise(rules.chamber_cost(F.col("d")))).otherwise(0.0)
         out_nodes = nodes.join(dn, ["plan", "node"], "left").join(tie, ["plan", "node"], "left").join(name, "plan").select("variant_id", "node", "kind", "x", "y", "oks_id", "existing_type", price.alias("cost"))
-        variants = kept.select("variant_id", "rank", "policy", "score", "cost", "length", "unconnected")
+        variants = kept.select("variant_id", "plan", "rank", "policy", "score", "cost", "length", "unconnected")
         folder = f"{self.store}/runs/{run}"
         variants.write.parquet(f"{folder}/variants")
-        features = export.feature_rows(variants, out_nodes, out_edges, depth)
+        features = export.feature_rows(variants, out_nodes, out_edges, deep)
         features.write.partitionBy("variant_id").parquet(f"{folder}/features")
         broken.write.parquet(f"{folder}/violations")
-        self.spark.range(1).select(F.lit(run).alias("id"), F.lit(scenario).alias("scenario_id"), F.lit("DEPTH" if depth else "TWO_D").alias("mode"), F.lit("DONE").alias("status"), F.lit(100).alias("progress"), F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{self.store}/run_list")
+        self.spark.range(1).select(F.lit(run).alias("id"), F.lit(scenario).alias("scenario_id"), F.lit("DEPTH" if deep else "TWO_D").alias("mode"), F.lit("DONE").alias("status"), F.lit(100).alias("progress"), F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{self.store}/run_list")
         return run
 
     def status(self, run: str) -> dict:
@@ -116,6 +137,12 @@ class Engine:
         out = self.spark.read.parquet(f"{self.store}/runs/{run}/features")
         return out if variant_id is None else out.where(F.col("variant_id") == variant_id)
 
+    def violations(self, run: str, variant_id: str | None = None) -> DataFrame:
+        """(plan, rule, object, detail) of the plans of a run that its validators rejected; of a variant, of the plan that it is."""
+        self.status(run)
+        out = self.spark.read.parquet(f"{self.store}/runs/{run}/violations")
+        return out if variant_id is None else out.where(F.col("plan") == F.lit(self.variant(run, variant_id)["plan"]))
+
     def check(self, run: str) -> DataFrame:
         """What the output validator has against a run's features; no rows: it passes."""
         depth = self.status(run)["mode"] == "DEPTH"

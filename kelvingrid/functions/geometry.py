@@ -123,6 +123,13 @@ def point_at(path: Column, chainage: Column) -> Column:
     return F.when(F.exists(legs, lambda s: s.b.isNotNull() & (s.b.c >= chainage)), inner).otherwise(F.struct(last.x.alias("x"), last.y.alias("y")))
 
 
+def part_of(path: Column, low: Column, high: Column) -> Column:
+    """The points of a path between two running lengths, with their own: structs (x, y, at)."""
+    named = F.zip_with(path, chainages(path), lambda p, c: F.struct(p.x.alias("x"), p.y.alias("y"), c.alias("at")))
+    end = lambda c: F.transform(F.array(point_at(path, c)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), c.alias("at")))
+    return F.concat(end(low), F.filter(named, lambda p: (p.at > low + 1e-9) & (p.at < high - 1e-9)), end(high))
+
+
 def inside(x, y, rings: Column) -> Column:
     """Even-odd test of a point against rings (arrays of points, closed); holes are rings like others."""
     def crossings(ring: Column) -> Column:

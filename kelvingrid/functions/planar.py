@@ -36,6 +36,18 @@ def meets(a: np.ndarray, b: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
 
 
+def shared_lengths(a: np.ndarray, b: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """Metres over which each segment lies on a-b."""
+    size = float(hypot(b - a))
+    if size < 1e-12:
+        return np.zeros(len(segments))
+    u = (b - a) / size
+    p, q = segments[:, :2] - a, segments[:, 2:] - a
+    off = np.maximum(np.abs(p[:, 0] * u[1] - p[:, 1] * u[0]), np.abs(q[:, 0] * u[1] - q[:, 1] * u[0]))
+    low, high = np.minimum(p @ u, q @ u), np.maximum(p @ u, q @ u)
+    return np.where(off < 1e-9, np.maximum(0, np.minimum(size, high) - np.maximum(0, low)), 0.0)
+
+
 def segment_distances(a: np.ndarray, b: np.ndarray, segments: np.ndarray) -> np.ndarray:
     """Distances of a-b from segments."""
     if not len(segments):

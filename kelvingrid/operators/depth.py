@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
 
 from . import intervals as iv
 from .legality import of_type
+from .spatial import SEGMENT, cut_intervals, islands, overlap_join, segment_boxes
 
 #: Depth of the top and height of utilities; least depth under roads and tracks; half a plateau; ends that crossings don't count at.
 TOP = {"gas_pipeline": (2.8, 0.4), "power_cable": (2.7, 0.2)}
@@ -54,6 +56,36 @@ def crossing_intervals(crossings: DataFrame, deep: bool = True) -> DataFrame:
     )
 
 
+def crossings_of(edges: DataFrame, walls: DataFrame, pipes: DataFrame, size: float = 200.0) -> DataFrame:
+    """Crossings of ``edges(edge, length, dn, path)`` with restrictions ``walls(owner, type, closed, ax, ...)`` and existing ``pipes(id, dn, ax, ...)``.
+
+    A line is crossed in points; an area from where the edge enters it to where it leaves it.
+    """
+    legs = legs_of(edges)
+    named = legs.withColumn("id", F.struct("edge", "at"))
+    ends, other = tuple(F.col(c) for c in SEGMENT), tuple(F.col(f"r_{c}") for c in SEGMENT)
+    x = F.round(F.col("at") + g.crossing_at(ends, other) * g.distance(*ends), 6)
+    boxed = segment_boxes(named)
+    lines = overlap_join(boxed, segment_boxes(walls.where("not closed").select("owner", "type", *SEGMENT)), size, 0.0, g.touches(ends, other))
+    points = lines.select("edge", F.col("r_type").alias("type"), x.alias("low"), F.lit(None).cast("int").alias("object_dn"), F.col("r_owner").cast("string").alias("owner")).distinct()
+    own = overlap_join(boxed, segment_boxes(pipes.select(F.col("id").alias("pipe"), F.col("dn").alias("object_dn"), *SEGMENT)), size, 0.0, g.touches(ends, other))
+    own = own.select("edge", F.lit(None).cast("string").alias("type"), x.alias("low"), F.col("r_object_dn").alias("object_dn"), F.col("r_pipe").cast("string").alias("owner")).distinct()
+    points = points.unionByName(own).where("low is not null").withColumn("high", F.col("low"))
+    areas = walls.where("closed").select("owner", *SEGMENT)
+    spans = cut_intervals(named.select("id", *SEGMENT), areas, size).select("id.edge", "owner", (F.col("id.at") + F.col("cut")).alias("low"), (F.col("id.at") + F.col("next")).alias("high"))
+    spans = islands(spans, ["edge", "owner"], "low", "high", 1e-6).join(walls.where("closed").select("owner", "type").distinct(), "owner")
+    spans = spans.select("edge", "type", "low", F.lit(None).cast("int").alias("object_dn"), F.col("owner").cast("string").alias("owner"), "high")
+    return points.unionByName(spans).join(edges.select("edge", "length", "dn"), "edge")
+
+
+def legs_of(edges: DataFrame) -> DataFrame:
+    """Segments of ``edges(edge, path)`` with the running length ``at`` their start: (edge, seq, at, ax, ay, bx, by)."""
+    n = F.greatest(F.size("path") - 1, F.lit(0))
+    legs = F.arrays_zip(F.slice("path", F.lit(1), n).alias("p"), F.slice("path", F.lit(2), n).alias("q"), F.slice(g.chainages(F.col("path")), F.lit(1), n).alias("at"))
+    rows = edges.select("edge", F.posexplode(legs).alias("seq", "s"))
+    return rows.select("edge", "seq", "s.at", F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"))
+
+
 def held(low: float, high: float, depth: float, x: float) -> float:
     """The depth that an interval asks for at x: its own within, ramps of 10 % to the normal depth outside."""
     away = rules.SLOPE * max(0.0, low - x, x - high)
@@ -97,15 +129,16 @@ def reconciled(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Intervals with ``depth`` agreed upon edge by edge, in the order of (low, high, depth). An edge's intervals are few; many edges share a group."""
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["edge", "low", "high", "depth"], kind="stable")
+        group = group.sort_values(["key", "low", "high", "depth"], kind="stable")
         out = []
-        for _, own in group.groupby("edge", sort=False):
+        for _, own in group.groupby("key", sort=False):
             below = [None if pd.isna(b) else b for b in own["below"]]
             out += settled(*(own[c].tolist() for c in ("low", "high", "depth")), below, own["minimum"].tolist()) if len(own) > 1 else own["depth"].tolist()
         return group.assign(depth=out)
 
     parts = parts or 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.groupBy(F.pmod(F.xxhash64("edge"), F.lit(parts))).applyInPandas(settle, rows.schema)
+    named = rows.withColumn("key", F.col("edge").cast("string"))  # an edge may be a struct
+    return named.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts))).applyInPandas(settle, named.schema).drop("key")
 
 
 def pieces(edges: DataFrame, found: DataFrame, deep: bool = True) -> DataFrame:

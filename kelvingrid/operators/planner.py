@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from kelvingrid.functions import planar
-from kelvingrid.operators.routing import Router, obstacle
+from kelvingrid.operators.routing import Router, obstacle, pipe
 from kelvingrid.plans import rules
 
 SEED, POLICIES = 20260922, ("BALANCED", "CHEAP", "SHORT")
@@ -138,7 +138,7 @@ def evaluate(plan: Plan, scene: Scene) -> dict[str, float]:
     for n, node in plan.nodes.items():
         near = [dn[c] for c, (p, _, _) in plan.edges.items() if n in (c, p)]
         if node.kind == "CHAMBER" or (node.kind == "TIE_IN" and node.existing_type != "heat_chamber"):
-            chambers += chamber_price(max(near, default=50))
+            chambers += chamber_price(max(near)) if near else 0.0
         elif node.kind == "TIE_IN":
             ties += rules.CHAMBER_TIE * sum(p == n for p, _, _ in plan.edges.values())
     missing = [f for t, f in flow.items() if t not in plan.connected()]
@@ -297,9 +297,9 @@ def straighten(plan: Plan, scene: Scene) -> Plan:
         if len(path) < 3:
             continue
         direct = np.array([path[0], path[-1]])
-        from .routing import assess
-
-        ok, factor, _ = assess(direct[0], direct[1], dn[c], scene.router.obstacles)
+        if scene.router.home(direct[1]) is not None:
+            continue  # the lead out of the building stays
+        ok, factor, _ = scene.router.legal(direct[0], direct[1], dn[c], direct[0])
         rest = replace(plan, edges={k: v for k, v in plan.edges.items() if k != c})
         if ok and not conflicts(replace(rest, edges={k: v for k, v in rest.edges.items() if v[0] not in (p, c) and k != p}), direct):
             new = replace(plan, edges=plan.edges | {c: (p, direct, planar.length(direct) * factor)})
@@ -327,7 +327,7 @@ PLAN_SCHEMA = "scenario string, start int, policy string, stage string, score do
 
 
 def optimise(starts: DataFrame, scenes: DataFrame) -> DataFrame:
-    """``starts(scenario, start)``, ``scenes(scenario, terminals, ties, restrictions)`` (arrays of structs) -> nodes of all archived plans.
+    """``starts(scenario, start)``, ``scenes(scenario, terminals, ties, restrictions, pipes)`` (arrays of structs) -> nodes of all archived plans.
 
     Each start gives its plan after growth and after refinement. One row of ``starts`` is one unit of work.
     """
@@ -337,6 +337,7 @@ def optimise(starts: DataFrame, scenes: DataFrame) -> DataFrame:
             out = []
             for r in frame.itertuples():
                 around = [obstacle(o["type"], [np.array([[p["x"], p["y"]] for p in ring]) for ring in o["rings"]], bool(o["closed"])) for o in r.restrictions]
+                around += [pipe(np.array([[leg["ax"], leg["ay"], leg["bx"], leg["by"]] for leg in o["legs"]]), int(o["dn"])) for o in r.pipes]
                 scene = Scene([(t["oks_id"], t["x"], t["y"], t["flow"]) for t in r.terminals], [(t["id"], t["type"], t["x"], t["y"], t["free"]) for t in r.ties], Router(around))
                 head = (r.scenario, r.start, POLICIES[r.start % 3])
                 plan = build(scene, salt_of(r.start))
@@ -345,5 +346,5 @@ def optimise(starts: DataFrame, scenes: DataFrame) -> DataFrame:
                 out += rows_of(refined, scene, (*head, "refined"))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
 
-    work = starts.join(scenes, "scenario").select("scenario", "start", "terminals", "ties", "restrictions")
+    work = starts.join(scenes, "scenario").select("scenario", "start", "terminals", "ties", "restrictions", "pipes")
     return work.repartition(max(1, starts.count()), "scenario", "start").mapInPandas(solve, PLAN_SCHEMA)

@@ -18,8 +18,8 @@ from kelvingrid.functions import planar
 from kelvingrid.plans import rules
 
 RULE = {r[0]: r for r in rules.RESTRICTIONS}
-#: Neighbours probed, sectors, tries and links in each, most nodes; metres added to a bend; slack of offsets.
-NEIGHBOURS, SECTORS, TRIES, LINKS, NODES, BEND, SLACK = 64, 16, 6, 2, 1600, 8.0, 0.20
+#: Neighbours probed, sectors, tries and links in each, most nodes; metres added to a bend; slack of offsets; contact at a tie.
+NEIGHBOURS, SECTORS, TRIES, LINKS, NODES, BEND, SLACK, TOUCH = 64, 16, 6, 2, 1600, 8.0, 0.20, 0.2
 
 
 def half_width(dn: int) -> float:
@@ -32,14 +32,27 @@ class Obstacle:
     segments: np.ndarray
     closed: bool
     rings: list[np.ndarray] = field(default_factory=list)
+    dn: int | None = None  # of an existing pipe
 
     def clearance(self, dn: int) -> float:
         """Least distance of a pipe's axis from it."""
+        if self.dn is not None:
+            return 1.0 + half_width(dn) + half_width(self.dn)
         if self.kind == "oks_existing":
             return (5.0 if dn < 500 else 7.0 if dn <= 800 else 9.0) + half_width(dn)
         rule = RULE.get(self.kind)
         return (rule[2] + rule[7] if rule else 1.0) + half_width(dn)
 
+    def covers(self, p: np.ndarray) -> bool:
+        """Whether a point is inside or on the boundary."""
+        return self.closed and (planar.inside(p, self.segments) or bool(planar.point_segments(p, self.segments).min() <= 1e-9))
+
+    def walls(self) -> np.ndarray:
+        """Segments of the rings that an even number of the others hold."""
+        own = [planar.ring_segments(r) for r in self.rings if len(r) > 1]
+        kept = [s for k, s in enumerate(own) if sum(planar.inside((s[0, :2] + s[0, 2:]) / 2, o) for j, o in enumerate(own) if j != k) % 2 == 0]
+        return np.concatenate(kept)
+
     @property
     def crossable(self) -> bool:
         rule = RULE.get(self.kind)
@@ -51,13 +64,71 @@ def obstacle(kind: str, rings: list[np.ndarray], closed: bool) -> Obstacle:
     return Obstacle(kind, np.concatenate(parts) if parts else np.zeros((0, 4)), closed, rings)
 
 
-def assess(a: np.ndarray, b: np.ndarray, dn: int, obstacles: list[Obstacle], exempt: float = 0.0) -> tuple[bool, float, str]:
-    """(feasible, cost multiplier, reason) of a straight segment. ``exempt``: metres at either end that clearances don't bind."""
+def pipe(legs: np.ndarray, dn: int) -> Obstacle:
+    """An existing pipe, by its segments."""
+    return Obstacle("existing", legs, False, [], dn)
+
+
+def beside(a: np.ndarray, b: np.ndarray, o: Obstacle, need: float, touch: np.ndarray | None) -> tuple[str, float]:
+    """(reason, factor) of a segment and an existing pipe."""
+    hit = planar.meets(a, b, o.segments)
+    shared = planar.shared_lengths(a, b, o.segments).sum()
+    if not hit.any() and shared == 0:
+        tied = touch is not None and planar.point_segments(touch, o.segments).min() < TOUCH and planar.hypot(a - touch) < TOUCH
+        near = planar.segment_distances(a, b, o.segments).min() < need - 1e-6
+        return ("clearance-existing-network", 1.0) if near and not tied else ("", 1.0)
+    if shared > 0.05:
+        return "overlap-existing-network", 1.0
+    at = a + planar.cross_parameters(a, b, o.segments[hit])[0][:, None] * (b - a)
+    return "", 1.05 if touch is None or (planar.hypot(at - touch) >= TOUCH).any() else 1.0
+
+
+def ports(terminal: np.ndarray, home: Obstacle, dn: int) -> list[list[tuple[float, np.ndarray]]]:
+    """Points outside the walls opposite a terminal, in tiers of equal length inside the building, the shortest first."""
+    need, out = home.clearance(dn), []
+    for w in home.walls():
+        d = w[2:] - w[:2]
+        size = float(planar.hypot(d))
+        if size < 1e-8:
+            continue
+        entry = w[:2] + float(np.clip((terminal - w[:2]) @ d / size**2, 0, 1)) * d
+        gap = float(planar.hypot(entry - terminal))
+        for n in [(entry - terminal) / gap] if gap > 1e-8 else [np.array([d[1], -d[0]]) / size, np.array([-d[1], d[0]]) / size]:
+            full = entry + n * (need + SLACK)
+            room = not home.covers(full) and planar.point_segments(full, home.segments).min() >= need - 1e-6
+            for offset in [need + SLACK] if room else [0.05, 0.5, 1.5, need + SLACK]:
+                p = entry + n * offset
+                if not home.covers(p):
+                    out.append((sum(hi - lo for lo, hi in planar.clip(p, terminal, home.segments)), p))
+    out.sort(key=lambda v: (round(v[0], 9), float(planar.hypot(v[1] - terminal)), *v[1]))
+    tiers: list[list[tuple[float, np.ndarray]]] = []
+    for v in out:
+        if not tiers or v[0] - tiers[-1][-1][0] > 1e-5:
+            tiers.append([])
+        tiers[-1].append(v)
+    return tiers
+
+
+def assess(a: np.ndarray, b: np.ndarray, dn: int, obstacles: list[Obstacle], exempt: float = 0.0, touch: np.ndarray | None = None, home: Obstacle | None = None) -> tuple[bool, float, str]:
+    """(feasible, cost multiplier, reason) of a straight segment. ``exempt``: metres at either end that clearances don't bind.
+
+    ``touch``: where the route is tied in. ``home``: the building from which the segment comes; it may run along it, but not enter it again.
+    """
     best = 1.0
     low, high = np.minimum(a, b), np.maximum(a, b)
     for o in obstacles:
         need = o.clearance(dn)
         s = o.segments
+        if o is home:
+            if sum(hi - lo for lo, hi in planar.clip(a, b, s)) > 1e-5:
+                return False, 1.0, f"forbidden:{o.kind}"
+            continue
+        if o.dn is not None:
+            reason, factor = beside(a, b, o, need, touch)
+            if reason:
+                return False, 1.0, reason
+            best = max(best, factor)
+            continue
         near = (np.maximum(s[:, 0], s[:, 2]) >= low[0] - need) & (np.minimum(s[:, 0], s[:, 2]) <= high[0] + need) & (np.maximum(s[:, 1], s[:, 3]) >= low[1] - need) & (np.minimum(s[:, 1], s[:, 3]) <= high[1] + need)
         if not near.any():
             if o.closed and planar.inside(a, s):
@@ -114,7 +185,14 @@ class Router:
             p = p[order[np.floor(np.arange(NODES - 2) * len(p) / (NODES - 2)).astype(int)]]
         return p
 
-    def links(self, p: np.ndarray, others: np.ndarray, dn: int, skip: int | None = None) -> list[tuple[int, float]]:
+    def legal(self, a: np.ndarray, b: np.ndarray, dn: int, touch: np.ndarray | None = None, home: Obstacle | None = None) -> tuple[bool, float, str]:
+        return assess(a, b, dn, self.near(a, b), 0.0, touch, home)
+
+    def home(self, p: np.ndarray) -> Obstacle | None:
+        """The building that a point stands in."""
+        return next((o for o in self.near(p, p, 0.1) if o.kind == "oks_existing" and o.covers(p)), None)
+
+    def links(self, p: np.ndarray, others: np.ndarray, dn: int, skip: int | None = None, touch: np.ndarray | None = None, home: Obstacle | None = None) -> list[tuple[int, float]]:
         """Legal links from a point: of its nearest neighbours in each sector the first tries, of them the first legal ones."""
         d = others - p
         gap = planar.hypot(d)
@@ -126,7 +204,7 @@ class Router:
             if tries.get(s, 0) >= TRIES or kept.get(s, 0) >= LINKS:
                 continue
             tries[s] = tries.get(s, 0) + 1
-            ok, factor, _ = assess(p, others[k], dn, self.near(p, others[k]))
+            ok, factor, _ = self.legal(p, others[k], dn, touch, home)
             if ok:
                 kept[s] = kept.get(s, 0) + 1
                 out.append((k, float(gap[k] * factor)))
@@ -143,25 +221,47 @@ class Router:
         return self.graphs[dn]
 
     def route(self, start: np.ndarray, goal: np.ndarray, dn: int) -> tuple[np.ndarray, float] | None:
-        """(path, cost in metres) or None: straight if legal, else by the graph."""
-        ok, factor, _ = assess(start, goal, dn, self.near(start, goal))
-        if ok:
+        """(path, cost in metres) or None. A goal inside a building is reached through a port of its nearest wall that can be reached."""
+        home = self.home(goal)
+        if home is None:
+            return self.way(start, goal, dn)
+        for tier in ports(goal, home, dn):
+            best = None
+            for _, port in tier:
+                lead = goal - port
+                size = float(planar.hypot(lead))
+                # beyond its own facade the lead must keep clear like any other segment
+                if not assess(port, goal, dn, [o for o in self.near(port, goal) if o is not home])[0]:
+                    continue
+                found = self.way(start, port, dn, home)
+                if found is not None and ((found[0][-1] - found[0][-2]) * lead).sum() >= -1e-7 and (best is None or found[1] + size < best[1]):
+                    best = np.concatenate([found[0], [goal]]), found[1] + size
+            if best is not None:
+                return best
+        return None
+
+    def way(self, start: np.ndarray, goal: np.ndarray, dn: int, home: Obstacle | None = None) -> tuple[np.ndarray, float] | None:
+        """Straight if legal, else by the graph. ``home``: the building outside which the goal is a port."""
+        ok, factor, _ = self.legal(start, goal, dn, start, home)
+        if ok and planar.hypot(goal - start) > 1e-9:
             return np.array([start, goal]), float(planar.hypot(goal - start) * factor)
         p, static = self.graph(max(200, dn))
-        found = self.search(start, goal, max(200, dn), p, static)
+        found = self.search(start, goal, max(200, dn), p, static, home)
         if found is None and dn < 200:
-            found = self.search(start, goal, dn, *self.graph(dn))
+            found = self.search(start, goal, dn, *self.graph(dn), home)
         if found is None:
             return None
-        return self.straightened(found[0], dn), found[1]
+        path = self.straightened(found[0], dn, home)
+        cost = sum(float(planar.hypot(b - a)) * self.legal(a, b, dn, start, home if (b == goal).all() else None)[1] for a, b in zip(path[:-1], path[1:], strict=True))
+        return path, cost + BEND * sum(planar.turn(b - a, c - b) > 5 for a, b, c in zip(path[:-2], path[1:-1], path[2:], strict=True))
 
-    def search(self, start: np.ndarray, goal: np.ndarray, dn: int, p: np.ndarray, static: dict[int, list[tuple[int, float]]]) -> tuple[np.ndarray, float] | None:
+    def search(self, start: np.ndarray, goal: np.ndarray, dn: int, p: np.ndarray, static: dict[int, list[tuple[int, float]]], home: Obstacle | None = None) -> tuple[np.ndarray, float] | None:
         n = len(p)
         points = np.concatenate([p, [start], [goal]])
         links = {k: list(v) for k, v in static.items()}
-        links[n] = self.links(start, p, dn) if n else []
+        links[n] = self.links(start, p, dn, None, start) if n else []
         links[n + 1] = []
-        for k, cost in self.links(goal, p, dn) if n else []:
+        for k, cost in self.links(goal, p, dn, None, None, home) if n else []:
             links[k].append((n + 1, cost))
         # the exact distance over the graph without bends never exceeds the real rest
         rest = {n + 1: 0.0}
@@ -211,17 +311,21 @@ class Router:
                     heapq.heappush(queue2, (total + rest[j], total, j, k))
         return None
 
-    def straightened(self, path: np.ndarray, dn: int) -> np.ndarray:
-        """Without the corners that a legal straight leg can skip."""
-        out = [path[0]]
-        k = 1
-        while k < len(path) - 1:
-            before = out[-1] - out[-2] if len(out) > 1 else None
-            leg = path[k + 1] - out[-1]
-            if not (assess(out[-1], path[k + 1], dn, self.near(out[-1], path[k + 1]))[0] and (before is None or (before * leg).sum() >= -1e-7)):
-                out.append(path[k])
-            k += 1
-        return np.array([*out, path[-1]])
+    def straightened(self, path: np.ndarray, dn: int, home: Obstacle | None = None) -> np.ndarray:
+        """Without the corners that a legal straight leg can skip; neither that leg nor the one after may reverse."""
+        moving = True
+        while moving:
+            moving, k = False, 1
+            while k < len(path) - 1:
+                leg = path[k + 1] - path[k - 1]
+                before = path[k - 1] - path[k - 2] if k > 1 else leg
+                after = path[k + 2] - path[k + 1] if k + 2 < len(path) else leg
+                own = home if k + 2 == len(path) else None
+                if (before * leg).sum() >= -1e-7 and (leg * after).sum() >= -1e-7 and self.legal(path[k - 1], path[k + 1], dn, path[0], own)[0]:
+                    path, moving = np.delete(path, k, axis=0), True
+                else:
+                    k += 1
+        return path
 
 
 def routes(requests: DataFrame, restrictions: DataFrame, salts: int = 1) -> DataFrame:

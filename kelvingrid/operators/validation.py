@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import costs, graph, spatial
+from kelvingrid.operators import buildings, costs, depth, graph, legality, spatial
+from kelvingrid.plans import rules
 
 
 def _rows(df: DataFrame, rule: str, obj: str, detail) -> DataFrame:
@@ -76,6 +77,48 @@ def geometry(nodes: DataFrame, edges: DataFrame, size: float = 200.0) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def routes(nodes: DataFrame, edges: DataFrame, walls: DataFrame, pipes: DataFrame, deep: bool = False) -> DataFrame:
+    """Edges against restrictions and the existing network: every leg's legality, passages through buildings, bends inside special crossings.
+
+    ``edges(plan, parent, child, path, dn)``, ``walls(owner, type, closed, ax, ...)``, ``pipes(id, dn, ax, ...)``. The last legs of a terminal's edge may
+    be inside its own building and its envelope; the passage itself is judged as a whole.
+    """
+    e = edges.select("plan", "child", "parent", "path", "dn", F.struct("plan", "child").alias("edge")).withColumn("length", g.path_length(F.col("path")))
+    start = nodes.select("plan", F.col("node").alias("parent"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    end = nodes.select("plan", F.col("node").alias("child"), (F.col("kind") == "TERMINAL").alias("terminal"), "x", "y")
+    legs = depth.legs_of(e)
+    facts = e.join(start, ["plan", "parent"]).join(end, ["plan", "child"]).select("edge", "dn", "tx", "ty", "terminal", "x", "y", "length", F.size("path").alias("points"))
+    s = legs.join(facts, "edge").withColumn("id", F.struct("edge", "seq"))
+    found = legality.network_conflicts(s.select("id", *spatial.SEGMENT, "dn", "tx", "ty"), pipes, deep).select("id", F.lit(None).cast("string").alias("other"), "reason")
+    own = legality.restriction_conflicts(s.select("id", *spatial.SEGMENT, "dn"), walls, deep).select("id", F.col("other").cast("string").alias("other"), "reason")
+    home = buildings.owners(facts.where("terminal").select(F.col("edge").alias("id"), "x", "y"), walls.where("closed and type = 'oks_existing'")).select(F.col("id").alias("edge"), F.col("owner").cast("string").alias("other"), F.lit(True).alias("home"))
+    found = found.unionByName(own).where("reason is not null").withColumn("edge", F.col("id.edge")).join(facts.select("edge", "points"), "edge").join(home, ["edge", "other"], "left")
+    late = F.col("home").isNotNull() & (F.col("id.seq") >= F.col("points") - 3)
+    name = lambda df: df.select(F.col("edge.plan").alias("plan"), F.col("rule"), F.col("edge.child").cast("string").alias("object"), F.col("detail").cast("string").alias("detail"))
+    parts = [name(found.where(~late).select("edge", F.lit("restriction").alias("rule"), F.col("reason").alias("detail")).distinct())]
+    transit = buildings.transit_violations(legs.select("edge", "at", *spatial.SEGMENT), facts.select("edge", "length", "terminal", "x", "y"), walls.where("closed and type = 'oks_existing'"))
+    parts.append(name(transit.select("edge", F.concat(F.lit("building-"), "rule").alias("rule"), F.col("owner").alias("detail"))))
+    w = Window.partitionBy("edge").orderBy("at")
+    bends = legs.withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")}).withColumns({"ux": F.lag("dx").over(w), "uy": F.lag("dy").over(w)})
+    bends = bends.where("ux is not null").select("edge", "at", g.turn(F.col("ux"), F.col("uy"), F.col("dx"), F.col("dy")).alias("turn"))
+    crossings = depth.crossings_of(e.select("edge", "length", "dn", "path"), walls, pipes).where("type is not null").where(legality.crossable(F.col("type")))
+    bent = legality.bends_in_crossings(bends, crossings.select("edge", "type", "low", "high", "length"))
+    parts.append(name(bent.select("edge", F.lit("special-straight").alias("rule"), F.col("type").alias("detail"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def depths(edges: DataFrame, parts: DataFrame, crossings: DataFrame) -> DataFrame:
+    """Depth rules of costed ``parts``: slopes and cover, plateaus and clearances at ``crossings``; their ``edge`` is a struct (plan, child)."""
+    kind, pipe = F.col("type"), F.col("object_dn").isNotNull()
+    utility = crossings.where(pipe | kind.isin(*depth.TOP))
+    top = F.when(pipe, 3.0).when(kind == "gas_pipeline", 2.8).otherwise(2.7)
+    height = F.when(pipe, rules.by_dn(F.col("object_dn"), "pair_height")).when(kind == "gas_pipeline", 0.4).otherwise(0.2)
+    gap = F.when(kind == "gas_pipeline", 0.2).otherwise(0.5)
+    at = utility.select("edge", ((F.col("low") + F.col("high")) / 2).alias("x"), "length", "dn", top.alias("top"), height.alias("height"), gap.alias("gap"))
+    found = depth.profile_violations(parts).unionByName(depth.cover_violations(parts, crossings.where("type is not null"))).unionByName(depth.crossing_violations(parts, at))
+    return found.select(F.col("edge.plan").alias("plan"), F.concat(F.lit("depth-"), "rule").alias("rule"), F.col("edge.child").cast("string").alias("object"), F.round("at", 3).cast("string").alias("detail"))
+
+
 def scores(stated: DataFrame, plans: DataFrame, nodes: DataFrame, edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """Stated cost (0.1), length (1 mm) and score (1e-8) against the totals computed anew."""
     t = costs.totals(plans, nodes, edges, terminals).select("plan", F.col("cost").alias("c"), F.col("length").alias("l"), F.col("score").alias("s"))

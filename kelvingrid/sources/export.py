@@ -19,24 +19,39 @@ def _points(path: Column, depth: Column | None) -> Column:
     return projection.path_to_wgs(F.transform(path, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), z.alias("z"))))
 
 
-def feature_rows(variants: DataFrame, nodes: DataFrame, edges: DataFrame, three_d: bool = False, depth: float = rules.DEPTH) -> DataFrame:
+def feature_rows(variants: DataFrame, nodes: DataFrame, pieces: DataFrame, three_d: bool = False, depth: float = rules.DEPTH) -> DataFrame:
     """One row for each exported object: (variant_id, rank, object_type, id, kind, dims, length, cost, total_length, total_cost, geometry, properties).
 
     ``variants(variant_id, rank, length, cost, score)``, ``nodes(variant_id, node, kind, x, y, oks_id, existing_type, cost)``,
-    ``edges(variant_id, parent, child, path, dn, flow, length, cost)``. Ids follow the variant's order of nodes.
+    ``pieces(variant_id, parent, child, seq, last, points, dn, flow, length, cost, factor, from_depth, to_depth)``: an edge's costed pieces in order, with
+    ``points`` (x, y, depth). Between two pieces of an edge lies a technical node. Ids follow the variant's order of nodes.
     """
     deep = F.lit(depth) if three_d else None
     dims = F.lit(3 if three_d else 2)
+    none = F.lit(None).cast("double")
     rank = variants.select("variant_id", "rank")
+
+    def rows(df: DataFrame, kind: str, id_: Column, shape: str, geometry: Column, properties: Column, length: Column = none, cost: Column = none) -> DataFrame:
+        head = ["variant_id", "rank", F.lit(kind).alias("object_type"), id_.alias("id"), F.lit(shape).alias("kind"), dims.alias("dims")]
+        return df.select(*head, length.alias("length"), cost.alias("cost"), none.alias("total_length"), none.alias("total_cost"), geometry.alias("geometry"), properties.alias("properties"))
+
     n = nodes.where("kind in ('CHAMBER', 'TIE_IN')").join(rank, "variant_id")
     node_id = lambda c: F.concat_ws("_", "variant_id", F.lit("n"), c)
+    technical = lambda seq: F.concat_ws("_", "variant_id", F.lit("t"), "child", seq)
     shape = _points(F.array(F.struct("x", "y")), deep)
-    chambers = n.select("variant_id", "rank", F.lit("heat_chamber").alias("object_type"), node_id("node").alias("id"), F.lit("Point").alias("kind"), dims.alias("dims"), F.lit(None).cast("double").alias("length"), "cost", F.lit(None).cast("double").alias("total_length"), F.lit(None).cast("double").alias("total_cost"), geometry_text(F.lit("Point"), shape, three_d).alias("geometry"), F.to_json(F.struct(F.col("kind").alias("node_kind"), "existing_type", "cost")).alias("properties"))
-    e = edges.join(rank, "variant_id")
-    lines = e.select("variant_id", "rank", F.lit("heat_network").alias("object_type"), F.concat_ws("_", "variant_id", F.lit("e"), "child").alias("id"), F.lit("LineString").alias("kind"), dims.alias("dims"), "length", "cost", F.lit(None).cast("double").alias("total_length"), F.lit(None).cast("double").alias("total_cost"), geometry_text(F.lit("LineString"), _points(F.col("path"), deep), three_d).alias("geometry"), F.to_json(F.struct(node_id("parent").alias("start_id"), node_id("child").alias("end_id"), F.col("dn").alias("diameter"), F.col("flow").alias("flow_tph"), "length", "cost")).alias("properties"))
+    chambers = rows(n, "heat_chamber", node_id("node"), "Point", geometry_text(F.lit("Point"), shape, three_d), F.to_json(F.struct(F.col("kind").alias("node_kind"), "existing_type", "cost")), cost=F.col("cost"))
+    e = pieces.join(rank, "variant_id")
+    z = (lambda p: -p.depth) if three_d else (lambda p: F.lit(None).cast("double"))
+    path = projection.path_to_wgs(F.transform("points", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), z(p).alias("z"))))
+    e = e.withColumn("start_id", F.when(F.col("seq") == 0, node_id("parent")).otherwise(technical(F.col("seq")))).withColumn("end_id", F.when(F.col("last"), node_id("child")).otherwise(technical(F.col("seq") + 1)))
+    method = F.when(F.col("factor") > 1, "special").otherwise("base").alias("laying_method")
+    depths = [F.col("from_depth").alias("depth_start"), F.col("to_depth").alias("depth_end")] if three_d else []
+    lines = rows(e, "heat_network", F.concat_ws("_", "variant_id", F.lit("e"), "child", "seq"), "LineString", geometry_text(F.lit("LineString"), path, three_d), F.to_json(F.struct("start_id", "end_id", F.col("dn").alias("diameter"), F.col("flow").alias("flow_tph"), "length", "cost", method, *depths)), F.col("length"), F.col("cost"))
+    between = e.where("not last").withColumn("p", F.element_at(path, -1))
+    bare = rows(between, "technical_node", technical(F.col("seq") + 1), "Point", geometry_text(F.lit("Point"), F.array("p"), three_d), F.to_json(F.struct(F.col("child").alias("edge"), "seq")))
     first = nodes.groupBy("variant_id").agg(F.min_by(F.struct("x", "y"), "node").alias("p"))
-    summary = variants.join(first, "variant_id").select("variant_id", "rank", F.lit("summary").alias("object_type"), F.concat_ws("_", "variant_id", F.lit("summary")).alias("id"), F.lit("Point").alias("kind"), F.lit(2).alias("dims"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("cost"), F.col("length").alias("total_length"), F.col("cost").alias("total_cost"), geometry_text(F.lit("Point"), _points(F.array("p"), None)).alias("geometry"), F.to_json(F.struct("rank", "length", "cost", "score")).alias("properties"))
-    return lines.unionByName(chambers).unionByName(summary)
+    summary = variants.join(first, "variant_id").select("variant_id", "rank", F.lit("summary").alias("object_type"), F.concat_ws("_", "variant_id", F.lit("summary")).alias("id"), F.lit("Point").alias("kind"), F.lit(2).alias("dims"), none.alias("length"), none.alias("cost"), F.col("length").alias("total_length"), F.col("cost").alias("total_cost"), geometry_text(F.lit("Point"), _points(F.array("p"), None)).alias("geometry"), F.to_json(F.struct("rank", "length", "cost", "score")).alias("properties"))
+    return lines.unionByName(chambers).unionByName(bare).unionByName(summary)
 
 
 def feature_text(rows: DataFrame) -> DataFrame:
@@ -47,19 +62,24 @@ def feature_text(rows: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """One FeatureCollection, variants in the order of their rank. Rows stay spread until the one task that writes the file."""
+    """One FeatureCollection, variants in the order of their rank. Rows are sorted by the cluster; one task writes the file, no row passes the driver."""
     order = {"heat_network": 0, "heat_chamber": 1, "technical_node": 2, "summary": 3}
-    text = feature_text(rows).withColumn("o", F.element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("object_type"))).orderBy("rank", "o", "id")
+    text = feature_text(rows).withColumn("o", F.element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("object_type")))
     spark = rows.sparkSession
-    stream = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = stream.getFileSystem(spark._jsc.hadoopConfiguration()).create(stream, True)
-    try:
-        out.write(bytearray(b'{"type":"FeatureCollection","features":[\n'))
-        for k, r in enumerate(text.select("value").toLocalIterator()):
-            out.write(bytearray((",\n" if k else "").encode() + r.value.encode()))
-        out.write(bytearray(b"\n]}\n"))
-    finally:
-        out.close()
+    key = F.struct(F.col("rank").cast("int").alias("rank"), "o", "id")
+    first = text.agg(F.min(key)).first()[0]
+    leads = F.lit(False) if first is None else (F.col("rank") == first[0]) & (F.col("o") == first[1]) & (F.col("id") == first[2])
+    body = text.select(key.alias("at"), F.when(leads, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    edge = lambda n, line: spark.range(1).select(F.struct(F.lit(n).alias("rank"), F.lit(0).alias("o"), F.lit("").alias("id")).alias("at"), F.lit(line).alias("value"))
+    whole = body.unionByName(edge(-(1 << 31), '{"type":"FeatureCollection","features":[')).unionByName(edge((1 << 31) - 1, "]}"))
+    part = f"{path}.parts"
+    whole.repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(part)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = [f.getPath() for f in fs.globStatus(hadoop.Path(f"{part}/part-*")) if f.getLen()]
+    fs.delete(hadoop.Path(path), False)
+    fs.rename(written[0], hadoop.Path(path))
+    fs.delete(hadoop.Path(part), True)
 
 
 def variant(spark: SparkSession, path: str, variant_id: str) -> DataFrame:

@@ -22,7 +22,12 @@ def test_end_to_end(spark, tmp_path, mode):
     lines = [f for f in got if f["properties"]["object_type"] == "heat_network"]
     assert lines and all(len(p) == (3 if mode == "depth" else 2) for f in lines for p in f["geometry"]["coordinates"])
     if mode == "depth":
-        assert all(p[2] == -3.0 for f in lines for p in f["geometry"]["coordinates"])
+        assert all(-20 < p[2] <= -0.7 for f in lines for p in f["geometry"]["coordinates"])
+        ends = [f for f in lines if "_n_" in f["properties"]["start_id"]]
+        assert ends and all(abs(f["geometry"]["coordinates"][0][2] + 3) < 1e-7 for f in ends)
+    assert engine.violations(run, variants[0].variant_id).count() == 0
+    by_id = {f["properties"]["id"] for f in got} | {f"{v.variant_id}_n_{k}" for v in variants for k in range(99)}
+    assert all(f["properties"]["start_id"] in by_id and f["properties"]["end_id"] in by_id for f in lines)
     one = export.variant(spark, out, variants[0].variant_id)
     assert one.count() == sum(f["properties"]["variant_id"] == variants[0].variant_id for f in got)
     with pytest.raises(NotFound):

@@ -23,6 +23,33 @@ def test_detours_keep_clear(ring, least):
     assert gap >= 1.255 - 1e-9
 
 
+@pytest.mark.parametrize("ring, spot, start, lead, low, high", [
+    ([(0, 0), (30, 0), (30, 20), (0, 20)], (28, 10), (-20, 10), 2, 30, 99),
+    ([(0, 0), (30, 0), (30, 20), (14, 20), (14, 5), (10, 5), (10, 20), (0, 20)], (8, 10), (-20, 30), 2, 10, 14),
+])
+def test_a_terminal_is_reached_through_the_nearest_facade(ring, spot, start, lead, low, high):
+    home = routing.obstacle("oks_existing", [np.array([*ring, ring[0]], dtype=float)], True)
+    path, _ = routing.Router([home]).route(np.array(start, dtype=float), np.array(spot, dtype=float), 100)
+    inside = [sum(hi - lo for lo, hi in planar.clip(a, b, home.segments)) for a, b in zip(path[:-1], path[1:])]
+    assert inside[-1] == pytest.approx(lead) and max(inside[:-1]) < 1e-5 and low < path[-2][0] < high
+
+
+def test_a_blocked_facade_is_left_for_another():
+    home = routing.obstacle("oks_existing", [square(0, 0, 30, 20)], True)
+    park = routing.obstacle("park", [square(31, 4, 42, 16)], True)
+    path, _ = routing.Router([home, park]).route(np.array([-20.0, 30]), np.array([28.0, 10]), 100)
+    assert planar.clip(path[-2], path[-1], home.segments)[0][1] - planar.clip(path[-2], path[-1], home.segments)[0][0] == pytest.approx(10)
+
+
+def test_existing_pipes_are_crossed_not_followed():
+    line = routing.pipe(np.array([[50.0, -100, 50, 100]]), 100)
+    r = routing.Router([line])
+    assert r.legal(np.array([0.0, 0]), np.array([100.0, 0]), 100) == (True, 1.05, "")
+    assert r.legal(np.array([50.0, 0]), np.array([100.0, 0]), 100, np.array([50.0, 0])) == (True, 1.0, "")
+    assert r.legal(np.array([50.0, 0]), np.array([50.0, 50]), 100)[2] == "overlap-existing-network"
+    assert r.legal(np.array([51.0, 0]), np.array([51.0, 50]), 100)[2] == "clearance-existing-network"
+
+
 def test_crossings():
     road = routing.obstacle("road", [np.array([[50.0, -20], [50, 20]])], False)
     assert routing.assess(np.array([0.0, 0]), np.array([100.0, 0]), 100, [road]) == (True, 1.60, "")
@@ -74,7 +101,7 @@ def test_diameters_of_chains():
 def test_optimise_over_starts(spark):
     s = scene()
     ring = [{"x": float(x), "y": float(y)} for x, y in square(90, 20, 130, 60)]
-    scenes = spark.createDataFrame([("one", [dict(zip(("oks_id", "x", "y", "flow"), t)) for t in s.terminals], [dict(zip(("id", "type", "x", "y", "free"), t)) for t in s.ties], [{"type": "park", "closed": True, "rings": [ring]}])], "scenario string, terminals array<struct<oks_id:string,x:double,y:double,flow:double>>, ties array<struct<id:string,type:string,x:double,y:double,free:int>>, restrictions array<struct<type:string,closed:boolean,rings:array<array<struct<x:double,y:double>>>>>")
+    scenes = spark.createDataFrame([("one", [dict(zip(("oks_id", "x", "y", "flow"), t)) for t in s.terminals], [dict(zip(("id", "type", "x", "y", "free"), t)) for t in s.ties], [{"type": "park", "closed": True, "rings": [ring]}], [{"dn": 300, "legs": [{"ax": 0.0, "ay": 0.0, "bx": 300.0, "by": 0.0}]}])], "scenario string, terminals array<struct<oks_id:string,x:double,y:double,flow:double>>, ties array<struct<id:string,type:string,x:double,y:double,free:int>>, restrictions array<struct<type:string,closed:boolean,rings:array<array<struct<x:double,y:double>>>>>, pipes array<struct<dn:int,legs:array<struct<ax:double,ay:double,bx:double,by:double>>>>")
     starts = spark.createDataFrame([("one", k) for k in range(3)], "scenario string, start int")
     got = planner.optimise(starts, scenes).groupBy("start", "stage").agg({"unconnected": "max", "score": "max"}).collect()
     assert len(got) == 6 and all(r["max(unconnected)"] == 0 for r in got)
