@@ -28,6 +28,16 @@ class Engine:
     def ingest(self, path: str, name: str = "scenario", lines: bool = False) -> str:
         return geojson.ingest(self.spark, path, self.store, name, lines)
 
+    def check_file(self, path: str, lines: bool = False) -> DataFrame:
+        """(rule, id, detail) of everything that a scenario file breaks; nothing is stored."""
+        return geojson.check(self.spark, path, lines)
+
+    def feature(self, scenario: str, feature: str) -> dict:
+        rows = geojson.find(self.spark, self.store, scenario, feature).collect()
+        if not rows:
+            raise NotFound(feature)
+        return rows[0].asDict()
+
     def scenario(self, scenario: str) -> dict:
         rows = self.spark.read.parquet(f"{self.store}/scenarios").where(F.col("id") == scenario).collect()
         if not rows:

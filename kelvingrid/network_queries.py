@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import buildings, candidates, costs, depth, diversity, graph, legality, spatial, topology, validation
+from kelvingrid.operators import buildings, candidates, costs, depth, diversity, graph, legality, spatial, topology, treedp, validation
 from kelvingrid.plans import rules
-from kelvingrid.queries import DN, O1, O2, PLANS, SPAN, TREE, _t, boxes, pipes, plan_rows, query, r6, tree
+from kelvingrid.queries import DN, O1, O2, PLANS, SPAN, TREE, _t, boxes, pipes, plan_rows, query, r6, terminals, tree
 from kelvingrid.sources import geojson
 
 HALF = "hw(dn, w, h) AS (VALUES " + ", ".join(f"({r[0]}, {r[5]}::DOUBLE, {r[6]}::DOUBLE)" for r in rules.DN_TABLE) + ")"
@@ -348,3 +348,46 @@ def attachment_points(spark, sf):
     nodes = p.select(F.col("id").alias("node"), F.col("bx").alias("x"), F.col("by").alias("y"))
     edges = p.select((-1 - F.col("id")).alias("parent"), F.col("id").alias("child"), *spatial.SEGMENT)
     return candidates.attachments(t, ties, nodes, edges).select("id", "kind", "target", r6(F.col("chainage")).alias("chainage"), r6(F.col("distance")).alias("distance"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT s_suppkey AS plan FROM supplier), k AS (SELECT unnest(range(0, 3)) AS v), a AS (SELECT plan, k1.v AS a1, k2.v AS a2, k3.v AS a3, k4.v AS a4, k5.v AS a5, k6.v AS a6, k7.v AS a7 FROM n, k k1, k k2, k k3, k k4, k k5, k k6, k k7),
+c AS (SELECT plan, (plan * 31 + 34 + a1 * 7 + a2 * 13) % 97 + (plan * 31 + 51 + a1 * 7 + a3 * 13) % 97 + (plan * 31 + 68 + a2 * 7 + a4 * 13) % 97 + (plan * 31 + 85 + a2 * 7 + a5 * 13) % 97 + (plan * 31 + 102 + a3 * 7 + a6 * 13) % 97 + (plan * 31 + 119 + a3 * 7 + a7 * 13) % 97 AS cost FROM a),
+r AS (SELECT plan, cost, row_number() OVER (PARTITION BY plan ORDER BY cost) AS rank FROM c) SELECT plan, rank, cost::DOUBLE AS cost FROM r WHERE rank <= 8""")
+def tree_dp_costs(spark, sf):
+    """The eight least costs of each tree's assignments."""
+    n = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("plan"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(7).cast("long"))).alias("child"))
+    picks = lambda: F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rows = n.withColumn("parent", F.expr("child div 2")).withColumn("i", picks()).withColumn("j", picks())
+    found = treedp.top_assignments(rows.select("plan", "parent", "child", "i", "j", F.expr("double((plan * 31 + child * 17 + i * 7 + j * 13) % 97)").alias("cost")), 8)
+    return found.where("node = 1").select("plan", "rank", "cost")
+
+
+@query("WITH t AS (SELECT c_nationkey AS nation, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y, ((c_custkey * 37) % 400) / 10.0::DOUBLE AS flow FROM customer) SELECT nation, round(sum(x * flow) / sum(flow), 6) AS x, round(sum(y * flow) / sum(flow), 6) AS y, round(avg(x), 6) AS plain_x, round(avg(y), 6) AS plain_y FROM t GROUP BY 1")
+def flow_centroids(spark, sf):
+    """Flow-weighted and plain centres of groups of terminals."""
+    rows = candidates.centroids(terminals(spark, sf), ["nation"])
+    return rows.select("nation", *[r6(F.col(c)).alias(c) for c in ("x", "y", "plain_x", "plain_y")])
+
+
+@query(f"WITH t AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y FROM customer), {EXISTING}, h AS (SELECT ax + 4 AS x, ay + 3 AS y FROM b WHERE id % 3 = 0) SELECT id, round(least((SELECT min({_gap('t.x', 't.y', 'b')}) FROM b), (SELECT min(sqrt((t.x - h.x) ^ 2 + (t.y - h.y) ^ 2)) FROM h)), 6) AS distance FROM t")
+def nearest_existing(spark, sf):
+    """The distance of each terminal from the nearest existing pipe or chamber."""
+    p = pipes(spark, sf)
+    chambers = p.where("id % 3 = 0").select("id", (F.col("ax") + 4).alias("x"), (F.col("ay") + 3).alias("y"))
+    return candidates.nearest_existing(terminals(spark, sf), p, chambers).select("id", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH {PLANS.split(', pe AS')[0]}, e AS (SELECT a.plan, b.node AS parent, a.node AS child FROM pn a JOIN pn b ON a.plan = b.plan AND b.node = a.node // 2 AND a.node <> b.node),
+d AS (SELECT plan, node, count(*) AS n FROM (SELECT plan, parent AS node FROM e UNION ALL SELECT plan, child FROM e) GROUP BY 1, 2), h AS (SELECT plan, oks_id, count(*) AS n FROM pn WHERE oks_id IS NOT NULL GROUP BY 1, 2)
+SELECT plan, 'degree' AS rule, node::VARCHAR AS object FROM d WHERE n > 4
+UNION ALL SELECT plan, 'terminal-leaf', node::VARCHAR FROM pn WHERE kind = 'TERMINAL' AND EXISTS (SELECT 1 FROM e WHERE e.plan = pn.plan AND e.parent = pn.node)
+UNION ALL SELECT plan, 'orphan', node::VARCHAR FROM pn WHERE kind <> 'TIE_IN' AND NOT EXISTS (SELECT 1 FROM e WHERE e.plan = pn.plan AND e.child = pn.node)
+UNION ALL SELECT plan, 'terminal-twice', oks_id::VARCHAR FROM h WHERE n > 1
+UNION ALL SELECT plan, 'unknown-terminal', oks_id::VARCHAR FROM h WHERE oks_id % 4 = 0""")
+def plan_topology_rules(spark, sf):
+    """V2: what the topology check has against plans: leaves, orphans, terminals twice or unknown."""
+    _, nodes, edges, _ = plan_rows(spark, sf)
+    far = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.lit(-9e6).alias("x"), F.lit(-9e6).alias("y"))
+    nodes = nodes.withColumns({"x": F.col("node").cast("double") * 100, "y": F.lit(0.0)})
+    known = terminals(spark, sf).where("id % 4 <> 0").select(F.col("id").alias("oks_id"))
+    return validation.topology(nodes, edges, known, far).select("plan", "rule", "object")

@@ -9,7 +9,7 @@ from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
 from kelvingrid.plans.shared import materialise
 
-from .spatial import SEGMENT, overlap_join, point_boxes, segment_boxes, within
+from .spatial import SEGMENT, nearest, overlap_join, point_boxes, segment_boxes, within
 
 #: Weight of missing capacity in the score, metres between samples of a pipe, keys a decimetre apart.
 OVERLOAD = 25000 / 107142.86
@@ -108,6 +108,19 @@ def best_ties(terminals: DataFrame, chambers: DataFrame, pipes: DataFrame, limit
     return done
 
 
+def nearest_existing(terminals: DataFrame, pipes: DataFrame, chambers: DataFrame) -> DataFrame:
+    """(id, distance) of each terminal's nearest existing pipe or chamber."""
+    points = chambers.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    every = pipes.select("id", *SEGMENT).unionByName(points).withColumn("id", F.monotonically_increasing_id())
+    return nearest(terminals, materialise(every), 1, "id", "id").select("id", "distance")
+
+
+def centroids(terminals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, plain_x, plain_y): the centres of ``terminals(keys, x, y, flow)``, weighted by flow and plain."""
+    mean = lambda c: F.sum(F.col(c) * F.col("flow")) / F.nullif(F.sum("flow"), F.lit(0.0))
+    return terminals.groupBy(*keys).agg(F.coalesce(mean("x"), F.avg("x")).alias("x"), F.coalesce(mean("y"), F.avg("y")).alias("y"), F.avg("x").alias("plain_x"), F.avg("y").alias("plain_y"))
+
+
 def attachments(terminal: DataFrame, ties: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Everything that a terminal can be attached to: ties, plan nodes with fewer than 4 edges, and points of plan edges.
 

@@ -6,24 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.plans import rules
-from kelvingrid.plans.shared import materialise
+from kelvingrid.plans.shared import discard, materialise
 
 
-def reached(nodes: DataFrame, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Ids of ``nodes(id, upstream)`` from which a root (``roots(id)``) can be reached upstream.
+def reached(nodes: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+    """Ids of ``nodes(id, upstream)`` from which a root (``roots(id)``) can be reached upstream, and the roots.
 
-    A frontier moves down from the roots; ids met before are never met again, so cycles end.
+    Each round doubles how far every id looks up: the logarithm of the longest way is the number of rounds. What looks into nothing drops
+    out, and what goes round in a cycle is left over when the ways can't be any longer.
     """
-    seen = frontier = materialise(roots.select("id").distinct())
-    for _ in range(rounds):
-        below = nodes.join(frontier.select(F.col("id").alias("upstream")), "upstream").select("id").distinct()
-        frontier = materialise(below.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    tops = roots.select("id").distinct()
+    now = nodes.groupBy("id").agg(F.min("upstream").alias("up")).join(tops, "id", "left_anti")
+    now = materialise(now.join(tops.select(F.col("id").alias("up"), F.lit(True).alias("top")), "up", "left").select("id", "up", F.coalesce("top", F.lit(False)).alias("done")))
+    n = now.count()
+    for k in range(rounds):
+        further = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("done").alias("then"))
+        open_ = now.where("not done").join(further, "up").select("id", F.col("next").alias("up"), F.col("then").alias("done"))
+        nxt = materialise(now.where("done").unionByName(open_))
+        discard(now)
+        now = nxt
+        if 2 ** (k + 1) > n or now.where("not done").isEmpty():
+            return materialise(now.where("done").select("id").unionByName(tops).distinct())
     raise RuntimeError("reachability did not end")
 
 
+def below(edges: DataFrame, values: DataFrame, value: str, fold, rounds: int = 64) -> DataFrame:
+    """(id, value): ``fold`` (F.sum, F.max) of the values of each node of a forest ``edges(parent, child)`` and all below it.
+
+    After k rounds a node holds the fold of what is less than 2**k levels below it, and a pointer 2**k levels up; the next round adds its
+    value to that ancestor's. Rows stay as many as nodes, rounds as many as the logarithm of the depth.
+    """
+    ids = edges.select(F.col("child").alias("id")).unionByName(edges.select(F.col("parent").alias("id"))).distinct()
+    up = edges.select(F.col("child").alias("id"), F.col("parent").alias("up"))
+    now = materialise(ids.join(values.select("id", F.col(value).alias("v")), "id", "left").join(up, "id", "left"))
+    for _ in range(rounds):
+        gifts = now.where("up is not null").groupBy(F.col("up").alias("id")).agg(fold("v").alias("more"))
+        jump = now.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        pair = F.array_compact(F.array("v", "more"))
+        both = F.aggregate(pair, F.lit(0).cast(now.schema["v"].dataType), lambda x, y: x + y) if fold is F.sum else F.array_max(pair)
+        nxt = materialise(now.join(gifts, "id", "left").join(jump, "up", "left").select("id", F.when(F.size(pair) > 0, both).alias("v"), F.col("next").alias("up")))
+        discard(now)
+        now = nxt
+        if now.where("up is not null").isEmpty():
+            return now.where("v is not null").select("id", F.col("v").alias(value))
+    raise RuntimeError("the forest has a cycle")
+
+
 def ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Closure of ``edges(parent, child)``: (id, anc, depth) with each id its own ancestor at 0, by doubling of paths."""
     up = materialise(edges.select(F.col("child").alias("id"), F.col("parent").alias("anc"), F.lit(1).alias("depth")))
@@ -48,14 +76,14 @@ def cyclic(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         less = materialise(rest.join(rest.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
         if less.count() == rest.count():
             return rest.select(F.col("child").alias("id")).distinct()
+        discard(rest)
         rest = less
     raise RuntimeError("peeling did not end")
 
 
 def subtree_flow(edges: DataFrame, demand: DataFrame) -> DataFrame:
     """(id, flow): the demand of each node and all below it."""
-    closure = ancestors(edges)
-    return closure.join(demand, "id").groupBy(F.col("anc").alias("id")).agg(F.sum("demand").alias("flow"))
+    return below(edges, demand, "demand", F.sum).withColumnRenamed("demand", "flow")
 
 
 def root_paths(edges: DataFrame) -> DataFrame:
@@ -89,7 +117,6 @@ def required_diameters(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """
     paths = materialise(chains(root_paths(edges).join(edges.select(F.col("child").alias("edge"), "flow", "length"), "edge"), ["leaf"], "at", "flow"))
     runs = materialise(paths.groupBy("leaf", "chain").agg(F.max("flow").alias("flow"), F.sum("length").alias("length")))
-    closure = materialise(ancestors(edges))
     now = materialise(edges.select("child", rules.min_dn(F.col("flow")).alias("dn")))
     for _ in range(rounds):
         floor = paths.join(now.withColumnRenamed("child", "edge"), "edge").groupBy("leaf", "chain").agg(F.max("dn").alias("floor"))
@@ -97,7 +124,7 @@ def required_diameters(edges: DataFrame, rounds: int = 64) -> DataFrame:
         raised = paths.join(need.select("leaf", "chain", "dn"), ["leaf", "chain"]).groupBy(F.col("edge").alias("id")).agg(F.max("dn").alias("dn"), F.count_if(F.col("dn").isNull()).alias("none"))
         if not raised.where("none > 0").isEmpty():
             raise ValueError("a run is too long for every diameter")
-        after = materialise(closure.join(raised, "id").groupBy("anc").agg(F.max("dn").alias("dn")).join(edges.select(F.col("child").alias("anc")), "anc", "left_semi").withColumnRenamed("anc", "child"))
+        after = materialise(below(edges, raised, "dn", F.max).join(edges.select(F.col("child").alias("id")), "id", "left_semi").withColumnRenamed("id", "child"))
         if after.join(now, ["child", "dn"], "left_anti").isEmpty():
             return after
         now = after

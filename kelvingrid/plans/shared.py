@@ -9,16 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.kelvingrid.folder", None) or "file://" + tempfile.mkdtemp(prefix="kelvingrid-")
-        spark.conf.set("spark.kelvingrid.folder", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows once and read them back, so that later rounds don't repeat earlier ones."""
-    path = f"{folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """This application's own folder under ``spark.checkpoint.dir``; it goes when the application ends.
+
+    Where the setting is unset, a local session, whose executors share the driver's disk, gets a temporary folder; a cluster gets an error.
+    """
+    own = spark.conf.get("spark.kelvingrid.folder", None)
+    if own:
+        return own
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="kelvingrid-")
+    own = f"{base.rstrip('/')}/kelvingrid-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    spark.conf.set("spark.kelvingrid.folder", own)
+    return own
+
+
+def materialise(df: DataFrame, label: str = "rounds", **options: str) -> DataFrame:
+    """Write the rows once as Parquet and read them back, so that later rounds don't repeat earlier ones.
+
+    It cuts the lineage as ``checkpoint()`` does, but computes the rows once, and a lost executor costs nothing: the files are in the shared folder.
+    """
+    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a ``materialise`` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

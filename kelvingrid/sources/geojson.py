@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from kelvingrid.functions import geometry as g
 from kelvingrid.functions import projection
+from kelvingrid.operators import topology
 from kelvingrid.operators.graph import reached
+from kelvingrid.operators.spatial import SEGMENT, explode_segments, overlap_join, segment_boxes
 from kelvingrid.plans import rules
+from kelvingrid.plans.shared import materialise
 
 LIMIT = 3 << 30
 POINT = "struct<x:double,y:double,z:double>"
@@ -97,7 +101,6 @@ def typed(rows: DataFrame) -> DataFrame:
     out = out.withColumns({"min_x": axis("x", F.array_min), "min_y": axis("y", F.array_min), "max_x": axis("x", F.array_max), "max_y": axis("y", F.array_max)})
     t = F.col("object_type")
     return out.withColumns({
-        "diameter": F.when((t == "heat_chamber") & F.col("diameter").isNull(), 200).otherwise(F.col("diameter")),
         "flow_tph": F.when((t == "heat_network") & F.col("flow_tph").isNull(), 0.0).otherwise(F.col("flow_tph")),
         "oks_id": F.when((t == "oks_connection_point") & F.col("oks_id").isNull() & F.col("flow_tph").isNotNull(), F.col("id")).otherwise(F.col("oks_id")),
     })
@@ -115,8 +118,10 @@ def repeats_a_key(texts: pd.Series) -> pd.Series:
             found |= len({k for k, _ in items}) < len(items)
             return dict(items)
 
-        if text:
-            json.loads(text, object_pairs_hook=pairs)
+        try:
+            json.loads(text or "{}", object_pairs_hook=pairs)
+        except ValueError:
+            return True  # no JSON at all
         return found
 
     return texts.map(check)
@@ -146,7 +151,7 @@ def violations(features: DataFrame) -> DataFrame:
         row("flow", (t == "oks_future") & F.col("flow_tph").isNull(), F.lit("missing")),
         row("flow", F.col("flow_tph") < 0, F.col("flow_tph")),
         row("oks-id", (t == "oks_connection_point") & F.col("oks_id").isNull(), F.lit("missing")),
-        row("keys", repeats_a_key("properties_json"), F.lit("a key is repeated")),
+        row("keys", repeats_a_key("properties_json"), F.lit("a key is repeated, or it is no JSON")),
         f.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("unique-id").alias("rule"), "id", F.col("n").cast("string").alias("detail")),
         f.agg(F.count_if(t == "source").alias("n")).where("n <> 1").select(F.lit("one-source").alias("rule"), F.lit(None).cast("string").alias("id"), F.col("n").cast("string").alias("detail")),
         f.where((t == "oks_connection_point") & (F.col("oks_id") != F.col("id"))).join(f.where(t.isin("oks_future", "oks_existing")).select(F.col("id").alias("oks_id")), "oks_id", "left_anti").select(F.lit("oks-reference").alias("rule"), "id", F.col("oks_id").alias("detail")),
@@ -154,12 +159,28 @@ def violations(features: DataFrame) -> DataFrame:
     net = f.where(t.isin("heat_network", "heat_chamber") & F.col("upstream").isNotNull()).select("id", "upstream")
     found = reached(net, f.where(t == "source").select("id"))
     parts.append(net.join(found, "id", "left_anti").select(F.lit("unreachable").alias("rule"), "id", F.col("upstream").alias("detail")))
+    # rings that cross themselves, or each other
+    legs = explode_segments(f.where(polygon & rings.isNotNull()).select("id", "rings")).withColumn("feature", F.col("id")).withColumn("id", F.struct("ring", "seq"))
+    boxed = segment_boxes(legs.select("id", "feature", *SEGMENT))
+    ends, other = [tuple(F.col(f"{p}{c}") for c in SEGMENT) for p in ("", "r_")]
+    crossed = overlap_join(boxed, boxed, 200.0, 0.0, (F.col("feature") == F.col("r_feature")) & (F.col("id") < F.col("r_id")) & g.crosses(ends, other))
+    parts.append(crossed.select(F.lit("geometry").alias("rule"), F.col("feature").alias("id"), F.lit("a ring crosses itself or another").alias("detail")).distinct())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def check(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(rule, id, detail) of what a scenario file breaks; nothing is stored."""
+    return violations(typed(scan(spark, path, lines)))
+
+
+def find(spark: SparkSession, store: str, scenario: str, feature: str) -> DataFrame:
+    """The row of one feature of a scenario, if it has it."""
+    return spark.read.parquet(f"{store}/features").where((F.col("scenario_id") == scenario) & (F.col("id") == feature))
+
+
 def ingest(spark: SparkSession, path: str, store: str, name: str, lines: bool = False) -> str:
     """Read, check and store a scenario; its id. Raises InputError and stores nothing if a constraint is broken."""
     features = typed(scan(spark, path, lines)).cache()
@@ -191,6 +212,11 @@ def snapshot(spark: SparkSession, store: str, scenario: str, reach: float = 5000
     source = of("source").select("id", *point)
     pipes = of("heat_network").select("seq", "id", "upstream", "diameter", F.col("flow_tph").alias("flow"), F.element_at("rings", 1).alias("path"))
     chambers = of("heat_chamber").select("seq", "id", "upstream", "diameter", *point)
+    a, b = F.element_at("path", 1), F.element_at("path", -1)
+    ends = pipes.select("seq", "id", "upstream", F.col("diameter").alias("dn"), g.path_length(F.col("path")).alias("length"), a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), "flow", "path")
+    lines, nodes = topology.resolve(source, ends, chambers.withColumnRenamed("diameter", "dn"))
+    pipes = materialise(lines.select("seq", "id", "upstream", F.col("dn").alias("diameter"), "flow", "path"))
+    chambers = materialise(nodes.select("seq", "id", "upstream", F.col("dn").alias("diameter"), "x", "y"))
     own = of("oks_connection_point").select("seq", F.col("id").alias("point_id"), "oks_id", F.col("flow_tph").alias("own"), *point)
     building = of("oks_future").select(F.col("id").alias("oks_id"), "flow_tph")
     terminals = own.join(building, "oks_id", "left").select("seq", "oks_id", "point_id", "x", "y", F.coalesce("flow_tph", "own", F.lit(0.0)).alias("flow"))

@@ -11,7 +11,7 @@ from test_geojson import scenario, write
 def test_end_to_end(spark, tmp_path, mode):
     engine = Engine(spark, str(tmp_path / "store"), starts=2)
     sid = engine.ingest(write(tmp_path, scenario()), "first")
-    assert engine.scenario(sid)["status"] == "READY"
+    assert engine.scenario(sid)["status"] == "READY" and engine.feature(sid, "c1")["object_type"] == "heat_chamber"
     run = engine.run(sid, mode)
     variants = engine.variants(run).collect()
     assert variants and all(v.unconnected == 0 for v in variants) and variants[0].variant_id == ("3d_1" if mode == "depth" else "2d_1")

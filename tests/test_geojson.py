@@ -38,7 +38,8 @@ def test_ingest_and_snapshot(spark, tmp_path):
     assert geojson.features(spark, store, sid).count() == 8
     s = geojson.snapshot(spark, store, sid)
     assert {(r.oks_id, r.flow) for r in s["terminals"].collect()} == {("b1", 12.5), ("t2", 3.0)}
-    assert s["chambers"].first().diameter == 200 and s["pipes"].first().upstream == "1"
+    assert s["chambers"].first().diameter == 300 and s["pipes"].first().upstream == "1"  # the largest pipe at it
+    assert geojson.find(spark, store, sid, "t2").first().flow_tph == 3
     assert {r.type for r in s["restrictions"].collect()} == {"park", "power_cable", "oks_existing"}
     ring = geojson.features(spark, store, sid, "oks_future").first().rings[0]
     assert len(ring) == 5 and ring[0] == ring[-1]
@@ -52,6 +53,7 @@ def test_ingest_and_snapshot(spark, tmp_path):
     (lambda f: f[4]["properties"].update(oks_id="nobody"), "oks-reference"),
     (lambda f: f[2]["properties"].update(upstream_object_id="zz"), "unreachable"),
     (lambda f: f[6]["properties"].update(restriction_type="lava"), "restriction-type"),
+    (lambda f: f[3].update(geometry={"type": "Polygon", "coordinates": [[[37.6, 55.75], [37.601, 55.751], [37.601, 55.75], [37.6, 55.7512]]]}), "geometry"),
     (lambda f: f[1].update(geometry={"type": "Point", "coordinates": [1, 2]}), "geometry-type"),
     (lambda f: f[1].update(geometry={"type": "MultiPoint", "coordinates": [[1, 2]]}), "geometry"),
 ])
