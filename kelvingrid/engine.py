@@ -95,10 +95,11 @@ class Engine:
         plans = materialise(plans.select("plan", "unconnected", "policy").join(again, "plan"))
         valid = diversity.best_coverage(plans.join(broken.select("plan"), "plan", "left_anti").withColumn("all", F.lit(0)), ["all"]).drop("all")
         segments = edges.select("plan", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("p"), F.slice("path", F.lit(2), F.size("path") - 1).alias("q"))).alias("k", "s")).select("plan", F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"))
+        named_ties = nodes.withColumn("existing_id", F.substring_index("existing_id", "@", 1))  # a pipe, wherever it is tied
         sets = {
             "corridor": diversity.corridor_cells(segments, ["plan"]).select("plan", F.concat_ws("/", "cell_x", "cell_y").alias("item")),
-            "ties": diversity.tie_items(nodes),
-            "topology": diversity.topology_items(nodes, edges),
+            "ties": diversity.tie_items(named_ties),
+            "topology": diversity.topology_items(named_ties, edges),
         }
         pairs = valid.select(F.col("plan").alias("a")).join(valid.select(F.col("plan").alias("b")), F.col("a") < F.col("b"))
         for measure, items in sets.items():

@@ -211,19 +211,21 @@ def conflicts(plan: Plan, path: np.ndarray) -> bool:
     return False
 
 
-def improve_step(plan: Plan, scene: Scene, terminal: tuple[str, float, float, float], base: float, accept: int) -> tuple[float, Plan] | None:
-    """The cheapest of the first ``accept`` valid attachments of a terminal, with its increment of the score."""
+def improve_step(plan: Plan, scene: Scene, terminal: tuple[str, float, float, float], base: float, accept: int, frontiers: tuple[int | None, ...] = FRONTIERS) -> tuple[float, Plan] | None:
+    """The cheapest of the first ``accept`` valid attachments of a terminal, with its increment of the score; a frontier is widened only if it gives none."""
     at = np.array(terminal[1:3])
     dn = smallest(terminal[3])
     unit = 0.003 + 0.7 * PRICE[dn] / 25e6
     best: tuple[float, Plan] | None = None
     seen = valid = 0
-    for limit in FRONTIERS:
+    own = [planar.ring_segments(path) for _, path, _ in plan.edges.values()]
+    lines = np.concatenate(own) if own else None
+    for limit in frontiers:
         found = offers(plan, scene, at, limit)
         for offer in found[seen:]:
             if best is not None and float(planar.hypot(offer[2] - at)) * unit >= best[0]:
                 return best
-            route = scene.router.route(offer[2], at, dn)
+            route = scene.router.route(offer[2], at, dn, lines)
             if route is None or conflicts(plan, route[0]):
                 continue
             try:
@@ -243,7 +245,10 @@ def improve_step(plan: Plan, scene: Scene, terminal: tuple[str, float, float, fl
 
 
 def build(scene: Scene, salt: int = 0, accept: int = ACCEPTED) -> Plan:
-    """Grow a plan: of the pending terminals, nearest first (times a jitter if salted), the first that can be attached ends a step."""
+    """Grow a plan: of the pending terminals, nearest first (times a jitter if salted), the first that can be attached ends a step.
+
+    The next frontier is looked at only when no pending terminal has an attachment in the one before.
+    """
     plan, pending = Plan(), list(scene.terminals)
     while pending:
         base = evaluate(plan, scene)["score"]
@@ -254,14 +259,19 @@ def build(scene: Scene, salt: int = 0, accept: int = ACCEPTED) -> Plan:
             noise = np.random.default_rng([salt, *t[0].encode()]).random() if salt else 0.45
             return d * (0.55 + noise), t[0]
 
-        for t in sorted(pending, key=near):
-            step = improve_step(plan, scene, t, base, accept)
+        order = sorted(pending, key=near)
+        step = None
+        for limit in FRONTIERS:
+            for t in order:
+                step = improve_step(plan, scene, t, base, accept, (limit,))
+                if step is not None:
+                    break
             if step is not None:
-                plan = step[1]
-                pending.remove(t)
                 break
-        else:
+        if step is None:
             break
+        plan = step[1]
+        pending.remove(t)
     return plan
 
 

@@ -155,6 +155,16 @@ def assess(a: np.ndarray, b: np.ndarray, dn: int, obstacles: list[Obstacle], exe
     return True, best, ""
 
 
+def blocked(a: np.ndarray, b: np.ndarray, lines: np.ndarray | None, touch: np.ndarray) -> bool:
+    """Whether a segment meets lines that are planned already, elsewhere than at the tie."""
+    if lines is None or not len(lines):
+        return False
+    hit = planar.meets(a, b, lines)
+    with np.errstate(invalid="ignore"):  # parallel lines meet nowhere
+        at = a + planar.cross_parameters(a, b, lines)[0][:, None] * (b - a)
+    return bool((hit & (planar.hypot(at - touch) >= 0.05)).any() or (planar.shared_lengths(a, b, lines) > 0.05).any())
+
+
 class Router:
     """Routes in one scene; graphs are kept by diameter."""
 
@@ -220,11 +230,14 @@ class Router:
             self.graphs[dn] = (p, {k: sorted(v.items()) for k, v in links.items()})
         return self.graphs[dn]
 
-    def route(self, start: np.ndarray, goal: np.ndarray, dn: int) -> tuple[np.ndarray, float] | None:
-        """(path, cost in metres) or None. A goal inside a building is reached through a port of its nearest wall that can be reached."""
+    def route(self, start: np.ndarray, goal: np.ndarray, dn: int, lines: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
+        """(path, cost in metres) or None. A goal inside a building is reached through a port of its nearest wall that can be reached.
+
+        ``lines``: segments of the plan so far, which may not be crossed.
+        """
         home = self.home(goal)
         if home is None:
-            return self.way(start, goal, dn)
+            return self.way(start, goal, dn, None, lines)
         for tier in ports(goal, home, dn):
             best = None
             for _, port in tier:
@@ -233,29 +246,29 @@ class Router:
                 # beyond its own facade the lead must keep clear like any other segment
                 if not assess(port, goal, dn, [o for o in self.near(port, goal) if o is not home])[0]:
                     continue
-                found = self.way(start, port, dn, home)
+                found = None if blocked(port, goal, lines, start) else self.way(start, port, dn, home, lines)
                 if found is not None and ((found[0][-1] - found[0][-2]) * lead).sum() >= -1e-7 and (best is None or found[1] + size < best[1]):
                     best = np.concatenate([found[0], [goal]]), found[1] + size
             if best is not None:
                 return best
         return None
 
-    def way(self, start: np.ndarray, goal: np.ndarray, dn: int, home: Obstacle | None = None) -> tuple[np.ndarray, float] | None:
+    def way(self, start: np.ndarray, goal: np.ndarray, dn: int, home: Obstacle | None = None, lines: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
         """Straight if legal, else by the graph. ``home``: the building outside which the goal is a port."""
         ok, factor, _ = self.legal(start, goal, dn, start, home)
-        if ok and planar.hypot(goal - start) > 1e-9:
+        if ok and planar.hypot(goal - start) > 1e-9 and not blocked(start, goal, lines, start):
             return np.array([start, goal]), float(planar.hypot(goal - start) * factor)
         p, static = self.graph(max(200, dn))
-        found = self.search(start, goal, max(200, dn), p, static, home)
+        found = self.search(start, goal, max(200, dn), p, static, home, lines)
         if found is None and dn < 200:
-            found = self.search(start, goal, dn, *self.graph(dn), home)
+            found = self.search(start, goal, dn, *self.graph(dn), home, lines)
         if found is None:
             return None
-        path = self.straightened(found[0], dn, home)
+        path = self.straightened(found[0], dn, home, lines)
         cost = sum(float(planar.hypot(b - a)) * self.legal(a, b, dn, start, home if (b == goal).all() else None)[1] for a, b in zip(path[:-1], path[1:], strict=True))
         return path, cost + BEND * sum(planar.turn(b - a, c - b) > 5 for a, b, c in zip(path[:-2], path[1:-1], path[2:], strict=True))
 
-    def search(self, start: np.ndarray, goal: np.ndarray, dn: int, p: np.ndarray, static: dict[int, list[tuple[int, float]]], home: Obstacle | None = None) -> tuple[np.ndarray, float] | None:
+    def search(self, start: np.ndarray, goal: np.ndarray, dn: int, p: np.ndarray, static: dict[int, list[tuple[int, float]]], home: Obstacle | None = None, lines: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
         n = len(p)
         points = np.concatenate([p, [start], [goal]])
         links = {k: list(v) for k, v in static.items()}
@@ -302,7 +315,7 @@ class Router:
                 v = points[j] - points[k]
                 if u is not None and (u * v).sum() < -1e-7:
                     continue
-                if legs is not None and planar.meets(points[k], points[j], legs).any():
+                if legs is not None and planar.meets(points[k], points[j], legs).any() or blocked(points[k], points[j], lines, start):
                     continue
                 total = d + cost + (BEND if u is not None and planar.turn(u, v) > 5 else 0.0)
                 if total < best.get((j, k), np.inf) - 1e-12:
@@ -311,7 +324,7 @@ class Router:
                     heapq.heappush(queue2, (total + rest[j], total, j, k))
         return None
 
-    def straightened(self, path: np.ndarray, dn: int, home: Obstacle | None = None) -> np.ndarray:
+    def straightened(self, path: np.ndarray, dn: int, home: Obstacle | None = None, lines: np.ndarray | None = None) -> np.ndarray:
         """Without the corners that a legal straight leg can skip; neither that leg nor the one after may reverse."""
         moving = True
         while moving:
@@ -321,7 +334,7 @@ class Router:
                 before = path[k - 1] - path[k - 2] if k > 1 else leg
                 after = path[k + 2] - path[k + 1] if k + 2 < len(path) else leg
                 own = home if k + 2 == len(path) else None
-                if (before * leg).sum() >= -1e-7 and (leg * after).sum() >= -1e-7 and self.legal(path[k - 1], path[k + 1], dn, path[0], own)[0]:
+                if (before * leg).sum() >= -1e-7 and (leg * after).sum() >= -1e-7 and self.legal(path[k - 1], path[k + 1], dn, path[0], own)[0] and not blocked(path[k - 1], path[k + 1], lines, path[0]):
                     path, moving = np.delete(path, k, axis=0), True
                 else:
                     k += 1

@@ -13,10 +13,11 @@ def folder(spark: SparkSession) -> str:
 
     Where the setting is unset, a local session, whose executors share the driver's disk, gets a temporary folder; a cluster gets an error.
     """
-    own = spark.conf.get("spark.kelvingrid.folder", None)
-    if own:
-        return own
     base = spark.conf.get("spark.checkpoint.dir", None)
+    known, _, own = spark.conf.get("spark.kelvingrid.folder", "").partition(" ")
+    if own and known == (base or "none"):
+        return own
+    key = base or "none"
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -26,7 +27,7 @@ def folder(spark: SparkSession) -> str:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    spark.conf.set("spark.kelvingrid.folder", own)
+    spark.conf.set("spark.kelvingrid.folder", f"{key} {own}")
     return own
 
 

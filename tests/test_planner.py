@@ -50,6 +50,13 @@ def test_existing_pipes_are_crossed_not_followed():
     assert r.legal(np.array([51.0, 0]), np.array([51.0, 50]), 100)[2] == "clearance-existing-network"
 
 
+def test_planned_lines_are_gone_round():
+    park = routing.obstacle("park", [square(40, -10, 60, 10)], True)
+    lines = np.array([[50.0, 0, 50, 300]])
+    path, _ = routing.Router([park]).route(np.array([0.0, 0]), np.array([100.0, 0]), 100, lines)
+    assert all(p[1] <= 1e-9 for p in path)
+
+
 def test_crossings():
     road = routing.obstacle("road", [np.array([[50.0, -20], [50, 20]])], False)
     assert routing.assess(np.array([0.0, 0]), np.array([100.0, 0]), 100, [road]) == (True, 1.60, "")
