@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -16,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kelvingrid.plans.shared import discard as drop
+from kelvingrid.plans.shared import folder
+from kelvingrid.plans.shared import materialise as cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; read by Spark only, so any file system will do."""
@@ -23,35 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.kelvingrid.shared", None) or "file://" + tempfile.mkdtemp(prefix="kelvingrid-")
-        spark.conf.set("spark.kelvingrid.shared", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "cut", **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    It cuts the lineage as ``checkpoint()`` does, but computes the rows once, and a lost executor
-    costs nothing: the files are in the shared folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table behind a ``cut`` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python import this package, wherever they are."""
     top = Path(__file__).resolve().parents[1]
@@ -66,7 +39,7 @@ def publish(spark: SparkSession, name: str, data: bytes, code: bool = False) ->
     """Give every executor a local copy of ``data`` as the Spark file ``name``; it starts in the shared folder."""
     if name in {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(data))
     out.close()
