@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import components, cut, drop, forest_of, only, publish
 
-BATCH = 1 << 21
+BATCH = 1 << 20
 HOT_SHARE = 2048
 HOT_LEAST = 64
 ENTRIES = 1 << 22
@@ -432,14 +432,14 @@ def groups(docs: DataFrame, threshold: int = 80, width: int = 5, hot_least: int
     ``tag`` tells rows of one id with different texts apart: a 64-bit hash of the text.
     """
     rows = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("tag"))
-    found = cut(rows.mapInArrow(facts(width), FACTS), "facts")
+    found = cut(rows.mapInArrow(words.tidy(facts(width)), FACTS), "facts")
     total, n = found.where("kind = 0").agg(F.sum("size"), F.count(F.lit(1))).first()
     classes, renamed = classes_of(found)
     hot = hot_shingles(found, max(hot_least, n // HOT_SHARE))
     parts = max(1, -(-(total or 0) // entries))
-    blobs = rows.select("text").mapInArrow(fragments(parts, width, hot, renamed), "part int, blob binary")
+    blobs = rows.select("text").mapInArrow(words.tidy(fragments(parts, width, hot, renamed)), "part int, blob binary")
     schema = "home int, kind int, blob binary"
-    first = cut(blobs.groupBy("part").applyInArrow(counted(parts), schema), "fragments")
+    first = cut(blobs.groupBy("part").applyInArrow(words.tidy_group(counted(parts)), schema), "fragments")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -450,12 +450,12 @@ def groups(docs: DataFrame, threshold: int = 80, width: int = 5, hot_least: int
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([0] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["home", "kind", "blob"])
 
     homebound = first.unionByName(classes.select("c", "size").mapInArrow(sized, schema))
-    kept = cut(homebound.groupBy("home").applyInArrow(gather(threshold), "c long, size int, prefix int, shared array<long>, hot array<int>"), "kept")
+    kept = cut(homebound.groupBy("home").applyInArrow(words.tidy_group(gather(threshold)), "c long, size int, prefix int, shared array<long>, hot array<int>"), "kept")
     drop(first)
     clusters = cut(components(candidates(kept, threshold)).select(F.col("id").alias("c"), F.col("comp").alias("k")), "clusters")
     tiled = tiles(kept, clusters, threshold, 4 * parts)
-    matrices = tiled.groupBy("bin", "b1", "s1", "b2", "s2", "f").applyInArrow(partial, TILED + ", one binary, two binary, matrix binary")
-    links = cut(matrices.groupBy("bin", "b1", "s1", "b2", "s2").applyInArrow(summed(threshold), "a long, b long"), "links")
+    matrices = tiled.groupBy("bin", "b1", "s1", "b2", "s2", "f").applyInArrow(words.tidy_group(partial), TILED + ", one binary, two binary, matrix binary")
+    links = cut(matrices.groupBy("bin", "b1", "s1", "b2", "s2").applyInArrow(words.tidy_group(summed(threshold)), "a long, b long"), "links")
     comp = components(links)
     named = classes.select("hi", "lo", "c", "low", "tag").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = named.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "tag")).alias("first"))

@@ -140,7 +140,7 @@ def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 6000, where: Column | None = None, most_bytes: int = MOST_BYTES) -> CumulativeLink:
     """Fit on at most ``rows`` labelled documents of ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``."""
-    found = sample(docs, labels, label, rows, where, most_bytes).mapInArrow(indices, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    found = sample(docs, labels, label, rows, where, most_bytes).mapInArrow(words.tidy(indices), "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     halves = [(np.frombuffer(x, "<i4", len(x) // 8), np.frombuffer(x, "<f4", len(x) // 8, len(x) // 2)) for x in found.column("x").to_pylist()]
     return fit([(*h, g) for h, g in zip(halves, found.column("label").to_pylist(), strict=True)])
 
@@ -157,4 +157,4 @@ def score(docs: DataFrame, model: CumulativeLink, cut: int = 1) -> DataFrame:
                 tail = tails[:, level]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.grades[0] + tails @ steps), pa.array(tail), pa.array((tail >= 0.5) & (n > 0))], ["doc_id", "expected_grade", "tail", "kept"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail double, kept boolean")
+    return only(docs, "doc_id", "text").mapInArrow(words.tidy(run), "doc_id long, expected_grade double, tail double, kept boolean")

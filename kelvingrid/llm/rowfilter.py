@@ -19,4 +19,4 @@ def keep(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
             for b in words.slices(batch, "text"):
                 yield b.filter(pa.array(judge(b.column("text")), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(words.tidy(run), docs.schema)

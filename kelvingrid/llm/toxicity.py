@@ -192,7 +192,7 @@ def mined(texts: list[bytes], label: np.ndarray, least: int, purity: float) -> n
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 6000, where: Column | None = None, purity: float = 0.9, most_bytes: int = MOST_BYTES) -> Model:
     """Fit on at most ``rows`` labelled documents, of ``most_bytes`` of text together, for which ``where`` (over the labels' doc_id) holds."""
     chosen = sample(docs, labels, label, rows, where, most_bytes)
-    part = chosen.mapInArrow(distinct, "label int, draw double, words binary, stems binary").toArrow()
+    part = chosen.mapInArrow(words.tidy(distinct), "label int, draw double, words binary, stems binary").toArrow()
     y, fold_of = np.asarray(part.column("label").to_pylist(), dtype=np.int64), np.asarray([int(d * FOLDS) for d in part.column("draw").to_pylist()], dtype=np.int64)
 
     def lexicon(rows: np.ndarray) -> Lexicon:
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                     x = held_in[k].dense(own.column("text"))
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("label"), own.column("draw"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "draw", "x"])
 
-    found = chosen.mapInArrow(dense, "doc_id long, label int, draw double, x binary").toArrow().sort_by("doc_id")
+    found = chosen.mapInArrow(words.tidy(dense), "doc_id long, label int, draw double, x binary").toArrow().sort_by("doc_id")
     x = np.array([np.frombuffer(v, "<f8") for v in found.column("x").to_pylist()]).reshape(-1, len(NAMES))
     y, draw = np.asarray(found.column("label").to_pylist(), dtype=np.float64), np.asarray(found.column("draw").to_pylist(), dtype=np.float64)
     fitting = (draw * FOLDS) % 1 < 0.75
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = model.scores(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return only(docs, "doc_id", "text").mapInArrow(words.tidy(run), "doc_id long, score double, predicted int")
 
 
 def fold() -> Column:

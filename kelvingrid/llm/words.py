@@ -7,7 +7,8 @@ result to another compares their bytes with ``same_bytes``. Texts of any length
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,39 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process lives on, and its next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches, with its memory given back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a group."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        del table
+        release()
+        return out
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text, or one row."""
     column = batch.column(text)
