@@ -183,10 +183,10 @@ def deep_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return depth.pieces(i.select("edge").distinct().withColumn("length", F.lit(110.0)).withColumn("dn", F.lit(200)), i)
 
 
-@query(f"WITH {PIECES} SELECT edge, round(pos, 6) AS pos, round(upto, 6) AS upto, factor, round(d0, 6) AS from_depth, round(d1, 6) AS to_depth, round((upto - pos) * 120275 * factor * (2 + 0.1 * (d0 - 3) + 0.1 * (d1 - 3)) / 2, 6) AS cost FROM pc")
+@query(f"WITH {PIECES} SELECT edge, round(pos, 6) AS pos, round(upto, 6) AS upto, factor, round(d0, 6) AS from_depth, round(d1, 6) AS to_depth, floor((upto - pos) * 120275 * factor * (2 + 0.1 * (d0 - 3) + 0.1 * (d1 - 3)) / 2 + 1e-6)::BIGINT AS cost FROM pc")
 def depth_pieces(spark, sf):
-    """Edges cut at every change of factor and slope, the crossing of ramps included, with the price of each piece."""
-    return deep_pieces(spark, sf).select("edge", r6(F.col("at")).alias("pos"), r6(F.col("to")).alias("upto"), "factor", r6(F.col("from_depth")).alias("from_depth"), r6(F.col("to_depth")).alias("to_depth"), r6(F.col("cost")).alias("cost"))
+    """Edges cut at every change of factor and slope, the crossing of ramps included, with the price of each piece in whole roubles."""
+    return deep_pieces(spark, sf).select("edge", r6(F.col("at")).alias("pos"), r6(F.col("to")).alias("upto"), "factor", r6(F.col("from_depth")).alias("from_depth"), r6(F.col("to_depth")).alias("to_depth"), F.floor(F.col("cost") + 1e-6).alias("cost"))
 
 
 @query(f"""WITH {PIECES}, pr AS (SELECT *, lag(d1) OVER w AS pd, lead(pos) OVER w AS nx FROM pc WINDOW w AS (PARTITION BY edge ORDER BY pos))
