@@ -158,7 +158,7 @@ def cut_intervals(segments: DataFrame, walls: DataFrame, size: float, key: str =
     """The parts of each segment inside each polygon: (id, r_owner, from, to) in metres along it.
 
     The polygon's walls cut the segment; between neighbouring cuts the midpoint's even-odd test decides, counted by walls
-    to its right; touching parts are merged.
+    to its right, and a part that runs along a wall is inside; touching parts are merged.
     """
     s = segment_boxes(segments).withColumn("len", g.distance(*_segment()))
     hits = overlap_join(s, segment_boxes(walls), size, 0.0, g.touches(_segment(), _segment("r_")))
@@ -172,7 +172,8 @@ def cut_intervals(segments: DataFrame, walls: DataFrame, size: float, key: str =
     parts = parts.withColumn("mx", F.col("ax") + mid * (F.col("bx") - F.col("ax"))).withColumn("my", F.col("ay") + mid * (F.col("by") - F.col("ay")))
     wall = walls.select("owner", *[F.col(c).alias(f"w_{c}") for c in SEGMENT])
     right = ((F.col("w_ay") > F.col("my")) != (F.col("w_by") > F.col("my"))) & (F.col("mx") < (F.col("w_bx") - F.col("w_ax")) * (F.col("my") - F.col("w_ay")) / F.nullif(F.col("w_by") - F.col("w_ay"), F.lit(0.0)) + F.col("w_ax"))
-    odd = parts.join(wall, "owner").groupBy(key, "owner", "cut", "next").agg(F.count_if(right).alias("n")).where("n % 2 = 1")
+    on = g.point_segment(F.col("mx"), F.col("my"), *[F.col(f"w_{c}") for c in SEGMENT])
+    odd = parts.join(wall, "owner").groupBy(key, "owner", "cut", "next").agg(F.count_if(right).alias("n"), F.min(on).alias("on")).where("n % 2 = 1 or on <= 1e-9").drop("n", "on")
     return islands(odd, [key, "owner"], "cut", "next")
 
 
