@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, packing, quality, sentence_pieces, sharding, token_count, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, jaccard_join, manifest, packing, quality, sentence_pieces, sharding, token_count, toxicity, url_filter
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), buckets=16, budget=1 << 18)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"), fanout=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_sentence_pieces, op4_exact_dedup, op5_quality, op6_sharding, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing)
+    f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_sentence_pieces, op4_exact_dedup, op5_quality, op6_sharding, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing, op11_merkle_manifest)
 }
-ORACLE: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
+ORACLE: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op11_merkle_manifest": manifest.ORACLE}
