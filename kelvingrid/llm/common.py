@@ -82,6 +82,21 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
     return inner.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__rn") - 1).alias(rank), total)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, chunk: int = 1024) -> DataFrame:
+    """``left`` (a written table), with the columns of ``right``, whose keys are unique, where it has the row's key.
+
+    Keys of more than ``chunk`` rows, and of more than a thousandth of all, are dealt out: their rows by number over as many parts as they have
+    chunks, and their row of ``right`` to each part. There are a thousand such keys at the most, so every task gets their list.
+    """
+    bound = max(chunk, left.count() // 1000)
+    heavy = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bound).select(key, F.ceil(F.col("__n") / chunk).cast("int").alias("__parts"))
+    heavy = cut(heavy, "heavy")
+    dealt = left.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(heavy), key, "left")
+    dealt = dealt.withColumn("__part", F.coalesce(F.pmod(F.col("__row") + F.shiftright("__row", 33), F.col("__parts")).cast("int"), F.lit(0))).drop("__row", "__parts")
+    copies = right.join(F.broadcast(heavy), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"], "left").drop("__part")
+
+
 EDGES = 1 << 20
 
 

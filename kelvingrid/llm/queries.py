@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, manifest, packing, periodic, quality, sentence_pieces, sharding, token_count, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, jaccard_join, manifest, packing, periodic, quality, secret_scan, sentence_pieces, sharding, token_count, toxicity, url_filter
 from .common import table
 
 
@@ -69,7 +69,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_sentence_pieces, op4_exact_dedup, op5_quality, op6_sharding, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing, op11_merkle_manifest, op12_periodic_runs)
+    f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_sentence_pieces, op4_exact_dedup, op5_quality, op6_sharding, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_packing, op11_merkle_manifest, op12_periodic_runs, op13_secret_scan)
 }
-ORACLE: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op12_periodic_runs": periodic.ORACLE}
+ORACLE: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op12_periodic_runs": periodic.ORACLE, "op13_secret_scan": secret_scan.ORACLE}
