@@ -8,7 +8,8 @@ budget are batches of their own, whole). All batches of a bucket but its last ha
 
 ``length`` is the column of token counts; by default a token is a byte of the text's UTF-8, and any tokenizer's counts (``token_counts``)
 can stand in. Null counts as 0. An empty text has length 0; a bucket of such alone has edge 0 and takes ``budget`` rows a batch. Null ids
-and repeated rows are rows like others. An empty table gives an empty result. Other columns are ignored.
+and repeated rows are rows like others. An empty table gives an empty result. Other columns are ignored, or carried on request; a carried one that bears the name of one of the
+result's own columns, in whatever case, is called ``doc_<name>`` there.
 """
 
 from __future__ import annotations
@@ -62,11 +63,28 @@ def boundaries(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]
     return out[::-1]
 
 
+OWN = ("doc_id", "length", "bucket", "edge", "batch", "slot", "padding")
+
+
+def carried(names: tuple[str, ...]) -> dict[str, str]:
+    """What each carried column is called in the result."""
+    out: dict[str, str] = {}
+    taken = {n.lower() for n in (*OWN, *names)}
+    for n in names:
+        new = n
+        if n.lower() in OWN:
+            while (new := f"doc_{new}").lower() in taken:
+                pass
+            taken.add(new.lower())
+        out[n] = new
+    return out
+
+
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str = "0", length: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, length, bucket (0 is the shortest), edge, batch (in its bucket), slot (in its batch) and padding of every row, and the columns of ``carry``."""
     size = F.octet_length(docs["text"]) if length is None else length
     rows = docs.select(docs["doc_id"], F.coalesce(size, F.lit(0)).cast("long").alias("length"), *[docs[f"`{c}`"].alias(f"__{c}") for c in carry])
-    also = [f"__{c}" for c in carry]
+    also = [f"`__{c}`" for c in carry]
     hist = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")
     cuts = boundaries(hist.column("length").to_numpy(), hist.column("n").to_numpy(), buckets) or [1]
     bucket, edge = F.lit(len(cuts) - 1), F.lit(cuts[-1])
@@ -77,4 +95,4 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 18, seed: str =
     rows = rows.select("doc_id", "length", bucket.cast("int").alias("bucket"), edge.cast("long").alias("edge"), key.alias("key"), *also)
     rows = ranked(rows, ["bucket"], [F.col(c) for c in ("key", "doc_id", "length")], leading(F.col("key"), sum(hist.column("n").to_pylist())), "at", "of")
     per = F.expr(f"greatest(1L, {budget}L div greatest(edge, 1L))")
-    return rows.withColumn("per", per).select("doc_id", "length", "bucket", "edge", F.expr("at div per").alias("batch"), F.expr("at % per").alias("slot"), (F.col("edge") - F.col("length")).alias("padding"), *[F.col(f"__{c}").alias(c) for c in carry])
+    return rows.withColumn("per", per).select("doc_id", "length", "bucket", "edge", F.expr("at div per").alias("batch"), F.expr("at % per").alias("slot"), (F.col("edge") - F.col("length")).alias("padding"), *[F.col(f"`__{c}`").alias(new) for c, new in carried(carry).items()])
