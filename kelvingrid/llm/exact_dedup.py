@@ -4,10 +4,10 @@
   (digest, doc_id) sorted by digest, with a Bloom filter and min/max statistics on the digest.
 * Compaction merges ``fan_in`` neighbouring runs into a *segment* (level 1), and the segments into one level (2): for each digest
   the smallest id and the number of rows. Each merge keeps the smallest identifier.
-* The digests that level 2 holds more than once set bits in a *filter* of ``bits`` bits, whatever the data. All rows probe it. A row that
+* The digests that level 2 holds more than once go into a *filter* (``sieve``), sized by their number, of at most ``bits`` bits. All rows probe it. A row that
   misses is alone, and no more is read of it; the text of a row that passes is a *hit*. Hits are joined with level 2, and their texts compared with
-  their keeper's, byte for byte. A keeper with many hits is dealt out in copies, ``chunk`` hits to each, so that no group of copies
-  meets in one task. Hits that fail (a digest collision) are grouped by digest and text instead.
+  their keeper's, byte for byte. A keeper with many hits is dealt out in copies, ``chunk`` hits to each, by the hits' places in the scan and not by their ids,
+  so that no group of copies meets in one task. Hits that fail (a digest collision) are grouped by digest and text instead.
 
 Null text counts as empty; empty texts are equal to each other. Repeated rows are counted row by row, and are all kept or all dropped
 (``distinct_rows`` leaves one of them). A row without an id is a copy of any row that has one; a group without any id has no ``keep_id``, and
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, only
+from .sieve import Sieve
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -35,14 +36,14 @@ def sha256(text: Column) -> Column:
 
 
 class MergeIndex:
-    """The index over one table: ``runs`` (level 0), ``segments`` (level 1), ``level`` (level 2: digest, keep_id, n) and ``filter``."""
+    """The index over one table: ``runs`` (level 0), ``segments`` (level 1), ``level`` (level 2: digest, keep_id, n) and the ``filter`` of what repeats."""
 
-    def __init__(self, docs: DataFrame, digest: Callable[[Column], Column] = sha256, memtable_rows: int = 1 << 16, chunk: int = 1024, fan_in: int = 8, bits: int = 1 << 23):
+    def __init__(self, docs: DataFrame, digest: Callable[[Column], Column] = sha256, memtable_rows: int = 1 << 16, chunk: int = 1024, fan_in: int = 8, bits: int = 1 << 28):
         self.digest, self.memtable_rows, self.chunk, self.fan_in, self.bits = digest, memtable_rows, chunk, fan_in, bits
         self.docs = docs
         self.runs = self.flush()
         self.segments, self.level = self.compact()
-        self.filter = self.sieve()
+        self.filter = Sieve(self.level.where("n > 1").select("digest"), "digest", most=max(1, bits // 512))
 
     def texts(self, *carried: Column) -> DataFrame:
         rows = self.docs.select(self.docs["doc_id"], normalised(self.docs["text"]).alias("text"), *carried)
@@ -64,21 +65,9 @@ class MergeIndex:
         segments = self.filtered(segments.select("digest", "keep_id", "n"), "segments")
         return segments, self.filtered(segments.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "level")
 
-    def place(self) -> Column:
-        """A digest's bit, counted from 1."""
-        return F.pmod(F.xxhash64("digest"), F.lit(self.bits)) + 1
-
-    def sieve(self) -> DataFrame:
-        """(block, marks): the bits of all digests that occur more than once; ``bits / 8`` bytes at the most."""
-        marks = self.level.where("n > 1").select(F.bitmap_bucket_number(self.place()).alias("block"), F.bitmap_bit_position(self.place()).alias("bit"))
-        return cut(marks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("marks")), "filter")
-
     def probed(self, rows: DataFrame) -> DataFrame:
         """Adds ``hit``: whether the row's digest passes the filter. The filter's size is bounded, so every task gets it."""
-        rows = rows.withColumn("__block", F.bitmap_bucket_number(self.place())).join(F.broadcast(self.filter.withColumnRenamed("block", "__block")), "__block", "left")
-        at = F.bitmap_bit_position(self.place())
-        byte = F.conv(F.hex(F.substring(F.col("marks"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return rows.withColumn("hit", F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("__block", "marks")
+        return self.filter.probed(rows)
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
         """Rows of a few digests straight from the runs; filters and statistics skip runs that lack them."""
@@ -91,7 +80,8 @@ class MergeIndex:
         # at most rows / bound digests are that frequent: a thousand
         bound = max(self.chunk, self.runs.count() // 1000)
         frequent = many.where(F.col("n") > bound).select("digest", parts.alias("__parts"))
-        hits = hits.join(F.broadcast(frequent), "digest", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+        row = F.monotonically_increasing_id()  # tasks number their rows apart: all copies of a text may share an id, or have none
+        hits = hits.withColumn("__row", row + F.shiftright(row, 33)).join(F.broadcast(frequent), "digest", "left").withColumn("part", F.coalesce(F.pmod(F.col("__row"), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts", "__row")
         dealt = F.when(F.col("n") > bound, parts).otherwise(1)
         keys = many.select("digest", "keep_id", "n", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("part"))
         found = hits.join(keys, ["digest", "part"], "left")
@@ -120,7 +110,7 @@ class MergeIndex:
         return out.select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), kept().alias("kept"))
 
     def clear(self) -> None:
-        """Delete what only the build needs."""
+        """Delete what only the build needs."""  # the filter and level 2 are read by the result
         drop(self.segments)
 
 
