@@ -3,9 +3,10 @@
 A document is its set of word shingles. Documents with the same set are one *class*; a class is what the join
 compares. All shingles have one global order: rarest first, by the number of classes that hold them, then by hash; the *hot* ones come last.
 
-1. *Facts.* Each task names its documents' classes by 128 bits, and reports the shingles that are frequent among its classes. The sum of the
-   reports gives the hot shingles, those of at least 1 in ``HOT_SHARE`` documents; with ``s`` shingles a document on average there can be no more than
-   ``HOT_SHARE * s`` of them, whatever the data, so every task gets their list.
+1. *Facts.* Each task names its documents' classes by 128 bits, and keeps a merging summary of the shingles that are frequent among all its classes, of fixed
+   size (``Frequent``). The sum of the tasks' reports, which are lower bounds, gives the hot shingles, those of surely 1 in ``HOT_SHARE`` documents; with ``s`` shingles a document
+   on average there can be no more than ``HOT_SHARE * s`` of them, whatever the data, so every task gets their list. A summary may miss a shingle of fewer than
+   s / 2**19 of its documents, which then is cold: that moves work, not results.
 2. *Counting.* Every class's other shingles are cut into fragments of the hash range and packed. A fragment counts in how many
    classes each of its shingles occurs and replies with the shared ones. How many fragments there are follows from the number of shingles.
 3. *Segments.* A class gathers its replies; shingles without a reply are its own. If these alone rule out the
@@ -96,32 +97,60 @@ class Fresh:
                 yield own, *key
 
 
+class Frequent:
+    """The shingles that many of a task's classes hold, by a mergeable summary of at most ``most`` counters.
+
+    Batches' exact counts are added up. What exceeds ``most`` counters is cut by taking the largest count that must go from all of them, so a shingle's
+    counter falls short of its number by ``short`` at the most, and ``short`` is at most the task's shingles over ``most``.
+    """
+
+    def __init__(self, most: int = 1 << 19):
+        self.most, self.short, self.classes = most, 0, 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.classes += len(sets)
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        keys, at = np.unique(np.concatenate([self.keys, found]), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, at[: len(self.keys)], self.counts)
+        np.add.at(counts, at[len(self.keys) :], n)
+        if len(keys) > self.most:
+            less = int(np.partition(counts, len(keys) - self.most - 1)[len(keys) - self.most - 1])
+            self.short += less
+            keys, counts = keys[counts > less], counts[counts > less] - less
+        self.keys, self.counts = keys, counts
+
+    def report(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles that are surely in one of ``2 * HOT_SHARE`` of the classes, and in four at least, with the least that they can have."""
+        often = self.counts >= max(4, self.classes // (2 * HOT_SHARE))
+        return self.keys[often], self.counts[often]
+
+
 FACTS = "kind int, doc_id long, tag long, hi long, lo long, size long"
 
 
 def facts(width: int):
     """documents -> kind 0: doc_id, tag, the class's two names, its size; kind 1: a shingle (hi) frequent in this task and its number of classes (lo)."""
 
-    def report(sets: list[np.ndarray]) -> pa.RecordBatch:
-        found, count = np.unique(np.concatenate(sets), return_counts=True)
-        often = count >= max(4, len(sets) // (2 * HOT_SHARE))
-        return rows(1, np.zeros(often.sum(), np.int64), np.zeros(often.sum(), np.int64), found[often].view(np.int64), count[often], count[often])
-
     def rows(kind: int, doc_id, tag, hi, lo, size) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), kind, np.int32)), *(c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in (doc_id, tag, hi, lo, size))], ["kind", "doc_id", "tag", "hi", "lo", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh, held, n = Fresh(), [], 0
+        fresh, frequent, held, n = Fresh(), Frequent(), [], 0
         for b, sets, hi, lo in shingled(batches, width):
             yield rows(0, b.column("doc_id"), b.column("tag"), hi, lo, np.array([len(s) for s in sets], dtype=np.int64))
             for own, _, _ in fresh(sets, hi, lo):
                 held.append(own)
                 n += len(own)
             if n >= BATCH:
-                yield report(held)
+                frequent.add(held)
                 held, n = [], 0
         if held:
-            yield report(held)
+            frequent.add(held)
+        keys, counts = frequent.report()
+        none = np.zeros(len(keys), np.int64)
+        yield rows(1, none, none, keys.view(np.int64), counts, counts)
 
     return run
 
