@@ -239,7 +239,7 @@ def test_op4_collisions_of_repeated_rows(spark):
 
 
 def test_op4_filter_passes_all_copies(docs):
-    index = exact_dedup.MergeIndex(docs, bits=64)
+    index = exact_dedup.MergeIndex(docs, bits=64)  # one block
     many = {bytes(r.digest) for r in index.level.where("n > 1").collect()}
     assert many and many <= {bytes(r.digest) for r in index.probed(index.runs).where("hit").collect()}
     wide = exact_dedup.MergeIndex(docs)
@@ -283,6 +283,60 @@ def test_op5_without_words_or_within_bytes(spark):
     own = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
     assert labelled.sample(more, own, "quality", 40).count() == 40
     assert labelled.sample(more, own, "quality", 40, most_bytes=5000).count() == 10
+    # the first by hash is too long for any budget: the others stay, and no single text takes all
+    first = min(range(50), key=lambda k: spark.range(1).select(F.xxhash64(F.lit(11), F.lit(k).cast("long"))).first()[0])
+    long = spark.createDataFrame([(k, "w" * 7000 if k == first else "word " * 20) for k in range(50)], "doc_id long, text string")
+    kept = labelled.sample(long, own, "quality", 40, most_bytes=5000).collect()
+    assert len(kept) == 39 and first not in {r.doc_id for r in kept}
+    # repeated ids count once, by their smallest text
+    twice = more.unionByName(spark.createDataFrame([(3, "b"), (3, "a"), (3, "a")], "doc_id long, text string"))
+    assert [r.text for r in labelled.sample(twice, own, "quality", 50).collect() if r.doc_id == 3] == ["a"]
+
+
+def test_op5_likelihood_and_thresholds_recomputed():
+    """At the fit the likelihood, written out from the definition, is higher than anywhere near it along each threshold and many weights."""
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(300):
+        i = np.sort(r.choice(12, 4, replace=False)).astype("<i4")
+        v = r.random(4).astype("<f4")
+        score = sum((x - 5.5) * y for x, y in zip(i.tolist(), v.tolist()))
+        rows.append((i, v, int(np.searchsorted([-2.0, 2.0], score + r.normal()))))
+    model = quality.fit(rows, rounds=600, rate=0.1)
+
+    def likelihood(w, theta):
+        total = 0.0
+        for i, v, g in rows:
+            s = float((w[i] * v).sum())
+            tail = [1.0] + [1 / (1 + np.exp(t - s)) for t in theta] + [0.0]
+            total += np.log(max(tail[g] - tail[g + 1], 1e-12))
+        return total / len(rows) - 0.5e-6 * float((w**2).sum())
+
+    best = likelihood(model.weights, model.thresholds)
+    for k in range(2):
+        for step in (-0.3, 0.3):
+            theta = model.thresholds.copy()
+            theta[k] += step
+            assert likelihood(model.weights, theta) < best + 1e-4
+    for k in range(12):
+        for step in (-1.5, 1.5):
+            w = model.weights.copy()
+            w[k] += step
+            assert likelihood(w, model.thresholds) < best + 1e-4
+    assert model.thresholds[0] < model.thresholds[1]
+
+
+def test_op9_isotonic_recomputed():
+    """The calibration is the least-squares non-decreasing fit: no better one among the min-max means of all blocks."""
+    r = np.random.default_rng(5)
+    x = np.sort(r.normal(size=60))
+    y = (r.random(60) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    best = [max(min(y[a : b + 1].mean() for b in range(k, 60)) for a in range(k + 1)) for k in range(60)]
+    pools = [[k for k in range(60) if np.isclose(best[k], v)] for v in sorted({round(v, 9) for v in best})]
+    curve = trees.isotonic(x, y)
+    assert np.allclose(curve.at, [(x[p[0]] + x[p[-1]]) / 2 for p in pools])
+    # each pool's mean, drawn to 1/2 by one row
+    assert np.allclose(curve.value, np.maximum.accumulate([(y[p].sum() + 0.5) / (len(p) + 1) for p in pools]))
 
 
 def test_op6_rows_law_and_mixture(docs, empty):
@@ -525,3 +579,45 @@ def test_null_ids_and_texts_do_not_crash(spark):
     assert exact_dedup.exact_dedup(df).count() == 3
     assert jaccard_join.jaccard_components(df).where("component_id = 1").count() == 2
     assert sharding.interleave(df).count() == packing.pack(df).count() == 3
+
+
+def test_op4_hot_copies_without_ids_are_dealt_out(spark):
+    rows = [(k if k % 2 else None, "hot") for k in range(6000)] + [(10000 + k, f"t{k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = exact_dedup.MergeIndex(docs, chunk=100)
+    parts = Counter(r.part for r in index.verified(index.texts().select("doc_id", "digest", "text")).where("text = 'hot'").select("part").collect())
+    assert len(parts) == 60 and max(parts.values()) < 2 * 100
+    got = exact_dedup.exact_dedup(docs, chunk=100).collect()
+    assert {(r.keep_id, r.group_size) for r in got if r.text_sha256 == hashlib.sha256(b"hot").hexdigest()} == {(1, 6000)}
+
+
+def test_op4_filter_grows_with_what_repeats(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, F.col("id") % 3000).otherwise(F.col("id")).cast("string").alias("text"))
+    index = exact_dedup.MergeIndex(rows)
+    hit = index.probed(index.runs).where("hit").count()
+    assert 6000 <= hit < 6000 + 30  # under 1 % of the 3,000 others
+
+
+def test_op8_reports_hot_shingles_of_long_texts():
+    r = np.random.default_rng(2)
+    frequent = jaccard_join.Frequent()
+    hot = np.uint64(77)
+    for batch in range(5):
+        sets = [np.unique(r.integers(1 << 20, 1 << 63, 5000).astype(np.uint64)) for _ in range(200)]
+        for k in (0, 1):
+            sets[k] = np.unique(np.append(sets[k], hot))
+        frequent.add(sets)
+    keys, counts = frequent.report()
+    assert hot in keys.tolist() and 4 <= counts[keys.tolist().index(77)] <= 10 and len(frequent.keys) <= frequent.most
+    small = jaccard_join.Frequent(most=8)
+    for _ in range(20):
+        small.add([np.array([1, 2, 100 + _], np.uint64), np.array([1, 200 + _], np.uint64)])
+    assert dict(zip(*(x.tolist() for x in small.report()), strict=True)).get(1, 0) >= 40 - small.short
+
+
+def test_op10_carries_columns_of_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abc", 9, 8, 7, "x"), (2, None, 1, 2, 3, "y")], "doc_id long, text string, length int, Bucket int, doc_length int, `a b` string")
+    out = packing.pack(df, carry=("text", "length", "Bucket", "doc_length", "a b"))
+    out.write.parquet(f"{tmp_path}/out")
+    assert out.columns == [*packing.OWN, "text", "doc_doc_length", "doc_Bucket", "doc_length", "a b"]
+    assert {(r.doc_id, r.length, r.doc_doc_length, r.doc_length) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, 3, 9, 7), (2, 0, 1, 3)}
