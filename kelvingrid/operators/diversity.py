@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 
-from .graph import ancestors
+from .graph import below, union
 
 CELL = 12.0
 
@@ -32,14 +32,13 @@ def topology_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes(plan, node, kind, oks_id, existing_type, existing_id)``, ``edges(plan, parent, child)``. A list holds the terminals of one root, not of a plan table.
     """
     key = lambda c: F.struct("plan", F.col(c).cast("string").alias("node"))
-    closure = ancestors(edges.select(key("parent").alias("parent"), key("child").alias("child")))
-    ends = nodes.where("kind = 'TERMINAL'").select(key("node").alias("id"), F.col("oks_id").cast("string").alias("oks_id"))
-    alone = nodes.select(key("node").alias("id"))
-    closure = closure.select("id", "anc").unionByName(alone.select("id", F.col("id").alias("anc"))).distinct()
-    below = closure.join(ends, "id").groupBy("anc").agg(F.concat_ws(",", F.sort_array(F.collect_set("oks_id"))).alias("below"))
-    roots = nodes.where("kind = 'TIE_IN'").select(key("node").alias("anc"), F.concat_ws(":", "existing_type", "existing_id").alias("tie")).join(below, "anc", "left")
+    ends = nodes.where("kind = 'TERMINAL'").select(key("node").alias("id"), F.array(F.col("oks_id").cast("string")).alias("below"))
+    inner = below(edges.select(key("parent").alias("parent"), key("child").alias("child")), ends, "below", union)
+    under = inner.unionByName(ends.join(inner, "id", "left_anti"))
+    below_ = under.select(F.col("id").alias("anc"), F.concat_ws(",", F.sort_array("below")).alias("below"))
+    roots = nodes.where("kind = 'TIE_IN'").select(key("node").alias("anc"), F.concat_ws(":", "existing_type", "existing_id").alias("tie")).join(below_, "anc", "left")
     items = roots.select(F.col("anc.plan").alias("plan"), F.concat(F.col("tie"), F.lit("=>"), F.coalesce("below", F.lit(""))).alias("item"))
-    groups = edges.select("plan", F.col("parent").cast("string").alias("parent"), key("child").alias("anc")).join(below, "anc", "left")
+    groups = edges.select("plan", F.col("parent").cast("string").alias("parent"), key("child").alias("anc")).join(below_, "anc", "left")
     branches = groups.groupBy("plan", "parent").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("/", F.sort_array(F.collect_list(F.coalesce("below", F.lit(""))))).alias("groups")).where("n > 1")
     return items.unionByName(branches.select("plan", F.concat(F.lit("branch:"), F.col("groups")).alias("item"))).distinct()
 

@@ -43,12 +43,29 @@ def snapped(points: DataFrame) -> DataFrame:
     return points.join(found.select(F.col("id").alias("order"), "vertex"), "order").select("key", "vertex")
 
 
+class Disconnected(ValueError):
+    """Pipes or chambers that name no upstream and that the network doesn't connect to the source; ``ids`` are the first of them."""
+
+    def __init__(self, kind: str, ids: list[str]):
+        super().__init__(f"{kind} disconnected from the source: {', '.join(ids)}")
+        self.ids = ids
+
+
+def connected(kind: str, rows: DataFrame) -> DataFrame:
+    """Raises if one of ``rows(id, upstream)`` still has no upstream."""
+    lost = [str(r["id"]) for r in rows.where("upstream is null").select("id").orderBy("id").limit(10).collect()]
+    if lost:
+        raise Disconnected(kind, lost)
+    return rows
+
+
 def resolve(source: DataFrame, pipes: DataFrame, chambers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pipes, chambers) with ``upstream`` filled in and chambers' missing ``dn`` inferred.
 
     ``source(id, x, y)``, ``pipes(id, upstream, dn, length, ax, ay, bx, by)`` with their end points, ``chambers(id, upstream, dn, x, y)``. A pipe hangs on the end that is
     nearer to the source along the network: on the source, else on the chamber there, else on the pipe by which that end is reached. A chamber hangs
-    on the pipe by which it is reached. A chamber without a diameter takes the largest of the pipes at it, 200 without any.
+    on the pipe by which it is reached. A chamber without a diameter takes the largest of the pipes at it, 200 without any. A pipe or chamber that has no
+    upstream and that no pipes connect to the source is an error (``Disconnected``).
     """
     order = F.struct
     tag = lambda k, c, *at: order(F.lit(k).alias("k"), F.col(c).cast("string").alias("id"), F.lit(at[2]).alias("e")).alias("key")
@@ -79,4 +96,4 @@ def resolve(source: DataFrame, pipes: DataFrame, chambers: DataFrame) -> tuple[D
     wide = legs.select(F.explode(F.array("a", "b")).alias("v"), "dn").groupBy("v").agg(F.max("dn").alias("most"))
     own = of(2, 0).join(facts.select("v", "chamber_up"), "v", "left").join(wide, "v", "left").select(F.col("id").alias("__id"), "chamber_up", "most")
     out = chambers.withColumn("__id", text).join(own, "__id", "left").withColumn("upstream", F.coalesce("upstream", "chamber_up")).withColumn("dn", F.coalesce("dn", "most", F.lit(200)))
-    return out_pipes, out.drop("__id", "chamber_up", "most")
+    return connected("pipe", materialise(out_pipes)), connected("chamber", materialise(out.drop("__id", "chamber_up", "most")))
