@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.functions import projection
@@ -18,6 +15,8 @@ from kelvingrid.operators.spatial import SEGMENT, explode_segments, overlap_join
 from kelvingrid.plans import rules
 from kelvingrid.plans.shared import materialise
 
+from . import collection
+
 LIMIT = 3 << 30
 POINT = "struct<x:double,y:double,z:double>"
 RINGS = f"array<array<{POINT}>>"
@@ -43,23 +42,24 @@ class InputError(ValueError):
 
 
 def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features of a FeatureCollection, or of JSON lines (one feature a line, which splits): (seq, properties, kind, coordinates).
+    """Features of a FeatureCollection, or of JSON lines (one feature a line): (seq, properties, kind, coordinates, fault). Both are read by many tasks.
 
-    Coordinates and properties stay text. A collection needs ``type`` and ``features``; other fields of the root are skipped.
+    Coordinates and properties stay text. A collection needs ``type`` and ``features``; other fields of the root are skipped. ``fault`` tells of a feature
+    that is no JSON (``json``) or names a key twice at any level (``keys``).
     """
-    size = spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length")).first()[0]
-    if not lines and (size or 0) > LIMIT:
-        raise InputError([("size", None, f"more than {LIMIT} bytes")])
     feature = "struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>>"
     if lines:
         rows = spark.read.schema("properties string, geometry struct<type:string,coordinates:string>").json(path, mode="FAILFAST")
-        return rows.select(F.monotonically_increasing_id().alias("seq"), "properties", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("coordinates"))
-    root = spark.read.schema(f"type string, features array<{feature}>").json(path, multiLine=True, mode="FAILFAST")
-    found = root.select("type", F.size("features").alias("n")).collect()
-    if len(found) != 1 or found[0].type != "FeatureCollection" or found[0].n is None or found[0].n < 0:
-        raise InputError([("root", None, "one FeatureCollection with features is expected")])
-    rows = root.select(F.posexplode("features").alias("seq", "f"))
-    return rows.select(F.col("seq").cast("long").alias("seq"), "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+        return rows.select(F.monotonically_increasing_id().alias("seq"), "properties", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("coordinates"), F.lit(None).cast("string").alias("fault"))
+    size = spark.read.text(path).select(F.col("_metadata.file_path"), F.col("_metadata.file_size").alias("n")).limit(1).collect()
+    if size and size[0].n > LIMIT:
+        raise InputError([("size", None, f"more than {LIMIT} bytes")])
+    try:
+        rows = collection.features(spark, path)
+    except collection.CollectionError as e:
+        raise InputError([("root", None, str(e))]) from None
+    f = F.from_json("text", feature)
+    return rows.select("seq", f.alias("f"), "fault").select("seq", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), "fault")
 
 
 def _closed(rings: Column) -> Column:
@@ -89,8 +89,10 @@ def scalar(properties: Column, name: str) -> Column:
 def typed(rows: DataFrame) -> DataFrame:
     """Feature rows in metres, with their bounding boxes and defaults."""
     p = F.col("properties")
+    if "fault" not in rows.columns:
+        rows = rows.withColumn("fault", F.lit(None).cast("string"))
     out = rows.select(
-        "seq", scalar(p, "id").alias("id"), scalar(p, "object_type").alias("object_type"), scalar(p, "restriction_type").alias("restriction_type"), "kind", rings_of(F.col("kind"), F.col("coordinates")).alias("wgs"),
+        "seq", "fault", scalar(p, "id").alias("id"), scalar(p, "object_type").alias("object_type"), scalar(p, "restriction_type").alias("restriction_type"), "kind", rings_of(F.col("kind"), F.col("coordinates")).alias("wgs"),
         F.try_to_number(scalar(p, "diameter"), F.lit("9999999")).cast("int").alias("diameter"), scalar(p, "flow_tph").try_cast("double").alias("flow_tph"),
         scalar(p, "upstream_object_id").alias("upstream"), scalar(p, "oks_id").alias("oks_id"), F.col("properties").alias("properties_json"),
         F.to_json(F.struct(F.col("kind").alias("type"), F.col("coordinates"))).alias("geometry_json"),
@@ -106,27 +108,6 @@ def typed(rows: DataFrame) -> DataFrame:
     })
 
 
-@F.pandas_udf(BooleanType())
-def repeats_a_key(texts: pd.Series) -> pd.Series:
-    """Whether a JSON text names a key twice in one object; no built-in function can tell."""
-
-    def check(text: str | None) -> bool:
-        found = False
-
-        def pairs(items):
-            nonlocal found
-            found |= len({k for k, _ in items}) < len(items)
-            return dict(items)
-
-        try:
-            json.loads(text or "{}", object_pairs_hook=pairs)
-        except ValueError:
-            return True  # no JSON at all
-        return found
-
-    return texts.map(check)
-
-
 def violations(features: DataFrame) -> DataFrame:
     """(rule, id, detail) of every row that breaks the contract; a valid scenario has none."""
     f = features
@@ -151,7 +132,8 @@ def violations(features: DataFrame) -> DataFrame:
         row("flow", (t == "oks_future") & F.col("flow_tph").isNull(), F.lit("missing")),
         row("flow", F.col("flow_tph") < 0, F.col("flow_tph")),
         row("oks-id", (t == "oks_connection_point") & F.col("oks_id").isNull(), F.lit("missing")),
-        row("keys", repeats_a_key("properties_json"), F.lit("a key is repeated, or it is no JSON")),
+        row("keys", F.col("fault") == "keys", F.lit("a key is repeated")),
+        row("json", F.col("fault") == "json", F.lit("it is no JSON")),
         f.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("unique-id").alias("rule"), "id", F.col("n").cast("string").alias("detail")),
         f.agg(F.count_if(t == "source").alias("n")).where("n <> 1").select(F.lit("one-source").alias("rule"), F.lit(None).cast("string").alias("id"), F.col("n").cast("string").alias("detail")),
         f.where((t == "oks_connection_point") & (F.col("oks_id") != F.col("id"))).join(f.where(t.isin("oks_future", "oks_existing")).select(F.col("id").alias("oks_id")), "oks_id", "left_anti").select(F.lit("oks-reference").alias("rule"), "id", F.col("oks_id").alias("detail")),
