@@ -131,8 +131,10 @@ def assess(a: np.ndarray, b: np.ndarray, dn: int, obstacles: list[Obstacle], exe
             continue
         near = (np.maximum(s[:, 0], s[:, 2]) >= low[0] - need) & (np.minimum(s[:, 0], s[:, 2]) <= high[0] + need) & (np.maximum(s[:, 1], s[:, 3]) >= low[1] - need) & (np.minimum(s[:, 1], s[:, 3]) <= high[1] + need)
         if not near.any():
-            if o.closed and planar.inside(a, s):
-                return False, 1.0, f"forbidden:{o.kind}"
+            if o.closed and planar.inside(a, s):  # wholly within, far from every wall
+                if not o.crossable:
+                    return False, 1.0, f"forbidden:{o.kind}"
+                best = max(best, RULE[o.kind][4])
             continue
         s = s[near]
         if not o.crossable:
@@ -150,7 +152,9 @@ def assess(a: np.ndarray, b: np.ndarray, dn: int, obstacles: list[Obstacle], exe
             if np.degrees(np.arccos(np.clip(cosine, 0, 1))).min() < RULE[o.kind][3] - 1e-9:
                 return False, 1.0, f"cross-angle:{o.kind}"
             best = max(best, RULE[o.kind][4])
-        elif planar.segment_distances(a, b, s).min() < need - 1e-9 and not o.closed:
+        elif o.closed and planar.inside((a + b) / 2, o.segments):
+            best = max(best, RULE[o.kind][4])
+        elif planar.segment_distances(a, b, s).min() < need - 1e-9:
             return False, 1.0, f"clearance:{o.kind}"
     return True, best, ""
 
