@@ -112,6 +112,15 @@ def chainages(path: Column) -> Column:
     return F.aggregate(tail, F.array(F.lit(0.0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
 
 
+def project(path: Column, x: Column, y: Column) -> Column:
+    """Running length of the point of a path that is nearest to (x, y); of equally near ones the first."""
+    n = F.greatest(F.size(path) - 1, F.lit(0))
+    legs = F.zip_with(F.zip_with(F.slice(path, F.lit(1), n), F.slice(path, F.lit(2), n), lambda a, b: F.struct(a.x.alias("ax"), a.y.alias("ay"), b.x.alias("bx"), b.y.alias("by"))), F.slice(chainages(path), F.lit(1), n), lambda s, c: F.struct(s.alias("s"), c.alias("c")))
+    of = lambda s: (s.ax, s.ay, s.bx, s.by)
+    near = F.transform(legs, lambda v: F.struct(point_segment(x, y, *of(v.s)).alias("gap"), (v.c + along(x, y, *of(v.s)) * distance(*of(v.s))).alias("at")))
+    return F.coalesce(F.array_min(near)["at"], F.lit(0.0))
+
+
 def point_at(path: Column, chainage: Column) -> Column:
     """The point of a path at a running length, clamped to its ends."""
     at = chainages(path)

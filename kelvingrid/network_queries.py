@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import buildings, candidates, costs, depth, diversity, graph, legality, spatial, topology, treedp, validation
+from kelvingrid.operators import buildings, candidates, costs, depth, diversity, graph, joint, legality, spatial, topology, treedp, validation
 from kelvingrid.plans import rules
 from kelvingrid.queries import DN, O1, O2, PLANS, SPAN, TREE, _t, boxes, pipes, plan_rows, query, r6, terminals, tree
 from kelvingrid.sources import geojson
@@ -303,20 +303,42 @@ def feature_violations(spark, sf):
     return geojson.violations(features(spark, sf)).select("rule", "id", "detail")
 
 
-EXPORTED = "o AS (SELECT o_custkey % 3 AS plan, o_orderkey AS k, o_totalprice AS cost, o_orderkey % 5 AS m FROM orders)"
-
-
-@query(f"""WITH {EXPORTED}, s AS (SELECT plan, sum(cost) AS c FROM o GROUP BY 1) SELECT plan::VARCHAR AS plan, 'type' AS rule, 'x' || k AS object FROM o WHERE m = 1 AND k % 11 = 0
-UNION ALL SELECT plan::VARCHAR, 'dimension', 'x' || k FROM o WHERE k % 13 = 0 UNION ALL SELECT plan::VARCHAR, 'totals', plan::VARCHAR FROM s WHERE plan = 2""")
+EXPORTED = "o AS (SELECT (o_custkey % 3)::VARCHAR AS plan, o_orderkey AS k, CASE WHEN o_orderkey % 29 = 0 THEN 'tie_in' WHEN o_orderkey % 5 = 1 THEN 'heat_network' ELSE 'heat_chamber' END AS t, o_orderkey % 5 = 1 AS line, CASE WHEN o_orderkey % 19 = 0 THEN 'twice' || (o_custkey % 3) ELSE 'x' || o_orderkey END AS id FROM orders)"
+
+
+def exported(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported features as text: lines, one in two of them with depths, chambers, summaries; some break a rule."""
+    o = _t(spark, sf, "orders").select((F.col("o_custkey") % 3).cast("string").alias("v"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("cost"))
+    line, deep = F.expr("k % 5 = 1"), F.expr("k % 10 = 1")
+    kind = F.when(F.expr("k % 29 = 0"), "tie_in").when(line, "heat_network").otherwise("heat_chamber")
+    id_ = F.when(F.expr("k % 19 = 0"), F.concat(F.lit("twice"), "v")).otherwise(F.concat(F.lit("x"), "k"))
+    depth_ = F.when(deep, 3.0)
+    keep = {"ignoreNullFields": "false"}
+    own = [id_.alias("id"), F.col("v").alias("variant_id"), kind.alias("object_type"), "cost"]
+    pipe = [*own, F.lit("a").alias("start_node_id"), F.lit("b").alias("end_node_id"), F.lit(1.5).alias("flow_tph"), F.lit(100).alias("diameter"), F.lit(2.0).alias("length"), depth_.alias("depth_start"), depth_.alias("depth_end"), F.lit(0.5).alias("tie_in_cost")]
+    method = F.lit("base").alias("laying_method")
+    properties = F.when(line & F.expr("k % 11 = 0"), F.to_json(F.struct(*pipe), keep)).when(line, F.to_json(F.struct(*pipe, method), keep)).otherwise(F.to_json(F.struct(*own, F.lit(100).alias("diameter"))))
+    z = F.when(deep == F.expr("k % 13 <> 0"), F.when(deep & F.expr("k % 17 = 0"), ",-2").otherwise(",-3")).otherwise("")
+    shape = F.when(line, F.concat(F.lit('{"type":"LineString","coordinates":[[1,2'), z, F.lit("],[1,3"), z, F.lit("]]}"))).when(F.expr("k % 23 = 0"), '{"type":"Point","coordinates":[1,"a"]}').otherwise('{"type":"Point","coordinates":[1,2.5]}')
+    rows = o.select(properties.alias("p"), shape.alias("g"))
+    of = lambda t, c: F.coalesce(F.sum(F.when(kind == t, c)), F.lit(0.0))
+    n_lines = F.count_if(kind == "heat_network")
+    sums = o.groupBy("v").agg(of("heat_network", F.col("cost")).alias("construction_cost"), of("heat_chamber", F.col("cost")).alias("chamber_construction_cost"), (n_lines * 0.5).alias("tie_in_cost"), (F.count_if(line) * 2.0).alias("length"), F.sum("cost").alias("all"))
+    total = F.col("all") + F.col("tie_in_cost") + 7.0
+    zero = [F.lit(0.0).alias(c) for c in ("reconstruction_cost", "chamber_reconstruction_cost", "reconstruction_length")]
+    both = sums.withColumn("n", F.explode(F.when(F.col("v") == "1", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    fields = ["construction_cost", "chamber_construction_cost", "tie_in_cost", *zero, F.lit(7.0).alias("unconnected_penalty"), (total + F.when(F.col("v") == "2", 5.0).otherwise(0.0)).alias("calculated_cost"), F.col("length").alias("new_network_length"), "length", rules.score(total, F.col("length")).alias("score"), F.array().cast("array<string>").alias("unconnected_oks_ids")]
+    summary = both.select(F.to_json(F.struct(F.concat(F.lit("s"), "v", "n").alias("id"), F.col("v").alias("variant_id"), F.lit("variant_summary").alias("object_type"), F.lit(1).alias("rank"), *fields)).alias("p"), F.lit("null").alias("g"))
+    return rows.unionByName(summary).select(F.concat(F.lit('{"type":"Feature","properties":'), "p", F.lit(',"geometry":'), "g", F.lit("}")).alias("value"))
+
+
+@query(f"""WITH {EXPORTED}, n AS (SELECT * FROM o WHERE t = 'heat_network')
+SELECT plan, 'type' AS rule, id AS object FROM o WHERE t = 'tie_in' UNION ALL SELECT plan, 'missing', id FROM n WHERE k % 11 = 0 UNION ALL SELECT plan, 'position', id FROM o WHERE NOT line AND k % 23 = 0
+UNION ALL SELECT plan, 'dimension', id FROM n WHERE k % 13 = 0 UNION ALL SELECT plan, 'depth', id FROM n WHERE k % 10 = 1 AND (k % 13 = 0 OR k % 17 = 0)
+UNION ALL SELECT plan, 'id-twice', id FROM o GROUP BY plan, id HAVING count(*) > 1 UNION ALL SELECT '1', 'one-summary', '1' FROM o WHERE plan = '1' GROUP BY 1 UNION ALL SELECT '2', 'totals', '2' FROM o WHERE plan = '2' GROUP BY 1""")
 def exported_rows(spark, sf):
-    """V6: what the output validator has against exported rows: wrong geometry, wrong dimension, a total that isn't the objects' sum."""
-    o = _t(spark, sf, "orders").select((F.col("o_custkey") % 3).cast("string").alias("variant_id"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("cost"))
-    line = F.expr("k % 5 = 1")
-    none = F.lit(None).cast("double")
-    rows = o.select("variant_id", F.when(line, "heat_network").otherwise("heat_chamber").alias("object_type"), F.concat(F.lit("x"), "k").alias("id"), F.when(line & F.expr("k % 11 <> 0"), "LineString").otherwise("Point").alias("kind"), F.expr("if(k % 13 = 0, 3, 2)").alias("dims"), F.when(line, 1.0).alias("length"), "cost", none.alias("total_length"), none.alias("total_cost"))
-    sums = o.groupBy("variant_id").agg(F.sum("cost").alias("c"), F.count_if(line).cast("double").alias("l"))
-    summary = sums.select("variant_id", F.lit("summary").alias("object_type"), F.concat(F.lit("s"), "variant_id").alias("id"), F.lit("Point").alias("kind"), F.lit(2).alias("dims"), none.alias("length"), none.alias("cost"), F.col("l").alias("total_length"), (F.col("c") + F.when(F.col("variant_id") == "2", 5.0).otherwise(0.0)).alias("total_cost"))
-    return validation.exported(rows.unionByName(summary), False).select("plan", "rule", "object")
+    """V6: what the output validator has against exported features: unknown types, missing fields, positions, dimensions, depths, ids, summaries and totals."""
+    return validation.exported(exported(spark, sf)).select("plan", "rule", "object")
 
 
 @query(f"WITH {SPAN}, e AS (SELECT s_suppkey AS pipe, (100 + s_suppkey % 50)::DOUBLE AS length, 100 AS old, 5.0::DOUBLE AS base FROM supplier), t AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS pipe, (c_custkey % 100)::DOUBLE AS reach, (c_custkey % 40) / 10.0::DOUBLE AS flow FROM customer), " + DN + """,
@@ -334,20 +356,104 @@ def reconstruction(spark, sf):
     return costs.reconstruction(p, ties, up).select("pipe", F.col("at").alias("pos"), F.col("to").alias("upto"), "dn", F.round("cost", 2).alias("cost"))
 
 
-@query("""WITH p AS (SELECT s_suppkey AS id, ((s_suppkey * 6151) % 10007)::DOUBLE AS ax, ((s_suppkey * 3571) % 10009)::DOUBLE AS ay, ((s_suppkey * 6151) % 10007)::DOUBLE + 300 AS bx, ((s_suppkey * 3571) % 10009)::DOUBLE + (s_suppkey % 5 - 2) * 100 AS by FROM supplier), t AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y FROM customer WHERE c_custkey < 20),
-e AS (SELECT t.id, p.id AS child, ax, ay, bx, by, sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) AS len, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ^ 2 + (by - ay) ^ 2))) AS u FROM t, p),
-f AS (SELECT *, greatest(2, least(len - 2, u * len)) AS pos FROM e), h AS (SELECT id, child, ax, ay, bx, by, len, pos AS chainage FROM f UNION ALL SELECT id, child, ax, ay, bx, by, len, len - 12 FROM f WHERE abs(len - 12 - pos) > 4)
-SELECT t.id, 'tie' AS kind, p.id AS target, 0::DOUBLE AS chainage, round(sqrt((t.x - ax) ^ 2 + (t.y - ay) ^ 2), 6) AS distance FROM t, p
-UNION ALL SELECT t.id, 'node', p.id, 0, round(sqrt((t.x - bx) ^ 2 + (t.y - by) ^ 2), 6) FROM t, p
-UNION ALL SELECT h.id, 'edge', h.child, round(chainage, 6), round(sqrt((t.x - ax - chainage / len * (bx - ax)) ^ 2 + (t.y - ay - chainage / len * (by - ay)) ^ 2), 6) FROM h JOIN t ON t.id = h.id""")
+PLANNED = "p AS (SELECT s_suppkey AS id, ((s_suppkey * 6151) % 10007)::DOUBLE AS ax, ((s_suppkey * 3571) % 10009)::DOUBLE AS ay, ((s_suppkey * 6151) % 10007)::DOUBLE + CASE WHEN s_suppkey % 4 = 1 THEN 3 + s_suppkey % 12 ELSE 300 END AS bx, ((s_suppkey * 3571) % 10009)::DOUBLE + CASE WHEN s_suppkey % 4 = 1 THEN 0 ELSE (s_suppkey % 5 - 2) * 100 END AS by FROM supplier)"
+
+
+@query(f"""WITH {PLANNED}, t AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y FROM customer),
+e AS (SELECT t.id, t.x, t.y, p.id AS child, ax, ay, bx, by, sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) AS len, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ^ 2 + (by - ay) ^ 2))) AS u FROM t, p),
+f AS (SELECT *, greatest(2, least(len - 2, u * len)) AS pos, greatest(2, len - 12) AS back FROM e WHERE len >= 4), h AS (SELECT id, x, y, child, ax, ay, bx, by, len, pos AS chainage FROM f UNION ALL SELECT id, x, y, child, ax, ay, bx, by, len, back FROM f WHERE abs(back - pos) > 4),
+w AS (SELECT t.id, 'tie' AS kind, p.id AS target, 0::DOUBLE AS chainage, sqrt((t.x - ax) ^ 2 + (t.y - ay) ^ 2) AS distance FROM t, p UNION ALL SELECT t.id, 'node', p.id, 0, sqrt((t.x - bx) ^ 2 + (t.y - by) ^ 2) FROM t, p
+UNION ALL SELECT id, 'edge', child, chainage, sqrt((x - ax - chainage / len * (bx - ax)) ^ 2 + (y - ay - chainage / len * (by - ay)) ^ 2) FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), kind, target, round(chainage, 6)) AS rank FROM w) SELECT id, kind, target, round(chainage, 6) AS chainage, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 8""")
 def attachment_points(spark, sf):
-    """Everything that each of twenty terminals (the pending ones of a step) can be attached to: ties, nodes and points of edges of a plan."""
+    """The eight nearest places at which each terminal can be attached: ties, nodes and points of edges, some of 3 to 14 m."""
     p = pipes(spark, sf)
-    t = _t(spark, sf, "customer").where("c_custkey < 20").select(F.col("c_custkey").alias("id"), F.expr("double((c_custkey * 7919) % 10007)").alias("x"), F.expr("double((c_custkey * 104729) % 10009)").alias("y"))
+    short = F.col("id") % 4 == 1
+    p = p.withColumns({"bx": F.when(short, F.col("ax") + 3 + F.col("id") % 12).otherwise(F.col("bx")), "by": F.when(short, F.col("ay")).otherwise(F.col("by"))})
     ties = p.select("id", F.col("ax").alias("x"), F.col("ay").alias("y"))
     nodes = p.select(F.col("id").alias("node"), F.col("bx").alias("x"), F.col("by").alias("y"))
     edges = p.select((-1 - F.col("id")).alias("parent"), F.col("id").alias("child"), *spatial.SEGMENT)
-    return candidates.attachments(t, ties, nodes, edges).select("id", "kind", "target", r6(F.col("chainage")).alias("chainage"), r6(F.col("distance")).alias("distance"))
+    return candidates.attachments(terminals(spark, sf), ties, nodes, edges).select("id", "kind", "target", r6(F.col("chainage")).alias("chainage"), r6(F.col("distance")).alias("distance"), "rank")
+
+
+#: Existing lines with a bend in the middle, and places on them and beside them.
+BENT = "l AS (SELECT id, ax AS x0, ay AS y0, (ax + bx) / 2 AS x1, (ay + by) / 2 + 20 AS y1, bx AS x2, by AS y2 FROM b), leg AS (SELECT id, 0::DOUBLE AS base, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by FROM l UNION ALL SELECT id, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2), x1, y1, x2, y2 FROM l), whole AS (SELECT id, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) + sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2) AS size FROM l)"
+PLACE = "z AS (SELECT c_custkey AS id, c_custkey % (SELECT count(*) FROM supplier) AS line, (c_custkey % 21) / 20.0::DOUBLE AS f, (c_custkey % 5) * 0.7::DOUBLE AS off FROM customer), q AS (SELECT z.id, line, CASE WHEN f < 0.5 THEN x0 + 2 * f * (x1 - x0) ELSE x1 + (2 * f - 1) * (x2 - x1) END AS x, CASE WHEN f < 0.5 THEN y0 + 2 * f * (y1 - y0) ELSE y1 + (2 * f - 1) * (y2 - y1) END + off AS y FROM z JOIN l ON l.id = z.line)"
+_T = "greatest(0, least(1, ((q.x - ax) * (bx - ax) + (q.y - ay) * (by - ay)) / ((bx - ax) ^ 2 + (by - ay) ^ 2)))"
+SECTIONS = f"near AS (SELECT q.id, leg.id AS line, {_gap('q.x', 'q.y', 'leg')} AS gap, base + {_T} * sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) AS pos FROM q JOIN leg ON q.x BETWEEN least(ax, bx) - 2 AND greatest(ax, bx) + 2 AND q.y BETWEEN least(ay, by) - 2 AND greatest(ay, by) + 2), first AS (SELECT id, line, min(struct_pack(gap := gap, pos := pos)) AS m FROM near WHERE gap < 2 GROUP BY 1, 2), sec AS (SELECT first.id, sum(CASE WHEN (m.pos < 2) <> (size - m.pos < 2) THEN 1 ELSE 2 END) AS degree FROM first JOIN whole ON whole.id = first.line GROUP BY 1)"
+
+
+def bent(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    c = {n: F.col(n) for n in spatial.SEGMENT}
+    return pipes(spark, sf).select("id", F.array(at(c["ax"], c["ay"]), at((c["ax"] + c["bx"]) / 2, (c["ay"] + c["by"]) / 2 + 20), at(c["bx"], c["by"])).alias("path"))
+
+
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    lines = bent(spark, sf)
+    n = _t(spark, sf, "supplier").count()
+    z = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % n).alias("line"), F.expr("(c_custkey % 21) / 20.0D").alias("f"), F.expr("(c_custkey % 5) * 0.7D").alias("off"))
+    j = z.join(lines.withColumnRenamed("id", "line"), "line")
+    a, b, c = (F.element_at("path", k) for k in (1, 2, 3))
+    on = lambda d: F.when(F.col("f") < 0.5, a[d] + 2 * F.col("f") * (b[d] - a[d])).otherwise(b[d] + (2 * F.col("f") - 1) * (c[d] - b[d]))
+    return j.select("id", "line", on("x").alias("x"), (on("y") + F.col("off")).alias("y"))
+
+
+@query(f"WITH {EXISTING}, {BENT}, {PLACE}, {SECTIONS} SELECT q.id, coalesce(degree, 0)::BIGINT AS degree FROM q LEFT JOIN sec USING (id)")
+def existing_sections(spark, sf):
+    """Sections of the existing network at places on and beside its lines."""
+    return candidates.sections(places(spark, sf), bent(spark, sf)).select("id", F.col("degree").cast("long").alias("degree"))
+
+
+CHAMBERS = "ch AS (SELECT 'h' || id AS id, x2 + 1 AS x, y2 AS y FROM l WHERE id % 2 = 0 UNION ALL SELECT 'm' || id, x1, y1 - 6 FROM l WHERE id % 3 = 0)"
+TIES = "ti AS (SELECT q.id, x, y, c_custkey % 5 AS new, CASE WHEN c_custkey % 4 = 0 THEN 'h' || (line - line % 2) END AS ch FROM q JOIN customer ON c_custkey = q.id)"
+
+
+@query(f"""WITH {EXISTING}, {BENT}, {PLACE}, {SECTIONS}, {CHAMBERS}, {TIES}, pl AS (SELECT ch AS id, sum(new) AS new FROM ti WHERE ch IS NOT NULL GROUP BY 1),
+hn AS (SELECT ch.id, leg.id AS line, {_gap('ch.x', 'ch.y', 'leg')} AS gap, base + {_T.replace('q.', 'ch.')} * sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) AS pos FROM ch JOIN leg ON ch.x BETWEEN least(ax, bx) - 2 AND greatest(ax, bx) + 2 AND ch.y BETWEEN least(ay, by) - 2 AND greatest(ay, by) + 2),
+hf AS (SELECT id, line, min(struct_pack(gap := gap, pos := pos)) AS m FROM hn WHERE gap < 2 GROUP BY 1, 2), hs AS (SELECT hf.id, sum(CASE WHEN (m.pos < 2) <> (size - m.pos < 2) THEN 1 ELSE 2 END) AS degree FROM hf JOIN whole ON whole.id = hf.line GROUP BY 1),
+hd AS (SELECT ch.id, ch.x, ch.y, coalesce(degree, 0) AS old, coalesce(new, 0) AS new FROM ch LEFT JOIN hs USING (id) LEFT JOIN pl USING (id))
+SELECT 'chamber-degree' AS rule, id AS object, (old + new)::VARCHAR AS detail FROM hd WHERE new > 0 AND old + new > 4
+UNION ALL SELECT 'tie-degree', ti.id::VARCHAR, (coalesce(degree, 0) + new)::VARCHAR FROM ti LEFT JOIN sec USING (id) WHERE ch IS NULL AND coalesce(degree, 0) + new > 4
+UNION ALL SELECT 'chamber-near', ti.id::VARCHAR, hd.id FROM ti JOIN hd ON sqrt((ti.x - hd.x) ^ 2 + (ti.y - hd.y) ^ 2) <= 10 AND old + hd.new < 4 WHERE ch IS NULL""")
+def plan_tie_rules(spark, sf):
+    """Ties at full chambers, ties on pipes with too many sections, and ties on pipes near a chamber with a free connection."""
+    lines = bent(spark, sf)
+    mid, last = F.element_at("path", 2), F.element_at("path", 3)
+    spots = lines.where("id % 2 = 0").select(F.concat(F.lit("h"), "id").alias("id"), (last["x"] + 1).alias("x"), last["y"].alias("y"))
+    spots = spots.unionByName(lines.where("id % 3 = 0").select(F.concat(F.lit("m"), "id").alias("id"), mid["x"].alias("x"), (mid["y"] - 6).alias("y")))
+    q = places(spark, sf)
+    at = F.expr("id % 4 = 0")
+    nodes = q.select(F.lit(0).alias("plan"), F.col("id").alias("node"), F.lit("TIE_IN").alias("kind"), "x", "y", F.lit(None).cast("string").alias("oks_id"), F.when(at, F.concat(F.lit("h"), F.expr("line - line % 2"))).otherwise(F.concat(F.lit("p"), "line")).alias("existing_id"), F.when(at, "heat_chamber").otherwise("heat_network").alias("existing_type"))
+    edges = q.where("id % 5 > 0").select(F.lit(0).alias("plan"), F.col("id").alias("parent"), F.explode(F.expr("transform(sequence(1L, id % 5), k -> 1000000000L + id * 10 + k)")).alias("child"))
+    found = validation.topology(nodes, edges, terminals(spark, sf).select(F.col("id").cast("string").alias("oks_id")), spots, lines)
+    return found.where(F.col("rule").isin("chamber-degree", "tie-degree", "chamber-near")).select("rule", "object", "detail")
+
+
+FORBIDDEN = "', '".join(r[0] for r in rules.RESTRICTIONS if not r[1])
+SPOT9 = "k9 AS (SELECT k, CASE WHEN k = 0 THEN 0 ELSE 12 * cos((k - 1) * pi() / 4) END AS dx, CASE WHEN k = 0 THEN 0 ELSE 12 * sin((k - 1) * pi() / 4) END AS dy FROM range(0, 9) t(k))"
+
+
+@query(f"""WITH {EXISTING}, {SPOT9}, {HALF}, {DN}, {RULES}, e AS (SELECT id, ax, ay, bx, by, CASE WHEN id % 3 = 0 THEN 200 ELSE 500 END AS dn FROM b),
+a AS (SELECT e.id * 100 + i.k * 10 + j.k AS id, e.id AS child, i.k AS i, j.k AS j, ax + i.dx AS ax, ay + i.dy AS ay, bx + j.dx AS bx, by + j.dy AS by, dn FROM e, k9 i, k9 j),
+{RECT.replace('FROM part', f"FROM part WHERE {KIND} IN ('{FORBIDDEN}')")}, {WALLS}, {INSIDE},
+m AS (SELECT DISTINCT a.id FROM a JOIN w b ON {NEARBY} JOIN rt ON rt.type = b.type JOIN hw ON hw.dn = a.dn WHERE {APART} <= clr + hw.w / 2),
+x AS (SELECT DISTINCT id FROM i WHERE t1 > t0)
+SELECT a.child, a.i::INTEGER AS i, a.j::INTEGER AS j, round(0.7 * sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) * price / 25e6 + 0.3 * sqrt((bx - ax) ^ 2 + (by - ay) ^ 2) / 100, 9) AS cost
+FROM a JOIN (SELECT dn, max(cost) AS price FROM (VALUES {", ".join(f"({r[0]}, {r[3]})" for r in rules.DN_TABLE)}) v(dn, cost) GROUP BY 1) USING (dn) WHERE a.id NOT IN (SELECT id FROM m) AND a.id NOT IN (SELECT id FROM x)""")
+def joint_cost_matrices(spark, sf):
+    """What each edge of a plan costs between each pair of the nine places of its two chambers, without the pairs that a restriction rules out."""
+    p = pipes(spark, sf)
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    edges = p.select(F.lit(0).cast("long").alias("plan"), (-1 - F.col("id")).alias("parent"), F.col("id").alias("child"), F.expr("if(id % 3 = 0, 200, 500)").alias("dn"), F.array(at("ax", "ay"), at("bx", "by")).alias("path"))
+    none = F.lit(None).cast("string")
+    node = lambda id_, x, y: p.select(F.lit(0).cast("long").alias("plan"), id_.alias("node"), F.lit("CHAMBER").alias("kind"), F.col(x).alias("x"), F.col(y).alias("y"), none.alias("oks_id"), none.alias("existing_id"), none.alias("existing_type"))
+    nodes = node(-1 - F.col("id"), "ax", "ay").unionByName(node(F.col("id"), "bx", "by"))
+    lines = bent(spark, sf).limit(0)
+    chambers = p.limit(0).select("id", F.col("ax").alias("x"), F.col("ay").alias("y"))
+    held = walls(spark, sf).where(F.col("type").isin(*[r[0] for r in rules.RESTRICTIONS if not r[1]]))
+    found = joint.matrices(nodes, edges, joint.positions(nodes, lines, chambers, 12.0), held, p.limit(0).select("id", "dn", *spatial.SEGMENT))
+    return found.select("child", "i", "j", F.round("cost", 9).alias("cost"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT s_suppkey AS plan FROM supplier), k AS (SELECT unnest(range(0, 3)) AS v), a AS (SELECT plan, k1.v AS a1, k2.v AS a2, k3.v AS a3, k4.v AS a4, k5.v AS a5, k6.v AS a6, k7.v AS a7 FROM n, k k1, k k2, k k3, k k4, k k5, k k6, k k7),
@@ -388,6 +494,6 @@ def plan_topology_rules(spark, sf):
     """V2: what the topology check has against plans: leaves, orphans, terminals twice or unknown."""
     _, nodes, edges, _ = plan_rows(spark, sf)
     far = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.lit(-9e6).alias("x"), F.lit(-9e6).alias("y"))
-    nodes = nodes.withColumns({"x": F.col("node").cast("double") * 100, "y": F.lit(0.0)})
+    nodes = nodes.withColumns({"x": F.col("node").cast("double") * 100, "y": F.lit(0.0), "existing_id": F.lit(None).cast("string")})
     known = terminals(spark, sf).where("id % 4 <> 0").select(F.col("id").alias("oks_id"))
     return validation.topology(nodes, edges, known, far).select("plan", "rule", "object")

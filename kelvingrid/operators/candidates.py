@@ -9,6 +9,7 @@ from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
 from kelvingrid.plans.shared import materialise
 
+from .depth import legs_of
 from .spatial import SEGMENT, nearest, overlap_join, point_boxes, segment_boxes, within
 
 #: Weight of missing capacity in the score, metres between samples of a pipe, keys a decimetre apart.
@@ -51,6 +52,23 @@ def connections(chambers: DataFrame, pipes: DataFrame, reach: float = 2.0) -> Da
     return chambers.select("id").join(found, "id", "left").fillna(0, ["degree"])
 
 
+def sections(points: DataFrame, lines: DataFrame, reach: float = 2.0) -> DataFrame:
+    """(id, degree): existing sections at ``points(id, x, y)``, chambers or ties: each of ``lines(id, path)`` that passes within ``reach`` counts by its nearest place.
+
+    Near one end of the line that is one section, elsewhere two; a line that is so short that the place is near both ends counts two.
+    """
+    legs = legs_of(lines.select(F.col("id").alias("edge"), "path")).join(lines.select(F.col("id").alias("edge"), g.path_length(F.col("path")).alias("whole")), "edge")
+    near = overlap_join(point_boxes(points.select("id", "x", "y")), segment_boxes(legs.select("edge", "at", "whole", *SEGMENT)), 100.0, reach)
+    seg = [F.col(f"r_{c}") for c in SEGMENT]
+    gap = g.point_segment(F.col("x"), F.col("y"), *seg)
+    place = F.col("r_at") + g.along(F.col("x"), F.col("y"), *seg) * g.distance(*seg)
+    best = near.select("id", F.col("r_edge").alias("line"), F.col("r_whole").alias("whole"), gap.alias("gap"), place.alias("place")).where(F.col("gap") < reach)
+    best = best.groupBy("id", "line").agg(F.min(F.struct("gap", "place")).alias("b"), F.max("whole").alias("whole"))
+    first, last = F.col("b.place") < reach, F.col("whole") - F.col("b.place") < reach
+    found = best.groupBy("id").agg(F.sum(F.when(first != last, 1).otherwise(2)).alias("degree"))
+    return points.select("id").join(found, "id", "left").fillna(0, ["degree"])
+
+
 def tie_points(chambers: DataFrame, pipes: DataFrame) -> DataFrame:
     """Candidates that are the same for all terminals: (id, chamber, chainage, x, y, dn).
 
@@ -121,21 +139,33 @@ def centroids(terminals: DataFrame, keys: list[str]) -> DataFrame:
     return terminals.groupBy(*keys).agg(F.coalesce(mean("x"), F.avg("x")).alias("x"), F.coalesce(mean("y"), F.avg("y")).alias("y"), F.avg("x").alias("plain_x"), F.avg("y").alias("plain_y"))
 
 
-def attachments(terminal: DataFrame, ties: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Everything that a terminal can be attached to: ties, plan nodes with fewer than 4 edges, and points of plan edges.
+def attachments(terminals: DataFrame, ties: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
+    """The ``limit`` nearest places where each terminal can be attached: ties, plan nodes with fewer than 4 edges, and points of plan edges.
 
-    ``terminal(id, x, y)``. A point of an edge is the projection clamped to [2, L - 2]; if that is more than 4 m from it there
-    is a second one 12 m before the end. Rows: (id, kind, target, chainage, x, y, distance).
+    ``terminals(id, x, y)``. A point of an edge of 4 m or more is the projection clamped to [2, L - 2]; if that is more than 4 m from max(2, L - 12), that is a second
+    one. Rows: (id, kind, target, chainage, x, y, distance, rank). The first are nearest points of edges cut by 2 m at both ends, the second are points, so one
+    search for the nearest finds both; a second one that doesn't count stands behind its own edge, so twice the number holds enough.
     """
-    t = terminal.select("id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    d = lambda x, y: g.distance(F.col("tx"), F.col("ty"), x, y)
-    a = ties.select(F.col("id").alias("target"), "x", "y").crossJoin(F.broadcast(t)).select("id", F.lit("tie").alias("kind"), "target", F.lit(0.0).alias("chainage"), "x", "y")
     degree = edges.select(F.explode(F.array("parent", "child")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    n = nodes.join(degree, "node", "left").where("coalesce(degree, 0) < 4").select(F.col("node").alias("target"), "x", "y").crossJoin(F.broadcast(t)).select("id", F.lit("node").alias("kind"), "target", F.lit(0.0).alias("chainage"), "x", "y")
-    e = edges.withColumn("length", g.distance(*[F.col(c) for c in SEGMENT])).where("length > 4").crossJoin(F.broadcast(t))
-    at = F.greatest(F.lit(2.0), F.least(F.col("length") - 2, g.along(F.col("tx"), F.col("ty"), *[F.col(c) for c in SEGMENT]) * F.col("length")))
-    back = F.col("length") - 12
-    e = e.withColumn("at", at).withColumn("chainage", F.explode(F.when((back >= 2) & (F.abs(back - F.col("at")) > 4), F.array(F.col("at"), back)).otherwise(F.array("at"))))
-    s = F.col("chainage") / F.col("length")
-    e = e.select("id", F.lit("edge").alias("kind"), F.col("child").alias("target"), "chainage", (F.col("ax") + s * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + s * (F.col("by") - F.col("ay"))).alias("y"))
-    return a.unionByName(n).unionByName(e).join(F.broadcast(t), "id").withColumn("distance", d(F.col("x"), F.col("y"))).drop("tx", "ty")
+    point = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("target"), F.lit(0.0).alias("base"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"), F.lit(None).cast("double").alias("back"))
+    e = edges.select("child", *SEGMENT, g.distance(*[F.col(c) for c in SEGMENT]).alias("length")).where("length >= 4")
+    back = F.greatest(F.lit(2.0), F.col("length") - 12)
+    at = lambda c, d: (F.col(f"a{d}") + c / F.col("length") * (F.col(f"b{d}") - F.col(f"a{d}")))
+    low, high = F.lit(2.0), F.col("length") - 2
+    inner = e.select(F.lit("edge").alias("kind"), F.col("child").alias("target"), low.alias("base"), at(low, "x").alias("ax"), at(low, "y").alias("ay"), at(high, "x").alias("bx"), at(high, "y").alias("by"), F.lit(None).cast("double").alias("back"))
+    second = e.select(F.lit("edge").alias("kind"), F.col("child").alias("target"), F.col("length").alias("base"), *SEGMENT, back.alias("back"))
+    every = materialise(point(ties, "tie", "id").unionByName(point(nodes.join(degree, "node", "left").where("coalesce(degree, 0) < 4"), "node", "node")).unionByName(inner).unionByName(second).withColumn("n", F.monotonically_increasing_id()))
+    t = F.col("back") / F.col("base")
+    spot = lambda c: F.when(F.col("back").isNotNull(), F.col(f"a{c}") + t * (F.col(f"b{c}") - F.col(f"a{c}")))
+    places = every.select("n", *[F.coalesce(spot(c[1]), F.col(c)).alias(c) for c in SEGMENT])
+    found = nearest(terminals, places, 2 * limit, "id", "n").select("id", F.col("r_n").alias("n"), "distance").join(every, "n").join(terminals.select("id", "x", "y"), "id")
+    ends = [F.col(c) for c in SEGMENT]
+    along = g.along(F.col("x"), F.col("y"), *ends)
+    # for a second point: where the clamped projection on its own edge lies
+    clamped = F.greatest(F.lit(2.0), F.least(F.col("base") - 2, along * F.col("base")))
+    chainage = F.when(F.col("kind") != "edge", 0.0).when(F.col("back").isNotNull(), F.col("back")).otherwise(F.col("base") + along * g.distance(*ends))
+    good = found.where(F.col("back").isNull() | (F.abs(clamped - F.col("back")) > 4))
+    px, py = (F.coalesce(spot(c), F.col(f"a{c}") + along * (F.col(f"b{c}") - F.col(f"a{c}"))) for c in ("x", "y"))
+    good = good.select("id", "kind", "target", chainage.alias("chainage"), px.alias("x"), py.alias("y"), "distance")
+    by = Window.partitionBy("id").orderBy(F.round("distance", 9), "kind", "target", F.round("chainage", 6))
+    return good.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)

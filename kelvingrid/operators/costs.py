@@ -27,10 +27,14 @@ def tie_costs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def penalties(terminals: DataFrame, nodes: DataFrame, plans: DataFrame) -> DataFrame:
-    """(plan, unconnected, cost): the terminals that a plan leaves out."""
-    every = plans.select("plan").crossJoin(F.broadcast(terminals.select("oks_id", "flow")))  # a plan against the scenario's terminals
-    missing = every.join(nodes.where("oks_id is not null").select("plan", "oks_id"), ["plan", "oks_id"], "left_anti")
-    return missing.groupBy("plan").agg(F.count(F.lit(1)).alias("unconnected"), F.sum(rules.penalty(F.col("flow"))).alias("cost"))
+    """(plan, unconnected, cost): the terminals that a plan leaves out: all of them, less those that it has; no plan is paired with each terminal."""
+    price = rules.penalty(F.col("flow"))
+    every = terminals.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(price), F.lit(0.0)).alias("all"))
+    have = nodes.where("oks_id is not null").select("plan", "oks_id").distinct().join(terminals.select("oks_id", "flow"), "oks_id")
+    have = have.groupBy("plan").agg(F.count(F.lit(1)).alias("h"), F.sum(price).alias("paid"))
+    rows = plans.select("plan").join(have, "plan", "left").crossJoin(F.broadcast(every))  # one row
+    left = (F.col("n") - F.coalesce("h", F.lit(0))).alias("unconnected")
+    return rows.select("plan", left, (F.col("all") - F.coalesce("paid", F.lit(0.0))).alias("cost")).where("unconnected > 0")
 
 
 def totals(plans: DataFrame, nodes: DataFrame, edges: DataFrame, terminals: DataFrame) -> DataFrame:

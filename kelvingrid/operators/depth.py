@@ -19,7 +19,7 @@ from .spatial import SEGMENT, cut_intervals, islands, overlap_join, segment_boxe
 
 #: Depth of the top and height of utilities; least depth under roads and tracks; half a plateau; ends that crossings don't count at.
 TOP = {"gas_pipeline": (2.8, 0.4), "power_cable": (2.7, 0.2)}
-LEAST = {"road": 1.0, "tram_tracks": 1.2}
+LEAST = {"road": 1.0, "tram_tracks": 1.2, "railway": 1.2}
 PLATEAU, END, GAP = 2.0, 0.25, 0.5
 
 

@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import buildings, costs, depth, graph, legality, spatial
+from kelvingrid.operators import buildings, candidates, costs, depth, graph, legality, spatial
 from kelvingrid.plans import rules
+from kelvingrid.plans.shared import materialise
 
 
 def _rows(df: DataFrame, rule: str, obj: str, detail) -> DataFrame:
     return df.select("plan", F.lit(rule).alias("rule"), F.col(obj).cast("string").alias("object"), detail.cast("string").alias("detail"))
 
 
-def topology(nodes: DataFrame, edges: DataFrame, terminals: DataFrame, chambers: DataFrame) -> DataFrame:
-    """Degree at most 4, terminals are leaves, no orphans, no cycles, coverage, and no new chamber within 10 m of a free existing one.
+def topology(nodes: DataFrame, edges: DataFrame, terminals: DataFrame, chambers: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Degree at most 4, also with the existing sections at chambers and ties, terminals are leaves, roots have no parent, no orphans, no cycles, coverage, and no tie on a pipe within 10 m of a chamber that has a free connection.
 
-    ``nodes(plan, node, kind, x, y, oks_id, existing_id)``, ``edges(plan, parent, child)``; ``chambers(id, x, y)``.
+    ``nodes(plan, node, kind, x, y, oks_id, existing_id, existing_type)``, ``edges(plan, parent, child)``; ``chambers(id, x, y)``, ``lines(id, path)`` existing pipes, none if not given.
     """
     ends = edges.select("plan", F.explode(F.array("parent", "child")).alias("node")).groupBy("plan", "node").agg(F.count(F.lit(1)).alias("n"))
     parts = [_rows(ends.where("n > 4"), "degree", "node", F.col("n"))]
@@ -34,10 +35,25 @@ def topology(nodes: DataFrame, edges: DataFrame, terminals: DataFrame, chambers:
     have = nodes.where("oks_id is not null").groupBy("plan", "oks_id").agg(F.count(F.lit(1)).alias("n"))
     parts.append(_rows(have.where("n > 1"), "terminal-twice", "oks_id", F.col("n")))
     parts.append(_rows(have.join(terminals.select("oks_id"), "oks_id", "left_anti"), "unknown-terminal", "oks_id", F.col("n")))
-    new = nodes.where("kind = 'CHAMBER'").select("plan", "x", "y", "node").withColumn("id", F.concat_ws("/", "plan", "node"))
-    near = spatial.within(new, chambers.select("id", "x", "y"), 10.0, 50.0)
-    parts.append(_rows(near.where("distance <= 10"), "chamber-near", "node", F.col("r_id")))
-    return reduce(DataFrame.unionByName, parts)
+    ties = nodes.where("kind = 'TIE_IN'")
+    parts.append(_rows(ties.join(below, ["plan", "node"], "left_semi"), "root-parent", "node", F.col("kind")))
+    return reduce(DataFrame.unionByName, [*parts, *connections(ties, edges, chambers, lines)])
+
+
+def connections(ties: DataFrame, edges: DataFrame, chambers: DataFrame, lines: DataFrame | None) -> list[DataFrame]:
+    """Rules about ties and the existing network: a chamber and a tie on a pipe take four sections, existing and new; a tie on a pipe isn't made within 10 m of a chamber that could take it."""
+    new = edges.select("plan", F.col("parent").alias("node")).groupBy("plan", "node").agg(F.count(F.lit(1)).alias("new"))
+    ties = ties.select("plan", "node", "x", "y", F.col("existing_id").cast("string").alias("chamber"), (F.coalesce("existing_type", F.lit("")) == "heat_chamber").alias("at")).join(new, ["plan", "node"], "left").fillna(0, ["new"])
+    spots = chambers.select(F.col("id").cast("string").alias("id"), "x", "y")
+    pipe = ties.where("not at").withColumn("id", F.struct("plan", "node"))
+    count = lambda points: points.select("id", F.lit(0).alias("degree")) if lines is None else candidates.sections(points, lines)
+    held = count(spots)
+    planned = ties.where("at").groupBy("plan", F.col("chamber").alias("id")).agg(F.sum("new").alias("new"))
+    full = planned.join(held, "id").where(F.col("degree") + F.col("new") > 4)
+    crowded = pipe.join(count(pipe), "id").where(F.col("degree") + F.col("new") > 4)
+    near = spatial.within(pipe.select("id", "plan", "node", "x", "y"), spots, 10.0, 50.0).where("distance <= 10").select("plan", "node", F.col("r_id").alias("id"))
+    free = near.join(held, "id").join(planned, ["plan", "id"], "left").where(F.col("degree") + F.coalesce("new", F.lit(0)) < 4)
+    return [_rows(full, "chamber-degree", "id", F.col("degree") + F.col("new")), _rows(crowded, "tie-degree", "node", F.col("degree") + F.col("new")), _rows(free, "chamber-near", "node", F.col("id"))]
 
 
 def sizes(edges: DataFrame, demand: DataFrame) -> DataFrame:
@@ -127,21 +143,55 @@ def scores(stated: DataFrame, plans: DataFrame, nodes: DataFrame, edges: DataFra
     return _rows(j.where(bad), "score", "plan", F.concat_ws(" ", "cost", "c", "length", "l"))
 
 
-def exported(rows: DataFrame, three_d: bool) -> DataFrame:
-    """Checks of exported rows (variant_id, object_type, id, kind, dims, length, cost, total_length, total_cost), as ``plan`` the variant.
+#: The fields that each type of exported object must have, and the summary's total of each type's costs.
+NEEDED = {
+    "heat_network": ("id", "start_node_id", "end_node_id", "flow_tph", "diameter", "length", "laying_method", "depth_start", "depth_end", "cost"),
+    "heat_chamber": ("id", "diameter", "cost"),
+    "technical_node": ("id",),
+    "variant_summary": ("id", "rank", "construction_cost", "chamber_construction_cost", "tie_in_cost", "reconstruction_cost", "chamber_reconstruction_cost", "unconnected_penalty", "calculated_cost", "new_network_length", "reconstruction_length", "length", "score", "unconnected_oks_ids"),
+}
+SUMS = {"construction_cost": "lines", "chamber_construction_cost": "chambers", "tie_in_cost": "ties", "reconstruction_cost": "nothing", "chamber_reconstruction_cost": "nothing"}
+
+
+def exported(features: DataFrame) -> DataFrame:
+    """What is wrong with exported features, ``features(value)`` with a feature's JSON text each: (plan, rule, object, detail), as ``plan`` the variant.
 
-    Fields are there, types fit geometries, dimensions fit the mode, one summary for each variant, and its totals are the objects' sums.
+    Known types with all their fields, positions of two or three finite numbers, lines with as many as their depths ask for and z the negative depth at both
+    ends, one summary for each variant, no id twice in one, and the summary's costs, length and score those of its objects.
     """
-    r = rows.withColumnRenamed("variant_id", "plan")
-    known = {"heat_network": "LineString", "heat_chamber": "Point", "technical_node": "Point", "summary": "Point"}
-    kind = F.element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]), F.col("object_type"))
+    f = F.from_json("value", "struct<properties:string,geometry:struct<type:string,coordinates:string>>")
+    p = lambda name, kind="string": F.get_json_object("p", f"$.{name}").try_cast(kind)
+    rows = features.select(f.alias("f")).select(F.col("f.properties").alias("p"), F.col("f.geometry.type").alias("shape"), F.col("f.geometry.coordinates").alias("coordinates"))
+    rows = rows.select("p", "shape", "coordinates", p("variant_id").alias("plan"), p("object_type").alias("type"), p("id").alias("id"), *[p(n, "double").alias(n) for n in ("cost", "length", "tie_in_cost", "depth_start", "depth_end")])
+    rows = materialise(rows, "exported")
     parts = [
-        _rows(r.where("id is null or plan is null or object_type is null"), "field", "id", F.lit("missing")),
-        _rows(r.where(F.coalesce(kind != F.col("kind"), F.lit(True))), "type", "id", F.concat_ws(" ", "object_type", "kind")),
-        _rows(r.where((F.col("object_type") != "summary") & (F.col("dims") != (3 if three_d else 2))), "dimension", "id", F.col("dims")),
-        _rows(r.groupBy("plan").agg(F.count_if(F.col("object_type") == "summary").alias("n")).where("n <> 1"), "one-summary", "plan", F.col("n")),
+        _rows(rows.where("coalesce(type, '') = '' or coalesce(plan, '') = ''"), "field", "id", F.lit("object_type or variant_id")),
+        _rows(rows.where(~F.coalesce(F.col("type").isin(*NEEDED), F.lit(False))), "type", "id", F.col("type")),
     ]
-    objects = r.where("object_type <> 'summary'").groupBy("plan").agg(F.sum("cost").alias("c"), F.sum(F.when(F.col("object_type") == "heat_network", F.col("length"))).alias("l"))
-    wrong = r.where("object_type = 'summary'").select("plan", "total_cost", "total_length").join(objects, "plan").where("abs(total_cost - c) > 0.1 or abs(total_length - coalesce(l, 0)) > 0.001")
-    parts.append(_rows(wrong, "totals", "plan", F.concat_ws(" ", "total_cost", "c", "total_length", "l")))
+    want = F.create_map(*[x for t, names in NEEDED.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in names]))])
+    missing = rows.withColumn("missing", F.explode(F.array_except(want[F.col("type")], F.coalesce(F.json_object_keys("p"), F.array().cast("array<string>")))))
+    parts.append(_rows(missing, "missing", "id", F.col("missing")))
+    placed = rows.where("coordinates is not null").withColumn("points", F.when(F.col("shape") == "Point", F.array(F.from_json("coordinates", "array<double>"))).otherwise(F.from_json("coordinates", "array<array<double>>")))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    sound = lambda q: q.isNotNull() & F.size(q).between(2, 3) & F.forall(q, finite)
+    parts.append(_rows(placed.where(F.col("points").isNull() | ~F.forall("points", sound)), "position", "id", F.lit(None)))
+    lines = placed.where("type = 'heat_network' and size(points) > 0").withColumn("deep", F.col("depth_start").isNotNull() & F.col("depth_end").isNotNull())
+    parts.append(_rows(lines.where(F.exists("points", lambda q: F.coalesce(F.size(q), F.lit(0)) != F.when(F.col("deep"), 3).otherwise(2))), "dimension", "id", F.lit(None)))
+    z = lambda k: F.coalesce(F.get(F.element_at("points", k), 2), F.lit(0.0))
+    parts.append(_rows(lines.where(F.col("deep") & ((F.abs(z(1) + F.col("depth_start")) > 1e-7) | (F.abs(z(-1) + F.col("depth_end")) > 1e-7))), "depth", "id", F.lit(None)))
+    of = lambda t, c: F.coalesce(F.sum(F.when(F.col("type") == t, F.col(c))), F.lit(0.0))
+    object_ = F.coalesce(F.col("type") != "variant_summary", F.lit(True))
+    sums = rows.groupBy("plan").agg(
+        F.count_if(F.col("type") == "variant_summary").alias("summaries"), of("heat_network", "cost").alias("lines"), of("heat_chamber", "cost").alias("chambers"), of("heat_network", "tie_in_cost").alias("ties"), F.lit(0.0).alias("nothing"),
+        F.coalesce(F.sum(F.when(object_, F.col("cost"))), F.lit(0.0)).alias("costs"), F.coalesce(F.sum(F.when(object_, F.col("length"))), F.lit(0.0)).alias("lengths"),
+    )
+    parts.append(_rows(sums.where("summaries <> 1"), "one-summary", "plan", F.col("summaries")))
+    parts.append(_rows(rows.groupBy("plan", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "id-twice", "id", F.col("n")))
+    names = [*SUMS, "unconnected_penalty", "calculated_cost", "length", "score"]
+    stated = rows.where("type = 'variant_summary'").select("plan", *[F.coalesce(p(n, "double"), F.lit(0.0)).alias(f"s_{n}") for n in names]).join(sums, "plan")
+    cost, length = F.col("costs") + F.col("ties") + F.col("s_unconnected_penalty"), F.col("lengths")
+    off = [F.when(F.abs(F.col(f"s_{n}") - F.col(c)) > 0.1, n) for n, c in SUMS.items()]
+    off += [F.when(F.abs(F.col("s_calculated_cost") - cost) > 0.1, "calculated_cost"), F.when(F.abs(F.col("s_length") - length) > 0.001, "length"), F.when(F.abs(F.col("s_score") - rules.score(cost, length)) > 1e-7, "score")]
+    wrong = stated.withColumn("off", F.explode(F.array_compact(F.array(*off))))
+    parts.append(_rows(wrong, "totals", "plan", F.col("off")))
     return reduce(DataFrame.unionByName, parts)

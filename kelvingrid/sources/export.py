@@ -20,37 +20,47 @@ def _points(path: Column, depth: Column | None) -> Column:
 
 
 def feature_rows(variants: DataFrame, nodes: DataFrame, pieces: DataFrame, three_d: bool = False, depth: float = rules.DEPTH) -> DataFrame:
-    """One row for each exported object: (variant_id, rank, object_type, id, kind, dims, length, cost, total_length, total_cost, geometry, properties).
+    """One row for each exported object: (variant_id, rank, object_type, id, geometry, properties).
 
-    ``variants(variant_id, rank, length, cost, score)``, ``nodes(variant_id, node, kind, x, y, oks_id, existing_type, cost)``,
+    ``variants(variant_id, rank, construction, chambers, ties, penalty, cost, length, score, missing)``, ``nodes(variant_id, node, kind, x, y, point_id, existing_id, existing_type, dn)``,
     ``pieces(variant_id, parent, child, seq, last, points, dn, flow, length, cost, factor, from_depth, to_depth)``: an edge's costed pieces in order, with
-    ``points`` (x, y, depth). Between two pieces of an edge lies a technical node. Ids follow the variant's order of nodes.
+    ``points`` (x, y, depth). Between two pieces of an edge lies a technical node. A terminal goes by its point's id and a tie at an existing chamber by that chamber's, which isn't
+    written again. The first piece of an edge out of an existing chamber bears the price of the tie. Rebuilding the existing network costs nothing here.
     """
     deep = F.lit(depth) if three_d else None
-    dims = F.lit(3 if three_d else 2)
     none = F.lit(None).cast("double")
-    rank = variants.select("variant_id", "rank")
-
-    def rows(df: DataFrame, kind: str, id_: Column, shape: str, geometry: Column, properties: Column, length: Column = none, cost: Column = none) -> DataFrame:
-        head = ["variant_id", "rank", F.lit(kind).alias("object_type"), id_.alias("id"), F.lit(shape).alias("kind"), dims.alias("dims")]
-        return df.select(*head, length.alias("length"), cost.alias("cost"), none.alias("total_length"), none.alias("total_cost"), geometry.alias("geometry"), properties.alias("properties"))
-
-    n = nodes.where("kind in ('CHAMBER', 'TIE_IN')").join(rank, "variant_id")
-    node_id = lambda c: F.concat_ws("_", "variant_id", F.lit("n"), c)
-    technical = lambda seq: F.concat_ws("_", "variant_id", F.lit("t"), "child", seq)
-    shape = _points(F.array(F.struct("x", "y")), deep)
-    chambers = rows(n, "heat_chamber", node_id("node"), "Point", geometry_text(F.lit("Point"), shape, three_d), F.to_json(F.struct(F.col("kind").alias("node_kind"), "existing_type", "cost")), cost=F.col("cost"))
-    e = pieces.join(rank, "variant_id")
+    text = {"ignoreNullFields": "false"}
+
+    def rows(df: DataFrame, kind: str, id_: Column, geometry: Column, properties: list) -> DataFrame:
+        return df.select("variant_id", "rank", F.lit(kind).alias("object_type"), id_.alias("id"), geometry.alias("geometry"), F.to_json(F.struct(*properties), text).alias("properties"))
+
+    at_chamber = (F.col("kind") == "TIE_IN") & (F.coalesce("existing_type", F.lit("")) == "heat_chamber")
+    own = F.concat_ws("_", F.lit("ch"), "variant_id", "node")
+    named = nodes.withColumn("name", F.when(F.col("kind") == "TERMINAL", F.col("point_id").cast("string")).when(at_chamber, F.col("existing_id").cast("string")).otherwise(own))
+    ends = named.select("variant_id", "node", "name", at_chamber.alias("tied"))
+    n = named.where(F.col("kind").isin("CHAMBER", "TIE_IN") & ~at_chamber).join(variants.select("variant_id", "rank"), "variant_id")
+    dn = F.coalesce("dn", F.lit(0))
+    chambers = rows(n, "heat_chamber", F.col("name"), geometry_text(F.lit("Point"), _points(F.array(F.struct("x", "y")), deep), three_d), [dn.alias("diameter"), F.when(dn > 0, rules.chamber_cost(dn)).otherwise(0.0).alias("cost")])
+    technical = lambda seq: F.concat_ws("_", F.lit("tech"), "variant_id", "child", seq)
+    e = pieces.join(variants.select("variant_id", "rank"), "variant_id")
+    e = e.join(ends.select("variant_id", F.col("node").alias("parent"), F.col("name").alias("above"), "tied"), ["variant_id", "parent"]).join(ends.select("variant_id", F.col("node").alias("child"), F.col("name").alias("below")), ["variant_id", "child"])
     z = (lambda p: -p.depth) if three_d else (lambda p: F.lit(None).cast("double"))
     path = projection.path_to_wgs(F.transform("points", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), z(p).alias("z"))))
-    e = e.withColumn("start_id", F.when(F.col("seq") == 0, node_id("parent")).otherwise(technical(F.col("seq")))).withColumn("end_id", F.when(F.col("last"), node_id("child")).otherwise(technical(F.col("seq") + 1)))
-    method = F.when(F.col("factor") > 1, "special").otherwise("base").alias("laying_method")
-    depths = [F.col("from_depth").alias("depth_start"), F.col("to_depth").alias("depth_end")] if three_d else []
-    lines = rows(e, "heat_network", F.concat_ws("_", "variant_id", F.lit("e"), "child", "seq"), "LineString", geometry_text(F.lit("LineString"), path, three_d), F.to_json(F.struct("start_id", "end_id", F.col("dn").alias("diameter"), F.col("flow").alias("flow_tph"), "length", "cost", method, *depths)), F.col("length"), F.col("cost"))
+    depths = [F.col("from_depth") if three_d else none, F.col("to_depth") if three_d else none]
+    fields = [
+        F.when(F.col("seq") == 0, F.col("above")).otherwise(technical(F.col("seq"))).alias("start_node_id"), F.when(F.col("last"), F.col("below")).otherwise(technical(F.col("seq") + 1)).alias("end_node_id"),
+        F.col("flow").alias("flow_tph"), F.col("dn").alias("diameter"), "length", F.when(F.col("factor") > 1, "special").otherwise("base").alias("laying_method"),
+        depths[0].alias("depth_start"), depths[1].alias("depth_end"), "cost", F.when((F.col("seq") == 0) & F.col("tied"), rules.CHAMBER_TIE).otherwise(0.0).alias("tie_in_cost"),
+    ]
+    lines = rows(e, "heat_network", F.concat_ws("_", F.lit("new"), "variant_id", "child", "seq"), geometry_text(F.lit("LineString"), path, three_d), fields)
     between = e.where("not last").withColumn("p", F.element_at(path, -1))
-    bare = rows(between, "technical_node", technical(F.col("seq") + 1), "Point", geometry_text(F.lit("Point"), F.array("p"), three_d), F.to_json(F.struct(F.col("child").alias("edge"), "seq")))
-    first = nodes.groupBy("variant_id").agg(F.min_by(F.struct("x", "y"), "node").alias("p"))
-    summary = variants.join(first, "variant_id").select("variant_id", "rank", F.lit("summary").alias("object_type"), F.concat_ws("_", "variant_id", F.lit("summary")).alias("id"), F.lit("Point").alias("kind"), F.lit(2).alias("dims"), none.alias("length"), none.alias("cost"), F.col("length").alias("total_length"), F.col("cost").alias("total_cost"), geometry_text(F.lit("Point"), _points(F.array("p"), None)).alias("geometry"), F.to_json(F.struct("rank", "length", "cost", "score")).alias("properties"))
+    bare = rows(between, "technical_node", technical(F.col("seq") + 1), geometry_text(F.lit("Point"), F.array("p"), three_d), [F.col("child").alias("edge")])
+    zero = F.lit(0.0)
+    totals = [
+        "rank", F.col("construction").alias("construction_cost"), F.col("chambers").alias("chamber_construction_cost"), F.col("ties").alias("tie_in_cost"), zero.alias("reconstruction_cost"), zero.alias("chamber_reconstruction_cost"),
+        F.col("penalty").alias("unconnected_penalty"), F.col("cost").alias("calculated_cost"), F.col("length").alias("new_network_length"), zero.alias("reconstruction_length"), "length", "score", F.col("missing").alias("unconnected_oks_ids"),
+    ]
+    summary = rows(variants, "variant_summary", F.concat_ws("_", F.lit("summary"), "variant_id"), F.lit(None).cast("string"), totals)
     return lines.unionByName(chambers).unionByName(bare).unionByName(summary)
 
 
@@ -58,12 +68,12 @@ def feature_text(rows: DataFrame) -> DataFrame:
     """(variant_id, rank, object_type, id, value): each row as a feature's text."""
     head = F.to_json(F.struct("id", "variant_id", "object_type"))
     merged = F.concat(F.regexp_replace(head, r"\}$", ","), F.regexp_replace("properties", r"^\{", ""))
-    return rows.select("variant_id", "rank", "object_type", "id", F.concat(F.lit('{"type":"Feature","properties":'), merged, F.lit(',"geometry":'), F.col("geometry"), F.lit("}")).alias("value"))
+    return rows.select("variant_id", "rank", "object_type", "id", F.concat(F.lit('{"type":"Feature","properties":'), merged, F.lit(',"geometry":'), F.coalesce("geometry", F.lit("null")), F.lit("}")).alias("value"))
 
 
 def write(rows: DataFrame, path: str) -> None:
     """One FeatureCollection, variants in the order of their rank. Rows are sorted by the cluster; one task writes the file, no row passes the driver."""
-    order = {"heat_network": 0, "heat_chamber": 1, "technical_node": 2, "summary": 3}
+    order = {"heat_network": 0, "heat_chamber": 1, "technical_node": 2, "variant_summary": 3}
     text = feature_text(rows).withColumn("o", F.element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("object_type")))
     spark = rows.sparkSession
     key = F.struct(F.col("rank").cast("int").alias("rank"), "o", "id")

@@ -120,11 +120,11 @@ def test_ties_and_attachments(spark):
 
 
 def test_validators_find_what_is_wrong(spark):
-    nodes = spark.createDataFrame([(1, 0, "TIE_IN", 0.0, 0.0, None), (1, 1, "CHAMBER", 10.0, 0.0, None), (1, 2, "TERMINAL", 20.0, 0.0, "a"), (1, 3, "TERMINAL", 10.0, 10.0, "b"), (1, 4, "TERMINAL", 5.0, 5.0, "zz")], "plan long, node long, kind string, x double, y double, oks_id string")
+    nodes = spark.createDataFrame([(1, 0, "TIE_IN", 0.0, 0.0, None), (1, 1, "CHAMBER", 10.0, 0.0, None), (1, 2, "TERMINAL", 20.0, 0.0, "a"), (1, 3, "TERMINAL", 10.0, 10.0, "b"), (1, 4, "TERMINAL", 5.0, 5.0, "zz")], "plan long, node long, kind string, x double, y double, oks_id string").withColumns({"existing_id": F.lit("p"), "existing_type": F.when(F.col("kind") == "TIE_IN", "heat_network")})
     path = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     edges = [(1, 0, 1, path((0, 0), (10, 0))), (1, 1, 2, path((10, 0), (20, 0.5))), (1, 1, 3, path((10, 0), (15, 0), (5, 1), (10, 10)))]
     e = spark.createDataFrame(edges, "plan long, parent long, child long, path array<struct<x:double,y:double>>")
     terms = spark.createDataFrame([("a",), ("b",)], "oks_id string")
-    chambers = spark.createDataFrame([("c", 12.0, 3.0)], "id string, x double, y double")
+    chambers = spark.createDataFrame([("c", 6.0, 3.0)], "id string, x double, y double")
     assert {r.rule for r in validation.topology(nodes, e, terms, chambers).collect()} == {"orphan", "unknown-terminal", "chamber-near"}
     assert {r.rule for r in validation.geometry(nodes, e).collect()} >= {"endpoint", "turn"}
