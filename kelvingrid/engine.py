@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import candidates, depth, diversity, joint, planner, spatial, validation
+from kelvingrid.operators import candidates, depth, diversity, joint, planner, reconstruction, spatial, validation
 from kelvingrid.plans import rules
 from kelvingrid.plans.shared import materialise
 from kelvingrid.sources import export, geojson
@@ -145,6 +145,9 @@ class Engine:
         variants = materialise(variants.select("variant_id", "plan", "rank", "policy", "score", "cost", "length", "unconnected", "construction", "chambers", "ties", "penalty", "missing"))
         variants.write.parquet(f"{folder}/variants")
         export.feature_rows(variants, out_nodes, out_edges, deep).write.partitionBy("variant_id").parquet(f"{folder}/features")
+        # what the variants' ties ask of the existing network; no part of their prices
+        roots = edges.groupBy("plan", F.col("parent").alias("node")).agg(F.sum("flow").alias("flow"), F.max("dn").alias("dn"))
+        nodes.where("kind = 'TIE_IN'").join(roots, ["plan", "node"]).join(name, "plan").select("variant_id", "plan", "existing_id", "existing_type", "x", "y", "flow", "dn").write.parquet(f"{folder}/ties")
         self.record(run, scenario, mode_, "DONE", None)
         return run
 
@@ -172,6 +175,16 @@ class Engine:
         out = self.spark.read.parquet(f"{self.store}/runs/{run}/features")
         return out if variant_id is None else out.where(F.col("variant_id") == variant_id)
 
+    def reconstruction(self, run: str) -> tuple[DataFrame, DataFrame]:
+        """(lines, chambers) of the existing network that each variant's ties make too narrow, with what rebuilding them would cost."""
+        s = geojson.snapshot(self.spark, self.store, self.status(run)["scenario_id"])
+        ties = self.spark.read.parquet(f"{self.store}/runs/{run}/ties").drop("plan").withColumnRenamed("variant_id", "plan")
+        pipes = s["pipes"].select("id", "upstream", "path", F.col("diameter").alias("dn"), "flow")
+        chambers = s["chambers"].select("id", "upstream", F.col("diameter").alias("dn"), "x", "y")
+        lines = materialise(reconstruction.lines(ties, pipes, chambers, s["source"]))
+        named = lambda df: df.withColumnRenamed("plan", "variant_id")
+        return named(lines), named(reconstruction.chambers_of(ties, pipes, chambers, lines))
+
     def violations(self, run: str, variant_id: str | None = None) -> DataFrame:
         """(plan, rule, object, detail) of the plans of a run that its validators rejected; of a variant, of the plan that it is."""
         self.status(run)

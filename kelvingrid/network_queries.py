@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.operators import buildings, candidates, costs, depth, diversity, graph, joint, legality, spatial, topology, treedp, validation
+from kelvingrid.operators import buildings, candidates, costs, depth, diversity, graph, joint, legality, reconstruction, spatial, topology, treedp, validation
 from kelvingrid.plans import rules
 from kelvingrid.queries import DN, O1, O2, PLANS, SPAN, TREE, _t, boxes, pipes, plan_rows, query, r6, terminals, tree
 from kelvingrid.sources import geojson
@@ -346,7 +346,7 @@ l AS (SELECT pipe, reach, flow FROM t UNION ALL SELECT pipe // 2, 1e9, flow FROM
 k AS (SELECT DISTINCT pipe, unnest([0, length]) AS pos FROM e UNION SELECT pipe, reach FROM q), p AS (SELECT pipe, pos, lead(pos) OVER (PARTITION BY pipe ORDER BY pos) AS upto FROM k),
 a AS (SELECT p.pipe, pos, upto, sum(q.flow) AS more FROM p JOIN q ON q.pipe = p.pipe AND q.reach >= upto - 1e-9 WHERE upto > pos GROUP BY 1, 2, 3), d AS (SELECT a.*, (SELECT min(dn) FROM dn WHERE cap + 1e-9 >= base + more) AS need FROM a JOIN e USING (pipe) WHERE more > 0)
 SELECT pipe, pos, upto, need AS dn, round((upto - pos) * recon, 2) AS cost FROM d JOIN dn ON dn.dn = need WHERE need > 100""")
-def reconstruction(spark, sf):
+def reconstruction_(spark, sf):
     """Pieces of existing pipes that ties make too narrow, and what rebuilding them costs."""
     s = _t(spark, sf, "supplier")
     n = s.count()
@@ -356,6 +356,47 @@ def reconstruction(spark, sf):
     return costs.reconstruction(p, ties, up).select("pipe", F.col("at").alias("pos"), F.col("to").alias("upto"), "dn", F.round("cost", 2).alias("cost"))
 
 
+#: A tree of pipes, every third drawn from its far end, with chambers at every fifth far end, and ties on pipes and at chambers by three plans.
+UPNET = "o AS (SELECT s_suppkey AS id, s_suppkey // 2 AS up, ((s_suppkey * 6151) % 10007)::DOUBLE AS x, ((s_suppkey * 3571) % 10009)::DOUBLE AS y, [50, 80, 100][s_suppkey % 3 + 1] AS dn, (s_suppkey % 4)::DOUBLE AS flow, [50, 100][s_suppkey % 2 + 1] AS cdn, s_suppkey % 3 = 1 AS back, s_suppkey % 5 = 0 AS chamber FROM supplier), e AS (SELECT o.*, u.x AS ux, u.y AS uy, sqrt((o.x - u.x) ^ 2 + (o.y - u.y) ^ 2) AS size FROM o JOIN o u ON o.up = u.id WHERE o.id > 0)"
+UPTIES = "t AS (SELECT c_custkey % 3 AS plan, 1 + c_custkey % ((SELECT count(*) FROM supplier) - 1) AS pipe, (c_custkey % 89) / 89.0::DOUBLE AS f, (c_custkey % 40) / 10.0::DOUBLE + 0.3 AS flow, CASE WHEN c_custkey % 2 = 0 THEN 80 ELSE 150 END AS dn, (1 + c_custkey % ((SELECT count(*) FROM supplier) - 1)) % 5 = 0 AND c_custkey % 4 = 0 AS tied FROM customer)"
+PUSHED = """w AS (SELECT plan, CASE WHEN tied THEN pipe ELSE pipe // 2 END AS id, flow FROM t UNION ALL SELECT plan, id // 2, flow FROM w WHERE id // 2 > 0), f AS (SELECT plan, id, sum(flow) AS whole FROM w WHERE id > 0 GROUP BY 1, 2),
+q AS (SELECT plan, pipe AS id, f * size AS u, t.flow AS load FROM t JOIN e ON e.id = t.pipe WHERE NOT tied), k AS (SELECT plan, id, u FROM q UNION SELECT f.plan, f.id, size FROM f JOIN e USING (id)),
+p AS (SELECT plan, id, coalesce(lag(u) OVER (PARTITION BY plan, id ORDER BY u), 0) AS a, u AS z FROM k), g AS (SELECT p.*, coalesce(whole, 0) + coalesce((SELECT sum(load) FROM q WHERE q.plan = p.plan AND q.id = p.id AND q.u + 1e-9 >= (p.a + p.z) / 2), 0) AS added FROM p LEFT JOIN f ON f.plan = p.plan AND f.id = p.id),
+l AS (SELECT g.*, e.dn AS old, size, back, (SELECT min(dn.dn) FROM dn WHERE cap + 1e-9 >= e.flow + added) AS need FROM g JOIN e USING (id) WHERE z - a >= 1e-6 AND added > 1e-9)"""
+
+
+def upward_network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ties, pipes, chambers, source) of ``UPNET`` and ``UPTIES``."""
+    o = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("s_suppkey div 2").alias("up"), F.expr("double((s_suppkey * 6151) % 10007)").alias("x"), F.expr("double((s_suppkey * 3571) % 10009)").alias("y"))
+    e = o.where("id > 0").join(o.select(F.col("id").alias("up"), F.col("x").alias("ux"), F.col("y").alias("uy")), "up")
+    near, far = (F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("ux", "uy"), ("x", "y")))
+    upstream = F.when(F.col("up") == 0, "s").when(F.col("up") % 5 == 0, F.concat(F.lit("c"), "up")).otherwise(F.concat(F.lit("p"), "up"))
+    lines = e.select(F.concat(F.lit("p"), "id").alias("id"), upstream.alias("upstream"), F.when(F.col("id") % 3 == 1, F.array(far, near)).otherwise(F.array(near, far)).alias("path"), F.element_at(F.array(*[F.lit(d) for d in (50, 80, 100)]), (F.col("id") % 3 + 1).cast("int")).alias("dn"), (F.col("id") % 4).cast("double").alias("flow"))
+    chambers = e.where("id % 5 = 0").select(F.concat(F.lit("c"), "id").alias("id"), F.concat(F.lit("p"), "id").alias("upstream"), F.when(F.col("id") % 2 == 0, 50).otherwise(100).alias("dn"), "x", "y")
+    n = o.count()
+    t = _t(spark, sf, "customer").select(F.col("c_custkey").alias("c"), (1 + F.col("c_custkey") % (n - 1)).alias("id")).join(e, "id")
+    share, at = F.expr("(c % 89) / 89.0D"), F.expr("id % 5 = 0 and c % 4 = 0")
+    spot = lambda a, b: F.when(at, F.col(b)).otherwise(F.col(a) + share * (F.col(b) - F.col(a)))
+    ties = t.select((F.col("c") % 3).alias("plan"), F.concat(F.when(at, "c").otherwise("p"), "id").alias("existing_id"), F.when(at, "heat_chamber").otherwise("heat_network").alias("existing_type"), spot("ux", "x").alias("x"), spot("uy", "y").alias("y"), F.expr("(c % 40) / 10.0D + 0.3D").alias("flow"), F.expr("if(c % 2 = 0, 80, 150)").alias("dn"))
+    return ties, lines, chambers, o.where("id = 0").select("x", "y")
+
+
+@query(f"WITH RECURSIVE {DN}, {UPNET}, {UPTIES}, {PUSHED} SELECT plan, 'p' || id AS id, round(CASE WHEN back THEN size - z ELSE a END, 4) AS low, round(CASE WHEN back THEN size - a ELSE z END, 4) AS high, round(added, 6) AS added_flow, need AS dn, round((z - a) * recon, 2) AS cost FROM l JOIN dn ON dn.dn = need WHERE need > old")
+def network_reconstruction(spark, sf):
+    """Pieces of existing pipes that the ties of three plans make too narrow, over all levels upstream, in either drawing direction."""
+    found = reconstruction.lines(*upward_network(spark, sf))
+    return found.select("plan", "id", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("added_flow", 6).alias("added_flow"), "dn", F.round("cost", 2).alias("cost"))
+
+
+@query(f"""WITH RECURSIVE {DN}, {UPNET}, {UPTIES}, {PUSHED}, b AS (SELECT * FROM l WHERE need > old), h AS (SELECT plan, pipe AS id, max(dn) AS need FROM t WHERE tied GROUP BY 1, 2),
+r AS (SELECT h.plan, h.id, cdn AS own, greatest(cdn, h.need, e.dn, (SELECT max(c.dn) FROM e c WHERE c.up = h.id), (SELECT max(b.need) FROM b WHERE b.plan = h.plan AND b.id = h.id AND b.size - b.z < 2), (SELECT max(b.need) FROM b JOIN e c USING (id) WHERE b.plan = h.plan AND c.up = h.id AND b.a < 2)) AS dn FROM h JOIN e USING (id))
+SELECT plan, 'c' || id AS id, own AS existing_dn, dn, CASE WHEN dn <= 200 THEN 3e6 WHEN dn <= 500 THEN 5e6 WHEN dn <= 1000 THEN 8e6 ELSE 12e6 END::DOUBLE AS cost FROM r WHERE dn > own""")
+def chamber_reconstruction(spark, sf):
+    """Existing chambers with ties that need a larger diameter."""
+    ties, lines, chambers, source = upward_network(spark, sf)
+    return reconstruction.chambers_of(ties, lines, chambers, reconstruction.lines(ties, lines, chambers, source))
+
+
 PLANNED = "p AS (SELECT s_suppkey AS id, ((s_suppkey * 6151) % 10007)::DOUBLE AS ax, ((s_suppkey * 3571) % 10009)::DOUBLE AS ay, ((s_suppkey * 6151) % 10007)::DOUBLE + CASE WHEN s_suppkey % 4 = 1 THEN 3 + s_suppkey % 12 ELSE 300 END AS bx, ((s_suppkey * 3571) % 10009)::DOUBLE + CASE WHEN s_suppkey % 4 = 1 THEN 0 ELSE (s_suppkey % 5 - 2) * 100 END AS by FROM supplier)"
 
 
@@ -488,6 +529,7 @@ d AS (SELECT plan, node, count(*) AS n FROM (SELECT plan, parent AS node FROM e
 SELECT plan, 'degree' AS rule, node::VARCHAR AS object FROM d WHERE n > 4
 UNION ALL SELECT plan, 'terminal-leaf', node::VARCHAR FROM pn WHERE kind = 'TERMINAL' AND EXISTS (SELECT 1 FROM e WHERE e.plan = pn.plan AND e.parent = pn.node)
 UNION ALL SELECT plan, 'orphan', node::VARCHAR FROM pn WHERE kind <> 'TIE_IN' AND NOT EXISTS (SELECT 1 FROM e WHERE e.plan = pn.plan AND e.child = pn.node)
+UNION ALL SELECT plan, 'root-parent', node::VARCHAR FROM pn WHERE kind = 'TIE_IN' AND EXISTS (SELECT 1 FROM e WHERE e.plan = pn.plan AND e.child = pn.node)
 UNION ALL SELECT plan, 'terminal-twice', oks_id::VARCHAR FROM h WHERE n > 1
 UNION ALL SELECT plan, 'unknown-terminal', oks_id::VARCHAR FROM h WHERE oks_id % 4 = 0""")
 def plan_topology_rules(spark, sf):

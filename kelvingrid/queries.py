@@ -18,9 +18,10 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        name = f.__name__.rstrip("_")  # a module may have a query's name
+        QUERIES[name] = f
         if sql:
-            ORACLE[f.__name__] = re.sub(r"\bby\b", "by_", sql)  # a column's name, but a keyword in SQL
+            ORACLE[name] = re.sub(r"\bby\b", "by_", sql)  # a column's name, but a keyword in SQL
         return f
 
     return add

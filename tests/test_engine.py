@@ -35,6 +35,9 @@ def test_end_to_end(spark, tmp_path, mode):
         assert all(f["properties"]["depth_start"] is None for f in lines)
     assert all(f["properties"]["tie_in_cost"] == (5e6 if f["properties"]["start_node_id"] == "c1" else 0) for f in lines)
     assert engine.violations(run, variants[0].variant_id).count() == 0
+    lines_, chambers_ = engine.reconstruction(run)
+    assert lines_.count() == 0  # DN 300 carries it all
+    assert {r.id for r in chambers_.collect()} <= {"c1"}
     by_id = {f["properties"]["id"] for f in got} | {"c1", "t1", "t2"}
     assert all(f["properties"]["start_node_id"] in by_id and f["properties"]["end_node_id"] in by_id for f in lines)
     top = next(f for f in got if f["properties"]["object_type"] == "variant_summary" and f["properties"]["rank"] == 1)
