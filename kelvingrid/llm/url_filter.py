@@ -97,8 +97,11 @@ def search(keys: np.ndarray, ends: np.ndarray, text: np.ndarray, wanted: list[by
         k = at[live]
         same = (ends[k + 1] - ends[k] == size[live])
         pair = np.flatnonzero(same)
-        first, last = (int(ends[k[pair]].min()), int(ends[k[pair] + 1].max())) if len(pair) else (0, 0)
-        same[pair] = words.same_bytes(text[first:last], ends[k[pair]] - first, own, offsets[live[pair]], size[live[pair]])
+        # only the bytes of strings with an equal key are read: the file may be much larger than what a batch asks for
+        n = size[live[pair]]
+        start = np.cumsum(n) - n
+        stored = text[np.repeat(ends[k[pair]] - start, n) + np.arange(int(n.sum()))]
+        same[pair] = words.same_bytes(stored, start, own, offsets[live[pair]], n)
         out[live[same]] = k[same]
         live = live[~same]
         at[live] += 1
