@@ -40,14 +40,24 @@ PART = 1 << 18
 MOST = 1 << 21
 
 
+#: A text that shows what a model does before it looks for pieces: nothing but a blank before it is known to be right here.
+PROBE = "\ufb01 A\tb  c"
+
+
 class Vocabulary:
-    """The pieces of a model: bytes with blanks as 0x20, ids, and merge ranks (0 is the best score)."""
+    """The pieces of a model: bytes with blanks as 0x20, ids, and merge ranks (0 is the best score).
+
+    Refuses a model whose scores aren't the ranks of merges, as those of a unigram model, or that normalises texts.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         p = SentencePieceProcessor(model_file=path)
         size = p.vocab_size()
+        shown = b"".join(bytes([int(q[3:-1], 16)]) if p.is_byte(p.piece_to_id(q)) else q.encode() for q in p.encode(PROBE, out_type=str))
+        if shown.replace(BLANK, b" ") != b" " + PROBE.encode():
+            raise ValueError(f"{path}: the model normalises texts, or puts no blank before them")
         self.byte = np.zeros(256, dtype=np.int32)
         self.text: list[bytes] = []
         pieces = []
@@ -63,6 +73,8 @@ class Vocabulary:
                 pieces.append((self.text[-1], i, p.get_score(i)))
         if any(b" " in t.lstrip(b" ") or len(t) > DEPTH for t, _, _ in pieces):
             raise ValueError("a piece has an inner blank or is too long; units would not be independent")
+        if any(s != int(s) for _, _, s in pieces):
+            raise ValueError(f"{path}: the pieces' scores are no ranks of merges")
         self.pieces = sorted(pieces)
         self.ids = np.array([i for _, i, _ in self.pieces], dtype=np.int64)
         scores = np.array([s for _, _, s in self.pieces])

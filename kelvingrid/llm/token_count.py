@@ -39,9 +39,9 @@ BLANK = frozenset(" \t\n\v\f\r")
 MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~、。，．：；？！")
 AGREE = 2
 SPECIAL = 24
-#: The normaliser and the pattern that the proof is about.
-NORMALISER = ["NFC", "Replace", "Lowercase"]
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normaliser and the split that the proof is about.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 @lru_cache(maxsize=4)
@@ -51,9 +51,8 @@ def tokenizer(path: str):
 
     tok = Tokenizer.from_file(path)
     known = json.loads(tok.to_str())
-    steps = [n["type"] for n in (known["normalizer"] or {}).get("normalizers", [])]
-    split = [p.get("pattern", {}).get("Regex") for p in (known["pre_tokenizer"] or {}).get("pretokenizers", [])][:1]
-    if steps != NORMALISER or split != [PATTERN] or any(len(t["content"]) > SPECIAL or t["lstrip"] or t["rstrip"] or t["single_word"] for t in known["added_tokens"]):
+    steps, split = (known["normalizer"] or {}).get("normalizers"), (known["pre_tokenizer"] or {}).get("pretokenizers", [])[:1]
+    if steps != NORMALISER or split != [SPLIT] or any(len(t["content"]) > SPECIAL or t["lstrip"] or t["rstrip"] or t["single_word"] for t in known["added_tokens"]):
         raise ValueError(f"{path}: its texts can't be proven to splice")
     return tok
 
