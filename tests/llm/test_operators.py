@@ -621,3 +621,41 @@ def test_op10_carries_columns_of_clashing_names(spark, tmp_path):
     out.write.parquet(f"{tmp_path}/out")
     assert out.columns == [*packing.OWN, "text", "doc_doc_length", "doc_Bucket", "doc_length", "a b"]
     assert {(r.doc_id, r.length, r.doc_doc_length, r.doc_length) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, 3, 9, 7), (2, 0, 1, 3)}
+
+
+def test_op7_reads_only_the_strings_of_equal_keys():
+    rules = [("block", f"h{k}.example", f"/p{k}/") for k in range(20000)]
+    index = url_filter.read(url_filter.build(rules))
+    read = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            out = np.asarray(super().__getitem__(at))
+            read.append(out.size)
+            return out
+
+    for name in ("host_text", "rule_text"):
+        index[name] = index[name].view(Watched)
+    urls = pa.array([f"http://h{k}.example/p{k}/x" for k in (0, 7, 19999)] + ["http://none.example/p1/"])
+    host, path, rule, verdict = (c.to_pylist() for c in url_filter.judged(index, urls))
+    assert rule == ["h0.example/p0/", "h7.example/p7/", "h19999.example/p19999/", None] and verdict == ["block"] * 3 + ["allow"]
+    assert 0 < sum(read) < 1000
+
+
+def test_op1_and_op3_refuse_what_they_do_not_know(tmp_path, monkeypatch):
+    import json
+
+    known = json.load(open(queries.tokenizer_path("word_bpe_49k.json")))
+    for change in (lambda k: k["normalizer"]["normalizers"][1].update(content="_"), lambda k: k["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated")):
+        other = json.loads(json.dumps(known))
+        change(other)
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(other))
+        with pytest.raises(ValueError, match="splice"):
+            token_count.tokenizer(str(path))
+    import sentencepiece
+
+    whole = sentencepiece.SentencePieceProcessor.get_score
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_score", lambda self, i: whole(self, i) - 0.25)
+    with pytest.raises(ValueError, match="ranks"):
+        sentence_pieces.Vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
