@@ -81,15 +81,6 @@ def turn(dx, dy, ex, ey) -> Column:
     return F.coalesce(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (dx * ex + dy * ey) / F.nullif(size, F.lit(0.0)))))), F.lit(0.0))
 
 
-def reverses(dx, dy, ex, ey) -> Column:
-    return dx * ex + dy * ey < -1e-7
-
-
-def bend_penalty(dx, dy, ex, ey) -> Column:
-    """8 m for a turn of more than 5 degrees."""
-    return F.when(turn(dx, dy, ex, ey) > 5, 8.0).otherwise(0.0)
-
-
 def sector(dx, dy, n: int = 16) -> Column:
     """Which of n equal sectors from -180 degrees on a direction is in."""
     return F.least(F.floor((F.atan2(dy, dx) + F.pi()) / (2 * F.pi()) * n), F.lit(n - 1)).cast("int")

@@ -1,7 +1,6 @@
-"""Routes between points among restrictions: segment legality, a visibility graph and A*, request by request.
+"""Routes between points among restrictions: segment legality, a visibility graph and A*, for the planner's steps.
 
-A request is independent of all others, so requests are dealt out over the cluster; the restrictions of one scenario
-(its working window, a bounded set) go to each group of its requests.
+What a segment may do is what ``legality`` says in joins; a test holds the two together.
 """
 
 from __future__ import annotations
@@ -10,9 +9,6 @@ import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kelvingrid.functions import planar
 from kelvingrid.plans import rules
@@ -343,24 +339,3 @@ class Router:
                 else:
                     k += 1
         return path
-
-
-def routes(requests: DataFrame, restrictions: DataFrame, salts: int = 1) -> DataFrame:
-    """``requests(scenario, id, ax, ay, bx, by, dn)``, ``restrictions(scenario, type, closed, rings)`` -> (scenario, id, feasible, cost, length, path).
-
-    ``salts`` splits a scenario with many requests; each part gets the scenario's restrictions.
-    """
-
-    def solve(asked: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        scene = [obstacle(r.type, [np.array([[p["x"], p["y"]] for p in ring]) for ring in r.rings], bool(r.closed)) for r in around.itertuples()]
-        router = Router(scene)
-        out = []
-        for r in asked.itertuples():
-            found = router.route(np.array([r.ax, r.ay]), np.array([r.bx, r.by]), int(r.dn))
-            path = [] if found is None else [{"x": float(x), "y": float(y)} for x, y in found[0]]
-            out.append((r.scenario, r.id, found is not None, None if found is None else found[1], None if found is None else planar.length(found[0]), path))
-        return pd.DataFrame(out, columns=["scenario", "id", "feasible", "cost", "length", "path"])
-
-    left = requests.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    right = restrictions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.groupBy("scenario", "salt").cogroup(right.groupBy("scenario", "salt")).applyInPandas(solve, "scenario long, id long, feasible boolean, cost double, length double, path array<struct<x:double,y:double>>")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -30,19 +29,23 @@ def check(edges: list[tuple[int, int]], root: int) -> dict[int, list[int]]:
 
 
 def smallest_sums(lists: list[list[tuple[float, tuple]]], k: int) -> list[tuple[float, tuple]]:
-    """The k smallest sums of one entry from each sorted list, with their parts joined; ties by the parts."""
+    """The k smallest sums of one entry from each sorted list, with their parts joined; ties by the parts in node order.
+
+    Of two sums that differ in one entry only, the order is that entry's, so it never falls along a list, and a list's best entries are enough.
+    """
     out: list[tuple[float, tuple]] = [(0.0, ())]
     for options in lists:
         if not options:
             return []
-        heap = [(out[i][0] + options[0][0], out[i][1] + options[0][1], i, 0) for i in range(len(out))]
+        both = lambda i, j: (out[i][0] + options[j][0], tuple(sorted(out[i][1] + options[j][1])), i, j)  # noqa: E731,B023
+        heap = [both(i, 0) for i in range(len(out))]
         heapq.heapify(heap)
         merged = []
         while heap and len(merged) < k:
             cost, picks, i, j = heapq.heappop(heap)
             merged.append((cost, picks))
             if j + 1 < len(options):
-                heapq.heappush(heap, (out[i][0] + options[j + 1][0], out[i][1] + options[j + 1][1], i, j + 1))
+                heapq.heappush(heap, both(i, j + 1))
         out = merged
     return out
 
@@ -74,15 +77,6 @@ def best_assignments(counts: dict[int, int], costs: dict[tuple[int, int], np.nda
     return [(float(c), dict(sorted(p))) for c, p in best]
 
 
-def brute_force(counts: dict[int, int], costs: dict[tuple[int, int], np.ndarray], k: int) -> list[float]:
-    nodes = sorted(counts)
-    sums = []
-    for picks in product(*(range(counts[n]) for n in nodes)):
-        at = dict(zip(nodes, picks, strict=True))
-        sums.append(sum(float(m[at[p], at[c]]) for (p, c), m in costs.items()))
-    return sorted(x for x in sums if np.isfinite(x))[:k]
-
-
 def top_assignments(costs: DataFrame, k: int = 8) -> DataFrame:
     """``costs(plan, parent, child, i, j, cost)``, one root in each plan -> (plan, rank, cost, node, candidate)."""
 

@@ -391,9 +391,12 @@ def variant_rank(spark, sf):
     return diversity.ranked_variants(p, "mode").select("plan", "mode", "rank", "variant_id")
 
 
-@query()
+@query("""WITH n AS (SELECT s_suppkey AS plan FROM supplier), k AS (SELECT unnest(range(0, 3)) AS v), a AS (SELECT plan, k1.v AS a1, k2.v AS a2, k3.v AS a3, k4.v AS a4, k5.v AS a5, k6.v AS a6, k7.v AS a7 FROM n, k k1, k k2, k k3, k k4, k k5, k k6, k k7),
+c AS (SELECT *, (plan * 31 + 34 + a1 * 7 + a2 * 13) % 97 + (plan * 31 + 51 + a1 * 7 + a3 * 13) % 97 + (plan * 31 + 68 + a2 * 7 + a4 * 13) % 97 + (plan * 31 + 85 + a2 * 7 + a5 * 13) % 97 + (plan * 31 + 102 + a3 * 7 + a6 * 13) % 97 + (plan * 31 + 119 + a3 * 7 + a7 * 13) % 97 AS cost FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY cost, a1, a2, a3, a4, a5, a6, a7) AS rank FROM c)
+SELECT plan, rank::INTEGER AS rank, cost::DOUBLE AS cost, t.node::BIGINT AS node, [a1, a2, a3, a4, a5, a6, a7][t.node]::INTEGER AS candidate FROM r, range(1, 8) t(node) WHERE rank <= 8""")
 def tree_dp_topk(spark, sf):
-    """The eight cheapest assignments of each tree."""
+    """The eight cheapest assignments of each tree, candidate by candidate; ties by the candidates in node order."""
     n = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("plan"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(7).cast("long"))).alias("child"))
     picks = lambda: F.explode(F.sequence(F.lit(0), F.lit(2)))
     rows = n.withColumn("parent", F.expr("child div 2")).withColumn("i", picks()).withColumn("j", picks())

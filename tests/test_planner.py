@@ -1,3 +1,5 @@
+from itertools import product
+
 import numpy as np
 import pytest
 
@@ -65,13 +67,21 @@ def test_crossings():
     assert not routing.assess(np.array([0.0, 0]), np.array([100.0, 0]), 100, [rail])[0]
 
 
-def test_tree_assignments_equal_brute_force():
+def every_assignment(counts, costs, k):
+    nodes, rows = sorted(counts), []
+    for picks in product(*(range(counts[n]) for n in nodes)):
+        at = dict(zip(nodes, picks))
+        rows.append((sum(float(m[at[p], at[c]]) for (p, c), m in costs.items()), sorted(at.items())))
+    return [(c, dict(p)) for c, p in sorted(r for r in rows if np.isfinite(r[0]))[:k]]
+
+
+@pytest.mark.parametrize("most", [50, 4])  # few costs: many ties, which go by the candidates in node order
+def test_tree_assignments_equal_brute_force(most):
     r = np.random.default_rng(1)
-    counts = {0: 2, 1: 3, 2: 2, 3: 3, 4: 2}
-    costs = {e: r.integers(1, 50, size=(counts[e[0]], counts[e[1]])).astype(float) for e in ((0, 1), (0, 2), (1, 3), (1, 4))}
-    costs[(1, 3)][0, 1] = np.inf
-    got = treedp.best_assignments(counts, costs, 0, 9)
-    assert [round(c, 9) for c, _ in got] == treedp.brute_force(counts, costs, 9)
+    counts = {0: 2, 1: 3, 2: 2, 3: 3, 4: 2, 5: 2}
+    costs = {e: r.integers(1, most, size=(counts[e[0]], counts[e[1]])).astype(float) for e in ((0, 1), (0, 3), (1, 2), (1, 5), (3, 4))}
+    costs[(1, 2)][0, 1] = np.inf
+    assert treedp.best_assignments(counts, costs, 0, 9) == every_assignment(counts, costs, 9)
     with pytest.raises(ValueError):
         treedp.check([(0, 1), (2, 1)], 0)
 
