@@ -35,7 +35,24 @@ class Engine:
         self.spark, self.store, self.starts, self.steps = spark, store.rstrip("/"), min(8, max(1, starts)), steps
 
     def ingest(self, path: str, name: str = "scenario", lines: bool = False) -> str:
-        return geojson.ingest(self.spark, path, self.store, name, lines)
+        """A scenario's id. A file that breaks the contract raises ``InputError``; what it breaks is stored under the error's ``check``."""
+        try:
+            return geojson.ingest(self.spark, path, self.store, name, lines)
+        except geojson.InputError as e:
+            e.check = uuid.uuid4().hex
+            rows = self.spark.createDataFrame(e.violations, "rule string, id string, detail string")
+            rows.select(F.lit(e.check).alias("check"), "*").write.mode("append").parquet(f"{self.store}/rejected")
+            raise
+
+    def validation(self, scenario: str) -> DataFrame:
+        """(rule, id, detail) of a file that was rejected, by the error's ``check``; no rows for a scenario that is ready."""
+        schema = "check string, rule string, id string, detail string"
+        found = self.spark.createDataFrame([], schema)
+        if self.has("rejected"):
+            found = self.spark.read.schema(schema).parquet(f"{self.store}/rejected").where(F.col("check") == scenario)
+        if found.isEmpty():
+            self.scenario(scenario)
+        return found.drop("check")
 
     def check_file(self, path: str, lines: bool = False) -> DataFrame:
         """(rule, id, detail) of everything that a scenario file breaks; nothing is stored."""
@@ -47,12 +64,20 @@ class Engine:
             raise NotFound(feature)
         return rows[0].asDict()
 
-    def scenario(self, scenario: str) -> dict:
-        rows = self.spark.read.parquet(f"{self.store}/scenarios").where(F.col("id") == scenario).collect()
+    def has(self, name: str) -> bool:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}")
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+
+    def one(self, name: str, id_: str) -> dict:
+        """The row of a list of the store; a store without it knows none."""
+        rows = self.spark.read.parquet(f"{self.store}/{name}").where(F.col("id") == id_).collect() if self.has(name) else []
         if not rows:
-            raise NotFound(scenario)
+            raise NotFound(id_)
         return rows[0].asDict()
 
+    def scenario(self, scenario: str) -> dict:
+        return self.one("scenarios", scenario)
+
     def scenes(self, scenario: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
         """A scenario's working window as one row of arrays, for the planner; its tables; the legs of its pipes."""
         s = geojson.snapshot(self.spark, self.store, scenario)
@@ -156,10 +181,7 @@ class Engine:
         self.spark.range(1).select(*row, F.lit(100).alias("progress"), F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{self.store}/run_list")
 
     def status(self, run: str) -> dict:
-        rows = self.spark.read.parquet(f"{self.store}/run_list").where(F.col("id") == run).collect()
-        if not rows:
-            raise NotFound(run)
-        return rows[0].asDict()
+        return self.one("run_list", run)
 
     def variants(self, run: str) -> DataFrame:
         self.status(run)

@@ -134,13 +134,24 @@ def sectors(pairs: DataFrame, key: str, per: int = 6, n: int = 16, legal: Column
     return out
 
 
-def radial_sample(nodes: DataFrame, most: int, key: str = "id") -> DataFrame:
-    """At most ``most`` nodes: sorted by angle, then radius about the mean, evenly spaced ones."""
+def placed(rows: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds the 0-based place of each row of a written table in a whole order, without one task for all: ``bucket`` never falls along the order, and places are
+    those in the bucket behind a prefix sum over the buckets."""
+    rows = rows.withColumn("__bucket", bucket)
+    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__bucket", before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
+    return rows.withColumn("__own", own).join(starts, "__bucket").withColumn(name, F.col("__before") + F.col("__own")).drop("__bucket", "__own", "__before")
+
+
+def radial_sample(nodes: DataFrame, most: int, key: str = "id", buckets: int = 4096) -> DataFrame:
+    """At most ``most`` nodes: sorted by angle, then radius about the mean, evenly spaced ones. Angles make the buckets of the order."""
     mean = nodes.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count(F.lit(1)).alias("n"))
-    out = nodes.crossJoin(F.broadcast(mean))
+    out = nodes.crossJoin(F.broadcast(mean))  # one row
     angle = F.atan2(F.col("y") - F.col("my"), F.col("x") - F.col("mx"))
     out = out.withColumn("angle", F.round(angle, 9)).withColumn("radius", F.round(g.distance(F.col("x"), F.col("y"), F.col("mx"), F.col("my")), 6))
-    out = out.withColumn("at", F.row_number().over(Window.orderBy("angle", "radius", key)) - 1)
+    out = placed(materialise(out), F.floor((F.col("angle") + F.pi()) / (2 * F.pi()) * buckets), [F.col(c) for c in ("angle", "radius", key)], "at")
     slot = lambda at: F.floor(at * most / F.col("n"))
     return out.where((F.col("n") <= most) | (slot(F.col("at")) != slot(F.col("at") - 1))).select(*nodes.columns)
 

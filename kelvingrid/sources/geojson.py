@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
@@ -39,6 +39,7 @@ class InputError(ValueError):
     def __init__(self, violations: list[tuple[str, str | None, str]]):
         super().__init__("; ".join(f"{r}: {i or '-'}: {d}" for r, i, d in violations[:5]))
         self.violations = violations
+        self.check: str | None = None  # under which an engine stores them
 
 
 def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -216,7 +217,3 @@ def geometry_text(kind: Column, points: Column, has_z: bool = False) -> Column:
     c = F.transform(points, lambda p: F.when(p.z.isNotNull() & ~F.isnan(p.z), F.array(p.x, p.y, p.z)).otherwise(F.array(p.x, p.y)) if has_z else F.array(p.x, p.y))
     shape = F.when(kind == "Point", F.to_json(F.element_at(c, 1))).when(kind == "LineString", F.to_json(c)).when(kind == "Polygon", F.to_json(F.array(c))).otherwise(F.raise_error(F.concat(F.lit("no such output geometry: "), kind)))
     return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), shape, F.lit("}"))
-
-
-def ordered(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("at", F.row_number().over(Window.orderBy(*order)))

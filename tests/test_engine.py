@@ -7,6 +7,7 @@ from kelvingrid import engine as engines
 from kelvingrid.engine import Engine, NotFound, NoValidPlan
 from kelvingrid.operators import validation
 from kelvingrid.sources import export
+from kelvingrid.sources.geojson import InputError
 from test_geojson import scenario, write
 
 
@@ -56,3 +57,14 @@ def test_a_run_without_a_valid_plan(spark, tmp_path, monkeypatch):
     with pytest.raises(NoValidPlan) as e:
         engine.run(sid)
     assert engine.status(e.value.run)["status"] == "ERROR" and engine.violations(e.value.run).count() > 0
+
+
+def test_what_a_rejected_file_breaks_is_stored(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    broken = scenario()
+    broken[1]["properties"].pop("diameter")
+    with pytest.raises(InputError) as e:
+        engine.ingest(write(tmp_path, broken), "broken")
+    assert [(r.rule, r.id) for r in engine.validation(e.value.check).collect()] == [("diameter", "p1")]
+    with pytest.raises(NotFound):
+        engine.validation("nothing")
