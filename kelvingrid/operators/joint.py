@@ -161,7 +161,7 @@ def refine(nodes: DataFrame, edges: DataFrame, tables: dict[str, DataFrame], aud
         new_edges = materialise(new_edges.select(F.col("trial").alias("plan"), "parent", "child", "path"), "edges")
         tried_totals, tried_edges = evaluated(new_nodes, new_edges, *both)
         old = totals.select(F.col("plan").alias("old"), F.col("score").alias("before"))
-        better = materialise(tried_totals.withColumn("old", F.floor(F.col("plan") / (tried + 1))).join(old, "old").where(F.col("score") < F.col("before") - GAIN), "better")
+        better = materialise(tried_totals.withColumn("old", F.expr(f"plan div {tried + 1}")).join(old, "old").where(F.col("score") < F.col("before") - GAIN), "better")
         keep = better.select("plan")
         broken = audit(new_nodes.join(keep, "plan", "left_semi"), tried_edges.join(keep, "plan", "left_semi")).select("plan").distinct()
         won = better.join(broken.withColumn("plan", F.col("plan").cast("long")), "plan", "left_anti").groupBy("old").agg(F.min(F.struct("score", "plan")).alias("w")).select("old", F.col("w.plan").alias("plan"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kelvingrid.functions import geometry as g
 from kelvingrid.operators import candidates, costs, depth, diversity, graph, intervals, spatial, treedp
 from kelvingrid.plans import rules
+from kelvingrid.sources import geojson
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,7 +102,7 @@ def terminal_flow_join(spark, sf):
     """A terminal's flow is its building's, else its own, else 0."""
     own = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("oks_id"), F.expr("double(o_orderkey % 50)").alias("own"))
     building = terminals(spark, sf).where("id % 3 <> 0").select(F.col("id").alias("oks_id"), "flow")
-    return own.join(building, "oks_id", "left").select("id", "oks_id", F.coalesce("flow", "own", F.lit(0.0)).alias("flow"))
+    return geojson.demands(own, building).select("id", "oks_id", "flow")
 
 
 @query(f"WITH {T}, {BOX}, w AS (SELECT min(x) + 3000 AS x0, max(x) - 3000 AS x1, min(y) + 3000 AS y0, max(y) - 3000 AS y1 FROM t) SELECT b.id FROM b, w WHERE max_x >= x0 AND min_x <= x1 AND max_y >= y0 AND min_y <= y1")
@@ -201,7 +202,7 @@ def radial_sample(spark, sf):
 def orphan_reference_anti(spark, sf):
     """References to buildings that aren't there, one's own id exempt."""
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 2).alias("oks_id"))
-    return o.where("id <> oks_id").join(_t(spark, sf, "customer").select(F.col("c_custkey").alias("oks_id")), "oks_id", "left_anti").select("id", "oks_id")
+    return geojson.orphans(o, _t(spark, sf, "customer").select(F.col("c_custkey").alias("oks_id"))).select("id", "oks_id")
 
 
 @query("WITH RECURSIVE n AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 3 THEN s_suppkey + 1000000 ELSE s_suppkey // 2 END AS upstream FROM supplier), r AS (SELECT 0::BIGINT AS id UNION SELECT n.id FROM n JOIN r ON n.upstream = r.id) SELECT id FROM n WHERE id NOT IN (SELECT id FROM r)")

@@ -13,7 +13,7 @@ from kelvingrid.operators import topology
 from kelvingrid.operators.graph import reached
 from kelvingrid.operators.spatial import SEGMENT, explode_segments, overlap_join, segment_boxes
 from kelvingrid.plans import rules
-from kelvingrid.plans.shared import materialise
+from kelvingrid.plans.shared import discard, materialise
 
 from . import collection
 
@@ -109,9 +109,23 @@ def typed(rows: DataFrame) -> DataFrame:
     })
 
 
+def orphans(points: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Those of ``points(id, oks_id)`` that name a building which ``buildings(oks_id)`` hasn't; a point that names itself needs none."""
+    return points.where(F.col("oks_id") != F.col("id")).join(buildings, "oks_id", "left_anti")
+
+
+def demands(points: DataFrame, buildings: DataFrame) -> DataFrame:
+    """``points(oks_id, own)`` with ``flow``: that of their building in ``buildings(oks_id, flow)``, else their own, else 0."""
+    return points.join(buildings, "oks_id", "left").withColumn("flow", F.coalesce("flow", "own", F.lit(0.0))).drop("own")
+
+
 def violations(features: DataFrame) -> DataFrame:
-    """(rule, id, detail) of every row that breaks the contract; a valid scenario has none."""
-    f = features
+    """(rule, id, detail) of every row that breaks the contract; a valid scenario has none. The typed rows are written once, for all rules."""
+    return broken_rules(materialise(features, "features"))
+
+
+def broken_rules(f: DataFrame) -> DataFrame:
+    """``violations`` of a written table."""
     t = F.col("object_type")
     spark = f.sparkSession
     row = lambda rule, cond, detail: f.where(cond).select(F.lit(rule).alias("rule"), "id", detail.cast("string").alias("detail"))
@@ -137,7 +151,7 @@ def violations(features: DataFrame) -> DataFrame:
         row("json", F.col("fault") == "json", F.lit("it is no JSON")),
         f.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("unique-id").alias("rule"), "id", F.col("n").cast("string").alias("detail")),
         f.agg(F.count_if(t == "source").alias("n")).where("n <> 1").select(F.lit("one-source").alias("rule"), F.lit(None).cast("string").alias("id"), F.col("n").cast("string").alias("detail")),
-        f.where((t == "oks_connection_point") & (F.col("oks_id") != F.col("id"))).join(f.where(t.isin("oks_future", "oks_existing")).select(F.col("id").alias("oks_id")), "oks_id", "left_anti").select(F.lit("oks-reference").alias("rule"), "id", F.col("oks_id").alias("detail")),
+        orphans(f.where(t == "oks_connection_point"), f.where(t.isin("oks_future", "oks_existing")).select(F.col("id").alias("oks_id"))).select(F.lit("oks-reference").alias("rule"), "id", F.col("oks_id").alias("detail")),
     ]
     net = f.where(t.isin("heat_network", "heat_chamber") & F.col("upstream").isNotNull()).select("id", "upstream")
     found = reached(net, f.where(t == "source").select("id"))
@@ -166,9 +180,9 @@ def find(spark: SparkSession, store: str, scenario: str, feature: str) -> DataFr
 
 def ingest(spark: SparkSession, path: str, store: str, name: str, lines: bool = False) -> str:
     """Read, check and store a scenario; its id. Raises InputError and stores nothing if a constraint is broken."""
-    features = typed(scan(spark, path, lines)).cache()
+    features = materialise(typed(scan(spark, path, lines)), "features")
     try:
-        broken = violations(features).orderBy("rule", "id").limit(100).collect()
+        broken = broken_rules(features).orderBy("rule", "id").limit(100).collect()
         if broken:
             raise InputError([tuple(r) for r in broken])
         scenario = uuid.uuid4().hex
@@ -177,7 +191,7 @@ def ingest(spark: SparkSession, path: str, store: str, name: str, lines: bool =
         spark.range(1).select(F.lit(scenario).alias("id"), F.lit(name).alias("name"), F.lit("READY").alias("status"), F.current_timestamp().alias("created_at"), F.lit(n).cast("long").alias("feature_count")).write.mode("append").parquet(f"{store}/scenarios")
         return scenario
     finally:
-        features.unpersist()
+        discard(features)
 
 
 def features(spark: SparkSession, store: str, scenario: str, object_type: str | None = None) -> DataFrame:
@@ -201,8 +215,7 @@ def snapshot(spark: SparkSession, store: str, scenario: str, reach: float = 5000
     pipes = materialise(lines.select("seq", "id", "upstream", F.col("dn").alias("diameter"), "flow", "path"))
     chambers = materialise(nodes.select("seq", "id", "upstream", F.col("dn").alias("diameter"), "x", "y"))
     own = of("oks_connection_point").select("seq", F.col("id").alias("point_id"), "oks_id", F.col("flow_tph").alias("own"), *point)
-    building = of("oks_future").select(F.col("id").alias("oks_id"), "flow_tph")
-    terminals = own.join(building, "oks_id", "left").select("seq", "oks_id", "point_id", "x", "y", F.coalesce("flow_tph", "own", F.lit(0.0)).alias("flow"))
+    terminals = demands(own, of("oks_future").select(F.col("id").alias("oks_id"), F.col("flow_tph").alias("flow"))).select("seq", "oks_id", "point_id", "x", "y", "flow")
     box = terminals.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     r = f.where(F.col("object_type").isin("restriction", "oks_existing", "oks_future"))
     if box[0] is not None:

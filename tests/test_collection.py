@@ -66,6 +66,15 @@ def test_broken_roots(spark, tmp_path, text):
     assert e.value.violations[0][0] == "root"
 
 
+def test_a_compressed_file_is_refused(spark, tmp_path):
+    import gzip
+
+    path = tmp_path / "c.geojson.gz"
+    path.write_bytes(gzip.compress(json.dumps(corpus(3)).encode()))
+    with pytest.raises(collection.CollectionError, match="compressed"):
+        collection.features(spark, str(path))
+
+
 def test_faults_of_features(spark, tmp_path):
     text = '{"type":"FeatureCollection","features":[{"properties":{"id":"a","b":{"x":1,"x":2}}},{"properties":{"id":"b"},"properties":{}},{"properties":{"id":"c",}},{"properties":{"id":"d"}}]}'
     assert [r.fault for r in geojson.scan(spark, write(tmp_path, text)).orderBy("seq").collect()] == ["keys", "keys", "json", None]
