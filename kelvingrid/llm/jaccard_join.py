@@ -6,7 +6,7 @@ compares. All shingles have one global order: rarest first, by the number of cla
 1. *Facts.* Each task names its documents' classes by 128 bits, and keeps a merging summary of the shingles that are frequent among all its classes, of fixed
    size (``Frequent``). The sum of the tasks' reports, which are lower bounds, gives the hot shingles, those of surely 1 in ``HOT_SHARE`` documents; with ``s`` shingles a document
    on average there can be no more than ``HOT_SHARE * s`` of them, whatever the data, so every task gets their list. A summary may miss a shingle of fewer than
-   s / 2**19 of its documents, which then is cold: that moves work, not results.
+   s / 2**18 of its documents, which then is cold: that moves work, not results.
 2. *Counting.* Every class's other shingles are cut into fragments of the hash range and packed. A fragment counts in how many
    classes each of its shingles occurs and replies with the shared ones. How many fragments there are follows from the number of shingles.
 3. *Segments.* A class gathers its replies; shingles without a reply are its own. If these alone rule out the
@@ -43,6 +43,7 @@ from . import words
 from .common import components, cut, drop, forest_of, only, publish
 
 BATCH = 1 << 20
+SUMMED = 1 << 19
 HOT_SHARE = 2048
 HOT_LEAST = 64
 ENTRIES = 1 << 22
@@ -104,7 +105,7 @@ class Frequent:
     counter falls short of its number by ``short`` at the most, and ``short`` is at most the task's shingles over ``most``.
     """
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         self.most, self.short, self.classes = most, 0, 0
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -143,7 +144,7 @@ def facts(width: int):
             for own, _, _ in fresh(sets, hi, lo):
                 held.append(own)
                 n += len(own)
-            if n >= BATCH:
+            if n >= SUMMED:
                 frequent.add(held)
                 held, n = [], 0
         if held:
