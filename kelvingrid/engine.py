@@ -113,6 +113,12 @@ class Engine:
         pipe = F.when(F.col("existing_type") == "heat_network", F.get_json_object("existing_id", "$.id")).otherwise(F.col("existing_id"))
         nodes = rows.select("plan", "node", "kind", "x", "y", "oks_id", pipe.alias("existing_id"), "existing_type")
         edges = rows.where("parent is not null").select("plan", "parent", F.col("node").alias("child"), "path", "dn")
+        # what the planner states must be what is computed anew from its plans; those that differ go no further
+        size = g.path_length(F.col("path"))
+        stated = rows.where("parent is not null").select("plan", "parent", F.col("node").alias("child"), "dn", size.alias("length"), F.coalesce(F.col("metres") / F.nullif(size, F.lit(0.0)), F.lit(1.0)).alias("special"))
+        asked = lambda n: n.join(s["terminals"].select("oks_id", "flow"), "oks_id", "left").select("plan", F.col("node").alias("id"), F.coalesce("flow", F.lit(0.0)).alias("demand"))
+        wrong = materialise(validation.sizes(stated, asked(nodes)).unionByName(validation.scores(plans, plans, nodes, stated, s["terminals"])))
+        nodes, edges = (df.join(wrong.select("plan"), "plan", "left_anti") for df in (nodes, edges))
         flat = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))))
         walls = materialise(spatial.explode_segments(s["restrictions"].select(F.col("id").alias("owner"), "type", F.col("kind").isin("Polygon", "MultiPolygon").alias("closed"), flat.alias("rings"))))
         pipes = materialise(legs.select("id.id", "dn", *spatial.SEGMENT))
@@ -128,10 +134,9 @@ class Engine:
 
         tables = {"terminals": s["terminals"], "walls": walls, "lines": lines, "pipes": pipes, "chambers": s["chambers"]}
         nodes, edges, totals = joint.refine(nodes, edges, tables, audit, deep, self.steps)
-        demand = nodes.join(s["terminals"].select("oks_id", "flow"), "oks_id", "left").select("plan", F.col("node").alias("id"), F.coalesce("flow", F.lit(0.0)).alias("demand"))
         named = edges.select(F.struct("plan", "child").alias("edge"), "dn", "path", "length")
         parts = materialise(joint.priced(named, walls, pipes, deep))
-        broken = materialise(audit(nodes, edges).unionByName(validation.sizes(edges, demand)).unionByName(validation.scores(totals, totals, nodes, edges, s["terminals"])))
+        broken = materialise(audit(nodes, edges).unionByName(wrong))
         plans = materialise(totals.join(plans.select("plan", "policy"), "plan"))
         run = uuid.uuid4().hex
         folder = f"{self.store}/runs/{run}"

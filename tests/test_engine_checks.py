@@ -15,7 +15,7 @@ def test_wrong_sizes_and_scores_are_refused(spark, tmp_path, monkeypatch):
         return rows.withColumn("cost", F.when(bad, F.col("cost") + 1000).otherwise(F.col("cost"))).withColumn("dn", F.when(bad & F.col("dn").isNotNull(), 1400).otherwise(F.col("dn")))
 
     monkeypatch.setattr(module.planner, "optimise", wrong)
-    engine = module.Engine(spark, str(tmp_path / "store"), starts=2)
+    engine = module.Engine(spark, str(tmp_path / "store"), starts=2, steps=())
     run = engine.run(engine.ingest(write(tmp_path, scenario()), "first"))
     found = {(r.plan, r.rule) for r in spark.read.parquet(f"{engine.store}/runs/{run}/violations").collect()}
     assert found == {(p, rule) for p in (2, 3) for rule in ("diameter", "score")}
