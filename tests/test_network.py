@@ -141,7 +141,7 @@ def test_snapping_is_greedy_in_order(spark):
 def test_resolve_keeps_what_is_there(spark):
     source = spark.createDataFrame([("s", 0.0, 0.0)], "id string, x double, y double")
     pipes = spark.createDataFrame([("a", None, 200, 10.0, 0.5, 0.0, 10.0, 0.0), ("b", None, 100, 10.0, 20.0, 0.0, 10.5, 0.0), ("c", "given", 80, 10.0, 20.0, 0.5, 30.0, 0.0)], "id string, upstream string, dn int, length double, ax double, ay double, bx double, by double")
-    chambers = spark.createDataFrame([("k", None, None, 10.0, 0.5), ("m", "a", 65, 20.0, 0.0), ("far", None, None, 500.0, 500.0)], "id string, upstream string, dn int, x double, y double")
+    chambers = spark.createDataFrame([("k", None, None, 10.0, 0.5), ("m", "a", 65, 20.0, 0.0), ("far", "given", None, 500.0, 500.0)], "id string, upstream string, dn int, x double, y double")
     lines, nodes = topology.resolve(source, pipes, chambers)
     assert {r.id: r.upstream for r in lines.collect()} == {"a": "s", "b": "k", "c": "given"}
-    assert {r.id: (r.upstream, r.dn) for r in nodes.collect()} == {"k": ("a", 200), "m": ("a", 65), "far": (None, 200)}
+    assert {r.id: (r.upstream, r.dn) for r in nodes.collect()} == {"k": ("a", 200), "m": ("a", 65), "far": ("given", 200)}
