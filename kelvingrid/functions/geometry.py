@@ -24,7 +24,8 @@ def along(px, py, ax, ay, bx, by) -> Column:
 def point_segment(px, py, ax, ay, bx, by) -> Column:
     """Distance of a point from a segment."""
     t = along(px, py, ax, ay, bx, by)
-    return distance(px, py, ax + t * (bx - ax), ay + t * (by - ay))
+    dx, dy = px - ax - t * (bx - ax), py - ay - t * (by - ay)  # from the start on: its rounding is that of coordinates' differences
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def orientation(ax, ay, bx, by, cx, cy) -> Column:

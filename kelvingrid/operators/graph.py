@@ -185,21 +185,24 @@ def equal_runs(edges: DataFrame, slack: float = 1e-9) -> DataFrame:
     return heads.join(e.select(F.col("child").alias("top"), "flow"), "top").select(F.col("id").alias("child"), "top", "flow", F.col("total").alias("length"))
 
 
-def required_diameters(edges: DataFrame, strict: bool = True, rounds: int = 64) -> DataFrame:
+def required_diameters(edges: DataFrame, strict: bool = True, rounds: int = 64, skip: bool = False) -> DataFrame:
     """Diameters of ``edges(parent, child, flow, length)``: (child, dn), smallest that satisfy all rules.
 
     Along each path from a leaf to its root every run of equal flow needs one diameter that carries the flow over the run's
     whole length, and diameters never fall toward the root. So a run asks for no less than its highest edge has, and what its lowest edge
     is given reaches all the others with the rule that nothing falls. Both rules only raise diameters, so repeating them ends. Rows
-    are never more than edges. A run that no diameter carries is an error or, if not ``strict``, has null, and so has all above it.
+    are never more than edges. A run that no diameter carries is an error or, if not ``strict``, has null, and so has all above it. With ``skip`` it asks for nothing, and
+    has what the ones below it need, null if that is nothing.
     """
     runs = materialise(equal_runs(edges), "runs")
     none = 1 << 30
-    own = edges.select(F.col("child").alias("id"), F.coalesce(rules.min_dn(F.col("flow"), strict), F.lit(none)).alias("dn"))
+    strict = strict and not skip
+    beyond = F.lit(None).cast("int") if skip else F.lit(none)
+    own = edges.select(F.col("child").alias("id"), F.coalesce(rules.min_dn(F.col("flow"), strict), beyond).alias("dn"))
     now = materialise(below(edges, own, "dn", F.max).join(edges.select(F.col("child").alias("id")), "id", "left_semi"), "diameters")
     for _ in range(rounds):
         need = dn_by_run(runs.join(now.select(F.col("id").alias("top"), F.col("dn").alias("floor")), "top"), "flow", "length", "floor")
-        need = materialise(need.select(F.col("child").alias("id"), F.coalesce("dn", F.lit(none)).alias("need"), "floor"), "needs")
+        need = materialise(need.select(F.col("child").alias("id"), F.coalesce("dn", beyond).alias("need"), "floor"), "needs")
         if strict and not need.where(F.col("need") == none).isEmpty():
             raise ValueError("a run is too long for every diameter")
         raised = now.join(need.select("id", "need"), "id", "left").select("id", F.greatest("dn", "need").alias("dn"))
@@ -210,7 +213,8 @@ def required_diameters(edges: DataFrame, strict: bool = True, rounds: int = 64)
         now = after
         if same:
             discard(runs)
-            return now.select(F.col("id").alias("child"), F.when(F.col("dn") < none, F.col("dn")).alias("dn"))
+            sized = now.select(F.col("id").alias("child"), F.when(F.col("dn") < none, F.col("dn")).alias("dn"))
+            return edges.select("child").join(sized, "child", "left") if skip else sized
     raise RuntimeError("diameters did not settle")
 
 

@@ -7,11 +7,13 @@ Choose the cell about as large as a typical box; cells with very many boxes are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
-from kelvingrid.plans.shared import materialise
+from kelvingrid.plans.shared import dealt, materialise, sorted_join
 
 
 def with_cells(df: DataFrame, size: float, pad: Column | float = 0.0, prefix: str = "") -> DataFrame:
@@ -21,17 +23,26 @@ def with_cells(df: DataFrame, size: float, pad: Column | float = 0.0, prefix: st
     return df.withColumn("cx", cells(c("min_x"), c("max_x"))).withColumn("cy", cells(c("min_y"), c("max_y")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, size: float, pad: float = 0.0, how_filter: Column | None = None) -> DataFrame:
-    """Pairs whose boxes, the left one widened by ``pad``, overlap. Columns of ``right`` get the prefix ``r_``."""
+def overlap_join(left: DataFrame, right: DataFrame, size: float, pad: float = 0.0, how_filter: Column | None = None, on: tuple[str, ...] = (), shares: int = 1) -> DataFrame:
+    """Pairs whose boxes, the left one widened by ``pad``, overlap. Columns of ``right`` get the prefix ``r_``; pairs are equal in the columns ``on``.
+
+    Cells are dealt over a fixed number of tasks, whatever their bytes: few bytes make many pairs. ``shares`` deals the left rows of each cell over that many
+    tasks, which all read the cell's right rows.
+    """
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     a = with_cells(left, size, pad)
     b = with_cells(right, size, prefix="r_").withColumnRenamed("cx", "r_cx").withColumnRenamed("cy", "r_cy")
+    keys = ["cx", "cy", *on]
+    if shares > 1:
+        a, b = a.withColumn("__share", F.pmod(F.xxhash64(*left.columns), F.lit(shares))), b.withColumn("r___share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        b, keys = b.withColumn("r___share", F.col("r___share").cast("long")), [*keys, "__share"]
+    a, b = dealt(a, *keys), dealt(b, *[f"r_{c}" for c in keys])
     meet = (F.col("cx") == F.floor(F.greatest(F.col("min_x") - pad, F.col("r_min_x")) / size)) & (F.col("cy") == F.floor(F.greatest(F.col("min_y") - pad, F.col("r_min_y")) / size))
     over = (F.col("min_x") - pad <= F.col("r_max_x")) & (F.col("max_x") + pad >= F.col("r_min_x")) & (F.col("min_y") - pad <= F.col("r_max_y")) & (F.col("max_y") + pad >= F.col("r_min_y"))
-    out = a.join(b, (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))).where(meet & over)
+    out = a.join(b.hint("merge"), reduce(lambda x, y: x & y, [F.col(c) == F.col(f"r_{c}") for c in keys])).where(meet & over)
     if how_filter is not None:
         out = out.where(how_filter)
-    return out.drop("cx", "cy", "r_cx", "r_cy")
+    return out.drop("cx", "cy", "r_cx", "r_cy", "__share", "r___share")
 
 
 def segment_boxes(df: DataFrame) -> DataFrame:
@@ -78,20 +89,21 @@ def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str
 
     Within a radius all segments are found by the cell join. A point is done once its k-th distance is within the radius;
     the rest go on with a radius three times as large, until it spans everything there is. The first radius is ``size``, or what holds
-    about 2k segments at their mean density.
+    about 2k segments of their mean length at their mean density. Cells are no smaller than an eighth of a mean segment's box, which would be listed too often.
     """
     points = point_boxes(points.select(key, "x", "y"))
     segments = segment_boxes(segments.select(other, *SEGMENT))
-    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), segments.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y"), F.count(F.lit(1)), F.avg(F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y"))).first()
+    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), segments.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y"), F.count(F.lit(1)), F.avg(F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y")), F.avg(g.distance(*_segment()))).first()
     if span[0][0] is None or span[1][0] is None:
         return points.limit(0).select(key, F.lit(None).cast("long").alias(f"r_{other}"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     far = max(max(s[1] for s in span) - min(s[0] for s in span), max(s[3] for s in span) - min(s[2] for s in span)) * 1.5 + 1
     best = Window.partitionBy(key).orderBy("distance", f"r_{other}")
     box = span[1]
-    radius = size or max(1e-6, (2 * k * (box[1] - box[0] + 1) * (box[3] - box[2] + 1) / box[4] / 3.14) ** 0.5 + box[5] / 4)
+    room = 2 * k * (box[1] - box[0] + 1) * (box[3] - box[2] + 1) / box[4]  # a radius r about a segment of length l takes 3.14 r ** 2 + 2 l r
+    radius = size or max(1e-6, ((box[6] ** 2 + 3.14 * room) ** 0.5 - box[6]) / 3.14)
     done = None
     for _ in range(rounds):
-        pairs = overlap_join(points, segments, radius, radius)
+        pairs = overlap_join(points, segments, max(radius, box[5] / 8), radius)
         pairs = pairs.withColumn("distance", g.point_segment(F.col("x"), F.col("y"), *_segment("r_")))
         last = radius >= far
         if not last:
@@ -184,7 +196,7 @@ def cut_intervals(segments: DataFrame, walls: DataFrame, size: float, key: str =
     wall = walls.select("owner", *[F.col(c).alias(f"w_{c}") for c in SEGMENT])
     right = ((F.col("w_ay") > F.col("my")) != (F.col("w_by") > F.col("my"))) & (F.col("mx") < (F.col("w_bx") - F.col("w_ax")) * (F.col("my") - F.col("w_ay")) / F.nullif(F.col("w_by") - F.col("w_ay"), F.lit(0.0)) + F.col("w_ax"))
     on = g.point_segment(F.col("mx"), F.col("my"), *[F.col(f"w_{c}") for c in SEGMENT])
-    odd = parts.join(wall, "owner").groupBy(key, "owner", "cut", "next").agg(F.count_if(right).alias("n"), F.min(on).alias("on")).where("n % 2 = 1 or on <= 1e-9").drop("n", "on")
+    odd = sorted_join(parts, wall, "owner").groupBy(key, "owner", "cut", "next").agg(F.count_if(right).alias("n"), F.min(on).alias("on")).where("n % 2 = 1 or on <= 1e-9").drop("n", "on")
     return islands(odd, [key, "owner"], "cut", "next")
 
 

@@ -56,12 +56,12 @@ def connections(ties: DataFrame, edges: DataFrame, chambers: DataFrame, lines: D
     return [_rows(full, "chamber-degree", "id", F.col("degree") + F.col("new")), _rows(crowded, "tie-degree", "node", F.col("degree") + F.col("new")), _rows(free, "chamber-near", "node", F.col("id"))]
 
 
-def sizes(edges: DataFrame, demand: DataFrame) -> DataFrame:
-    """Stored diameters against those computed anew, plan by plan: ``edges(plan, parent, child, dn, length)``, ``demand(plan, id, demand)``."""
+def sizes(edges: DataFrame, demand: DataFrame, skip: bool = False) -> DataFrame:
+    """Stored diameters against those computed anew, plan by plan: ``edges(plan, parent, child, dn, length)``, ``demand(plan, id, demand)``; ``skip`` as in ``graph.required_diameters``."""
     key = lambda c: F.concat_ws("/", "plan", c)
     e = edges.select(key("parent").alias("parent"), key("child").alias("child"), "plan", F.col("child").alias("own"), "dn", "length")
     flow = graph.subtree_flow(e.select("parent", "child"), demand.select(key("id").alias("id"), "demand"))
-    need = graph.required_diameters(e.join(flow.withColumnRenamed("id", "child"), "child").select("parent", "child", "flow", "length"))
+    need = graph.required_diameters(e.join(flow.withColumnRenamed("id", "child"), "child").select("parent", "child", "flow", "length"), skip=skip)
     wrong = e.join(need.withColumnRenamed("dn", "need"), "child").where("dn <> need")
     return _rows(wrong, "diameter", "own", F.concat_ws(" ", "dn", "need"))
 
@@ -83,7 +83,7 @@ def geometry(nodes: DataFrame, edges: DataFrame, size: float = 200.0) -> DataFra
     parts.append(_rows(bent, "turn", "child", F.round("turn", 4)))
     boxed = spatial.segment_boxes(legs.withColumn("id", F.xxhash64("plan", "child", "seq")))
     own, other = [F.col(c) for c in spatial.SEGMENT], [F.col(f"r_{c}") for c in spatial.SEGMENT]
-    pairs = spatial.overlap_join(boxed, boxed, size, 0.0, (F.col("plan") == F.col("r_plan")) & (F.col("id") < F.col("r_id")))
+    pairs = spatial.overlap_join(boxed, boxed, size, 0.0, F.col("id") < F.col("r_id"), on=("plan",))
     same = F.col("child") == F.col("r_child")
     itself = pairs.where(same & (F.abs(F.col("seq") - F.col("r_seq")) > 1) & g.touches(tuple(own), tuple(other)))
     parts.append(_rows(itself, "self-cross", "child", F.lit(None)))

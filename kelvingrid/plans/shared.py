@@ -47,3 +47,25 @@ def discard(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Partitions for steps that make far more of their rows than they read: four times the session's, 400 at the most unless the session has more."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, min(4 * own, 400))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over a number of tasks that adaptive execution leaves as it is; it would merge partitions by the bytes that a step reads."""
+    return df.repartition(tasks(df.sparkSession), *keys)
+
+
+def shares(table: DataFrame, rows: int = 300_000) -> int:
+    """Partitions for steps that sort a table several times: ``tasks``, and more where that leaves them over ``rows`` rows. The count of a Parquet table reads its footers only."""
+    return max(tasks(table.sparkSession), -(-table.count() // rows))
+
+
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that sends neither side to all tasks: of tables that come from few bytes, exploded or compressed, Spark expects far fewer rows than there are, and
+    a broadcast of them passes through the driver."""
+    return left.join(right.hint("merge"), on, how)

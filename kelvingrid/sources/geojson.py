@@ -13,7 +13,7 @@ from kelvingrid.operators import topology
 from kelvingrid.operators.graph import reached
 from kelvingrid.operators.spatial import SEGMENT, explode_segments, overlap_join, segment_boxes
 from kelvingrid.plans import rules
-from kelvingrid.plans.shared import discard, materialise
+from kelvingrid.plans.shared import discard, materialise, sorted_join
 
 from . import collection
 
@@ -111,7 +111,7 @@ def typed(rows: DataFrame) -> DataFrame:
 
 def orphans(points: DataFrame, buildings: DataFrame) -> DataFrame:
     """Those of ``points(id, oks_id)`` that name a building which ``buildings(oks_id)`` hasn't; a point that names itself needs none."""
-    return points.where(F.col("oks_id") != F.col("id")).join(buildings, "oks_id", "left_anti")
+    return sorted_join(points.where(F.col("oks_id") != F.col("id")), buildings, "oks_id", "left_anti")
 
 
 def demands(points: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def broken_rules(f: DataFrame) -> DataFrame:
     legs = explode_segments(f.where(polygon & rings.isNotNull()).select("id", "rings")).withColumn("feature", F.col("id")).withColumn("id", F.struct("ring", "seq"))
     boxed = segment_boxes(legs.select("id", "feature", *SEGMENT))
     ends, other = [tuple(F.col(f"{p}{c}") for c in SEGMENT) for p in ("", "r_")]
-    crossed = overlap_join(boxed, boxed, 200.0, 0.0, (F.col("feature") == F.col("r_feature")) & (F.col("id") < F.col("r_id")) & g.crosses(ends, other))
+    crossed = overlap_join(boxed, boxed, 200.0, 0.0, (F.col("id") < F.col("r_id")) & g.crosses(ends, other), on=("feature",))
     parts.append(crossed.select(F.lit("geometry").alias("rule"), F.col("feature").alias("id"), F.lit("a ring crosses itself or another").alias("detail")).distinct())
     out = parts[0]
     for p in parts[1:]:
