@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
+from kelvingrid.plans.shared import sorted_join
 
 from .legality import half
 from .spatial import SEGMENT, cut_intervals, islands, overlap_join, point_boxes, segment_boxes
@@ -42,7 +43,7 @@ def _boxes(walls: DataFrame) -> DataFrame:
 def owners(points: DataFrame, walls: DataFrame, size: float = 100.0) -> DataFrame:
     """(id, owner): the buildings that cover each of ``points(id, x, y)``, their boundary included."""
     near = overlap_join(point_boxes(points.select("id", "x", "y")), _boxes(walls), size, EPS).select("id", "x", "y", F.col("r_owner").alias("owner"))
-    j = near.join(walls.select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
+    j = sorted_join(near, walls.select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
     gap = g.point_segment(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in SEGMENT])
     found = j.groupBy("id", "owner").agg(F.count_if(_right(F.col("x"), F.col("y"))).alias("n"), F.min(gap).alias("gap"))
     return found.where("n % 2 = 1 or gap <= 1e-9").select("id", "owner")
@@ -52,10 +53,10 @@ def exterior(walls: DataFrame) -> DataFrame:
     """The walls of rings that no other ring of the building holds, or an even number of them: courtyards are left out."""
     first = walls.groupBy("owner", "ring").agg(F.min_by(F.struct((F.col("ax") + F.col("bx")).alias("x"), (F.col("ay") + F.col("by")).alias("y")), F.struct("ax", "ay", "bx", "by")).alias("p"))
     first = first.select("owner", F.col("ring").alias("own"), (F.col("p.x") / 2).alias("x"), (F.col("p.y") / 2).alias("y"))
-    j = first.join(walls.select("owner", "ring", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner").where("ring <> own")
+    j = sorted_join(first, walls.select("owner", "ring", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner").where("ring <> own")
     held = j.groupBy("owner", "own", "ring").agg((F.count_if(_right(F.col("x"), F.col("y"))) % 2).alias("odd")).groupBy("owner", "own").agg(F.sum("odd").alias("around"))
     inner = held.where("around % 2 = 1").select("owner", F.col("own").alias("ring"))
-    return walls.join(inner, ["owner", "ring"], "left_anti")
+    return sorted_join(walls, inner, ["owner", "ring"], "left_anti")
 
 
 def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
@@ -68,8 +69,8 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     need = setback(F.lit(dn))
     full = need + SLACK
     t = terminals.select("id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    own = owners(terminals, walls).join(t, "id")
-    w = own.join(exterior(walls).select("owner", *SEGMENT), "owner")
+    own = sorted_join(owners(terminals, walls), t, "id")
+    w = sorted_join(own, exterior(walls).select("owner", *SEGMENT), "owner")
     at = g.along(F.col("tx"), F.col("ty"), *[F.col(c) for c in SEGMENT])
     w = w.withColumn("ex", F.col("ax") + at * (F.col("bx") - F.col("ax"))).withColumn("ey", F.col("ay") + at * (F.col("by") - F.col("ay")))
     away, size = g.distance(F.col("tx"), F.col("ty"), F.col("ex"), F.col("ey")), g.distance(*[F.col(c) for c in SEGMENT])
@@ -79,7 +80,7 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     w = w.select("id", "owner", "tx", "ty", "ex", "ey", "n.nx", "n.ny").distinct().withColumn("way", F.monotonically_increasing_id())
     tries = w.withColumn("offset", F.explode(F.array(full, *[F.lit(s) for s in SHORT]))).withColumn("full", F.col("offset") == full)
     tries = tries.withColumn("x", F.col("ex") + F.col("nx") * F.col("offset")).withColumn("y", F.col("ey") + F.col("ny") * F.col("offset"))
-    j = tries.join(walls.select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
+    j = sorted_join(tries, walls.select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
     gap = g.point_segment(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in SEGMENT])
     keys = ["id", "owner", "tx", "ty", "ex", "ey", "nx", "ny", "offset", "full", "x", "y"]
     j = j.groupBy(*keys).agg((F.count_if(_right(F.col("x"), F.col("y"))) % 2 == 1).alias("within"), F.min(gap).alias("gap")).withColumn("out", ~F.col("within") & (F.col("gap") > 1e-9))
@@ -88,7 +89,7 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     j = unique_points(j, ["id"])
     legs = j.select(F.struct("id", "x", "y").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("tx").alias("bx"), F.col("ty").alias("by"))
     inside = cut_intervals(legs, walls.select("owner", *SEGMENT), 100.0).groupBy("id", "owner").agg(F.sum(F.col("next") - F.col("cut")).alias("lead"))
-    j = j.join(inside.select("id.*", "owner", "lead"), ["id", "x", "y", "owner"], "left").fillna(0.0, ["lead"])
+    j = sorted_join(j, inside.select("id.*", "owner", "lead"), ["id", "x", "y", "owner"], "left").fillna(0.0, ["lead"])
     order = [F.round("lead", 9), F.round(g.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")), 9), "x", "y"]
     j = j.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).withColumn("sector", g.sector(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
     j = j.withColumn("nth", F.row_number().over(Window.partitionBy("id", "sector").orderBy("rank")))
@@ -114,11 +115,14 @@ def leads(segments: DataFrame, walls: DataFrame, size: float = 100.0) -> DataFra
     """
     start = segments.select("id", F.col("ax").alias("x"), F.col("ay").alias("y"))
     stop = segments.select("id", F.col("bx").alias("x"), F.col("by").alias("y"))
-    own = owners(start, walls).join(owners(stop, walls), ["id", "owner"], "left_anti")
-    spans = cut_intervals(segments.select("id", *SEGMENT), walls.select("owner", *SEGMENT), size).join(own, ["id", "owner"])
+    own = sorted_join(owners(start, walls), owners(stop, walls), ["id", "owner"], "left_anti")
+    spans = sorted_join(cut_intervals(segments.select("id", *SEGMENT), walls.select("owner", *SEGMENT), size), own, ["id", "owner"])
     spans = islands(spans, ["id", "owner"], "cut", "next", EPS)
+    # one that starts on a wall and goes outward is inside over no length
+    none = {"n": F.lit(1), "low": F.lit(0.0), "high": F.lit(0.0), "inside": F.lit(0.0)}
     per = spans.groupBy("id", "owner").agg(F.count(F.lit(1)).alias("n"), F.min("cut").alias("low"), F.max("next").alias("high"), F.sum(F.col("next") - F.col("cut")).alias("inside"))
-    j = per.join(segments.select("id", *SEGMENT), "id").join(exterior(walls).select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
+    per = sorted_join(own, per, ["id", "owner"], "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    j = sorted_join(sorted_join(per, segments.select("id", *SEGMENT), "id"), exterior(walls).select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
     t = F.col("high") / F.nullif(g.distance(*[F.col(c) for c in SEGMENT]), F.lit(0.0))
     wall = [F.col(f"r_{c}") for c in SEGMENT]
     exit_ = g.point_segment(F.col("ax") + t * (F.col("bx") - F.col("ax")), F.col("ay") + t * (F.col("by") - F.col("ay")), *wall)
@@ -178,7 +182,7 @@ def approaches(segments: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     length = g.distance(*[F.col(c) for c in SEGMENT])
     clear = F.col("n").isNull() | ((F.col("n") == 1) & (F.col("low") <= EPS) & (F.col("high") < length - EPS))
     edge = walls.select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT])
-    gap = segments.join(edge, "owner").groupBy("id", "owner").agg(F.min(g.point_segment(F.col("bx"), F.col("by"), *[F.col(f"r_{c}") for c in SEGMENT])).alias("gap"))
+    gap = sorted_join(segments, edge, "owner").groupBy("id", "owner").agg(F.min(g.point_segment(F.col("bx"), F.col("by"), *[F.col(f"r_{c}") for c in SEGMENT])).alias("gap"))
     j = j.join(gap, ["id", "owner"])
     at_edge = (F.col("n") == 1) & (F.col("low") <= EPS) & (F.abs(F.col("gap") - need) <= EPS)
     return j.select("id", "owner", ((F.coalesce("inside", F.lit(0.0)) <= EPS) & (length >= EPS) & (clear | at_edge)).alias("legal"))
@@ -212,7 +216,7 @@ def transit_violations(legs: DataFrame, ends: DataFrame, walls: DataFrame, size:
     merged = islands(spans.select("edge", "owner", "low", "high"), ["edge", "owner"], "low", "high", EPS)
     per = merged.groupBy("edge", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("high") - F.col("low")).alias("inside"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("inside") >= EPS)
     covered = owners(ends.where("terminal").select(F.col("edge").alias("id"), "x", "y"), walls).select(F.col("id").alias("edge"), "owner", F.lit(True).alias("home"))
-    j = per.join(ends.select("edge", "length"), "edge").join(covered, ["edge", "owner"], "left").join(bent, "edge")
+    j = sorted_join(sorted_join(sorted_join(per, ends.select("edge", "length"), "edge"), covered, ["edge", "owner"], "left"), bent, "edge")
     # straight: no leg that starts inside the lead turns off the leg before it
     inner = F.filter("all", lambda s: (s.at > F.col("low") + EPS) & (s.at < F.col("high") - EPS))
     first = F.element_at(F.filter("all", lambda s: s.at <= F.col("low") + EPS), -1)
@@ -224,9 +228,9 @@ def transit_violations(legs: DataFrame, ends: DataFrame, walls: DataFrame, size:
     )
     found = j.select("edge", "owner", "low", rule.alias("rule"))
     # the lead's entry must be on an exterior wall
-    at = legs.join(found.where("rule is null").select("edge", "owner", "low"), "edge").where(F.col("at") <= F.col("low") + EPS)
+    at = sorted_join(legs, found.where("rule is null").select("edge", "owner", "low"), "edge").where(F.col("at") <= F.col("low") + EPS)
     at = at.groupBy("edge", "owner", "low").agg(F.max_by(F.struct("at", *SEGMENT), "at").alias("s")).select("edge", "owner", "low", "s.*")
     t = (F.col("low") - F.col("at")) / F.nullif(g.distance(*[F.col(c) for c in SEGMENT]), F.lit(0.0))
     entry = at.select("edge", "owner", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
-    gap = entry.join(exterior(walls).select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner").groupBy("edge", "owner").agg(F.min(g.point_segment(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in SEGMENT])).alias("gap"))
+    gap = sorted_join(entry, exterior(walls).select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner").groupBy("edge", "owner").agg(F.min(g.point_segment(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in SEGMENT])).alias("gap"))
     return found.where("rule is not null").select("edge", "owner", "rule").unionByName(gap.where(F.col("gap") > EPS).select("edge", "owner", F.lit("lead").alias("rule")))

@@ -131,9 +131,11 @@ def reconciled(rows: DataFrame, parts: int | None = None) -> DataFrame:
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "low", "high", "depth"], kind="stable")
         out = []
-        for _, own in group.groupby("key", sort=False):
-            below = [None if pd.isna(b) else b for b in own["below"]]
-            out += settled(*(own[c].tolist() for c in ("low", "high", "depth")), below, own["minimum"].tolist()) if len(own) > 1 else own["depth"].tolist()
+        low, high, depth, minimum = (group[c].tolist() for c in ("low", "high", "depth", "minimum"))
+        below = group["below"].astype(object).where(group["below"].notna(), None).tolist()
+        first = group["key"].ne(group["key"].shift()).to_numpy().nonzero()[0].tolist()
+        for a, z in zip(first, [*first[1:], len(low)]):
+            out += settled(low[a:z], high[a:z], depth[a:z], below[a:z], minimum[a:z]) if z - a > 1 else depth[a:z]
         return group.assign(depth=out)
 
     parts = parts or 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

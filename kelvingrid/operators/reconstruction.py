@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
-from kelvingrid.plans.shared import materialise
+from kelvingrid.plans.shared import dealt, materialise, sorted_join
 
 from . import graph
 
@@ -58,8 +58,11 @@ def pushed(ties: DataFrame, pipes: DataFrame, chambers: DataFrame) -> DataFrame:
     return found.unionByName(alone.select("plan", "id", "load"))
 
 
-def lines(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, source: DataFrame) -> DataFrame:
-    """(plan, id, low, high, existing_flow, added_flow, flow, existing_dn, dn, length, cost): pieces of pipes, by chainage, that need a larger diameter."""
+def lines(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, source: DataFrame, strict: bool = True) -> DataFrame:
+    """(plan, id, low, high, existing_flow, added_flow, flow, existing_dn, dn, length, cost): pieces of pipes, by chainage, that need a larger diameter.
+
+    A piece whose flow no diameter carries is an error or, if not ``strict``, is left out: nothing can be built for it.
+    """
     p = materialise(directed(pipes, chambers, source), "directed")
     full = pushed(ties, pipes, chambers).join(p.select("id"), "id", "left_semi")
     own = ties.where("existing_type = 'heat_network'").join(p.select(F.col("id").alias("existing_id"), "path", "size", "forward"), "existing_id")
@@ -73,7 +76,7 @@ def lines(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, source: DataFr
     along = pipe.orderBy("u")
     onward = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     pieces = points.select("plan", "id", F.coalesce(F.lag("u").over(along), F.lit(0.0)).alias("a"), F.col("u").alias("z"), (F.sum("load").over(onward) + F.sum("whole").over(pipe)).alias("added"))
-    j = pieces.where((F.col("z") - F.col("a") >= LEAST) & (F.col("added") > LOAD)).join(p.select("id", "dn", "flow", "size", "forward"), "id").withColumn("need", rules.min_dn(F.col("flow") + F.col("added"))).where("need > dn")
+    j = pieces.where((F.col("z") - F.col("a") >= LEAST) & (F.col("added") > LOAD)).join(p.select("id", "dn", "flow", "size", "forward"), "id").withColumn("need", rules.min_dn(F.col("flow") + F.col("added"), strict)).where("need > dn")
     low, high = F.when(F.col("forward"), F.col("a")).otherwise(F.col("size") - F.col("z")), F.when(F.col("forward"), F.col("z")).otherwise(F.col("size") - F.col("a"))
     length = F.col("z") - F.col("a")
     return j.select("plan", "id", low.alias("low"), high.alias("high"), F.col("flow").alias("existing_flow"), F.col("added").alias("added_flow"), (F.col("flow") + F.col("added")).alias("flow"), F.col("dn").alias("existing_dn"), F.col("need").alias("dn"), length.alias("length"), (length * rules.by_dn(F.col("need"), "recon_cost")).alias("cost"))
@@ -89,7 +92,7 @@ def chambers_of(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, rebuilt:
     ends = flat.select("pipe", "dn", "path", F.explode(F.array(F.element_at("path", 1), F.element_at("path", -1))).alias("p")).select("pipe", "dn", "path", "p.x", "p.y")
     met = within(c.join(tied.select("id").distinct(), "id", "left_semi").select("id", "x", "y"), ends, AT, 50.0).where(F.col("distance") < AT).select("id", F.col("r_pipe").alias("pipe"), F.col("r_dn").alias("dn"), F.col("r_path").alias("path"), "x", "y").dropDuplicates(["id", "pipe"])
     here = met.groupBy("id").agg(F.max("dn").alias("pipes"))
-    pieces = rebuilt.select("plan", F.col("id").alias("pipe"), "low", "high", F.col("dn").alias("new")).join(met, "pipe")
+    pieces = sorted_join(dealt(rebuilt.select("plan", F.col("id").alias("pipe"), "low", "high", F.col("dn").alias("new")), "pipe"), met, "pipe")  # few bytes, but each row cuts a path
     near = pieces.where(point_path(F.col("x"), F.col("y"), g.part_of(F.col("path"), F.col("low"), F.col("high"))) < AT).groupBy("plan", "id").agg(F.max("new").alias("new"))
     j = tied.join(c, "id").join(here, "id", "left").join(near, ["plan", "id"], "left").withColumn("dn", F.greatest("own", "need", "pipes", "new")).where("dn > own")
     return j.select("plan", "id", F.col("own").alias("existing_dn"), "dn", rules.chamber_cost(F.col("dn")).alias("cost"))
