@@ -90,3 +90,11 @@ def test_depths_settle_edge_by_edge_in_shared_groups(spark):
     rows = [(e, 10.0 * e, 10.0 * e + 4, 1.0, d, b, 0.7) for e in range(20) for d, b in ((4.0, 4.0), (2.0, 4.0))]
     df = spark.createDataFrame(rows, "edge long, low double, high double, factor double, depth double, below double, minimum double")
     assert {r.depth for r in depth.reconciled(df, 2).collect()} == {4.0}
+
+
+def test_clearance_of_points_is_that_of_segments_without_length(spark):
+    p = spark.createDataFrame([(k, float(k % 7), float(k // 7)) for k in range(49)], "id long, x double, y double")
+    o = spark.createDataFrame([(1, 1.0, 1.0, 5.0, 2.0, 1.5), (2, 3.0, 3.0, 3.0, 6.0, 0.5)], "id long, ax double, ay double, bx double, by double, need double")
+    flat = p.selectExpr("id", "x as ax", "y as ay", "x as bx", "y as by")
+    got = lambda df: {(r.id, r.r_id): round(r.gap, 9) for r in spatial.clearance(df, o, 2.0, 1.5).collect()}
+    assert got(p) == got(flat) and len(got(p)) > 5
