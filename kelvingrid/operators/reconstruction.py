@@ -82,6 +82,15 @@ def lines(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, source: DataFr
     return j.select("plan", "id", low.alias("low"), high.alias("high"), F.col("flow").alias("existing_flow"), F.col("added").alias("added_flow"), (F.col("flow") + F.col("added")).alias("flow"), F.col("dn").alias("existing_dn"), F.col("need").alias("dn"), length.alias("length"), (length * rules.by_dn(F.col("need"), "recon_cost")).alias("cost"))
 
 
+def legs_of(rows: DataFrame) -> DataFrame:
+    """A row for each leg of ``path`` that has a length: (..., at, size, ax, ay, bx, by) with the running length at its start."""
+    n = F.greatest(F.size("path") - 1, F.lit(0))
+    legs = F.arrays_zip(F.slice("path", F.lit(1), n).alias("a"), F.slice("path", F.lit(2), n).alias("b"), F.slice(g.chainages(F.col("path")), F.lit(1), n).alias("at"))
+    rest = [c for c in rows.columns if c != "path"]
+    flat = rows.select(*rest, F.explode(legs).alias("leg")).select(*rest, "leg.at", F.col("leg.a.x").alias("ax"), F.col("leg.a.y").alias("ay"), F.col("leg.b.x").alias("bx"), F.col("leg.b.y").alias("by"))
+    return flat.withColumn("size", g.distance(*[F.col(k) for k in ("ax", "ay", "bx", "by")])).where("size > 0")
+
+
 def chambers_of(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """(plan, id, existing_dn, dn, cost): chambers with ties that need a larger diameter, of their ties' edges, the pipes that end at them, and rebuilt pieces there."""
     from .spatial import within
@@ -92,7 +101,9 @@ def chambers_of(ties: DataFrame, pipes: DataFrame, chambers: DataFrame, rebuilt:
     ends = flat.select("pipe", "dn", "path", F.explode(F.array(F.element_at("path", 1), F.element_at("path", -1))).alias("p")).select("pipe", "dn", "path", "p.x", "p.y")
     met = within(c.join(tied.select("id").distinct(), "id", "left_semi").select("id", "x", "y"), ends, AT, 50.0).where(F.col("distance") < AT).select("id", F.col("r_pipe").alias("pipe"), F.col("r_dn").alias("dn"), F.col("r_path").alias("path"), "x", "y").dropDuplicates(["id", "pipe"])
     here = met.groupBy("id").agg(F.max("dn").alias("pipes"))
-    pieces = sorted_join(dealt(rebuilt.select("plan", F.col("id").alias("pipe"), "low", "high", F.col("dn").alias("new")), "pipe"), met, "pipe")  # few bytes, but each row cuts a path
-    near = pieces.where(point_path(F.col("x"), F.col("y"), g.part_of(F.col("path"), F.col("low"), F.col("high"))) < AT).groupBy("plan", "id").agg(F.max("new").alias("new"))
-    j = tied.join(c, "id").join(here, "id", "left").join(near, ["plan", "id"], "left").withColumn("dn", F.greatest("own", "need", "pipes", "new")).where("dn > own")
+    pieces = sorted_join(dealt(rebuilt.select("plan", F.col("id").alias("pipe"), "low", "high", F.col("dn").alias("new")), "pipe"), legs_of(met), "pipe").where("at < high and at + size > low")
+    on = lambda c, a, b: F.col(a) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - F.col("at")) / F.col("size"))) * (F.col(b) - F.col(a))
+    part = (on("low", "ax", "bx"), on("low", "ay", "by"), on("high", "ax", "bx"), on("high", "ay", "by"))  # of the leg, between the piece's ends
+    near = pieces.where(g.point_segment(F.col("x"), F.col("y"), *part) < AT).groupBy("plan", "id").agg(F.max("new").alias("new"))
+    j = sorted_join(sorted_join(sorted_join(tied, c, "id"), here, "id", "left"), near, ["plan", "id"], "left").withColumn("dn", F.greatest("own", "need", "pipes", "new")).where("dn > own")
     return j.select("plan", "id", F.col("own").alias("existing_dn"), "dn", rules.chamber_cost(F.col("dn")).alias("cost"))

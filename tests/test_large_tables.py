@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 
@@ -98,3 +99,16 @@ def test_clearance_of_points_is_that_of_segments_without_length(spark):
     flat = p.selectExpr("id", "x as ax", "y as ay", "x as bx", "y as by")
     got = lambda df: {(r.id, r.r_id): round(r.gap, 9) for r in spatial.clearance(df, o, 2.0, 1.5).collect()}
     assert got(p) == got(flat) and len(got(p)) > 5
+
+
+def test_pieces_near_a_chamber_are_cut_by_joins(spark, capsys):
+    path = "array<struct<x:double,y:double>>"
+    ties = spark.createDataFrame([(0, "c", "heat_chamber", 100.0, 0.0, 1.0, 80)], "plan long, existing_id string, existing_type string, x double, y double, flow double, dn int")
+    pipes = spark.createDataFrame([("p", "s", [(0.0, 0.0), (50.0, 0.0), (50.0, 0.0), (100.0, 0.0)], 100, 1.0)], f"id string, upstream string, path {path}, dn int, flow double")
+    chambers = spark.createDataFrame([("c", "p", 50, 100.0, 0.0)], "id string, upstream string, dn int, x double, y double")
+    for low, high, dn in ((60.0, 98.5, 150), (60.0, 97.5, 100), (0.0, 100.0, 150), (99.0, 100.0, 150)):
+        rebuilt = spark.createDataFrame([(0, "p", low, high, 150)], "plan long, id string, low double, high double, dn int")
+        found = reconstruction.chambers_of(ties, pipes, chambers, rebuilt)
+        assert [r.dn for r in found.collect()] == [dn]
+    text = plan(found, capsys)
+    assert not any("aggregate(" in line for line in text.splitlines() if "Filter" in line or "Join" in line)
