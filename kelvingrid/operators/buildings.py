@@ -86,11 +86,11 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     j = j.groupBy(*keys).agg((F.count_if(_right(F.col("x"), F.col("y"))) % 2 == 1).alias("within"), F.min(gap).alias("gap")).withColumn("out", ~F.col("within") & (F.col("gap") > 1e-9))
     usable = F.max(F.col("full") & F.col("out") & (F.col("gap") >= need - 1e-6)).over(Window.partitionBy("id", "owner", "ex", "ey", "nx", "ny"))
     j = j.withColumn("usable", usable).where(F.col("out") & (F.col("full") | ~F.col("usable")))
-    j = unique_points(j, ["id"])
+    j = unique_points(j, ["id", "owner"])  # two buildings that share a wall have a port there each
     legs = j.select(F.struct("id", "x", "y").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("tx").alias("bx"), F.col("ty").alias("by"))
     inside = cut_intervals(legs, walls.select("owner", *SEGMENT), 100.0).groupBy("id", "owner").agg(F.sum(F.col("next") - F.col("cut")).alias("lead"))
     j = sorted_join(j, inside.select("id.*", "owner", "lead"), ["id", "x", "y", "owner"], "left").fillna(0.0, ["lead"])
-    order = [F.round("lead", 9), F.round(g.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")), 9), "x", "y"]
+    order = [F.round("lead", 9), F.round(g.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")), 9), "x", "y", "owner"]
     j = j.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).withColumn("sector", g.sector(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
     j = j.withColumn("nth", F.row_number().over(Window.partitionBy("id", "sector").orderBy("rank")))
     return j.where((F.col("rank") <= FIRST) | (F.col("nth") <= EACH)).select("id", "owner", "x", "y", "offset", "lead", "rank")

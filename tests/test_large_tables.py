@@ -112,3 +112,10 @@ def test_pieces_near_a_chamber_are_cut_by_joins(spark, capsys):
         assert [r.dn for r in found.collect()] == [dn]
     text = plan(found, capsys)
     assert not any("aggregate(" in line for line in text.splitlines() if "Filter" in line or "Join" in line)
+
+
+def test_two_buildings_that_share_a_wall_have_a_port_each(spark):
+    rings = {1: (0.0, 0.0, 20.0, 20.0), 2: (5.0, 5.0, 20.0, 25.0)}
+    walls = spark.createDataFrame([(o, 0, *w) for o, (x0, y0, x1, y1) in rings.items() for w in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))], "owner long, ring int, ax double, ay double, bx double, by double")
+    found = buildings.ports(spark.createDataFrame([(1, 15.0, 12.0)], "id long, x double, y double"), walls, 100).where("x > 20").collect()
+    assert sorted(r.owner for r in found) == [1, 2] and len({(r.x, r.y) for r in found}) == 1
