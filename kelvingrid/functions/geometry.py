@@ -39,12 +39,17 @@ def crosses(a: tuple, b: tuple) -> Column:
     return (F.signum(o1) * F.signum(o2) < 0) & (F.signum(o3) * F.signum(o4) < 0)
 
 
-def touches(a: tuple, b: tuple) -> Column:
-    """Whether two segments have any point in common."""
+def astride(a: tuple, b: tuple, slack: float = 0.0) -> Column:
+    """Whether segment b is not on one side of the line of a, farther from it than ``slack``. Segments that are no farther apart than that are so both ways round."""
     o1, o2 = orientation(*a, *b[:2]), orientation(*a, *b[2:])
-    o3, o4 = orientation(*b, *a[:2]), orientation(*b, *a[2:])
-    on = lambda o, s, x, y: (o == 0) & (x >= F.least(s[0], s[2])) & (x <= F.greatest(s[0], s[2])) & (y >= F.least(s[1], s[3])) & (y <= F.greatest(s[1], s[3]))
-    return crosses(a, b) | on(o1, a, b[0], b[1]) | on(o2, a, b[2], b[3]) | on(o3, b, a[0], a[1]) | on(o4, b, a[2], a[3])
+    most = distance(*a) * slack if slack else F.lit(0.0)
+    return (F.least(o1, o2) <= most) & (F.greatest(o1, o2) >= -most)
+
+
+def touches(a: tuple, b: tuple) -> Column:
+    """Whether two segments have any point in common: their boxes have, and neither is on one side of the other's line."""
+    span = lambda k: (F.least(a[k], a[k + 2]) <= F.greatest(b[k], b[k + 2])) & (F.least(b[k], b[k + 2]) <= F.greatest(a[k], a[k + 2]))
+    return span(0) & span(1) & astride(a, b) & astride(b, a)
 
 
 def segment_segment(a: tuple, b: tuple) -> Column:

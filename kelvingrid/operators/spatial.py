@@ -7,10 +7,14 @@ Choose the cell about as large as a typical box; cells with very many boxes are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans.shared import dealt, materialise, sorted_join
@@ -72,6 +76,51 @@ def crossings(lines: DataFrame, size: float, key: str = "id") -> DataFrame:
     return overlap_join(boxed, boxed, size, 0.0, (F.col(key) < F.col(f"r_{key}")) & g.crosses(_segment(), _segment("r_")))
 
 
+def contact(pairs: DataFrame) -> DataFrame:
+    """Adds to pairs of segments (ax, ... and r_ax, ...) ``gap``, their distance, ``meets`` and ``along``, the metres over which they lie on each other.
+
+    The formulas are those of ``functions.geometry``, on batches: as generated code they become a method that is too long for the JVM to compile.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([batch.column(p + c).to_numpy(zero_copy_only=False) for c in SEGMENT] for p in ("", "r_"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = [pa.array(v) for v in _contact(a, b)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "meets", "gap", "along"])
+
+    fields = [StructField("meets", BooleanType()), StructField("gap", DoubleType()), StructField("along", DoubleType())]
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, *fields]))
+
+
+def _contact(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def gap2(x, y, s):
+        dx, dy = s[2] - s[0], s[3] - s[1]
+        size = dx * dx + dy * dy
+        t = np.where(size > 0, np.clip(((x - s[0]) * dx + (y - s[1]) * dy) / size, 0, 1), 0.0)
+        ex, ey = x - s[0] - t * dx, y - s[1] - t * dy
+        return ex * ex + ey * ey
+
+    turn = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+    o = [turn(a, *b[:2]), turn(a, *b[2:]), turn(b, *a[:2]), turn(b, *a[2:])]
+    meets = (np.minimum(o[0], o[1]) <= 0) & (np.maximum(o[0], o[1]) >= 0) & (np.minimum(o[2], o[3]) <= 0) & (np.maximum(o[2], o[3]) >= 0)
+    for k in (0, 1):
+        meets &= (np.minimum(a[k], a[k + 2]) <= np.maximum(b[k], b[k + 2])) & (np.minimum(b[k], b[k + 2]) <= np.maximum(a[k], a[k + 2]))
+    gap = np.sqrt(np.minimum(np.minimum(gap2(*b[:2], a), gap2(*b[2:], a)), np.minimum(gap2(*a[:2], b), gap2(*a[2:], b))))
+    dx, dy = a[2] - a[0], a[3] - a[1]
+    size = np.sqrt(dx * dx + dy * dy)
+    p, q = ((dx * (x - a[0]) + dy * (y - a[1])) / size for x, y in (b[:2], b[2:]))
+    shared = np.maximum(0.0, np.minimum(size, np.maximum(p, q)) - np.maximum(0.0, np.minimum(p, q)))
+    along = np.where((size > 0) & (np.maximum(np.abs(o[0]), np.abs(o[1])) / size < 1e-9), shared, 0.0)
+    return meets, np.where(meets, 0.0, gap), along
+
+
+def nearby(segments: DataFrame, others: DataFrame, size: float, reach: float) -> DataFrame:
+    """Pairs of segments that may be within ``reach`` of each other: boxes overlap, and neither is farther than that on one side of the other's line."""
+    a, b = _segment(), _segment("r_")
+    return overlap_join(segment_boxes(segments), segment_boxes(others), size, reach, g.astride(a, b, reach * (1 + 1e-9)) & g.astride(b, a, reach * (1 + 1e-9)))
+
+
 def clearance(segments: DataFrame, obstacles: DataFrame, size: float, reach: float) -> DataFrame:
     """Pairs of segments, or points (x, y), and obstacle segments nearer than the obstacle's ``need`` (at most ``reach``), with their distance."""
     points = "ax" not in segments.columns  # a point needs a quarter of the arithmetic, without the tests of contact
@@ -186,13 +235,17 @@ def cut_intervals(segments: DataFrame, walls: DataFrame, size: float, key: str =
     to its right, and a part that runs along a wall is inside; touching parts are merged.
     """
     s = segment_boxes(segments).withColumn("len", g.distance(*_segment()))
-    hits = overlap_join(s, segment_boxes(walls), size, 0.0, g.touches(_segment(), _segment("r_")))
-    cuts = hits.select(key, "len", *SEGMENT, F.col("r_owner").alias("owner"), (g.crossing_at(_segment(), _segment("r_")) * F.col("len")).alias("cut"))
-    near = overlap_join(s, walls.groupBy("owner").agg(F.min(F.least("ax", "bx")).alias("min_x"), F.max(F.greatest("ax", "bx")).alias("max_x"), F.min(F.least("ay", "by")).alias("min_y"), F.max(F.greatest("ay", "by")).alias("max_y")), size)
-    pairs = near.select(key, "len", *SEGMENT, F.col("r_owner").alias("owner"))
+    hits = nearby(s, walls, size, 1e-9)
+    met = hits.select(key, "len", *SEGMENT, F.col("r_owner").alias("owner"), (g.crossing_at(_segment(), _segment("r_")) * F.col("len")).alias("cut"))
+    cuts = met.where(F.col("cut").between(0, F.col("len")))
+    # a segment that meets no wall is inside over its length or not at all: its start tells
+    start = s.select(key, "len", *SEGMENT, F.col("ax").alias("x"), F.col("ay").alias("y"))
+    boxes = walls.groupBy("owner").agg(F.min(F.least("ax", "bx")).alias("min_x"), F.max(F.greatest("ax", "bx")).alias("max_x"), F.min(F.least("ay", "by")).alias("min_y"), F.max(F.greatest("ay", "by")).alias("max_y"))
+    held = overlap_join(point_boxes(start), boxes, size, 1e-9).select(key, "len", *SEGMENT, F.col("r_owner").alias("owner"))
+    pairs = met.drop("cut").unionByName(held)
     ends = pairs.withColumn("cut", F.explode(F.array(F.lit(0.0), F.col("len"))))
     w = Window.partitionBy(key, "owner").orderBy("cut")
-    parts = ends.unionByName(cuts.where(F.col("cut").between(0, F.col("len")))).dropDuplicates([key, "owner", "cut"]).withColumn("next", F.lead("cut").over(w)).where("next > cut")
+    parts = ends.unionByName(cuts).dropDuplicates([key, "owner", "cut"]).withColumn("next", F.lead("cut").over(w)).where("next > cut")
     mid = (F.col("cut") + F.col("next")) / 2 / F.col("len")
     parts = parts.withColumn("mx", F.col("ax") + mid * (F.col("bx") - F.col("ax"))).withColumn("my", F.col("ay") + mid * (F.col("by") - F.col("ay")))
     wall = walls.select("owner", *[F.col(c).alias(f"w_{c}") for c in SEGMENT])

@@ -119,3 +119,23 @@ def test_two_buildings_that_share_a_wall_have_a_port_each(spark):
     walls = spark.createDataFrame([(o, 0, *w) for o, (x0, y0, x1, y1) in rings.items() for w in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))], "owner long, ring int, ax double, ay double, bx double, by double")
     found = buildings.ports(spark.createDataFrame([(1, 15.0, 12.0)], "id long, x double, y double"), walls, 100).where("x > 20").collect()
     assert sorted(r.owner for r in found) == [1, 2] and len({(r.x, r.y) for r in found}) == 1
+
+
+def test_contact_on_batches_equals_the_columns(spark):
+    r = random.Random(5)
+    rows = [tuple(float(r.randrange(7)) for _ in range(8)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double, r_ax double, r_ay double, r_bx double, r_by double")
+    a, b = (tuple(df[p + c] for c in spatial.SEGMENT) for p in ("", "r_"))
+    want = df.select(g.touches(a, b), g.segment_segment(a, b), g.overlap_length(a, b)).collect()
+    got = spatial.contact(df).select("meets", "gap", "along").collect()
+    assert [r[0] for r in got] == [r[0] for r in want] and 0 < sum(r[0] for r in got) < 3000
+    assert max(abs(x[k] - y[k]) for x, y in zip(got, want, strict=True) for k in (1, 2)) < 1e-12
+
+
+def test_only_what_meets_a_wall_or_starts_in_a_box_is_cut(spark):
+    walls = spark.createDataFrame([(7, 0.0, 0.0, 90.0, 90.0), (7, 90.0, 90.0, 90.0, 0.0), (7, 90.0, 0.0, 0.0, 0.0)], "owner long, ax double, ay double, bx double, by double")
+    s = spark.createDataFrame([(1, 50.0, 10.0, 60.0, 20.0), (2, 1.0, 80.0, 70.0, 85.0), (3, -10.0, 30.0, 100.0, 30.0), (4, 10.0, 0.0, 20.0, 0.0)], "id long, ax double, ay double, bx double, by double")
+    found = {r.id: (round(r.cut, 6), round(r.next, 6)) for r in spatial.cut_intervals(s, walls, 50.0).collect()}
+    assert found == {1: (0.0, round(200**0.5, 6)), 3: (40.0, 100.0), 4: (0.0, 10.0)}
+    pairs = spatial.nearby(s, walls, 50.0, 1e-9).select("id").distinct().collect()
+    assert sorted(r.id for r in pairs) == [3, 4]
