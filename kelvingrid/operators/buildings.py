@@ -84,8 +84,10 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     gap = g.point_segment(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in SEGMENT])
     keys = ["id", "owner", "tx", "ty", "ex", "ey", "nx", "ny", "offset", "full", "x", "y"]
     j = j.groupBy(*keys).agg((F.count_if(_right(F.col("x"), F.col("y"))) % 2 == 1).alias("within"), F.min(gap).alias("gap")).withColumn("out", ~F.col("within") & (F.col("gap") > 1e-9))
-    usable = F.max(F.col("full") & F.col("out") & (F.col("gap") >= need - 1e-6)).over(Window.partitionBy("id", "owner", "ex", "ey", "nx", "ny"))
-    j = j.withColumn("usable", usable).where(F.col("out") & (F.col("full") | ~F.col("usable")))
+    way = Window.partitionBy("id", "owner", "ex", "ey", "nx", "ny")
+    usable = F.max(F.col("full") & F.col("out") & (F.col("gap") >= need - 1e-6)).over(way)
+    outward = (g.distance(F.col("tx"), F.col("ty"), F.col("ex"), F.col("ey")) > 1e-8) | F.max(F.col("out") & (F.col("offset") == SHORT[0])).over(way)  # the inner normal of a wall may end beyond the opposite one
+    j = j.withColumns({"usable": usable, "outward": outward}).where(F.col("out") & F.col("outward") & (F.col("full") | ~F.col("usable")))
     j = unique_points(j, ["id", "owner"])  # two buildings that share a wall have a port there each
     legs = j.select(F.struct("id", "x", "y").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("tx").alias("bx"), F.col("ty").alias("by"))
     inside = cut_intervals(legs, walls.select("owner", *SEGMENT), 100.0).groupBy("id", "owner").agg(F.sum(F.col("next") - F.col("cut")).alias("lead"))

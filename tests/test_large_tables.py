@@ -139,3 +139,10 @@ def test_only_what_meets_a_wall_or_starts_in_a_box_is_cut(spark):
     assert found == {1: (0.0, round(200**0.5, 6)), 3: (40.0, 100.0), 4: (0.0, 10.0)}
     pairs = spatial.nearby(s, walls, 50.0, 1e-9).select("id").distinct().collect()
     assert sorted(r.id for r in pairs) == [3, 4]
+
+
+def test_a_terminal_on_a_wall_leaves_outward(spark):
+    ring = [(0.0, 0.0, 40.0, 0.0), (40.0, 0.0, 40.0, 5.0), (40.0, 5.0, 0.0, 5.0), (0.0, 5.0, 0.0, 0.0)]
+    walls = spark.createDataFrame([(7, 0, *w) for w in ring], "owner long, ring int, ax double, ay double, bx double, by double")
+    found = buildings.ports(spark.createDataFrame([(1, 20.0, 0.0)], "id long, x double, y double"), walls, 100)
+    assert sorted((round(r.x, 3), round(r.y, 3)) for r in found.collect()) == [(-5.455, 0.0), (20.0, -5.455), (20.0, 10.455), (45.455, 0.0)]
