@@ -55,14 +55,19 @@ def tasks(spark: SparkSession) -> int:
     return max(own, min(4 * own, 400))
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     """Rows dealt by their keys over a number of tasks that adaptive execution leaves as it is; it would merge partitions by the bytes that a step reads."""
-    return df.repartition(tasks(df.sparkSession), *keys)
+    return df.repartition(parts or tasks(df.sparkSession), *keys)
+
+
+def parts(spark: SparkSession, rows: float, each: int) -> int:
+    """Partitions for a step that makes about ``rows`` rows: ``tasks``, and more where that leaves them over ``each`` rows, so that a task's memory doesn't grow with the tables."""
+    return max(tasks(spark), min(int(-(-rows // each)), 20_000))
 
 
 def shares(table: DataFrame, rows: int = 300_000) -> int:
-    """Partitions for steps that sort a table several times: ``tasks``, and more where that leaves them over ``rows`` rows. The count of a Parquet table reads its footers only."""
-    return max(tasks(table.sparkSession), -(-table.count() // rows))
+    """Partitions for steps that sort a table several times: no more than ``rows`` rows in one. The count of a Parquet table reads its footers only."""
+    return parts(table.sparkSession, table.count(), rows)
 
 
 def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

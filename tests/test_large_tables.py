@@ -146,3 +146,22 @@ def test_a_terminal_on_a_wall_leaves_outward(spark):
     walls = spark.createDataFrame([(7, 0, *w) for w in ring], "owner long, ring int, ax double, ay double, bx double, by double")
     found = buildings.ports(spark.createDataFrame([(1, 20.0, 0.0)], "id long, x double, y double"), walls, 100)
     assert sorted((round(r.x, 3), round(r.y, 3)) for r in found.collect()) == [(-5.455, 0.0), (20.0, -5.455), (20.0, 10.455), (45.455, 0.0)]
+
+
+def test_long_segments_are_listed_along_themselves_and_no_crossing_is_lost(spark, capsys):
+    r = random.Random(7)
+    rows = [(k, *(float(r.randrange(-60, 60)) for _ in range(4))) for k in range(200)] + [(200, 5.0, -60.0, 5.0, 60.0), (201, -60.0, 5.0, 60.0, 5.0), (202, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, ax double, ay double, bx double, by double")
+    turn = lambda s, x, y: (s[3] - s[1]) * (y - s[2]) - (s[4] - s[2]) * (x - s[1])
+    sides = lambda s, t: (turn(s, *t[1:3]), turn(s, *t[3:5]))
+    cross = {(s[0], t[0]) for s in rows[:-1] for t in rows[:-1] if s[0] < t[0] and min(sides(s, t)) < 0 < max(sides(s, t)) and min(sides(t, s)) < 0 < max(sides(t, s))}
+    for size in (1000.0, 10.0, 2.5):
+        got = [(x.id, x.r_id) for x in spatial.crossings(df, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == cross
+    one = spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 990.0)], df.schema)
+    assert spatial.line_cells(one, 10.0).count() < 310  # its box has 10,000
+    want = {(x.id, x.r_id) for x in df.where("id < 60").join(df.where("id >= 60").selectExpr("id r_id", "ax r_ax", "ay r_ay", "bx r_bx", "by r_by"), g.touches(tuple(df[c] for c in spatial.SEGMENT), tuple(spatial.F.col("r_" + c) for c in spatial.SEGMENT))).collect()}
+    found = legality.new_line_conflicts(df.where("id < 60"), df.where("id >= 60"), 10.0, single=True)
+    got = [(x.id, x.other) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in plan(found, capsys)
