@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
-from kelvingrid.plans.shared import materialise
+from kelvingrid.plans.shared import dealt, materialise, parts
 
 from .depth import legs_of
-from .spatial import SEGMENT, nearest, overlap_join, point_boxes, segment_boxes, within
+from .spatial import SEGMENT, nearest, overlap_join, point_boxes, reached, segment_boxes, within
 
 #: Weight of missing capacity in the score, metres between samples of a pipe, keys a decimetre apart.
 OVERLOAD = 25000 / 107142.86
@@ -91,36 +91,46 @@ def best_ties(terminals: DataFrame, chambers: DataFrame, pipes: DataFrame, limit
     """
     points = materialise(tie_points(chambers, pipes))
     left = terminals.select("id", "x", "y", "flow")
-    lines = segment_boxes(pipes.select("id", *SEGMENT, "dn"))
     ends = F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))
     span = left.agg(*ends).first(), points.agg(*ends).first()
     if not span[0][4] or not span[1][4]:
         return left.limit(0).select("id", F.lit(None).cast(points.schema["id"].dataType).alias("tie"), F.lit(False).alias("chamber"), *[F.lit(0.0).alias(c) for c in ("chainage", "x", "y", "score")], F.lit(0).alias("rank"))
+    lines = pipes.select("id", *SEGMENT, "dn")
+    metres = lines.agg(F.sum(g.distance(*[F.col(c) for c in SEGMENT])), F.avg(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay")))).first()
     wide = max(max(s[1] for s in span) - min(s[0] for s in span), max(s[3] for s in span) - min(s[2] for s in span))
     far = wide * 1.5 + 1
-    radius = min(far, (6 * limit * (wide + 1) ** 2 / span[1][4] / 3.14) ** 0.5 + 10)
-    columns = ["id", "flow", "tie", "chamber", "chainage", "px", "py", "dn", "distance"]
-    best = Window.partitionBy("id").orderBy("score", "chamber", "tie", "chainage")
+    # within r of a place there are a r ** 2 + b r candidates: three times the limit, and what bonus and jitter may move
+    a, b = 3.14 * span[1][4] / (wide + 1) ** 2, 2 * (metres[0] or 0.0) / (wide + 1) ** 2
+    radius = min(far, ((b * b + 12 * a * limit) ** 0.5 - b) / (2 * a) + 8)
+    # points are segments without length, so that one join finds all candidates
+    at = lambda c, d: F.col(c).alias(d)
+    every = points.select("id", "chamber", "chainage", at("x", "ax"), at("y", "ay"), at("x", "bx"), at("y", "by"), "dn")
+    every = every.unionByName(lines.select("id", F.lit(False).alias("chamber"), F.lit(None).cast("double").alias("chainage"), *SEGMENT, "dn"))
+    own = Window.partitionBy("cx", "cy", "id")
+    best = own.orderBy("score", "chamber", "tie", "chainage")
     cell = [g.half_up(F.col("px") * 10), g.half_up(F.col("py") * 10)]
-    each = Window.partitionBy("id", "tie", "chamber", *cell).orderBy("score", "chainage")
-    done = None
+    each = Window.partitionBy("cx", "cy", "id", "tie", "chamber", *cell).orderBy("score", "chainage")
+    seg = [F.col(f"r_{c}") for c in SEGMENT]
+    n, done = span[0][4], None
     for _ in range(rounds):
-        a = within(left, points, radius).select("id", "flow", F.col("r_id").alias("tie"), F.col("r_chamber").alias("chamber"), F.col("r_chainage").alias("chainage"), F.col("r_x").alias("px"), F.col("r_y").alias("py"), F.col("r_dn").alias("dn"), "distance")
-        b = overlap_join(point_boxes(left), lines, radius, radius)
-        seg = [F.col(f"r_{c}") for c in SEGMENT]
-        b = b.withColumn("t", g.along(F.col("x"), F.col("y"), *seg)).withColumns({"px": seg[0] + F.col("t") * (seg[2] - seg[0]), "py": seg[1] + F.col("t") * (seg[3] - seg[1])})
-        b = b.withColumns({"tie": F.col("r_id"), "chamber": F.lit(False), "chainage": F.col("t") * g.distance(*seg), "dn": F.col("r_dn"), "distance": g.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))}).where(F.col("distance") <= radius)
-        pairs = a.select(*columns).unionByName(b.select(*columns))
-        pairs = pairs.withColumn("score", tie_score(F.col("distance"), F.col("flow"), F.col("dn"), F.col("chamber"), jitter(F.col("id"), F.col("tie"))))
-        first = pairs.withColumn("__k", F.row_number().over(each)).where("__k = 1")
-        ranked = materialise(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("id", "tie", "chamber", "chainage", F.col("px").alias("x"), F.col("py").alias("y"), "score", "rank"))
+        many = n * (a * radius**2 + b * radius)
+        pairs = reached(left, every, max(radius, (metres[1] or 0.0) / 8), radius, parts(left.sparkSession, many, 200_000))
+        pairs = pairs.withColumn("t", g.along(F.col("x"), F.col("y"), *seg)).withColumns({"px": seg[0] + F.col("t") * (seg[2] - seg[0]), "py": seg[1] + F.col("t") * (seg[3] - seg[1])})
+        pairs = pairs.withColumn("distance", g.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+        pairs = pairs.select("cx", "cy", "id", "flow", at("r_id", "tie"), at("r_chamber", "chamber"), F.coalesce("r_chainage", F.col("t") * g.distance(*seg)).alias("chainage"), "px", "py", at("r_dn", "dn"), "distance")
+        pairs = pairs.withColumn("score", tie_score(F.col("distance"), F.col("flow"), F.col("dn"), F.col("chamber"), jitter(F.col("id"), F.col("tie")))).drop("flow", "dn")
+        first = pairs.withColumn("__k", F.row_number().over(each)).where((F.col("__k") == 1) & (F.col("distance") <= radius)).drop("__k", "distance")
+        ranked = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+        ranked = ranked.withColumn("__last", F.max(F.when(F.col("rank") == limit, F.col("score"))).over(own))
+        ranked = materialise(ranked.select("id", "tie", "chamber", "chainage", F.col("px").alias("x"), F.col("py").alias("y"), "score", "rank", "__last"))
         last = radius >= far
-        full = ranked if last else ranked.join(ranked.where((F.col("rank") == limit) & (F.col("score") < radius - 5)).select("id"), "id", "left_semi")
+        full = (ranked if last else ranked.where(F.col("__last") < radius - 5)).drop("__last")
         done = full if done is None else done.unionByName(full)
         if last:
             break
-        left = left.join(full.select("id").distinct(), "id", "left_anti")
-        if left.isEmpty():
+        left = left.join(full.where("rank = 1").select("id"), "id", "left_anti")
+        n = left.count()
+        if not n:
             break
         radius = min(radius * 3, far)
     return done
@@ -157,8 +167,10 @@ def attachments(terminals: DataFrame, ties: DataFrame, nodes: DataFrame, edges:
     every = materialise(point(ties, "tie", "id").unionByName(point(nodes.join(degree, "node", "left").where("coalesce(degree, 0) < 4"), "node", "node")).unionByName(inner).unionByName(second).withColumn("n", F.monotonically_increasing_id()))
     t = F.col("back") / F.col("base")
     spot = lambda c: F.when(F.col("back").isNotNull(), F.col(f"a{c}") + t * (F.col(f"b{c}") - F.col(f"a{c}")))
-    places = every.select("n", *[F.coalesce(spot(c[1]), F.col(c)).alias(c) for c in SEGMENT])
-    found = nearest(terminals, places, 2 * limit, "id", "n").select("id", F.col("r_n").alias("n"), "distance").join(every, "n").join(terminals.select("id", "x", "y"), "id")
+    facts = ("kind", "target", "base", "back")
+    places = every.select("n", *[F.coalesce(spot(c[1]), F.col(c)).alias(c) for c in SEGMENT], *facts, F.struct(*SEGMENT).alias("line"))
+    found = nearest(terminals, places, 2 * limit, "id", "n", keep=(*facts, "line"))
+    found = found.select("id", "distance", "x", "y", *[F.col(f"r_{c}").alias(c) for c in facts], "r_line.*")
     ends = [F.col(c) for c in SEGMENT]
     along = g.along(F.col("x"), F.col("y"), *ends)
     # for a second point: where the clamped projection on its own edge lies
@@ -168,4 +180,5 @@ def attachments(terminals: DataFrame, ties: DataFrame, nodes: DataFrame, edges:
     px, py = (F.coalesce(spot(c), F.col(f"a{c}") + along * (F.col(f"b{c}") - F.col(f"a{c}"))) for c in ("x", "y"))
     good = good.select("id", "kind", "target", chainage.alias("chainage"), px.alias("x"), py.alias("y"), "distance")
     by = Window.partitionBy("id").orderBy(F.round("distance", 9), "kind", "target", F.round("chainage", 6))
+    good = dealt(good, "id", parts=parts(terminals.sparkSession, terminals.count() * 2 * limit, 200_000))
     return good.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)

@@ -188,37 +188,60 @@ def within(points: DataFrame, others: DataFrame, radius: float, size: float | No
     return pairs.withColumn("distance", g.distance(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))).where(F.col("distance") <= radius)
 
 
-def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str, size: float | None = None, rounds: int = 24) -> DataFrame:
-    """The k segments nearest to each point, ties by ``other``: (key, r_other, distance, rank), exact.
+def reached(points: DataFrame, segments: DataFrame, size: float, radius: float, n: int) -> DataFrame:
+    """Pairs of ``points(x, y)`` and segments whose boxes are within ``radius``, in ``n`` partitions by the point's cell (cx, cy). Columns of ``segments`` get the prefix ``r_``.
+
+    A point is listed in its own cell only, segments in all cells within the radius: a point's pairs are in one task, and windows by (cx, cy) and the point need no shuffle.
+    Callers test distances behind their windows: in the join's condition they would be repeated by each use, in a method that is too long for the JVM to compile.
+    """
+    nan = F.lit(float("nan"))
+    at = points.withColumns({"x": F.coalesce("x", nan), "y": F.coalesce("y", nan)})
+    at = at.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    right = line_cells(segment_boxes(_bare(segments)), size, radius)
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    over = [F.col("x") >= F.col("r_min_x") - radius, F.col("x") <= F.col("r_max_x") + radius, F.col("y") >= F.col("r_min_y") - radius, F.col("y") <= F.col("r_max_y") + radius]
+    same = (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))
+    return dealt(at, "cx", "cy", parts=n).join(dealt(right, "r_cx", "r_cy", parts=n).hint("merge"), reduce(lambda p, q: p & q, over, same))
+
+
+def nearest(points: DataFrame, segments: DataFrame, k: int, key: str, other: str, size: float | None = None, rounds: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The k segments nearest to each point, ties by ``other``: (key, r_other, distance, rank), exact; with columns to ``keep`` also x, y and those of the segments as r_<column>.
 
     Within a radius all segments are found by the cell join. A point is done once its k-th distance is within the radius;
     the rest go on with a radius three times as large, until it spans everything there is. The first radius is ``size``, or what holds
     about 2k segments of their mean length at their mean density. Cells are no smaller than an eighth of a mean segment's box, which would be listed too often.
     """
-    points = point_boxes(points.select(key, "x", "y"))
-    segments = segment_boxes(segments.select(other, *SEGMENT))
-    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), segments.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y"), F.count(F.lit(1)), F.avg(F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y")), F.avg(g.distance(*_segment()))).first()
+    points = points.select(key, "x", "y")
+    segments = segments.select(other, *SEGMENT, *keep)
+    boxed = segment_boxes(segments)
+    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first(), boxed.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y"), F.count(F.lit(1)), F.avg(F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y")), F.avg(g.distance(*_segment()))).first()
+    more = ["x", "y", *[f"r_{c}" for c in keep]] if keep else []
     if span[0][0] is None or span[1][0] is None:
-        return points.limit(0).select(key, F.lit(None).cast("long").alias(f"r_{other}"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+        none = points.select(F.col(key), F.col("x"), F.col("y")).limit(0).crossJoin(segments.limit(0).select(*[F.col(c).alias(f"r_{c}") for c in (other, *keep)]))
+        return none.select(key, f"r_{other}", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"), *more)
     far = max(max(s[1] for s in span) - min(s[0] for s in span), max(s[3] for s in span) - min(s[2] for s in span)) * 1.5 + 1
-    best = Window.partitionBy(key).orderBy("distance", f"r_{other}")
+    own = Window.partitionBy("cx", "cy", key)
     box = span[1]
-    room = 2 * k * (box[1] - box[0] + 1) * (box[3] - box[2] + 1) / box[4]  # a radius r about a segment of length l takes 3.14 r ** 2 + 2 l r
+    area = (box[1] - box[0] + 1) * (box[3] - box[2] + 1)
+    room = 2 * k * area / box[4]  # a radius r about a segment of length l takes 3.14 r ** 2 + 2 l r
     radius = size or max(1e-6, ((box[6] ** 2 + 3.14 * room) ** 0.5 - box[6]) / 3.14)
-    done = None
+    left, done = span[0][4], None
     for _ in range(rounds):
-        pairs = overlap_join(points, segments, max(radius, box[5] / 8), radius)
+        many = left * min(box[4], box[4] * (3.14 * radius**2 + 2 * box[6] * radius) / area)
+        pairs = reached(points, segments, max(radius, box[5] / 8), radius, parts(points.sparkSession, many, 200_000))
         pairs = pairs.withColumn("distance", g.point_segment(F.col("x"), F.col("y"), *_segment("r_")))
         last = radius >= far
+        ranked = pairs.select("cx", "cy", key, f"r_{other}", "distance", *more).withColumn("rank", F.row_number().over(own.orderBy("distance", f"r_{other}"))).where(F.col("rank") <= k)
         if not last:
-            pairs = pairs.where(F.col("distance") <= radius)
-        ranked = materialise(pairs.select(key, f"r_{other}", "distance").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-        full = ranked if last else ranked.join(ranked.groupBy(key).agg(F.max("rank").alias("n")).where(F.col("n") >= k).select(key), key, "left_semi")
+            ranked = ranked.where(F.col("distance") <= radius)
+        ranked = materialise(ranked.withColumn("__n", F.max("rank").over(own)).drop("cx", "cy"))
+        full = (ranked if last else ranked.where(F.col("__n") >= k)).drop("__n")
         done = full if done is None else done.unionByName(full)
         if last:
             break
-        points = points.join(full.select(key).distinct(), key, "left_anti")
-        if points.isEmpty():
+        points = points.join(full.where("rank = 1").select(key), key, "left_anti")
+        left = points.count()
+        if not left:
             break
         radius = min(radius * 3, far)
     return done

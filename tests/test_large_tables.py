@@ -165,3 +165,18 @@ def test_long_segments_are_listed_along_themselves_and_no_crossing_is_lost(spark
     got = [(x.id, x.other) for x in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "Aggregate" not in plan(found, capsys)
+
+
+def test_pairs_of_a_nearest_search_are_ranked_where_they_are_found(spark, capsys):
+    r = random.Random(3)
+    pts = spark.createDataFrame([(k, r.uniform(-50, 50), r.uniform(-50, 50)) for k in range(60)], "id long, x double, y double")
+    seg = spark.createDataFrame([(k, *(r.uniform(-50, 50) for _ in range(4)), f"s{k}") for k in range(40)], "id long, ax double, ay double, bx double, by double, name string")
+    found = spatial.reached(pts, seg, 20.0, 10.0, 5)
+    ranked = found.withColumn("n", spatial.F.row_number().over(spatial.Window.partitionBy("cx", "cy", "id").orderBy("r_id")))
+    assert plan(ranked, capsys).count("Exchange") == 2
+    got = spatial.nearest(pts, seg, 3, "id", "id", 5.0, keep=("name",)).collect()
+    assert len(got) == 180 and all(x.r_name == f"s{x.r_id}" and x.x is not None for x in got)
+    d = g.point_segment(spatial.F.col("x"), spatial.F.col("y"), *[spatial.F.col("r_" + c) for c in spatial.SEGMENT])
+    every = pts.crossJoin(seg.select(*[seg[c].alias("r_" + c) for c in seg.columns])).withColumn("d", d).collect()
+    for p in range(60):
+        assert [x.r_id for x in sorted((x for x in got if x.id == p), key=lambda x: x.rank)] == [x.r_id for x in sorted((x for x in every if x.id == p), key=lambda x: (x.d, x.r_id))[:3]]
