@@ -6,12 +6,14 @@ object, over it below one; ``below`` is the depth that passes below the object,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
+from kelvingrid.plans.shared import dealt
 
 from . import intervals as iv
 from .legality import of_type
@@ -125,22 +127,65 @@ def settled(low: list[float], high: list[float], depth: list[float], below: list
     return depth
 
 
+def settled_together(low: np.ndarray, high: np.ndarray, depth: np.ndarray, below: np.ndarray, minimum: np.ndarray) -> np.ndarray:
+    """``settled`` for many edges with the same number of intervals, a row for each edge (``below`` NaN for none): the same steps in the same order, edge by edge until it rests."""
+
+    def at(i: int, x: np.ndarray) -> np.ndarray:
+        away = rules.SLOPE * np.maximum(0.0, np.maximum(lo[:, i] - x, x - hi[:, i]))
+        return np.where(d[:, i] < rules.DEPTH, np.minimum(rules.DEPTH, d[:, i] + away), np.maximum(rules.DEPTH, d[:, i] - away))
+
+    depth, n, left = depth.copy(), range(depth.shape[1]), np.arange(len(depth))
+    while len(left):
+        lo, hi, d, under, least = low[left], high[left], depth[left], below[left], minimum[left]
+        moved = np.zeros(len(left), bool)
+        for i in n:
+            for j in n:
+                if i == j:
+                    continue
+                apart = np.maximum(0.0, np.maximum(lo[:, i] - hi[:, j], lo[:, j] - hi[:, i]))
+                mixed = (d[:, j] > rules.DEPTH) & (apart < (d[:, j] - d[:, i]) / rules.SLOPE - 1e-8)
+                near = np.maximum(lo[:, j], np.minimum(hi[:, j], (lo[:, i] + hi[:, i]) / 2))
+                bare = np.isnan(under[:, j]) & (at(i, near) < least[:, j] - 1e-8)
+                give = (d[:, i] < rules.DEPTH) & (mixed | bare)
+                if np.isnan(under[give, i]).any():
+                    raise ValueError("an interval that passes above its object has no depth below it")
+                ask = [at(j, lo[:, i]), at(j, hi[:, i])]
+                up, down = np.minimum(*ask), np.maximum(*ask)
+                rest = ~give & ~np.isnan(under[:, i])
+                up_, down_ = rest & (d[:, i] < rules.DEPTH) & (up < d[:, i] - 1e-8), rest & (d[:, i] > rules.DEPTH) & (down > d[:, i] + 1e-8)
+                d[:, i] = np.select([give, up_, down_], [under[:, i], up, down], d[:, i])
+                moved |= give | up_ | down_
+        depth[left] = d
+        left = left[moved]
+    return depth
+
+
 def reconciled(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """Intervals with ``depth`` agreed upon edge by edge, in the order of (low, high, depth). An edge's intervals are few; many edges share a group."""
+    """Intervals with ``depth`` agreed upon edge by edge, in the order of (low, high, depth). An edge's intervals are few; many edges share a group, and those of one number of intervals are settled at once."""
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "low", "high", "depth"], kind="stable")
-        out = []
-        low, high, depth, minimum = (group[c].tolist() for c in ("low", "high", "depth", "minimum"))
-        below = group["below"].astype(object).where(group["below"].notna(), None).tolist()
-        first = group["key"].ne(group["key"].shift()).to_numpy().nonzero()[0].tolist()
-        for a, z in zip(first, [*first[1:], len(low)]):
-            out += settled(low[a:z], high[a:z], depth[a:z], below[a:z], minimum[a:z]) if z - a > 1 else depth[a:z]
-        return group.assign(depth=out)
+        values = {c: group[c].to_numpy(dtype=float, na_value=np.nan) for c in ("low", "high", "depth", "below", "minimum")}
+        key = pd.factorize(group["key"])[0]
+        order = np.lexsort((values["depth"], values["high"], values["low"], key))
+        low, high, depth, below, minimum = (v[order] for v in values.values())
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        size = np.diff(np.r_[first, len(order)])
+        for n in np.unique(size[size > 1]).tolist():
+            at = first[size == n]
+            if len(at) >= 8:
+                place = at[:, None] + np.arange(n)
+                depth[place] = settled_together(low[place], high[place], depth[place], below[place], minimum[place])
+                continue
+            for a in at.tolist():
+                part = [v[a : a + n].tolist() for v in (low, high, depth, below, minimum)]
+                part[3] = [None if v != v else v for v in part[3]]
+                depth[a : a + n] = settled(*part)
+        return group.iloc[order].drop(columns="__group").assign(depth=depth)
 
     parts = parts or 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = rows.withColumn("key", F.col("edge").cast("string"))  # an edge may be a struct
-    return named.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts))).applyInPandas(settle, named.schema).drop("key")
+    grouped = dealt(named.withColumn("__group", F.pmod(F.xxhash64("key"), F.lit(parts))), "__group", parts=parts)
+    return grouped.groupBy("__group").applyInPandas(settle, named.schema).drop("key")
 
 
 def pieces(edges: DataFrame, found: DataFrame, deep: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from kelvingrid import network_queries, queries  # noqa: F401
@@ -180,3 +181,16 @@ def test_pairs_of_a_nearest_search_are_ranked_where_they_are_found(spark, capsys
     every = pts.crossJoin(seg.select(*[seg[c].alias("r_" + c) for c in seg.columns])).withColumn("d", d).collect()
     for p in range(60):
         assert [x.r_id for x in sorted((x for x in got if x.id == p), key=lambda x: x.rank)] == [x.r_id for x in sorted((x for x in every if x.id == p), key=lambda x: (x.d, x.r_id))[:3]]
+
+
+def test_edges_settle_together_as_they_do_alone():
+    r = random.Random(11)
+    for n in (2, 3, 5):
+        rows = []
+        for _ in range(300):
+            kind = [r.randrange(3) for _ in range(n)]
+            low = sorted(float(r.randrange(100)) for _ in range(n))
+            rows.append((low, [x + 4 for x in low], [(2.0, 4.0, 3.0)[k] for k in kind], [(4.0, 4.0, math.nan)[k] for k in kind], [(0.7, 0.7, 2.5)[k] for k in kind]))
+        got = depth.settled_together(*(np.array(v) for v in zip(*rows, strict=True)))
+        want = [depth.settled(lo, hi, d, [None if b != b else b for b in under], least) for lo, hi, d, under, least in rows]
+        assert got.tolist() == want and (got != np.array([x[2] for x in rows])).any()
