@@ -65,7 +65,7 @@ def parts(spark: SparkSession, rows: float, each: int) -> int:
     return max(tasks(spark), min(int(-(-rows // each)), 20_000))
 
 
-def shares(table: DataFrame, rows: int = 300_000) -> int:
+def shares(table: DataFrame, rows: int = 40_000) -> int:
     """Partitions for steps that sort a table several times: no more than ``rows`` rows in one. The count of a Parquet table reads its footers only."""
     return parts(table.sparkSession, table.count(), rows)
 

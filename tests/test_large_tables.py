@@ -10,6 +10,7 @@ import pytest
 from kelvingrid import network_queries, queries  # noqa: F401
 from kelvingrid.functions import geometry as g
 from kelvingrid.operators import buildings, depth, graph, legality, reconstruction, spatial
+from kelvingrid.plans import shared
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -194,3 +195,8 @@ def test_edges_settle_together_as_they_do_alone():
         got = depth.settled_together(*(np.array(v) for v in zip(*rows, strict=True)))
         want = [depth.settled(lo, hi, d, [None if b != b else b for b in under], least) for lo, hi, d, under, least in rows]
         assert got.tolist() == want and (got != np.array([x[2] for x in rows])).any()
+
+
+def test_partitions_grow_with_the_rows(spark):
+    assert shared.parts(spark, 10, 1000) == shared.tasks(spark) and shared.parts(spark, 216_000_000, 40_000) == 5400
+    assert shared.shares(spark.range(4_000_000)) == 100
