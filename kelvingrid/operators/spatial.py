@@ -75,7 +75,7 @@ def line_cells(df: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
     reach = pad + 1e-6  # rounding may list a cell too many, never one too few
     ax, ay, bx, by = _segment()
     cells = lambda lo, hi: F.explode(F.sequence(F.floor((lo - reach) / size), F.floor((hi + reach) / size)))
-    at = lambda x, none: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - ax) / F.nullif(bx - ax, F.lit(0.0)))), F.lit(none))
+    at = lambda x, none: F.when(bx == ax, F.lit(none)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - ax) / F.nullif(bx - ax, F.lit(0.0)))))
     out = df.withColumn("cx", cells(F.least(ax, bx), F.greatest(ax, bx)))
     y0, y1 = (ay + at(x, none) * (by - ay) for x, none in ((F.col("cx") * size - reach, 0.0), ((F.col("cx") + 1) * size + reach, 1.0)))
     return out.withColumns({"__y0": F.least(y0, y1), "__y1": F.greatest(y0, y1)}).withColumn("cy", cells(F.col("__y0"), F.col("__y1"))).drop("__y0", "__y1")
@@ -119,7 +119,7 @@ def common_point(a: tuple, b: tuple) -> tuple[Column, Column]:
     t = g.crossing_at(a, b)
     on = lambda x, y: x.between(F.least(a[0], a[2]), F.greatest(a[0], a[2])) & y.between(F.least(a[1], a[3]), F.greatest(a[1], a[3]))
     end = lambda k: F.when(on(b[0], b[1]), b[k]).when(on(b[2], b[3]), b[k + 2]).otherwise(a[k])
-    return tuple(F.coalesce(_held(a[k] + t * (a[k + 2] - a[k]), k), end(k)) for k in (0, 1))
+    return tuple(F.when(t.isNull(), end(k)).otherwise(_held(a[k] + t * (a[k + 2] - a[k]), k)) for k in (0, 1))
 
 
 def crossings(lines: DataFrame, size: float, key: str = "id") -> DataFrame:

@@ -152,7 +152,7 @@ def test_a_terminal_on_a_wall_leaves_outward(spark):
 
 def test_long_segments_are_listed_along_themselves_and_no_crossing_is_lost(spark, capsys):
     r = random.Random(7)
-    rows = [(k, *(float(r.randrange(-60, 60)) for _ in range(4))) for k in range(200)] + [(200, 5.0, -60.0, 5.0, 60.0), (201, -60.0, 5.0, 60.0, 5.0), (202, None, 0.0, 1.0, 1.0)]
+    rows = [(k, *(float(r.randrange(-60, 60)) for _ in range(4))) for k in range(200)] + [(200, 5.0, -60.0, 5.0, 60.0), (201, -60.0, 5.0, 60.0, 5.0), (-1, 0.0, 40.0, 40.0, 0.0), (203, 10.0, 30.0, 60.0, -20.0), (202, None, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "id long, ax double, ay double, bx double, by double")
     turn = lambda s, x, y: (s[3] - s[1]) * (y - s[2]) - (s[4] - s[2]) * (x - s[1])
     sides = lambda s, t: (turn(s, *t[1:3]), turn(s, *t[3:5]))
