@@ -169,9 +169,26 @@ def _contact(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def nearby(segments: DataFrame, others: DataFrame, size: float, reach: float) -> DataFrame:
-    """Pairs of segments that may be within ``reach`` of each other: boxes overlap, and neither is farther than that on one side of the other's line."""
+    """Pairs of segments that may be within ``reach`` of each other: boxes overlap, and neither is farther than that on one side of the other's line.
+
+    Where the others are short, as walls are, each is listed only in the cell of its middle, and the segments in the cells along them.
+    """
     a, b = _segment(), _segment("r_")
-    return overlap_join(segment_boxes(segments), segment_boxes(others), size, reach, g.astride(a, b, reach * (1 + 1e-9)) & g.astride(b, a, reach * (1 + 1e-9)))
+    near = g.astride(a, b, reach * (1 + 1e-9)) & g.astride(b, a, reach * (1 + 1e-9))
+    most, many = others.agg(F.max(g.distance(*_segment())), F.count(F.lit(1))).first()
+    if most is None or not most <= size / 2:
+        return overlap_join(segment_boxes(segments), segment_boxes(others), size, reach, near)
+    pad = reach + most / 2
+    cell = min(size, max(2 * pad, size / 4))
+    n = parts(segments.sparkSession, many, 20_000)
+    right = segment_boxes(_bare(others))
+    right = right.withColumns({"cx": F.floor((F.col("ax") + F.col("bx")) / 2 / cell), "cy": F.floor((F.col("ay") + F.col("by")) / 2 / cell)})
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    left = line_cells(segment_boxes(_bare(segments)), cell, pad)
+    over = [(F.col(f"min_{c}") - reach <= F.col(f"r_max_{c}")) & (F.col(f"max_{c}") + reach >= F.col(f"r_min_{c}")) for c in "xy"]
+    on = (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy")) & over[0] & over[1] & near
+    box = [p + c for p in ("", "r_") for c in ("min_x", "max_x", "min_y", "max_y", "cx", "cy")]
+    return dealt(left, "cx", "cy", parts=n).join(dealt(right, "r_cx", "r_cy", parts=n).hint("merge"), on).drop(*box)
 
 
 def clearance(segments: DataFrame, obstacles: DataFrame, size: float, reach: float) -> DataFrame:

@@ -200,3 +200,16 @@ def test_edges_settle_together_as_they_do_alone():
 def test_partitions_grow_with_the_rows(spark):
     assert shared.parts(spark, 10, 1000) == shared.tasks(spark) and shared.parts(spark, 216_000_000, 40_000) == 5400
     assert shared.shares(spark.range(4_000_000)) == 100
+
+
+def test_short_walls_are_listed_once(spark, capsys):
+    r = random.Random(2)
+    s = spark.createDataFrame([(k, *(r.uniform(0, 300) for _ in range(4))) for k in range(40)] + [(40, 7.0, 0.0, 7.0, 300.0)], "id long, ax double, ay double, bx double, by double")
+    corner = [(r.uniform(0, 300), r.uniform(0, 300)) for _ in range(80)]
+    walls = spark.createDataFrame([(k, x, y, x + r.uniform(-20, 20), y + r.uniform(-20, 20)) for k, (x, y) in enumerate(corner)], s.schema)
+    found = spatial.nearby(s, walls, 100.0, 9.0)
+    assert plan(found, capsys).split("Initial Plan")[0].count("Generate explode") == 2  # cells of the segments only
+    got = {(x.id, x.r_id): x.gap for x in spatial.contact(found).collect()}
+    a, b = (tuple(spatial.F.col(p + c) for c in spatial.SEGMENT) for p in ("", "r_"))
+    every = s.crossJoin(walls.select(*[walls[c].alias("r_" + c) for c in walls.columns])).withColumn("gap", g.segment_segment(a, b)).where("gap <= 9").collect()
+    assert len(got) == found.count() and len(every) > 20 and all((x.id, x.r_id) in got for x in every)
