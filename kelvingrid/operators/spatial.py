@@ -139,14 +139,15 @@ def contact(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = ([batch.column(p + c).to_numpy(zero_copy_only=False) for c in SEGMENT] for p in ("", "r_"))
             with np.errstate(divide="ignore", invalid="ignore"):
-                out = [pa.array(v) for v in _contact(a, b)]
+                out = [pa.array(v) for v in contact_of(a, b)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "meets", "gap", "along"])
 
     fields = [StructField("meets", BooleanType()), StructField("gap", DoubleType()), StructField("along", DoubleType())]
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, *fields]))
 
 
-def _contact(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contact_of(a: list[np.ndarray] | tuple[np.ndarray, ...], b: list[np.ndarray] | tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(meets, gap, along) of segments as arrays, or of each with several others, whose arrays have an axis before."""
     def gap2(x, y, s):
         dx, dy = s[2] - s[0], s[3] - s[1]
         size = dx * dx + dy * dy
@@ -322,11 +323,20 @@ def explode_segments(df: DataFrame, rings: str = "rings") -> DataFrame:
 
 
 def cut_intervals(segments: DataFrame, walls: DataFrame, size: float, key: str = "id") -> DataFrame:
-    """The parts of each segment inside each polygon: (id, r_owner, from, to) in metres along it.
+    """The parts of each segment inside each polygon: (key, owner, cut, next) in metres along it.
 
     The polygon's walls cut the segment; between neighbouring cuts the midpoint's even-odd test decides, counted by walls
-    to its right, and a part that runs along a wall is inside; touching parts are merged.
+    to its right, and a part that runs along a wall is inside; touching parts are merged. Polygons that are small against ``size`` are met whole in one cell
+    (``shapes``), so that pairs of segments and polygons aren't shuffled; wide ones are joined wall by wall.
     """
+    from . import shapes
+
+    split = shapes.Split(walls, size, 1e-9)
+    return split.united(lambda: shapes.cut_whole(split, segments, key), lambda rest: cut_by_walls(segments, rest, size, key))
+
+
+def cut_by_walls(segments: DataFrame, walls: DataFrame, size: float, key: str = "id") -> DataFrame:
+    """``cut_intervals`` by joins with single walls."""
     s = segment_boxes(segments).withColumn("len", g.distance(*_segment()))
     hits = nearby(s, walls, size, 1e-9)
     met = hits.select(key, "len", *SEGMENT, F.col("r_owner").alias("owner"), (g.crossing_at(_segment(), _segment("r_")) * F.col("len")).alias("cut"))
@@ -345,7 +355,7 @@ def cut_intervals(segments: DataFrame, walls: DataFrame, size: float, key: str =
     right = ((F.col("w_ay") > F.col("my")) != (F.col("w_by") > F.col("my"))) & (F.col("mx") < (F.col("w_bx") - F.col("w_ax")) * (F.col("my") - F.col("w_ay")) / F.nullif(F.col("w_by") - F.col("w_ay"), F.lit(0.0)) + F.col("w_ax"))
     on = g.point_segment(F.col("mx"), F.col("my"), *[F.col(f"w_{c}") for c in SEGMENT])
     odd = sorted_join(parts, wall, "owner").groupBy(key, "owner", "cut", "next").agg(F.count_if(right).alias("n"), F.min(on).alias("on")).where("n % 2 = 1 or on <= 1e-9").drop("n", "on")
-    return islands(odd, [key, "owner"], "cut", "next")
+    return islands(odd, [key, "owner"], "cut", "next").select(key, "owner", "cut", "next")
 
 
 def islands(df: DataFrame, keys: list[str], low: str, high: str, slack: float = 1e-9) -> DataFrame:
