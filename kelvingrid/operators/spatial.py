@@ -139,14 +139,28 @@ def contact(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = ([batch.column(p + c).to_numpy(zero_copy_only=False) for c in SEGMENT] for p in ("", "r_"))
             with np.errstate(divide="ignore", invalid="ignore"):
-                out = [pa.array(v) for v in contact_of(a, b)]
+                out = [pa.array(v) for v in contact_of(tuple(a), tuple(b))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "meets", "gap", "along"])
 
     fields = [StructField("meets", BooleanType()), StructField("gap", DoubleType()), StructField("along", DoubleType())]
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, *fields]))
 
 
-def contact_of(a: list[np.ndarray] | tuple[np.ndarray, ...], b: list[np.ndarray] | tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _turns(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    turn = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+    return [turn(a, *b[:2]), turn(a, *b[2:]), turn(b, *a[:2]), turn(b, *a[2:])]
+
+
+def meeting(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], o: list[np.ndarray] | None = None) -> np.ndarray:
+    """``geometry.touches`` of segments as arrays."""
+    o = o or _turns(a, b)
+    meets = (np.minimum(o[0], o[1]) <= 0) & (np.maximum(o[0], o[1]) >= 0) & (np.minimum(o[2], o[3]) <= 0) & (np.maximum(o[2], o[3]) >= 0)
+    for k in (0, 1):
+        meets &= (np.minimum(a[k], a[k + 2]) <= np.maximum(b[k], b[k + 2])) & (np.minimum(b[k], b[k + 2]) <= np.maximum(a[k], a[k + 2]))
+    return meets
+
+
+def contact_of(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(meets, gap, along) of segments as arrays, or of each with several others, whose arrays have an axis before."""
     def gap2(x, y, s):
         dx, dy = s[2] - s[0], s[3] - s[1]
@@ -155,11 +169,8 @@ def contact_of(a: list[np.ndarray] | tuple[np.ndarray, ...], b: list[np.ndarray]
         ex, ey = x - s[0] - t * dx, y - s[1] - t * dy
         return ex * ex + ey * ey
 
-    turn = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
-    o = [turn(a, *b[:2]), turn(a, *b[2:]), turn(b, *a[:2]), turn(b, *a[2:])]
-    meets = (np.minimum(o[0], o[1]) <= 0) & (np.maximum(o[0], o[1]) >= 0) & (np.minimum(o[2], o[3]) <= 0) & (np.maximum(o[2], o[3]) >= 0)
-    for k in (0, 1):
-        meets &= (np.minimum(a[k], a[k + 2]) <= np.maximum(b[k], b[k + 2])) & (np.minimum(b[k], b[k + 2]) <= np.maximum(a[k], a[k + 2]))
+    o = _turns(a, b)
+    meets = meeting(a, b, o)
     gap = np.sqrt(np.minimum(np.minimum(gap2(*b[:2], a), gap2(*b[2:], a)), np.minimum(gap2(*a[:2], b), gap2(*a[2:], b))))
     dx, dy = a[2] - a[0], a[3] - a[1]
     size = np.sqrt(dx * dx + dy * dy)

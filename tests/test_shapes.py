@@ -6,7 +6,7 @@ import random
 import pytest
 
 from kelvingrid import network_queries, queries  # noqa: F401
-from kelvingrid.operators import shapes, spatial
+from kelvingrid.operators import legality, shapes, spatial
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -59,3 +59,19 @@ def test_intervals_equal_those_by_walls(spark):
     split = shapes.Split(w, 200.0, 1e-9)
     assert split.some and {r.owner for r in split.rest.collect()} == {99}
     assert len(same(spatial.cut_intervals(s, w, 200.0), spatial.cut_by_walls(s, w, 200.0))) > 100
+
+
+@tables
+def test_pairs_of_segments_and_restrictions_are_not_shuffled(spark, capsys):
+    assert exchanges(queries.QUERIES["restriction_legality"](spark, SF), capsys) == []
+
+
+def test_restrictions_equal_those_by_walls(spark, monkeypatch):
+    s, w = scene(spark)
+    s = s.where("ax is not null")
+    got = legality.restriction_conflicts(s, w).cache()
+    some = {r.id for r in legality.restriction_conflicts(s.selectExpr("*", "true once"), w).where("reason is not null").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(shapes, "WALLS", 0)
+        found = same(got, legality.restriction_conflicts(s, w))
+    assert len({r[2] for r in found}) > 4 and some == {r[0] for r in found if r[2]}
