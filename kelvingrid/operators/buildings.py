@@ -1,27 +1,34 @@
-"""How a pipe leaves the building that its terminal stands in: walls, ports, leads and approaches, as joins over walls.
+"""How a pipe leaves the building that its terminal stands in: walls, ports, leads and approaches.
 
-``walls(owner, ring, ax, ay, bx, by)`` are the segments of buildings' rings; ``terminals(id, x, y)`` may stand in one of them.
+``walls(owner, ring, ax, ay, bx, by)`` are the segments of buildings' rings; ``terminals(id, x, y)`` may stand in one of them. Buildings are met whole, in the cell of a terminal or
+in that of their middle (``shapes``); those that are too wide for that are joined wall by wall.
 """
 
 from __future__ import annotations
 
 from math import cos, radians, sin
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kelvingrid.functions import geometry as g
 from kelvingrid.plans import rules
 from kelvingrid.plans.shared import sorted_join
 
+from . import shapes
 from .legality import half
-from .spatial import SEGMENT, cut_intervals, islands, overlap_join, point_boxes, segment_boxes
+from .spatial import SEGMENT, cut_by_walls, cut_intervals, islands, overlap_join, point_boxes, segment_boxes
 
 #: Tolerance, slack of offsets, short offsets tried where the full one has no room, angles of escape rays, ports kept at once and a sector.
 EPS, SLACK = 1e-5, 0.20
 SHORT = (0.05, 0.5, 1.5)
 RAYS = (-90, -45, 0, 45, 90)
 FIRST, EACH = 8, 3
+#: Size against which a building is wide.
+SIZE = 200.0
 
 
 def setback(dn: Column) -> Column:
@@ -40,8 +47,30 @@ def _boxes(walls: DataFrame) -> DataFrame:
     return walls.groupBy("owner").agg(low("x").alias("min_x"), high("x").alias("max_x"), low("y").alias("min_y"), high("y").alias("max_y"))
 
 
-def owners(points: DataFrame, walls: DataFrame, size: float = 100.0) -> DataFrame:
+def _kinds(left: DataFrame, right: DataFrame, rest: str) -> StructType:
+    return StructType([StructField("id", left.schema["id"].dataType), StructField("owner", right.schema["owner"].dataType), *StructType.fromDDL(rest).fields])
+
+
+def owners(points: DataFrame, walls: DataFrame, size: float = SIZE) -> DataFrame:
     """(id, owner): the buildings that cover each of ``points(id, x, y)``, their boundary included."""
+    split = shapes.Split(walls, size, EPS)
+    return split.united(lambda: _owners_whole(split, points), lambda rest: _owners_by_walls(points, rest))
+
+
+def _owners_whole(split: shapes.Split, points: DataFrame) -> DataFrame:
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        (px, py), found = shapes.values(x, "x", "y"), []
+        for b in shapes.buckets(y):
+            for p, q in shapes.batches(px, px, py, py, b, EPS):
+                k = np.flatnonzero(shapes.covered(px[p], py[p], shapes.of(b.walls, q)))
+                found.append((p[k], b.at[q[k]]))
+        p, q = shapes.concat(found, (int, int))
+        return pa.table({"id": shapes.taken(x, "id", p), "owner": shapes.taken(y, "owner", q)})
+
+    return split.with_points(points.select("id", "x", "y"), "x", "y", run, StructType(_kinds(points, split.whole, "n int").fields[:2]))
+
+
+def _owners_by_walls(points: DataFrame, walls: DataFrame, size: float = 100.0) -> DataFrame:
     near = overlap_join(point_boxes(points.select("id", "x", "y")), _boxes(walls), size, EPS).select("id", "x", "y", F.col("r_owner").alias("owner"))
     j = sorted_join(near, walls.select("owner", *[F.col(c).alias(f"r_{c}") for c in SEGMENT]), "owner")
     gap = g.point_segment(F.col("x"), F.col("y"), *[F.col(f"r_{c}") for c in SEGMENT])
@@ -211,13 +240,80 @@ def transit_violations(legs: DataFrame, ends: DataFrame, walls: DataFrame, size:
 
     ``legs(edge, at, ax, ay, bx, by)`` with the running length at each leg's start; ``ends(edge, length, terminal, x, y)``: whether the edge ends in a terminal, and where.
     """
+    split = shapes.Split(walls, size, EPS)
+    return split.united(lambda: _transit_whole(split, legs, ends), lambda rest: _transit_by_walls(legs, ends, rest, size))
+
+
+def _transit_whole(split: shapes.Split, legs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The legs of an edge that come near a building are all in the building's cell, in order."""
+    facts = ends.select("edge", F.col("length").cast("double").alias("length"), F.coalesce("terminal", F.lit(False)).alias("terminal"), *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in "xy"])
+    rules_ = np.array(["transit", "passages", "lead"])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        offsets, legs_ = shapes.lists(x, "legs")
+        at, s = legs_["at"], tuple(legs_[c] for c in SEGMENT)
+        edge = np.repeat(np.arange(x.num_rows), np.diff(offsets))
+        (length, terminal, ex, ey), found = shapes.values(x, "length", "terminal", "x", "y"), []
+        for b in shapes.buckets(y):
+            spans = []
+            for p, q in shapes.segment_batches(s, b):
+                i, low, high = shapes.inside(shapes.of(s, p), shapes.of(b.walls, q), [v[q] for v in b.box])
+                spans.append((edge[p[i]], q[i], at[p[i]] + low, at[p[i]] + high))
+            e, q, low, high = shapes.concat(spans, (int, int, float, float))
+            if not len(e):
+                continue
+            order = np.lexsort((high, low, q, e))
+            key, low, high = shapes.merged((e * len(b.at) + q)[order], low[order], high[order], EPS)
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n, inside, low, high = np.diff([*new, len(key)]), np.add.reduceat(high - low, new), low[new], np.maximum.reduceat(high, new)
+            key = key[new]
+            k = np.flatnonzero(inside >= EPS)
+            n, low, high, e, q = n[k], low[k], high[k], key[k] // len(b.at), key[k] % len(b.at)
+            home, rule, outer = terminal[e].astype(bool), np.full(len(e), -1), b.outer()
+            for k in np.array_split(np.flatnonzero(home), 1 + len(e) // b.chunk):
+                home[k] = shapes.covered(ex[e[k]], ey[e[k]], shapes.of(b.walls, q[k]))
+            rule[home & (n > 1)] = 1
+            rule[home & (n == 1) & (np.abs(high - length[e]) > EPS)] = 2
+            for k in np.array_split(np.flatnonzero(home & (rule < 0)), 1 + len(e) // b.chunk):
+                rule[k[_crooked(offsets, at, s, e[k], low[k], high[k], shapes.of(b.walls, q[k]), outer.take(q[k], axis=1))]] = 2
+            rule[~home] = 0
+            k = np.flatnonzero(rule >= 0)
+            found.append((e[k], b.at[q[k]], rule[k]))
+        e, q, rule = shapes.concat(found, (int, int, int))
+        return pa.table({"edge": shapes.taken(x, "edge", e), "owner": shapes.taken(y, "owner", q), "rule": pa.array(rules_[rule], pa.string())})
+
+    rows = sorted_join(legs.select("edge", F.col("at").cast("double").alias("at"), *[F.col(c).cast("double").alias(c) for c in SEGMENT]), facts, "edge")
+    kinds = StructType([legs.schema["edge"], split.whole.schema["owner"], *StructType.fromDDL("rule string").fields])
+    return split.with_segments(rows, run, kinds, ("edge",))
+
+
+def _crooked(offsets, at, s, e, low, high, walls, outer) -> np.ndarray:
+    """Which leads turn inside their building, or enter it elsewhere than through an exterior wall: a leg that starts inside the lead may not turn off the one that it begins on."""
+    if not len(e):
+        return np.empty(0, bool)
+    many = offsets[e + 1] - offsets[e]
+    begin = np.cumsum(many) - many
+    lead = np.repeat(np.arange(len(e)), many)
+    leg = np.repeat(offsets[e] - begin, many) + np.arange(many.sum())
+    first = np.maximum.reduceat(np.where(at[leg] <= low[lead] + EPS, leg, -1), begin)
+    f = tuple(v[np.maximum(first, 0)] for v in s)
+    dx, dy = f[2] - f[0], f[3] - f[1]
+    size = np.sqrt(dx * dx + dy * dy)
+    off = np.abs(dx[lead] * (s[3] - s[1])[leg] - dy[lead] * (s[2] - s[0])[leg]) > EPS * size[lead]
+    bent = np.bitwise_or.reduceat(off & (at[leg] > low[lead] + EPS) & (at[leg] < high[lead] - EPS), begin)
+    t = (low - at[np.maximum(first, 0)]) / size
+    gap = shapes.least(shapes.gaps(f[0] + t * dx, f[1] + t * dy, tuple(np.where(outer, v, np.nan) for v in walls)))
+    return (first >= 0) & (bent | (gap > EPS))
+
+
+def _transit_by_walls(legs: DataFrame, ends: DataFrame, walls: DataFrame, size: float) -> DataFrame:
     named = legs.select(F.struct("edge", "at").alias("id"), *SEGMENT)
-    spans = cut_intervals(named, walls.select("owner", *SEGMENT), size)
+    spans = cut_by_walls(named, walls.select("owner", *SEGMENT), size)
     spans = spans.select("id.edge", "owner", "id.at", (F.col("id.at") + F.col("cut")).alias("low"), (F.col("id.at") + F.col("next")).alias("high"))
     bent = legs.groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("at", *SEGMENT))).alias("all"))  # one path's legs
     merged = islands(spans.select("edge", "owner", "low", "high"), ["edge", "owner"], "low", "high", EPS)
     per = merged.groupBy("edge", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("high") - F.col("low")).alias("inside"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("inside") >= EPS)
-    covered = owners(ends.where("terminal").select(F.col("edge").alias("id"), "x", "y"), walls).select(F.col("id").alias("edge"), "owner", F.lit(True).alias("home"))
+    covered = _owners_by_walls(ends.where("terminal").select(F.col("edge").alias("id"), "x", "y"), walls).select(F.col("id").alias("edge"), "owner", F.lit(True).alias("home"))
     j = sorted_join(sorted_join(sorted_join(per, ends.select("edge", "length"), "edge"), covered, ["edge", "owner"], "left"), bent, "edge")
     # straight: no leg that starts inside the lead turns off the leg before it
     inner = F.filter("all", lambda s: (s.at > F.col("low") + EPS) & (s.at < F.col("high") - EPS))

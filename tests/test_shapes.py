@@ -1,12 +1,13 @@
 """Whole shapes in cells against joins wall by wall, and that pairs aren't shuffled."""
 
+import math
 import os
 import random
 
 import pytest
 
 from kelvingrid import network_queries, queries  # noqa: F401
-from kelvingrid.operators import legality, shapes, spatial
+from kelvingrid.operators import buildings, legality, shapes, spatial
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -75,3 +76,29 @@ def test_restrictions_equal_those_by_walls(spark, monkeypatch):
         m.setattr(shapes, "WALLS", 0)
         found = same(got, legality.restriction_conflicts(s, w))
     assert len({r[2] for r in found}) > 4 and some == {r[0] for r in found if r[2]}
+
+
+@tables
+def test_passages_are_not_shuffled(spark, capsys):
+    assert exchanges(queries.QUERIES["building_transit"](spark, SF), capsys) == []
+
+
+def test_passages_of_bent_paths_equal_those_by_walls(spark):
+    _, w = scene(spark)
+    w = w.where("closed")
+    r = random.Random(9)
+    paths = [[(r.randrange(300), r.randrange(300))] for _ in range(150)]
+    for p in paths:
+        for _ in range(r.randrange(1, 5)):
+            p.append((p[-1][0] + r.randrange(-60, 60), p[-1][1] + r.randrange(-60, 60)))
+    legs, ends = [], []
+    for e, p in enumerate(paths):
+        at = 0.0
+        for a, b in zip(p, p[1:]):  # noqa: B905
+            legs.append((e, at, *map(float, (*a, *b))))
+            at += math.dist(a, b)
+        ends.append((e, at, e % 4 > 0, *map(float, p[-1])))
+    legs = spark.createDataFrame(legs, "edge long, at double, ax double, ay double, bx double, by double")
+    ends = spark.createDataFrame(ends, "edge long, length double, terminal boolean, x double, y double")
+    found = same(buildings.transit_violations(legs, ends, w), buildings._transit_by_walls(legs, ends, w, 200.0))
+    assert {r[2] for r in found} == {"transit", "passages", "lead"}
