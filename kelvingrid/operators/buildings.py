@@ -144,10 +144,43 @@ def leads(segments: DataFrame, walls: DataFrame, size: float = 100.0) -> DataFra
 
     ``straight``: they are inside it from the start on, once, and leave through an exterior wall; ``nearest``: and no wall is nearer.
     """
+    split = shapes.Split(walls, 2 * size, EPS)
+    return split.united(lambda: _leads_whole(split, segments), lambda rest: _leads_by_walls(segments, rest, size))
+
+
+def _leads_whole(split: shapes.Split, segments: DataFrame) -> DataFrame:
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        s, found = tuple(shapes.values(x, *SEGMENT)), []
+        for b in shapes.buckets(y):
+            outer = b.outer()
+            for p, q in shapes.batches(s[0], s[0], s[1], s[1], b, EPS):
+                a, w = shapes.of(s, p), shapes.of(b.walls, q)
+                k = np.flatnonzero(shapes.covered(*a[:2], w) & ~shapes.covered(*a[2:], w) & outer.take(q, axis=1).any(axis=0))
+                p, q, a, w = p[k], q[k], shapes.of(a, k), shapes.of(w, k)
+                i, low, high = shapes.merged(*shapes.inside(a, w, [v[q] for v in b.box]), EPS)
+                n = np.bincount(i, minlength=len(p))
+                first, last = np.zeros(len(p)), np.zeros(len(p))
+                first[i[::-1]], last[i] = low[::-1], high  # one that starts on a wall and goes outward is inside over no length
+                inside = np.bincount(i, high - low, len(p))
+                n[n == 0] = 1
+                facade_ = tuple(np.where(outer.take(q, axis=1), v, np.nan) for v in w)
+                t = last / np.sqrt((a[2] - a[0]) ** 2 + (a[3] - a[1]) ** 2)
+                exit_ = shapes.least(shapes.gaps(a[0] + t * (a[2] - a[0]), a[1] + t * (a[3] - a[1]), facade_))
+                facade = shapes.least(shapes.gaps(*a[:2], facade_))
+                straight = (n == 1) & (first <= EPS) & (exit_ <= EPS)
+                found.append((p, b.at[q], inside, straight, straight & (np.abs(inside - facade) <= EPS)))
+        p, q, inside, straight, nearest = shapes.concat(found, (int, int, float, bool, bool))
+        return pa.table({"id": shapes.taken(x, "id", p), "owner": shapes.taken(y, "owner", q), "inside": inside, "straight": straight, "nearest": nearest})
+
+    known = shapes.finite(segments).select("id", *[F.col(c).cast("double").alias(c) for c in SEGMENT])
+    return split.with_points(known, "ax", "ay", run, _kinds(segments, split.whole, "inside double, straight boolean, nearest boolean"))
+
+
+def _leads_by_walls(segments: DataFrame, walls: DataFrame, size: float) -> DataFrame:
     start = segments.select("id", F.col("ax").alias("x"), F.col("ay").alias("y"))
     stop = segments.select("id", F.col("bx").alias("x"), F.col("by").alias("y"))
-    own = sorted_join(owners(start, walls), owners(stop, walls), ["id", "owner"], "left_anti")
-    spans = sorted_join(cut_intervals(segments.select("id", *SEGMENT), walls.select("owner", *SEGMENT), size), own, ["id", "owner"])
+    own = sorted_join(_owners_by_walls(start, walls), _owners_by_walls(stop, walls), ["id", "owner"], "left_anti")
+    spans = sorted_join(cut_by_walls(segments.select("id", *SEGMENT), walls.select("owner", *SEGMENT), size), own, ["id", "owner"])
     spans = islands(spans, ["id", "owner"], "cut", "next", EPS)
     # one that starts on a wall and goes outward is inside over no length
     none = {"n": F.lit(1), "low": F.lit(0.0), "high": F.lit(0.0), "inside": F.lit(0.0)}

@@ -102,3 +102,17 @@ def test_passages_of_bent_paths_equal_those_by_walls(spark):
     ends = spark.createDataFrame(ends, "edge long, length double, terminal boolean, x double, y double")
     found = same(buildings.transit_violations(legs, ends, w), buildings._transit_by_walls(legs, ends, w, 200.0))
     assert {r[2] for r in found} == {"transit", "passages", "lead"}
+
+
+@tables
+def test_leads_are_not_shuffled(spark, capsys):
+    assert exchanges(queries.QUERIES["building_leads"](spark, SF), capsys) == []
+
+
+def test_leads_and_owners_equal_those_by_walls(spark):
+    s, w = scene(spark)
+    w = w.where("closed")
+    found = same(buildings.leads(s, w), buildings._leads_by_walls(s, w, 100.0))
+    assert {r[3:] for r in found} == {(True, True), (True, False), (False, False)}
+    points = s.selectExpr("id", "ax x", "ay y").where("x is not null")
+    same(buildings.owners(points, w), buildings._owners_by_walls(points, w))
