@@ -10,6 +10,7 @@ from math import cos, radians, sin
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -95,10 +96,97 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     building or too near another wall, at three shorter offsets too. A terminal on the wall itself leaves along its normals. ``lead`` is the
     length inside the building. Kept are the first eight, and of each of 16 sectors the first three.
     """
+    split = shapes.Split(walls, SIZE, EPS)
+    if split.rest is None:
+        return _ports_whole(split, terminals, dn)
+    wide = overlap_join(point_boxes(terminals.select("id", "x", "y")), _boxes(split.rest), 1000.0, EPS).select("id").distinct()  # their ports are ranked with those of other buildings
+    near, far = (sorted_join(terminals.select("id", "x", "y"), wide, "id", how) for how in ("left_semi", "left_anti"))
+    return _ports_by_walls(near, walls, dn).unionByName(_ports_whole(split, far, dn))
+
+
+def _ports_whole(split: shapes.Split, terminals: DataFrame, dn: int) -> DataFrame:
+    need_ = setback(F.lit(dn))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        (sx, sy, need), found = shapes.values(x, "x", "y", "need"), []
+        need = float(need[0])
+        for b in shapes.buckets(y):
+            outer = b.outer()
+            for p, q in shapes.batches(sx, sx, sy, sy, b, EPS):
+                k = np.flatnonzero(shapes.covered(sx[p], sy[p], shapes.of(b.walls, q)))
+                p, q = p[k], q[k]
+                tx, ty, (ax, ay, bx, by) = sx[p], sy[p], shapes.of(b.walls, q)
+                dx, dy = bx - ax, by - ay
+                size = dx * dx + dy * dy
+                at = np.where(size > 0, np.clip(((tx - ax) * dx + (ty - ay) * dy) / size, 0, 1), 0.0)
+                ex, ey = ax + at * dx, ay + at * dy
+                away, size = np.sqrt((ex - tx) ** 2 + (ey - ty) ** 2), np.sqrt(size)
+                held = outer.take(q, axis=1)
+                ways = [(held & (away > 1e-8), (ex - tx) / away, (ey - ty) / away), *[(held & ~(away > 1e-8) & (size > 1e-8), s * dy / size, s * -dx / size) for s in (-1.0, 1.0)]]
+                ways = [(c, ex[w, c], ey[w, c], nx[w, c], ny[w, c]) for use, nx, ny in ways for w, c in [np.nonzero(use)]]
+                c, ex, ey, nx, ny = (np.concatenate(v) for v in zip(*ways, strict=True))
+                for k in range(0, len(c), b.chunk):
+                    found.append(_ways(b, p, q, tx, ty, *(v[k : k + b.chunk] for v in (c, ex, ey, nx, ny)), need))
+        p, q, px, py, offset, lead = shapes.concat(found, (int, int, float, float, float, float))
+        keys = (np.floor(py * 1e6 + 0.5), np.floor(px * 1e6 + 0.5), q, p)  # points of one building that differ by a micrometre
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([v[order[1:]] != v[order[:-1]] for v in keys], axis=0)
+        p, q, px, py, offset, lead = (v[order[new]] for v in (p, q, px, py, offset, lead))
+        by = np.empty(y.num_rows, int)
+        by[pc.sort_indices(y.column("owner")).to_numpy()] = np.arange(y.num_rows)
+        dx, dy = px - sx[p], py - sy[p]
+        order = np.lexsort((by[q], py, px, np.round(np.sqrt(dx * dx + dy * dy), 9), np.round(lead, 9), p))
+        p, q, px, py, offset, lead, dx, dy = (v[order] for v in (p, q, px, py, offset, lead, dx, dy))
+        rank = _counted(p)
+        sector = np.minimum(np.floor((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * 16), 15)
+        order = np.lexsort((rank, sector, p))
+        nth = np.empty_like(rank)
+        nth[order] = _counted(p[order] * 16 + sector[order].astype(int))
+        k = np.flatnonzero((rank <= FIRST) | (nth <= EACH))
+        return pa.table({"id": shapes.taken(x, "id", p[k]), "owner": shapes.taken(y, "owner", q[k]), "x": px[k], "y": py[k], "offset": offset[k], "lead": lead[k], "rank": rank[k].astype(np.int32)})
+
+    kinds = _kinds(terminals, split.whole, "x double, y double, offset double, lead double, rank int")
+    return split.with_points(terminals.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), need_.alias("need")), "x", "y", run, kinds)
+
+
+def _counted(group: np.ndarray) -> np.ndarray:
+    """The place of each row in its group, from 1; equal values of ``group`` are neighbours."""
+    if not len(group):
+        return np.empty(0, int)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    return np.arange(len(group)) - np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+
+
+def _ways(b: shapes.Bucket, p, q, tx, ty, c, ex, ey, nx, ny, need: float) -> tuple[np.ndarray, ...]:
+    """The ports of ways out: (terminal, building, x, y, offset, lead). A way begins at (ex, ey) and has a direction; ``c`` is its terminal in its building."""
+    walls = shapes.of(b.walls, q[c])
+
+    def room(k: np.ndarray, offset: float) -> tuple[np.ndarray, np.ndarray]:
+        x, y, w = ex[k] + nx[k] * offset, ey[k] + ny[k] * offset, shapes.of(walls, k)
+        gap = shapes.least(shapes.gaps(x, y, w))
+        return ~np.bitwise_xor.reduce(shapes.right(x, y, w), axis=0) & (gap > 1e-9), gap
+
+    every = np.arange(len(c))
+    out, gap = room(every, need + SLACK)
+    usable = out & (gap >= need - 1e-6)
+    outward = np.sqrt((ex - tx[c]) ** 2 + (ey - ty[c]) ** 2) > 1e-8  # else a normal; the inner one of a wall may end beyond the opposite one
+    k = np.flatnonzero(~outward)
+    outward[k] = room(k, SHORT[0])[0]
+    found = [(every[out & outward], need + SLACK)]
+    k = np.flatnonzero(outward & ~usable)
+    found += [(k[room(k, s)[0]], s) for s in SHORT]
+    k, o = np.concatenate([i for i, _ in found]), np.repeat([s for _, s in found], [len(i) for i, _ in found])
+    x, y, c, walls = ex[k] + nx[k] * o, ey[k] + ny[k] * o, c[k], shapes.of(walls, k)
+    i, low, high = shapes.inside((x, y, tx[c], ty[c]), walls, [v[q[c]] for v in b.box])
+    return p[c], b.at[q[c]], x, y, o, np.bincount(i, high - low, len(x))
+
+
+def _ports_by_walls(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     need = setback(F.lit(dn))
     full = need + SLACK
     t = terminals.select("id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    own = sorted_join(owners(terminals, walls), t, "id")
+    own = sorted_join(_owners_by_walls(terminals, walls), t, "id")
     w = sorted_join(own, exterior(walls).select("owner", *SEGMENT), "owner")
     at = g.along(F.col("tx"), F.col("ty"), *[F.col(c) for c in SEGMENT])
     w = w.withColumn("ex", F.col("ax") + at * (F.col("bx") - F.col("ax"))).withColumn("ey", F.col("ay") + at * (F.col("by") - F.col("ay")))
@@ -119,7 +207,7 @@ def ports(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFrame:
     j = j.withColumns({"usable": usable, "outward": outward}).where(F.col("out") & F.col("outward") & (F.col("full") | ~F.col("usable")))
     j = unique_points(j, ["id", "owner"])  # two buildings that share a wall have a port there each
     legs = j.select(F.struct("id", "x", "y").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("tx").alias("bx"), F.col("ty").alias("by"))
-    inside = cut_intervals(legs, walls.select("owner", *SEGMENT), 100.0).groupBy("id", "owner").agg(F.sum(F.col("next") - F.col("cut")).alias("lead"))
+    inside = cut_by_walls(legs, walls.select("owner", *SEGMENT), 100.0).groupBy("id", "owner").agg(F.sum(F.col("next") - F.col("cut")).alias("lead"))
     j = sorted_join(j, inside.select("id.*", "owner", "lead"), ["id", "x", "y", "owner"], "left").fillna(0.0, ["lead"])
     order = [F.round("lead", 9), F.round(g.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")), 9), "x", "y", "owner"]
     j = j.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).withColumn("sector", g.sector(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))

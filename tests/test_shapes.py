@@ -116,3 +116,16 @@ def test_leads_and_owners_equal_those_by_walls(spark):
     assert {r[3:] for r in found} == {(True, True), (True, False), (False, False)}
     points = s.selectExpr("id", "ax x", "ay y").where("x is not null")
     same(buildings.owners(points, w), buildings._owners_by_walls(points, w))
+
+
+@tables
+def test_ports_are_ranked_in_their_cell(spark, capsys):
+    assert exchanges(buildings.ports(queries.boxes(spark, SF).selectExpr("id", "min_x + 1 x", "min_y + 1 y"), network_queries.walls(spark, SF), 100), capsys) == []
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_ports_equal_those_by_walls(spark, wide):
+    s, w = scene(spark, wide)
+    w = w.where("closed")
+    points = s.selectExpr("id", "ax x", "ay y").where("x is not null")
+    assert len(same(buildings.ports(points, w, 100), buildings._ports_by_walls(points, w, 100), 6)) > 100
