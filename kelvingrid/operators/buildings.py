@@ -119,7 +119,7 @@ def _ports_whole(split: shapes.Split, terminals: DataFrame, dn: int) -> DataFram
                 dx, dy = bx - ax, by - ay
                 size = dx * dx + dy * dy
                 at = np.where(size > 0, np.clip(((tx - ax) * dx + (ty - ay) * dy) / size, 0, 1), 0.0)
-                ex, ey = ax + at * dx, ay + at * dy
+                ex, ey = _foot(at, tx, ax, bx), _foot(at, ty, ay, by)
                 away, size = np.sqrt((ex - tx) ** 2 + (ey - ty) ** 2), np.sqrt(size)
                 held = outer.take(q, axis=1)
                 ways = [(held & (away > 1e-8), (ex - tx) / away, (ey - ty) / away), *[(held & ~(away > 1e-8) & (size > 1e-8), s * dy / size, s * -dx / size) for s in (-1.0, 1.0)]]
@@ -150,6 +150,12 @@ def _ports_whole(split: shapes.Split, terminals: DataFrame, dn: int) -> DataFram
     return split.with_points(terminals.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), need_.alias("need")), "x", "y", run, kinds)
 
 
+def _foot(at: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A coordinate of the point of a wall that is nearest to t; not rounded off the terminal's own or the wall's, so that what lies straight across has no angle."""
+    e = a + at * (b - a)
+    return np.where(a == b, a, np.where(np.abs(e - t) <= 1e-12 * np.abs(t), t, e))
+
+
 def _counted(group: np.ndarray) -> np.ndarray:
     """The place of each row in its group, from 1; equal values of ``group`` are neighbours."""
     if not len(group):
@@ -189,7 +195,8 @@ def _ports_by_walls(terminals: DataFrame, walls: DataFrame, dn: int) -> DataFram
     own = sorted_join(_owners_by_walls(terminals, walls), t, "id")
     w = sorted_join(own, exterior(walls).select("owner", *SEGMENT), "owner")
     at = g.along(F.col("tx"), F.col("ty"), *[F.col(c) for c in SEGMENT])
-    w = w.withColumn("ex", F.col("ax") + at * (F.col("bx") - F.col("ax"))).withColumn("ey", F.col("ay") + at * (F.col("by") - F.col("ay")))
+    foot = lambda c: F.when(F.col(f"a{c}") == F.col(f"b{c}"), F.col(f"a{c}")).when(F.abs(F.col(f"__e{c}") - F.col(f"t{c}")) <= 1e-12 * F.abs(F.col(f"t{c}")), F.col(f"t{c}")).otherwise(F.col(f"__e{c}"))
+    w = w.withColumns({f"__e{c}": F.col(f"a{c}") + at * (F.col(f"b{c}") - F.col(f"a{c}")) for c in "xy"}).withColumns({"ex": foot("x"), "ey": foot("y")})
     away, size = g.distance(F.col("tx"), F.col("ty"), F.col("ex"), F.col("ey")), g.distance(*[F.col(c) for c in SEGMENT])
     beyond = F.array(F.struct(((F.col("ex") - F.col("tx")) / away).alias("nx"), ((F.col("ey") - F.col("ty")) / away).alias("ny")))
     normal = F.array(*[F.struct((s * (F.col("by") - F.col("ay")) / size).alias("nx"), (s * (F.col("ax") - F.col("bx")) / size).alias("ny")) for s in (-1.0, 1.0)])

@@ -129,3 +129,17 @@ def test_ports_equal_those_by_walls(spark, wide):
     w = w.where("closed")
     points = s.selectExpr("id", "ax x", "ay y").where("x is not null")
     assert len(same(buildings.ports(points, w, 100), buildings._ports_by_walls(points, w, 100), 6)) > 100
+
+
+def test_ports_straight_across_have_no_angle(spark):
+    """Of walls along an axis the port lies straight across; rounding dealt those to the left over two sectors, of which each kept three."""
+    rings = [(100.0 - k, 200.0 - 3 * k, 140.0 + k, 231.0 + 2 * k) for k in range(12)]
+    walls = spark.createDataFrame([(o, 0, *w) for o, (x0, y0, x1, y1) in enumerate(rings) for w in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))], "owner long, ring int, ax double, ay double, bx double, by double")
+    spots = spark.createDataFrame([(k, 117.0 + k / 6, 200.0 + (k + 1) * 31 / 7) for k in range(5)], "id long, x double, y double")
+    at = {r.id: (r.x, r.y) for r in spots.collect()}
+    for found in (buildings.ports(spots, walls, 100), buildings._ports_by_walls(spots, walls, 100)):
+        rows = found.collect()
+        assert all(r.x == at[r.id][0] or r.y == at[r.id][1] for r in rows)
+        for k in at:
+            left = [r for r in rows if r.id == k and r.x < at[k][0] - 1]
+            assert sorted(r["rank"] for r in left) == sorted({r["rank"] for r in left}) and len([r for r in left if r["rank"] > 8]) <= 3
