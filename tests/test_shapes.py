@@ -133,9 +133,9 @@ def test_ports_equal_those_by_walls(spark, wide):
 
 def test_ports_straight_across_have_no_angle(spark):
     """Of walls along an axis the port lies straight across; rounding dealt those to the left over two sectors, of which each kept three."""
-    rings = [(100.0 - k, 200.0 - 3 * k, 140.0 + k, 231.0 + 2 * k) for k in range(12)]
+    rings = [(10.0 - k, 0.0, 40.0 + k, 17.0) for k in range(6)] + [(10.0 - k, 0.0, 40.0 + k, 7.0) for k in range(6, 9)]
     walls = spark.createDataFrame([(o, 0, *w) for o, (x0, y0, x1, y1) in enumerate(rings) for w in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))], "owner long, ring int, ax double, ay double, bx double, by double")
-    spots = spark.createDataFrame([(k, 117.0 + k / 6, 200.0 + (k + 1) * 31 / 7) for k in range(5)], "id long, x double, y double")
+    spots = spark.createDataFrame([(0, 17.0, 3.5999999999999996)], "id long, x double, y double")  # 17 + (3.6 - 17) is another number
     at = {r.id: (r.x, r.y) for r in spots.collect()}
     for found in (buildings.ports(spots, walls, 100), buildings._ports_by_walls(spots, walls, 100)):
         rows = found.collect()
