@@ -67,7 +67,7 @@ class Split:
 
     def united(self, whole: Callable[[], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """What is found with whole shapes, and with the walls of the rest; of either only where there are any."""
-        found = [whole()] if self.some or self.rest is None else []
+        found = [whole()] if self.some else [whole().limit(0)] if self.rest is None else []  # without shapes there is nothing to meet
         return reduce(DataFrame.unionByName, [*found, *([] if self.rest is None else [rest(self.rest)])])
 
     def _meet(self, left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
